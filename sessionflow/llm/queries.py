@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import repeats, simhash
+from . import decontaminate, lines, mixing, quality, repeats, secrets, simhash
 
-_MODULES = (simhash, repeats)
+_MODULES = (lines, mixing, simhash, decontaminate, secrets, quality, repeats)
 
 
 def queries() -> dict:
