@@ -6,12 +6,12 @@ may stand left and who right. A new symbol's name is a hash of what it
 replaces, so every executor names equal content alike without a shared
 dictionary. Who is merged depends on the symbols alone, so in equal word
 sequences all symbols but a few at either edge are equal. For each window the
-edges are cut away as narrowly as any context allows, until one more round
-would leave nothing: the symbol that is left is the window's signature.
+edges are cut away as narrowly as any context allows, while enough symbols are
+left to choose from; a phrase of them is the window's signature.
 
 Spark then shuffles: (1) signatures, combined per block of documents, show
 which occur in several documents; (2) only windows behind shared signatures
-send a 128-bit name, which yields the smallest document with that very window;
+send a 95-bit name, which yields the smallest document with that very window;
 (3) each block marks the words its later windows cover. Each exchange carries
 packed arrays by (block, bucket) and a document's text is moved once.
 
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Words, mix, n_partitions, rolling, slices, table
 
 WIDTH = 13
+#: Symbols of a signature's phrase, symbols that a window must determine to use a level, words of a phrase below all levels.
+PHRASE, CHOICE, WORDS = 3, 5, 6
 _LEFT, _PAIR, _RUN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _U = np.uint64
 
@@ -64,45 +66,49 @@ def compress_pairs(sym: np.ndarray, doc: np.ndarray, round_: int) -> tuple[np.nd
     return out[keep], doc[keep], np.cumsum(keep) - 1, left
 
 
-def _least(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The smallest scrambled symbol of each non-empty span."""
-    scrambled = mix(sym)
-    best = scrambled[lo]
-    for k in range(1, int((hi - lo).max(initial=1))):
-        inside = np.flatnonzero(lo + k < hi)
-        best[inside] = np.minimum(best[inside], scrambled[lo[inside] + k])
+def _phrases(sym: np.ndarray, length: int) -> np.ndarray:
+    """The name of the ``length`` symbols from each on (cut at the end)."""
+    each = mix(sym)
+    out, n = each.copy(), len(sym)
+    for k in range(1, min(length, n)):
+        out = mix(out[: n - k] * _PAIR + each[k : k + len(out[: n - k])])
+    return out
+
+
+def _least(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """The smallest name of a phrase of ``length`` symbols in each span."""
+    names = _phrases(sym, length)
+    best = names[lo]
+    for k in range(1, int((hi - lo).max(initial=1)) - length + 1):
+        inside = np.flatnonzero(lo + k + length <= hi)
+        best[inside] = np.minimum(best[inside], names[lo[inside] + k])
     return best
 
 
 def signatures(sym: np.ndarray, doc: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """For each window a symbol of the highest level that the window alone determines.
+    """For each window a phrase of symbols of the highest level that leaves a choice of phrases.
 
-    Equal windows get equal signatures wherever they stand. A window of one or
-    two runs determines no symbol; its signature is the name of the window.
+    A window keeps, level by level, the span of symbols that it determines by
+    itself, so equal windows get equal signatures wherever they stand. A
+    phrase says more than a symbol and the smallest of several stays the same
+    over neighbouring windows. Windows that never reach a level (few runs of
+    one word) take a phrase of their words.
     """
-    out = rolling(sym, starts, starts + width)
-    active, lo, hi, round_ = np.arange(len(starts)), starts, starts + width, 0
+    out = np.empty(len(starts), _U)
+    active, lo, hi, level = np.arange(len(starts)), starts, starts + width, 0
     while len(active):
+        below, lo0, hi0 = sym, lo, hi
         # A window's first and last run may go on outside it.
         sym, doc, to = compress_runs(sym, doc)
         a, b = to[lo] + 1, to[hi - 1]
-        if round_:
-            over = a >= b
-            if over.any():
-                out[active[over]] = _least(last, lo[over], hi[over])
-        alive = a < b
-        active, lo, hi = active[alive], a[alive], b[alive]
-        if not len(active):
-            break
+        up = b > a
+        a, b = np.where(up, a, 0), np.where(up, b, 1)
         # A right symbol at the start may join the one before, a left symbol at the end the one after.
-        last = sym
-        sym, doc, to, left = compress_pairs(sym, doc, round_)
-        a, b = to[lo] + ~left[lo], to[hi - 1] + ~left[hi - 1]
-        over = a >= b
-        if over.any():
-            out[active[over]] = _least(last, lo[over], hi[over])
-        alive = ~over
-        active, lo, hi, last, round_ = active[alive], a[alive], b[alive], sym, round_ + 1
+        sym, doc, to, left = compress_pairs(sym, doc, level)
+        a, b = to[a] + ~left[a], to[b - 1] + ~left[b - 1]
+        up &= b - a >= CHOICE
+        out[active[~up]] = _least(below, lo0[~up], hi0[~up], PHRASE if level else min(WORDS, width))
+        active, lo, hi, level = active[up], a[up], b[up], level + 1
     return out
 
 
@@ -112,25 +118,38 @@ def _by_key(keys: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> tupl
         return keys, least, most
     order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(_changes(keys))
     return [k[at] for k in keys], np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at)
 
 
-def _packs(block: int, buckets: int, keys: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> pa.Table:
-    """One row per bucket (the keys' upper bits) with the arrays as bytes."""
-    edges = np.searchsorted(keys[0], (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(_U))
-    spans = [(i, s, e) for i, (s, e) in enumerate(zip([0, *edges], [*edges, len(keys[0])])) if e > s]
-    return pa.table(
-        {"bucket": pa.array([i for i, _, _ in spans], pa.int32()), "block": pa.array([block] * len(spans), pa.int32())}
-        | {f"k{j}": pa.array([k[s:e].tobytes() for _, s, e in spans], pa.binary()) for j, k in enumerate(keys)}
-        | {"least": pa.array([least[s:e].tobytes() for _, s, e in spans], pa.binary()), "most": pa.array([most[s:e].tobytes() for _, s, e in spans], pa.binary())}
-    )
+def _changes(keys: list[np.ndarray]) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def _packs(block: int, buckets: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    """One row per bucket (the first column's upper bits; it is sorted) with the arrays as bytes.
+
+    ``ids`` are kept as differences to their smallest in as few bytes as hold them.
+    """
+    key = next(iter(columns.values()))
+    edges = np.searchsorted(key, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(_U))
+    spans = [(i, s, e) for i, (s, e) in enumerate(zip([0, *edges], [*edges, len(key)])) if e > s]
+    out = {"bucket": pa.array([i for i, _, _ in spans], pa.int32()), "block": pa.array([block] * len(spans), pa.int32())}
+    for name, x in columns.items():
+        if name == "ids":
+            base = x.min(initial=0) if not len(x) else x.min()
+            x = (x.astype(_U) - _U(int(base) % (1 << 64))) if len(x) else x.astype(_U)
+            size = next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or x.max() <= np.iinfo(d).max)
+            x = x.astype(size)
+            out["base"] = pa.array([int(base)] * len(spans), pa.int64())
+        out[name] = pa.array([x[s:e].tobytes() for _, s, e in spans], pa.binary())
+    return pa.table(out)
 
 
-def _read(table_: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table_.column(name).to_pylist()), dtype)
+def _read(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
 def _parts(docs: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -140,110 +159,123 @@ def _parts(docs: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndar
         yield part, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _collect(found: list[tuple[list[np.ndarray], np.ndarray]], n_keys: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    keys = [np.concatenate([np.zeros(0, _U), *(k[j] for k, _ in found)]) for j in range(n_keys)]
+def _collect(found: list[tuple[list[np.ndarray], np.ndarray]], types: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    keys = [np.concatenate([np.zeros(0, t), *(k[j] for k, _ in found)]) for j, t in enumerate(types)]
     ids = np.concatenate([np.zeros(0, np.int64), *(i for _, i in found)])
     return _by_key(keys, ids, ids)
 
 
+SIGNED = "bucket int, block int, sig binary"
+SHARED = "block int, sig binary"
+NAMED = "bucket int, block int, k0 binary, k1 binary, base long, ids binary"
+LATER = "block int, k0 binary, k1 binary, own0 binary, own1 binary, least binary"
+
+
 def _signed(docs: pa.Table, width: int, buckets: int) -> pa.Table:
-    """The distinct signatures of a block with the smallest and largest document of each."""
+    """The distinct signatures of a block; the lowest bit says that the block has them in several documents."""
     found, block = [], docs.column("block")[0].as_py()
     for part, ids, valid in _parts(docs):
         words = Words(part.column("text"))
         starts = window_starts(words.doc, width)
-        sig = signatures(words.names(), words.doc, starts, width)
+        sig = signatures(words.names(), words.doc, starts, width) >> _U(1)
         use = valid[words.doc[starts]]
         keys, least, most = _by_key([sig[use]], ids[words.doc[starts[use]]], ids[words.doc[starts[use]]])
         found += [(keys, least), (keys, most)]
-    return _packs(block, buckets, *_collect(found, 1))
+    (sig,), least, most = _collect(found, [_U])
+    return _packs(block, buckets, {"sig": (sig << _U(1)) | (least < most).astype(_U)})
 
 
 def _shared(packs: pa.Table) -> pa.Table:
-    """Of a bucket's signatures those in several documents, returned to each block that has them."""
-    key, least, most = _read(packs, "k0", _U), _read(packs, "least", np.int64), _read(packs, "most", np.int64)
-    (keys,), low, high = _by_key([key], least, most)
-    keys = keys[low < high]
-    own = [np.frombuffer(k, _U) for k in packs.column("k0").to_pylist()]
+    """Of a bucket's signatures those of several documents, returned to each block that has them."""
+    sig = _read(packs.column("sig"), _U)
+    keys, times = np.unique(sig >> _U(1), return_counts=True)
+    keys = np.union1d(keys[times > 1], sig[(sig & _U(1)).astype(bool)] >> _U(1))
+    own = [np.frombuffer(k, _U) >> _U(1) for k in packs.column("sig").to_pylist()]
     kept = [k[np.isin(k, keys, assume_unique=True)].tobytes() for k in own]
-    return pa.table({"block": packs.column("block"), "keys": pa.array(kept, pa.binary())})
+    return pa.table({"block": packs.column("block"), "sig": pa.array(kept, pa.binary())})
+
+
+def _names(words: Words, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 95-bit name of each window: 64 bits, and 31 bits of another hash above a free bit."""
+    second = rolling(words.names(1), starts, starts + width, 1)
+    return rolling(words.names(), starts, starts + width), (second >> _U(33)).astype(np.uint32) << np.uint32(1)
 
 
 def _named(docs: pa.Table, shared: pa.Table, width: int, buckets: int) -> pa.Table:
-    """The 128-bit names of a block's windows behind shared signatures, with smallest and largest document."""
-    if not docs.num_rows:
-        return _packs(0, buckets, [np.zeros(0, _U)] * 2, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    known, found = np.sort(_read(shared, "keys", _U)), []
-    for part, ids, valid in _parts(docs) if len(known) else ():
+    """The names of a block's windows behind shared signatures, each with its smallest document.
+
+    The free bit says that the block has the window in several documents.
+    """
+    known, found = np.sort(_read(shared.column("sig"), _U)), []
+    for part, ids, valid in _parts(docs) if docs.num_rows and len(known) else ():
         words = Words(part.column("text"))
         starts = window_starts(words.doc, width)
-        name = words.names()
-        sig = signatures(name, words.doc, starts, width)
-        at = np.searchsorted(known, sig)
-        use = (known[np.minimum(at, len(known) - 1)] == sig) & valid[words.doc[starts]]
-        starts = starts[use]
-        keys = [rolling(name, starts, starts + width), rolling(words.names(1), starts, starts + width, 1)]
-        keys, least, most = _by_key(keys, ids[words.doc[starts]], ids[words.doc[starts]])
+        sig = signatures(words.names(), words.doc, starts, width) >> _U(1)
+        at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
+        starts = starts[(known[at] == sig) & valid[words.doc[starts]]]
+        keys, least, most = _by_key(list(_names(words, starts, width)), ids[words.doc[starts]], ids[words.doc[starts]])
         found += [(keys, least), (keys, most)]
-    return _packs(docs.column("block")[0].as_py(), buckets, *_collect(found, 2))
-
-
-def _earliest(packs: pa.Table) -> pa.Table:
-    """The smallest document of each window of a bucket, returned to each block with a larger one."""
-    a, b, least, most = (_read(packs, n, t) for n, t in (("k0", _U), ("k1", _U), ("least", np.int64), ("most", np.int64)))
-    order = np.lexsort([b, a])
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    low = np.empty(len(order), np.int64)
+    (k0, k1), least, most = _collect(found, [_U, np.uint32])
+    return _packs(docs.column("block")[0].as_py() if docs.num_rows else 0, buckets, {"k0": k0, "k1": k1 | (least < most), "ids": least})
+
+
+def _later(packs: pa.Table) -> pa.Table:
+    """Returned to each block: windows that a smaller document elsewhere has, and those that its own smallest document began."""
+    k0, flagged = _read(packs.column("k0"), _U), _read(packs.column("k1"), np.uint32)
+    sizes = [len(x) // 8 for x in packs.column("k0").to_pylist()]
+    least = np.concatenate([np.zeros(0, np.int64)] + [(np.frombuffer(x, f"u{len(x) // n}").astype(_U) + _U(b % (1 << 64))).astype(np.int64) for x, b, n in zip(packs.column("ids").to_pylist(), packs.column("base").to_pylist(), sizes) if n])
+    k1, several = flagged & ~np.uint32(1), (flagged & 1).astype(bool)
+    order = np.lexsort([k1, k0])
+    first = np.empty(len(order), np.int64)
     if len(order):
-        low[order] = np.repeat(np.minimum.reduceat(least[order], np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(order))))
-    ends = np.cumsum([len(x) // 8 for x in packs.column("k0").to_pylist()])
-    rows = []
-    for s, e in zip([0, *ends[:-1]], ends):
-        use = np.flatnonzero(low[s:e] < most[s:e]) + s
-        rows.append((a[use].tobytes(), b[use].tobytes(), low[use].tobytes()))
-    return pa.table({"block": packs.column("block")} | {n: pa.array([r[j] for r in rows], pa.binary()) for j, n in enumerate(("k0", "k1", "least"))})
+        at = np.flatnonzero(_changes([k0[order], k1[order]]))
+        first[order] = np.repeat(np.minimum.reduceat(least[order], at), np.diff(np.append(at, len(order))))
+    ends, rows = np.cumsum(sizes), []
+    for s, e in zip(ends - sizes, ends):
+        late = np.flatnonzero(first[s:e] < least[s:e]) + s
+        own = np.flatnonzero((first[s:e] == least[s:e]) & several[s:e]) + s
+        rows.append((k0[late].tobytes(), k1[late].tobytes(), k0[own].tobytes(), k1[own].tobytes(), least[own].tobytes()))
+    return pa.table({"block": packs.column("block")} | {n: pa.array([r[j] for r in rows], pa.binary()) for j, n in enumerate(("k0", "k1", "own0", "own1", "least"))})
 
 
 def _cut(docs: pa.Table, known: pa.Table, width: int) -> pa.Table:
     """Each row with its number of words, how many are removed and the words kept."""
-    a, b, low = _read(known, "k0", _U), _read(known, "k1", _U), _read(known, "least", np.int64)
+    lowest = np.iinfo(np.int64).min  # a smaller document is elsewhere: every window here is later
+    own = _read(known.column("least"), np.int64)
+    a = np.concatenate([_read(known.column("k0"), _U), _read(known.column("own0"), _U)])
+    b = np.concatenate([_read(known.column("k1"), np.uint32), _read(known.column("own1"), np.uint32)])
+    low = np.concatenate([np.full(len(a) - len(own), lowest), own])
     order = np.argsort(a, kind="stable")
     a, b, low = a[order], b[order], low[order]
-    most_same = int(np.diff(np.flatnonzero(np.append(np.append(True, a[1:] != a[:-1]), True))).max()) if len(a) else 0
+    most_same = int(np.diff(np.append(np.flatnonzero(_changes([a])), len(a))).max()) if len(a) else 0
     out = []
     for part, ids, valid in _parts(docs) if docs.num_rows else ():
         words = Words(part.column("text"))
         cover = np.zeros(len(words.doc) + 1, np.int32)
         if len(a):
             starts = window_starts(words.doc, width)
-            key = rolling(words.names(), starts, starts + width)
-            at = np.searchsorted(a, key)
-            hit = (a[np.minimum(at, len(a) - 1)] == key) & valid[words.doc[starts]]
-            starts, key, at = starts[hit], key[hit], at[hit]
-            other, least = rolling(words.names(1), starts, starts + width, 1), np.full(len(at), np.iinfo(np.int64).max)
+            k0, k1 = _names(words, starts, width)
+            at = np.searchsorted(a, k0)
+            hit = (a[np.minimum(at, len(a) - 1)] == k0) & valid[words.doc[starts]]
+            starts, k0, k1, at = starts[hit], k0[hit], k1[hit], at[hit]
+            late = np.zeros(len(at), bool)
             for k in range(most_same):  # names that agree in the first 64 bits only
                 i = np.minimum(at + k, len(a) - 1)
-                same = (a[i] == key) & (b[i] == other)
-                least[same] = low[i[same]]
-            late = starts[least < ids[words.doc[starts]]]
-            np.add.at(cover, late, 1)
-            np.add.at(cover, late + width, -1)
+                late |= (a[i] == k0) & (b[i] == k1) & (low[i] < ids[words.doc[starts]])
+            np.add.at(cover, starts[late], 1)
+            np.add.at(cover, starts[late] + width, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        texts, removed = part.column("text").cast(pa.binary()).to_pylist(), np.add.reduceat(np.append(gone, False).astype(np.int64), words.first[:-1]) if len(part) else []
-        removed = np.where(np.diff(words.first) > 0, removed, 0)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        removed = total[words.first[1:]] - total[words.first[:-1]]
         kept = []
-        for i, text in enumerate(texts):
+        for i, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
             mine = (text or b"").split()
             if removed[i]:
-                flags = gone[words.first[i] : words.first[i + 1]]
-                mine = [mine[k] for k in np.flatnonzero(~flags)]
+                mine = [mine[k] for k in np.flatnonzero(~gone[words.first[i] : words.first[i + 1]])]
             kept.append(b" ".join(mine))
-        out.append(
-            pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(np.diff(words.first).astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.binary())})
-        )
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
-    return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
+        columns = (part.column("doc_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()))
+        out.append(pa.Table.from_arrays(list(columns), names=["doc_id", "n_words", "n_removed", "kept"]))
+    return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())]).empty_table()
 
 
 def _digest(kept: pa.Table) -> pa.Table:
@@ -260,11 +292,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = buckets = blocks or 4 * n_partitions(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-    signed = docs.groupBy("block").applyInArrow(lambda t: _signed(t, width, buckets), "bucket int, block int, k0 binary, least binary, most binary")
-    shared = signed.groupBy("bucket").applyInArrow(_shared, "block int, keys binary")
-    named = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda d, s: _named(d, s, width, buckets), "bucket int, block int, k0 binary, k1 binary, least binary, most binary")
-    earliest = named.groupBy("bucket").applyInArrow(_earliest, "block int, k0 binary, k1 binary, least binary")
-    both = docs.groupBy("block").cogroup(earliest.groupBy("block"))
+    signed = docs.groupBy("block").applyInArrow(lambda t: _signed(t, width, buckets), SIGNED)
+    shared = signed.groupBy("bucket").applyInArrow(_shared, SHARED)
+    named = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda d, s: _named(d, s, width, buckets), NAMED)
+    later = named.groupBy("bucket").applyInArrow(_later, LATER)
+    both = docs.groupBy("block").cogroup(later.groupBy("block"))
     if digest:
         return both.applyInArrow(lambda d, k: _digest(_cut(d, k, width)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return both.applyInArrow(lambda d, k: _cut(d, k, width), "doc_id long, n_words long, n_removed long, kept binary").select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
