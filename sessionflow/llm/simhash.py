@@ -49,17 +49,17 @@ def fingerprint(text: bytes | None, width: int, seed: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, fp): the 64-bit SimHash of each text as a signed long."""
+    """Rows (doc_id, text_hash, fp): fp is the 64-bit SimHash of each text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 out = b"".join(fingerprint(t, width, seed) for t in part.column("text").cast(pa.binary()).to_pylist())
                 fp = np.frombuffer(out, ">i8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -132,15 +132,34 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, fp, component_id): component_id is the smallest doc_id of the near-duplicate group."""
+    """Rows (doc_id, text_hash, fp, root, component_id), one per row of ``docs``.
+
+    component_id is the smallest doc_id of the near-duplicate group, root its smallest fingerprint (as a long).
+    """
     fps = materialize(fingerprints(docs, id_col, text_col, width, seed))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = materialize(components(links(distinct.select("fp"), radius)))
     placed = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("rep").alias("component_id")).join(placed, "root").select("fp", "component_id")
+    named = placed.groupBy("root").agg(F.min("rep").alias("component_id")).join(placed, "root").select("fp", "root", "component_id")
     return fps.join(named, "fp")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group one row stays.
+
+    It is the row of the smallest id (null ids last), then of the smallest text
+    hash; of rows equal in both one. The decision is made on (id, hash, group)
+    alone; the texts move once, to meet it.
+    """
+    groups = near_duplicates(docs, id_col, text_col, radius)
+    # A group's name may be null (null ids only), so groups are told apart by their fingerprints' root.
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
+    first = first.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_text_hash"))
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text_hash", F.xxhash64(text_col))
+    same = keyed["_id"].eqNullSafe(first["_id"]) & (keyed["_text_hash"] == first["_text_hash"])
+    return keyed.join(first, same, "left_semi").dropDuplicates(["_id", "_text_hash"]).drop("_id", "_text_hash")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
