@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, mixing, quality, repeats, secrets, simhash
+from . import ann, chat, decontaminate, fixity, lines, mixing, quality, repeats, secrets, simhash
 
-_MODULES = (lines, mixing, simhash, decontaminate, secrets, quality, repeats)
+_MODULES = (lines, mixing, simhash, decontaminate, secrets, chat, ann, fixity, quality, repeats)
 
 
 def queries() -> dict:
