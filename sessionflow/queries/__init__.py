@@ -7,9 +7,9 @@ studies look at is 12:00 to 18:00 New York time.
 
 from __future__ import annotations
 
-from . import flow
+from . import extremes, flow
 
-_MODULES = (flow,)
+_MODULES = (flow, extremes)
 
 
 def queries() -> dict:

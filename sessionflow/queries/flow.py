@@ -123,12 +123,12 @@ w AS (SELECT trade_date_et, CASE WHEN i < 12 THEN 'first' ELSE 'last' END AS can
   sum(classified_size)::BIGINT AS full_cs, sum(classified_size) FILTER (WHERE i % 12 < 2)::BIGINT AS early_cs, {cells} FROM (SELECT *, i % 12 AS rel FROM d) GROUP BY 1, 2),
 x AS (SELECT *, {steps} AS steps, {runs} AS runs, {', '.join(f'{e} AS {k}_vd' for k, e in total.items())} FROM w),
 y AS (SELECT *, bucket_count = 12 AS is_complete, b0 AS b0_volume_delta, CASE WHEN coalesce(b0, b1, b2, b3, b4, b5) IS NOT NULL THEN runs[6] END AS cum_00_29_volume_delta, full_vd AS full_volume_delta, full_vd / nullif(full_cs, 0)::DOUBLE AS full_delta_imbalance,
-  coalesce(sign(early_10s_vd), 0)::INT AS early_10s_sign, list_sum(steps)::BIGINT AS sum_abs_bucket_delta, list_max(steps) AS max_abs_bucket_delta, list_transform(runs, r -> abs(r)) AS peaks, early_10s_vd / nullif(early_cs, 0)::DOUBLE AS early_imb, abs(early_10s_vd) AS early_abs FROM x),
+  coalesce(sign(early_10s_vd), 0)::INT AS early_10s_sign, list_sum(steps)::BIGINT AS sum_abs_bucket_delta, list_max(steps) AS max_abs_bucket_delta, list_transform(runs, lambda r: abs(r)) AS peaks, early_10s_vd / nullif(early_cs, 0)::DOUBLE AS early_imb, abs(early_10s_vd) AS early_abs FROM x),
 z AS (SELECT *, list_max(peaks) AS peak_abs_cum_delta, full_vd / nullif(sum_abs_bucket_delta, 0)::DOUBLE AS path_efficiency, early_abs / nullif(sum_abs_bucket_delta, 0)::DOUBLE AS early_10s_abs_flow_share, (list_position(steps, max_abs_bucket_delta) - 1)::INT AS max_abs_bucket_index,
-  (list_position(peaks, list_max(peaks)) - 1)::INT AS peak_abs_cum_bucket_index, CASE WHEN early_10s_sign <> 0 THEN list_max(list_transform(runs, r -> r * early_10s_sign)) END AS max_favorable_cum_delta, CASE WHEN early_10s_sign <> 0 THEN list_min(list_transform(runs, r -> r * early_10s_sign)) END AS max_adverse_cum_delta,
-  list_filter(list_transform(runs, r -> sign(r)::INT), s -> s <> 0) AS signs, {flags},
+  (list_position(peaks, list_max(peaks)) - 1)::INT AS peak_abs_cum_bucket_index, CASE WHEN early_10s_sign <> 0 THEN list_max(list_transform(runs, lambda r: r * early_10s_sign)) END AS max_favorable_cum_delta, CASE WHEN early_10s_sign <> 0 THEN list_min(list_transform(runs, lambda r: r * early_10s_sign)) END AS max_adverse_cum_delta,
+  list_filter(list_transform(runs, lambda r: sign(r)::INT), lambda s: s <> 0) AS signs, {flags},
   {dec('early_10s_vd')} AS early_10s_raw_decile, {dec('early_imb')} AS early_10s_imbalance_decile, {dec('early_abs')} AS early_10s_abs_decile FROM y WINDOW p AS (PARTITION BY candle)),
-final AS (SELECT *, coalesce(len(list_filter(range(1, len(signs)), k -> signs[k] <> signs[k + 1])), 0)::INT AS cum_sign_flip_count,
+final AS (SELECT *, coalesce(len(list_filter(range(1, len(signs)), lambda k: signs[k] <> signs[k + 1])), 0)::INT AS cum_sign_flip_count,
   CASE WHEN early_10s_sign = 0 THEN 'neutral' WHEN early_10s_sign < 0 THEN CASE WHEN early_10s_raw_decile <= 2 THEN 'strong_negative' ELSE 'weak_negative' END WHEN early_10s_raw_decile >= 9 THEN 'strong_positive' ELSE 'weak_positive' END AS early_10s_category,
   CASE WHEN early_10s_abs_decile >= 9 THEN 'high_abs_conviction' WHEN early_10s_abs_decile >= 4 THEN 'mid_abs_conviction' WHEN early_10s_abs_decile >= 1 THEN 'low_abs_conviction' END AS early_10s_abs_category FROM z)"""
     doubles = ["full_delta_imbalance", "path_efficiency", "early_10s_abs_flow_share"]
