@@ -23,6 +23,7 @@ keeps all words; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, n_partitions, rolling, slices, table
+from .common import Words, mix, rolling, slices, table
 
 WIDTH = 13
 #: Symbols of a signature's phrase, symbols that a window must determine to use a level, words of a phrase below all levels.
 PHRASE, CHOICE, WORDS = 3, 5, 6
+#: Characters of text behind the signatures of one row of an exchange.
+BLOB_CHARS = 2400
 _LEFT, _PAIR, _RUN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _U = np.uint64
 
@@ -287,10 +290,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows (doc_id, n_words, n_removed, text); with ``digest`` the hex SHA-256 of
     the text as ``kept_sha256`` instead. ``blocks`` is the number of document
-    groups; by default four per shuffle partition, so it is set with the cluster.
+    groups and of key buckets. An exchange has up to ``blocks`` squared rows, so
+    by default it grows with the root of the text: a row holds a hundred
+    signatures or so at any size.
     """
-    blocks = buckets = blocks or 4 * n_partitions(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if blocks is None:
+        chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        blocks = max(1, math.ceil(math.sqrt(chars / BLOB_CHARS)))
+    buckets = blocks
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
     signed = docs.groupBy("block").applyInArrow(lambda t: _signed(t, width, buckets), SIGNED)
     shared = signed.groupBy("bucket").applyInArrow(_shared, SHARED)
