@@ -7,9 +7,9 @@ studies look at is 12:00 to 18:00 New York time.
 
 from __future__ import annotations
 
-from . import extremes, flow
+from . import extremes, flow, vwap
 
-_MODULES = (flow, extremes)
+_MODULES = (flow, extremes, vwap)
 
 
 def queries() -> dict:
