@@ -74,15 +74,23 @@ def decile(df: DataFrame, by: Sequence[str], value: str, out: str, ties: Sequenc
     return df.withColumn(out, F.when(fine, F.least(bucket, F.lit(k)))).drop("_dense")
 
 
-def rank_quantile(df: DataFrame, by: Sequence[str], value: str, out: str, ties: Sequence[str] = (), k: int = 5) -> DataFrame:
-    """``out``: label ``q1_lowest`` ... ``qK_highest`` with K the least of k, the count and the number of different values; ``all`` if K is 1."""
+def rank_quantile(df: DataFrame, by: Sequence[str], value: str, out: str, ties: Sequence[str] = (), k: int = 5, plain: bool = False) -> DataFrame:
+    """``out``: label of a value's part of K by ordinal rank, K the least of k, the count and the number of different values.
+
+    Labels are ``q1_lowest``, ``q2``, ..., ``qK_highest``; with ``plain`` they
+    are ``q1`` to ``qK``, and ``all`` for a single value.
+    """
     here = col(value).isNotNull()
     part = Window.partitionBy(*by, here)
     df = df.withColumn("_rank", F.row_number().over(part.orderBy(value, *ties))).withColumn("_dense", F.dense_rank().over(part.orderBy(value)))
     n, distinct = F.count("*").over(part), F.max("_dense").over(part)
     df = df.withColumn("_n", n).withColumn("_k", F.least(F.lit(k).cast("long"), n, distinct.cast("long")))
     bucket = F.least(F.floor((F.col("_rank") - 1) * F.col("_k") / F.col("_n")) + 1, F.col("_k")).cast("int")
-    label = F.when(F.col("_k") == 1, "all").when(bucket == 1, "q1_lowest").when(bucket == F.col("_k"), F.concat(F.lit("q"), bucket.cast("string"), F.lit("_highest"))).otherwise(F.concat(F.lit("q"), bucket.cast("string")))
+    name = F.concat(F.lit("q"), bucket.cast("string"))
+    if plain:
+        label = F.when(F.col("_k") == 1, "all").otherwise(name)
+    else:
+        label = F.when(bucket == 1, "q1_lowest").when(bucket == F.col("_k"), F.concat(name, F.lit("_highest"))).otherwise(name)
     return df.withColumn(out, F.when(here, label)).drop("_rank", "_dense", "_n", "_k")
 
 
