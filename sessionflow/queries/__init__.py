@@ -7,9 +7,9 @@ studies look at is 12:00 to 18:00 New York time.
 
 from __future__ import annotations
 
-from . import extremes, flow, gaps, vwap
+from . import cohort, extremes, flow, gaps, vwap
 
-_MODULES = (flow, extremes, vwap, gaps)
+_MODULES = (flow, extremes, vwap, gaps, cohort)
 
 
 def queries() -> dict:
