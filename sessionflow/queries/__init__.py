@@ -7,9 +7,9 @@ studies look at is 12:00 to 18:00 New York time.
 
 from __future__ import annotations
 
-from . import cohort, extremes, flow, gaps, vwap
+from . import cohort, extremes, flow, gaps, regime, vwap
 
-_MODULES = (flow, extremes, vwap, gaps, cohort)
+_MODULES = (flow, extremes, vwap, gaps, cohort, regime)
 
 
 def queries() -> dict:
