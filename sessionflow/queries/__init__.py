@@ -7,9 +7,9 @@ studies look at is 12:00 to 18:00 New York time.
 
 from __future__ import annotations
 
-from . import cohort, extremes, flow, forecast, gaps, regime, vwap
+from . import cohort, extremes, flow, forecast, gaps, patterns, regime, vwap
 
-_MODULES = (flow, extremes, vwap, gaps, cohort, regime, forecast)
+_MODULES = (flow, extremes, vwap, gaps, cohort, regime, forecast, patterns)
 
 
 def queries() -> dict:
