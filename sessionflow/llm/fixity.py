@@ -30,17 +30,20 @@ def record(url: Column, html: Column) -> Column:
     return F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
 
 
-def archive(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """Rows (file_no, record_offset, page_id, record): pages laid out in files in the order of page_id."""
+def digests(pages: DataFrame, *more: Column, file_records: int = FILE_RECORDS) -> DataFrame:
+    """Rows (file_no, page_id, length, digest, *more) of the pages' records; ``more`` may use the column ``record``.
+
+    Records are hashed where they are read; only digests move from here on.
+    """
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), record(F.col("url"), F.col("html")).alias("record"))
     number = F.coalesce(F.floor(F.col("page_id") / file_records), F.pmod(F.xxhash64("record"), F.lit(file_records))).cast("long")
-    before = Window.partitionBy("file_no").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return kept.withColumn("file_no", number).withColumn("record_offset", F.coalesce(F.sum(F.octet_length("record")).over(before), F.lit(0)).cast("long")).select("file_no", "record_offset", "page_id", "record")
+    return kept.select(number.alias("file_no"), "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *more)
 
 
-def digests(records: DataFrame) -> DataFrame:
-    """Rows (file_no, record_offset, length, digest)."""
-    return records.select("file_no", "record_offset", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+def placed(digested: DataFrame) -> DataFrame:
+    """``digested`` with record_offset: its records laid out in each file in the order of page_id, then digest."""
+    before = Window.partitionBy("file_no").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return digested.withColumn("record_offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
 def _node(order: str) -> Column:
@@ -49,69 +52,66 @@ def _node(order: str) -> Column:
     return F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["at"].cast("string"), c["d"])), ","), 256)
 
 
-def trees(records: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels, leaves first, of the trees of all replicas in ``records`` (replica, file_no, record_offset, digest).
+def _up(level: DataFrame, fanout: int) -> DataFrame:
+    up = level.select("replica", "file_no", F.floor(F.col("node") / fanout).cast("long").alias("up"), "node", "digest")
+    return materialize(up.groupBy("replica", "file_no", F.col("up").alias("node")).agg(_node("node").alias("digest")))
+
+
+def trees(records: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Levels, leaves first, of the trees within files and of the tree over files, for all replicas in ``records``.
 
-    Rows of a level: replica, file_no, node, digest. The last level has a node per file group up to one root.
+    Rows of a level: replica, file_no (zero over files), node, digest. Over
+    files the first level's nodes are the file numbers, folded to be positive.
     """
     at = F.floor(F.col("record_offset") / range_bytes).cast("long").alias("node")
-    cur = records.select("replica", "file_no", at, "record_offset", "digest").groupBy("replica", "file_no", "node").agg(_node("record_offset").alias("digest"))
-    levels = [materialize(cur)]
-    while (levels[-1].agg(F.max("node").alias("m")).first()["m"] or 0) > 0:  # within files
-        up = levels[-1].select("replica", "file_no", F.floor(F.col("node") / fanout).cast("long").alias("up"), "node", "digest")
-        levels.append(materialize(up.groupBy("replica", "file_no", F.col("up").alias("node")).agg(_node("node").alias("digest"))))
-    # Then over files: the file number takes the place of the node.
-    top = levels[-1].select("replica", F.lit(-1).cast("long").alias("file_no"), F.col("file_no").alias("node"), "digest")
-    levels.append(top)
-    while (row := levels[-1].agg(F.min("node").alias("a"), F.max("node").alias("b")).first())["a"] != row["b"]:
-        up = levels[-1].select("replica", "file_no", F.floor(F.col("node") / fanout).cast("long").alias("up"), "node", "digest")
-        levels.append(materialize(up.groupBy("replica", "file_no", F.col("up").alias("node")).agg(_node("node").alias("digest"))))
-        if row["a"] < 0 and row["b"] >= 0 and levels[-1].agg(F.min("node").alias("a"), F.max("node").alias("b")).first() == (-1, 0):
-            break  # numbers of both signs never meet: two roots
-    return levels
+    leaves = records.select("replica", "file_no", at, "record_offset", "digest").groupBy("replica", "file_no", "node").agg(_node("record_offset").alias("digest"))
+    files = [materialize(leaves)]
+    while (files[-1].agg(F.max("node").alias("m")).first()["m"] or 0) > 0:
+        files.append(_up(files[-1], fanout))
+    n = F.col("file_no")
+    over = [files[-1].select("replica", F.lit(0).cast("long").alias("file_no"), F.when(n >= 0, n * 2).otherwise(n * -2 - 1).alias("node"), "digest")]
+    while (over[-1].agg(F.max("node").alias("m")).first()["m"] or 0) > 0:
+        over.append(_up(over[-1], fanout))
+    return files, over
 
 
 def _differing(level: DataFrame, inside: DataFrame | None) -> DataFrame:
-    """(file_no, node) whose digests differ between replicas a and b, only below the parents ``inside``."""
+    """(file_no, node) whose digests differ between replicas a and b, only below the parents ``inside`` (file_no, up)."""
     if inside is not None:
         level = level.join(inside, ["file_no", "up"], "left_semi")
-    same = F.count("*") == 2
-    return level.groupBy("file_no", "node").agg(same.alias("both"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("not both or low <> high").select("file_no", "node")
+    found = level.groupBy("file_no", "node").agg((F.count("*") == 2).alias("both"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    return found.where("not both or low <> high").select("file_no", "node")
 
 
 def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """Rows (file_no, record_offset, length, state, expected, found) of records that differ between two replicas.
 
-    ``state`` is ``changed``, ``missing`` (only in ours) or ``extra``; the inputs are rows of ``digests``.
+    ``state`` is ``changed``, ``missing`` (only in ours) or ``extra``; the inputs have file_no, record_offset, length, digest.
     """
-    both = materialize(ours.withColumn("replica", F.lit("a")).union(theirs.withColumn("replica", F.lit("b"))))
-    levels = trees(both, range_bytes, fanout)
+    columns = ("file_no", "record_offset", "length", "digest")
+    both = materialize(ours.select(*columns).withColumn("replica", F.lit("a")).union(theirs.select(*columns).withColumn("replica", F.lit("b"))))
+    files, over = trees(both, range_bytes, fanout)
+    up = F.floor(F.col("node") / fanout).cast("long")
     inside = None
-    for depth in range(len(levels) - 1, -1, -1):
-        level = levels[depth].withColumn("up", F.floor(F.col("node") / fanout).cast("long"))
-        bad = _differing(level, inside)
-        over_files = depth and bool(levels[depth].where("file_no = -1").limit(1).count())
-        below_files = depth and bool(levels[depth - 1].where("file_no = -1").limit(1).count())
-        if over_files and not below_files:  # from a file's number to the top of its own tree
-            inside = bad.select(F.col("node").alias("file_no"), F.lit(0).cast("long").alias("up"))
-        else:
-            inside = bad.select("file_no", F.col("node").alias("up"))
-        inside = materialize(inside)
-    ranges = inside.withColumnRenamed("up", "node")
-    suspects = both.withColumn("node", F.floor(F.col("record_offset") / range_bytes).cast("long")).join(ranges, ["file_no", "node"], "left_semi")
-    a = suspects.where("replica = 'a'").select("file_no", "record_offset", F.col("length").alias("length_a"), F.col("digest").alias("expected"))
-    b = suspects.where("replica = 'b'").select("file_no", "record_offset", F.col("length").alias("length_b"), F.col("digest").alias("found"))
+    for level in reversed(over):
+        inside = materialize(_differing(level.withColumn("up", up), inside).select("file_no", F.col("node").alias("up")))
+    n = F.col("up")  # the differing file numbers, unfolded
+    inside = inside.select(F.when(n % 2 == 0, F.floor(n / 2)).otherwise(-F.floor((n + 1) / 2)).cast("long").alias("file_no"), F.lit(0).cast("long").alias("up"))
+    for level in reversed(files):
+        inside = materialize(_differing(level.withColumn("up", up), inside).select("file_no", F.col("node").alias("up")))
+    suspects = both.withColumn("up", F.floor(F.col("record_offset") / range_bytes).cast("long")).join(inside, ["file_no", "up"], "left_semi")
+    side = lambda r, names: suspects.where(F.col("replica") == r).select("file_no", "record_offset", *(F.col(c).alias(n) for c, n in names.items()))
+    compared = side("a", {"length": "length_a", "digest": "expected"}).join(side("b", {"length": "length_b", "digest": "found"}), ["file_no", "record_offset"], "full").where(~F.col("expected").eqNullSafe(F.col("found")))
     state = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("changed")
-    compared = a.join(b, ["file_no", "record_offset"], "full").where(~F.col("expected").eqNullSafe(F.col("found")))
     return compared.select("file_no", "record_offset", F.coalesce("length_a", "length_b").alias("length"), state.alias("state"), "expected", "found")
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit a replica of all pages in which some records were altered and some lost."""
-    records = archive(table(spark, sf_dir, "pages"))
     altered = F.when(F.col("page_id") % 97 == 5, F.translate("record", "e", "3")).otherwise(F.col("record"))
-    replica = records.where(F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))).withColumn("record", altered)
-    return audit(digests(records), digests(replica))
+    records = materialize(placed(digests(table(spark, sf_dir, "pages"), F.sha2(altered, 256).alias("other"))))
+    replica = records.where(F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))).select("file_no", "record_offset", "length", F.col("other").alias("digest"))
+    return audit(records, replica)
 
 
 def _sql() -> str:
@@ -122,7 +122,7 @@ WITH records AS (
   FROM pages
 ), placed AS (
   SELECT page_id, page_id // {FILE_RECORDS} AS file_no, record, strlen(record)::BIGINT AS length,
-    coalesce(sum(strlen(record)) OVER (PARTITION BY page_id // {FILE_RECORDS} ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset
+    coalesce(sum(strlen(record)) OVER (PARTITION BY page_id // {FILE_RECORDS} ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset
   FROM records
 ), compared AS (
   SELECT *, CASE WHEN page_id % 211 = 7 THEN NULL WHEN page_id % 97 = 5 THEN replace(record, 'e', '3') ELSE record END AS other FROM placed
