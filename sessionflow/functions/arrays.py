@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL = F.lit(None).cast("double")
+
+def null() -> Column:
+    return F.lit(None).cast("double")
+
 
 
 def at(a: Column, i: Column | int) -> Column:
@@ -88,7 +91,8 @@ def flips(a: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """``x`` held between two bounds; null stays null (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def smooth(a: Column, period: int, kind: str) -> Column:
@@ -105,7 +109,7 @@ def smooth(a: Column, period: int, kind: str) -> Column:
     alpha = 2.0 / (period + 1)
     steps = {"sum": lambda s, x: s - s / period + x, "ema": lambda s, x: x * alpha * period + s * (1 - alpha), "mean": lambda s, x: s * (1 - 1 / period) + x / period}
     run = F.aggregate(part(body, period, F.size(body) - period), F.array(seed), lambda out, x: F.array_append(out, steps[kind](F.element_at(out, -1), x)))
-    return F.when(F.size(body) >= period, F.concat(F.array_repeat(NULL, lead + period - 1), run)).otherwise(F.array_repeat(NULL, F.size(a)))
+    return F.when(F.size(body) >= period, F.concat(F.array_repeat(null(), lead + period - 1), run)).otherwise(F.array_repeat(null(), F.size(a)))
 
 
 def slope(x: Column, y: Column) -> Column:

@@ -68,8 +68,8 @@ def _level(up: bool) -> str:
 
 
 def tick_swing_patterns(df: DataFrame, by: Sequence[str], up: bool) -> DataFrame:
-    s = df.select(*by, F.explode("highs" if up else "lows").alias("s")).where("s.is_tick_swing")
-    return s.select(*by, *_pattern(_level(up), "TICK_SWING", up, F.col("s.index"), F.col("s.index") + 1, F.col("s.price"), F.col("s.price")))
+    s = df.select(*by, F.explode("highs" if up else "lows").alias("_s")).where("_s.is_tick_swing")
+    return s.select(*by, *_pattern(_level(up), "TICK_SWING", up, F.col("_s.index"), F.col("_s.index") + 1, F.col("_s.price"), F.col("_s.price")))
 
 
 def tick_equal_patterns(df: DataFrame, by: Sequence[str], up: bool) -> DataFrame:
@@ -83,26 +83,30 @@ def tick_equal_patterns(df: DataFrame, by: Sequence[str], up: bool) -> DataFrame
     through = F.transform(indexes, lambda i: F.array_position(F.transform(A.part(a, i + 1, F.size(a) - i - 1), lambda x: x > A.at(a, i)), F.lit(True)))
     regular = F.transform(F.filter(s, lambda p: ~p["is_tick_swing"]), lambda p: p["index"])
     tick = F.transform(F.filter(s, lambda p: p["is_tick_swing"]), lambda p: p["index"])
-    bars = df.where("n > 0").select(*by, F.posexplode(F.arrays_zip(F.col(c).alias("price"), through.alias("through"))).alias("i", "b"), regular.alias("r"), tick.alias("k"))
-    bars = bars.select(*by, "i", F.col("b.price").alias("price"), F.when(F.col("b.through") > 0, F.col("i") + F.col("b.through")).alias("end"), F.array_contains("r", F.col("i")).alias("swing"), F.array_contains("k", F.col("i")).alias("tick"))
-    later = bars.select(*by, "price", F.col("i").alias("j"), F.col("swing").alias("swing2"))
-    # a bar that trades through can't be of the price itself, so j is before it
-    pairs = bars.join(later, [*by, "price"]).where((F.col("j") > F.col("i")) & (F.col("end").isNull() | (F.col("j") < F.col("end"))))
-    pairs = pairs.where(~(F.col("tick") & (F.col("j") == F.col("i") + 1)))
-    strength = F.when(F.col("swing") & F.col("swing2"), "SWING_TICK_EQUAL").otherwise("TICK_EQUAL")
-    return pairs.select(*by, *_pattern(_level(up), strength, up, F.col("i"), F.col("j"), F.col("price"), F.col("price")))
+    bars = df.where("n > 0").select(*by, F.posexplode(F.arrays_zip(F.col(c).alias("price"), through.alias("through"))).alias("_i", "_b"), regular.alias("_r"), tick.alias("_k"))
+    bars = bars.select(
+        *by, "_i", F.col("_b.price").alias("_price"), F.when(F.col("_b.through") > 0, F.col("_i") + F.col("_b.through")).alias("_end"),
+        F.array_contains("_r", F.col("_i")).alias("_swing"), F.array_contains("_k", F.col("_i")).alias("_tick"),
+    )
+    later = bars.select(*by, "_price", F.col("_i").alias("_j"), F.col("_swing").alias("_swing2"))
+    # a bar that trades through can't be of the price itself, so the second bar is before it
+    pairs = bars.join(later, [*by, "_price"]).where((F.col("_j") > F.col("_i")) & (F.col("_end").isNull() | (F.col("_j") < F.col("_end"))))
+    pairs = pairs.where(~(F.col("_tick") & (F.col("_j") == F.col("_i") + 1)))
+    strength = F.when(F.col("_swing") & F.col("_swing2"), "SWING_TICK_EQUAL").otherwise("TICK_EQUAL")
+    return pairs.select(*by, *_pattern(_level(up), strength, up, F.col("_i"), F.col("_j"), F.col("_price"), F.col("_price")))
 
 
 def relative_equal_patterns(df: DataFrame, by: Sequence[str], up: bool, tolerance: float = 0.001) -> DataFrame:
     """Pairs of regular swings within the tolerance, the older one further out, with no bar between beyond it."""
     c, s = ("h", "highs") if up else ("l", "lows")
     sign = 1 if up else -1
-    pts = df.select(*by, F.col(c).alias("a"), F.explode(F.filter(s, lambda p: ~p["is_tick_swing"])).alias("p"), F.filter(s, lambda p: ~p["is_tick_swing"]).alias("all"))
-    pts = pts.withColumn("q", F.explode("all")).where("q.index > p.index")
-    p, q = F.col("p.price"), F.col("q.price")
+    regular = F.filter(s, lambda p: ~p["is_tick_swing"])
+    pts = df.select(*by, F.col(c).alias("_a"), F.explode(regular).alias("_p"), regular.alias("_all"))
+    pts = pts.withColumn("_q", F.explode("_all")).where("_q.index > _p.index")
+    p, q, i, j = F.col("_p.price"), F.col("_q.price"), F.col("_p.index"), F.col("_q.index")
     near = (p != q) & (F.abs(p - q) / ((p + q) / 2) <= tolerance) & (p * sign >= q * sign)
-    clear = F.forall(A.part(F.col("a"), F.col("p.index") + 1, F.col("q.index") - F.col("p.index") - 1), lambda x: x * sign <= p * sign)
-    return pts.where(near & clear).select(*by, *_pattern(_level(up), "OLDER_HIGHER", up, F.col("p.index"), F.col("q.index"), p, q))
+    clear = F.forall(A.part(F.col("_a"), i + 1, j - i - 1), lambda x: x * sign <= p * sign)
+    return pts.where(near & clear).select(*by, *_pattern(_level(up), "OLDER_HIGHER", up, i, j, p, q))
 
 
 def trendline_valid(points: Column, extreme: Column, close: Column, up: bool, tolerance: float = 0.0005, variance: float = 0.2, deviations: float = 3.0) -> Column:
@@ -127,14 +131,17 @@ def trendline_patterns(df: DataFrame, by: Sequence[str], up: bool, least: int =
     c, s = ("h", "highs") if up else ("l", "lows")
     m = F.size(s)
     spans = F.flatten(F.transform(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda k: F.when(m >= k, F.transform(F.sequence(F.lit(0), F.greatest(m - k, F.lit(0))), lambda i: F.struct(i.alias("i"), k.alias("k")))).otherwise(F.array().cast("array<struct<i:int,k:int>>"))))
-    df = df.select(*by, F.col(s).alias("s"), F.col(c).alias("a"), "c", spans.alias("spans"))
-    good = F.filter("spans", lambda x: trendline_valid(A.part(F.col("s"), x["i"], x["k"]), F.col("a"), F.col("c"), up, tolerance, variance, deviations))
+    df = df.select(*by, F.col(s).alias("_s"), F.col(c).alias("_a"), F.col("c").alias("_c"), spans.alias("_spans"))
+    good = F.filter("_spans", lambda x: trendline_valid(A.part(F.col("_s"), x["i"], x["k"]), F.col("_a"), F.col("_c"), up, tolerance, variance, deviations))
     empty = F.array().cast("array<struct<i:int,k:int>>")
     free = lambda taken, x: ~F.exists(taken, lambda t: (x["i"] < t["i"] + t["k"]) & (t["i"] < x["i"] + x["k"]))
-    chosen = F.aggregate("good", empty, lambda taken, x: F.when(free(taken, x), F.array_append(taken, x)).otherwise(taken))
-    lines = df.withColumn("good", good).select(*by, "s", F.explode(chosen).alias("x")).select(*by, A.at(F.col("s"), F.col("x.i")).alias("p"), A.at(F.col("s"), F.col("x.i") + F.col("x.k") - 1).alias("q"), F.col("x.k").alias("k"))
-    slope = (F.col("q.price") - F.col("p.price")) / (F.col("q.index") - F.col("p.index"))
-    return lines.select(*by, *_pattern("TRENDLINE", None, up, F.col("p.index"), F.col("q.index"), F.col("p.price"), F.col("q.price"), slope, F.col("k")))
+    chosen = F.aggregate("_good", empty, lambda taken, x: F.when(free(taken, x), F.array_append(taken, x)).otherwise(taken))
+    lines = df.withColumn("_good", good).select(*by, "_s", F.explode(chosen).alias("_x"))
+    first, size = F.col("_x.i"), F.col("_x.k")
+    lines = lines.select(*by, A.at(F.col("_s"), first).alias("_p"), A.at(F.col("_s"), first + size - 1).alias("_q"), size.alias("_n"))
+    p, q = F.col("_p"), F.col("_q")
+    slope = (q["price"] - p["price"]) / (q["index"] - p["index"])
+    return lines.select(*by, *_pattern("TRENDLINE", None, up, p["index"], q["index"], p["price"], q["price"], slope, F.col("_n")))
 
 
 def detect(df: DataFrame, by: Sequence[str], lookback: int = 3, equal_tolerance: float = 0.001, **trendline) -> DataFrame:

@@ -46,7 +46,7 @@ def coarser(df: DataFrame, k: int) -> DataFrame:
 
 def true_range() -> Column:
     h, l, c = F.col("h"), F.col("l"), F.col("c")
-    before = F.concat(F.array(A.NULL), A.part(c, 0, F.size(c) - 1))
+    before = F.concat(F.array(A.null()), A.part(c, 0, F.size(c) - 1))
     return F.zip_with(F.arrays_zip(h, l), before, lambda b, p: F.greatest(b["h"] - b["l"], F.abs(b["h"] - p), F.abs(b["l"] - p)))
 
 
@@ -251,7 +251,7 @@ def with_slope_score(df: DataFrame, k: int = 4, lookback: int = 3, amplitude: fl
     spread, size_ = A.std(subs), A.mean(F.transform(subs, lambda s: F.abs(s)))
     aligned = F.when(F.abs(main) > 1e-6, F.exp(-spread / (F.abs(main) * k**0.5))).when(size_ > 1e-6, 1 / (1 + spread / size_)).otherwise(1.0)
     df = df.withColumn("directional_consistency", consistent).withColumn("slope_alignment", F.when(fine, F.greatest(F.lit(0.1), aligned)))
-    df = df.withColumn("extrema_coherence", F.greatest(F.lit(0.2), F.col("extrema_coherence_raw"))).withColumn("magnitude_score", F.tanh(F.abs(main) * 5))
+    df = df.withColumn("extrema_coherence", F.when(fine, F.greatest(F.lit(0.2), F.col("extrema_coherence_raw")))).withColumn("magnitude_score", F.tanh(F.abs(main) * 5))
     score = 0.35 * F.col("directional_consistency") + 0.20 * F.col("slope_alignment") + 0.20 * F.col("extrema_coherence") + 0.25 * F.col("magnitude_score")
     df = df.withColumn("slope_score", F.when(fine, F.round(score, 4)))
     s = F.col("slope_score")
@@ -274,7 +274,7 @@ def with_variance_ratio(df: DataFrame, lag: int = 4, tolerance: float = 0.05) ->
     value = F.when(F.abs(one) <= 1e-8 + 0.0, 1.0).otherwise(F.greatest(many / (lag * one), F.lit(0.0)))
     df = df.withColumn("variance_ratio", F.when(F.size("_r") > lag, value)).drop("_r")
     v = F.col("variance_ratio")
-    return df.withColumn("log_variance_ratio", F.log(F.greatest(v, F.lit(EPS)))).withColumn("variance_class", F.when(v > 1 + tolerance, "persistent").when(v < 1 - tolerance, "mean_reverting").when(v.isNotNull(), "neutral"))
+    return df.withColumn("log_variance_ratio", F.when(v.isNotNull(), F.log(F.greatest(v, F.lit(EPS))))).withColumn("variance_class", F.when(v > 1 + tolerance, "persistent").when(v < 1 - tolerance, "mean_reverting").when(v.isNotNull(), "neutral"))
 
 
 def with_autocorrelation(df: DataFrame, lags: Sequence[int] = (1, 2, 5)) -> DataFrame:

@@ -55,7 +55,7 @@ final AS (SELECT *, least(greatest(0.35 * target_strength + 0.25 * target_consis
 _acf = lambda k: f"CASE WHEN m >= 10 AND m - {k} >= 5 AND list_sum(list_transform(x, lambda y: y * y)) <> 0 THEN list_sum(list_transform(range({k + 1}, m + 1), lambda i: x[i] * x[i - {k}])) / list_sum(list_transform(x, lambda y: y * y)) END"
 _PATH = rounded_sql(
     f"""WITH {_DAY}, v AS (SELECT *, c[n] - c[1] AS net_change, path AS path_length, CASE WHEN path = 0 THEN 0 ELSE least(greatest(abs(c[n] - c[1]) / path, 0), 1) END AS efficiency_ratio, list_var_samp(r) AS v1, list_var_samp(list_transform(range(1, m - 2), lambda i: r[i] + r[i + 1] + r[i + 2] + r[i + 3])) AS v4, {_acf(1)} AS acf_1, {_acf(2)} AS acf_2 FROM s3),
-v1 AS (SELECT *, CASE WHEN m > 4 THEN CASE WHEN abs(v1) <= 1e-8 THEN 1 ELSE greatest(v4 / (4 * v1), 0) END END AS variance_ratio FROM v), final AS (SELECT *, ln(greatest(variance_ratio, 1e-12)) AS log_variance_ratio, CASE WHEN variance_ratio > 1.05 THEN 'persistent' WHEN variance_ratio < 0.95 THEN 'mean_reverting' WHEN variance_ratio IS NOT NULL THEN 'neutral' END AS variance_class,
+v1 AS (SELECT *, CASE WHEN m > 4 THEN CASE WHEN abs(v1) <= 1e-8 THEN 1 ELSE greatest(v4 / (4 * v1), 0) END END AS variance_ratio FROM v), final AS (SELECT *, CASE WHEN variance_ratio IS NOT NULL THEN ln(greatest(variance_ratio, 1e-12)) END AS log_variance_ratio, CASE WHEN variance_ratio > 1.05 THEN 'persistent' WHEN variance_ratio < 0.95 THEN 'mean_reverting' WHEN variance_ratio IS NOT NULL THEN 'neutral' END AS variance_class,
   CASE WHEN net_change > 0 THEN 'UP' WHEN net_change < 0 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction FROM v1)""",
     PATH, ["date", "direction", "variance_class"],
 )
