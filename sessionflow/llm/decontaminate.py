@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -154,20 +155,15 @@ def _terms(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "words array<binary>, n long")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per (doc_id, item_id) retrieved and verified, with the best passage.
-
-    Rows: doc_id, item_id, score, passage_start (word), question_overlap, answer_overlap.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _indexes(spark: SparkSession, items: DataFrame, threshold: float, shard_bytes: int) -> list:
+    """Broadcast indexes of the items' shards; frequencies and lengths are those of all items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     counted = _terms(items)
     stats = counted.where("n > 0").agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
     frequency = counted.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     shards = max(1, math.ceil(size / shard_bytes))
-    parts = []
+    out = []
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
         own = _terms(rows).select(F.explode("words").alias("w")).distinct()
@@ -176,35 +172,60 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             {bytes(r["w"]): r["df"] for r in frequency.join(own, "w").collect()},
             stats["n"], stats["mean"] or 1.0, threshold,
         )
-        parts.append(_search(docs, spark.sparkContext.broadcast(index), overlap))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+        out.append(spark.sparkContext.broadcast(index))
     return out
 
 
-def _search(docs: DataFrame, shared, overlap: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        passage = max(64, 2 * index.longest)
-        get = index.vocabulary.get
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    words = tokens(text)
-                    ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                    best: dict[int, tuple] = {}
-                    for first, item, score in index.search(ids, passage):
-                        q, a = index.overlap(words[first : first + passage], item)
-                        if q >= overlap and a >= overlap and (item not in best or (q + a, score) > best[item][0]):
-                            best[item] = ((q + a, score), first, q, a)
-                    rows += [(doc_id, index.ids[i], s[1], first, q, a) for i, (s, first, q, a) in sorted(best.items())]
-                columns = list(zip(*rows)) if rows else [()] * 6
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "passage_start", "question_overlap", "answer_overlap"])
-
-    return docs.mapInArrow(run, RESULT)
+def found_in(index: Index, text: str | None, overlap: float) -> list[tuple[int, float, int, float, float]]:
+    """(item_id, score, first word, question overlap, answer overlap) of the verified items of a text, by its best passage."""
+    passage = max(64, 2 * index.longest)
+    words = tokens(text)
+    ids = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+    best: dict[int, tuple] = {}
+    for first, item, score in index.search(ids, passage):
+        q, a = index.overlap(words[first : first + passage], item)
+        if q >= overlap and a >= overlap and (item not in best or (q + a, score) > best[item][0]):
+            best[item] = ((q + a, score), first, q, a)
+    return [(index.ids[i], s[1], first, q, a) for i, (s, first, q, a) in sorted(best.items())]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per (doc_id, item_id) retrieved and verified, with the best passage.
+
+    Rows: doc_id, item_id, score, passage_start (word), question_overlap, answer_overlap.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["doc_id", "item_id", "score", "passage_start", "question_overlap", "answer_overlap"]
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text", 4 << 20):
+                    rows = [(d, *f) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for f in found_in(shared.value, t, overlap)]
+                    columns = list(zip(*rows)) if rows else [()] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        return run
+
+    parts = [docs.mapInArrow(search(s), RESULT) for s in _indexes(docs.sparkSession, items, threshold, shard_bytes)]
+    return reduce(DataFrame.union, parts)
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text holds no item. Rows are judged where they are read; nothing moves."""
+    at = docs.columns.index(text_col)
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not found_in(shared.value, t, overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    for shared in _indexes(docs.sparkSession, items, threshold, shard_bytes):
+        docs = docs.mapInArrow(keep(shared), docs.schema)
+    return docs
 
 
 def op4_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:

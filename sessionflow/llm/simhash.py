@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, slices, table
+from .common import components, fresh, materialize, slices, table
 
 BITS = 64
 #: Members of a bucket that are compared in one block; larger buckets are cut into block pairs.
@@ -154,10 +154,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_duplicates(docs, id_col, text_col, radius)
     # A group's name may be null (null ids only), so groups are told apart by their fingerprints' root.
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
-    first = first.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_text_hash"))
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text_hash", F.xxhash64(text_col))
-    same = keyed["_id"].eqNullSafe(first["_id"]) & (keyed["_text_hash"] == first["_text_hash"])
-    return keyed.join(first, same, "left_semi").dropDuplicates(["_id", "_text_hash"]).drop("_id", "_text_hash")
+    own_id, own_hash = fresh(docs, "_id", "_text_hash")
+    first = first.select(F.col("s.doc_id").alias(own_id), F.col("s.text_hash").alias(own_hash))
+    keyed = docs.withColumn(own_id, F.col(id_col).cast("long")).withColumn(own_hash, F.xxhash64(text_col))
+    same = keyed[own_id].eqNullSafe(first[own_id]) & (keyed[own_hash] == first[own_hash])
+    return keyed.join(first, same, "left_semi").dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

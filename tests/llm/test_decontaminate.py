@@ -75,6 +75,15 @@ def test_matches_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in sharded} >= {(60 + k, k) for k in range(20)}
 
 
+def test_clean_keeps_whole_rows(spark):
+    docs, items = cases()
+    a = spark.createDataFrame([(*r, k) for k, r in enumerate(docs)], "doc_id long, text string, item_id int")
+    want = [k for k, (i, t) in enumerate(docs) if not brute([(0, t)], items)]
+    for size in (d.SHARD_BYTES, 2000):
+        kept = d.clean(a, spark.createDataFrame(items, "item_id long, text string"), shard_bytes=size)
+        assert sorted(r["item_id"] for r in kept.collect()) == want and kept.columns == a.columns
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -96,11 +96,11 @@ def test_components_of_a_long_path(spark):
 
 
 def test_keep_first_keeps_one_of_each_group(spark):
-    df = spark.createDataFrame([(i, t, "src") for i, t in ROWS], "doc_id long, text string, _hash string")
+    df = spark.createDataFrame([(i, t, "src") for i, t in ROWS], "doc_id long, text string, _id string")
     kept = simhash.keep_first(df).collect()
     groups = {}
     for (i, t), (_, _, c) in zip(ROWS, brute_components(ROWS)):
         groups.setdefault((c, brute_fingerprint(t) if c is None else None), []).append(i)
     assert len(kept) == len(groups)
     assert {r["doc_id"] for r in kept} == {min((x for x in g if x is not None), default=None) for g in groups.values()}
-    assert kept[0].asDict().keys() == {"doc_id", "text", "_hash"}
+    assert kept[0].asDict().keys() == {"doc_id", "text", "_id"} and {r["_id"] for r in kept} == {"src"}
