@@ -106,7 +106,8 @@ def guarded_corr(a: ColumnLike, b: ColumnLike) -> Column:
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
     fine = (F.count(x) > 1) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(fine, F.corr(x, y))
+    # corr() itself divides by zero for a constant side, whatever guards its result
+    return F.when(fine, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
