@@ -300,6 +300,13 @@ def stage_stats(bars: DataFrame, day: str, minute: str, macro: tuple[int, int],
     return df.withColumn("last_retrace_depth_points", F.when(up, POSITIVE(F.col("before_high") - F.col("k2_low"))).when(down, POSITIVE(F.col("k2_high") - F.col("before_low"))).otherwise(0.0))
 
 
+def stage_behaviours(stats: DataFrame) -> DataFrame:
+    """Days, share and mean contributions to the range by how the last candle behaved."""
+    out = stats.groupBy("last_behaviour").agg(F.count("*").alias("days"), *(F.avg(c).alias(f"mean_{c}") for c in ("stage1_range_pct", "stage2_added_pct", "k0_range_pct", "k1_added_pct", "k2_added_pct", "last_push_past_points", "last_retrace_depth_points")))
+    total = out.agg(F.sum("days").alias("_all"))
+    return out.join(F.broadcast(total), how="cross").withColumn("pct_of_days", pct("days", "_all")).drop("_all")  # one row
+
+
 def stage_percentiles(stats: DataFrame, columns: Sequence[str], qs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """Percentiles of stage figures, one row per figure."""
     long = unpivot(stats, [], list(columns)).where("value is not null")

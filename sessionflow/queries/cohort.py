@@ -9,6 +9,7 @@ from ..plans import studies
 from ..sources.news import normalize_news
 from .base import BARS, DELTA, END, START, TICKS, bars, rounded, rounded_sql, ticks
 from .extremes import _DAILY, SPANS, _features_cte, daily
+from .flow import _paths_sql
 
 SESSIONS = {"eth_pre_rth": (0, 14), "rth_pre_macro": (15, 17), "day_pre_macro": (0, 17)}
 FINE = {"k359_00_59": (10, 11), "k359_00_39": (10, 10), "k359_40_49": (11, 11)}
@@ -65,6 +66,21 @@ def impulse(spark, sf_dir):
     return rounded(s)
 
 
+def _impulse_sql() -> str:
+    targets = {"k350_00_09": (0, 1), "k350_00_29": (0, 5), "k350_bucket_0": (0, 0), "k350_bucket_1": (1, 1)}
+    sessions = {"eth_only_pre350": (0, 14), "rth_only_pre350": (15, 17), "eth_rth_pre350": (0, 17)}
+    measures = ("volume_delta", "classified_size", "total_size")
+    cells = lambda ws: ", ".join(f"sum({m}) FILTER (WHERE i BETWEEN {a} AND {b})::BIGINT AS {w}_{m}" for w, (a, b) in ws.items() for m in measures)
+    both = [*targets, *sessions]
+    imbalance = ", ".join(f"{w}_volume_delta / nullif({w}_classified_size, 0)::DOUBLE AS {w}_delta_imbalance" for w in both)
+    signs = ", ".join(f"coalesce(sign({w}_volume_delta), 0)::INT AS {w}_sign" for w in both)
+    flags = ", ".join(f"{p}_sign <> 0 AND {t}_sign <> 0 AS {p}_vs_{t}_has_signal, {p}_sign * {t}_sign < 0 AS {p}_opposes_{t}, {p}_sign * {t}_sign > 0 AS {p}_same_as_{t}" for p in sessions for t in targets)
+    sql = f"""WITH {_study_cte()}, ta AS (SELECT day, {cells(targets)} FROM bd WHERE i BETWEEN 0 AND 5 GROUP BY day), se AS (SELECT day, {cells(sessions)} FROM gd GROUP BY day),
+j AS (SELECT ta.day AS trade_date_et, ta.* EXCLUDE (day), se.* EXCLUDE (day) FROM ta LEFT JOIN se ON se.day = ta.day), k AS (SELECT *, {imbalance}, {signs} FROM j), final AS (SELECT *, {flags} FROM k)"""
+    others = ["trade_date_et", *(f"{w}_{m}" for w in both for m in (*measures, "sign")), *(n for p in sessions for t in targets for n in (f"{p}_vs_{t}_has_signal", f"{p}_opposes_{t}", f"{p}_same_as_{t}"))]
+    return rounded_sql(sql, [f"{w}_delta_imbalance" for w in both], others)
+
+
 def long(spark, sf_dir):
     return cohort.pair_long(reversal_study(spark, sf_dir), "trade_date_et", PREDICTORS, ["k359", "k359_00_39"])
 
@@ -127,6 +143,26 @@ def path_rates(spark, sf_dir):
     return rounded(cohort.path_summary(flow.bucket_paths(d, "trade_date_et", "bucket_index", {"first": (0, 11), "last": (12, 23)})))
 
 
+def _path_rates_sql() -> str:
+    inner = _paths_sql()
+    inner = inner[inner.index("WITH ") + 5 : inner.rindex(" SELECT ")].replace("final AS (", "paths AS (")
+    later = {"30s": "early_30s", "post10_30s": "post_10s_to_30s", "post10": "post_10s", "late30": "late_30s", "full": "full"}
+    labels = {"early_sign": "early_10s_sign::VARCHAR", "category": "early_10s_category", "abs_category": "early_10s_abs_category", "raw_decile": "early_10s_raw_decile::VARCHAR", "imbalance_decile": "early_10s_imbalance_decile::VARCHAR"}
+    rows = " UNION ALL ".join(f"SELECT *, '{n}' AS summary_type, {e} AS bucket FROM paths WHERE is_complete" for n, e in labels.items())
+    parts, ints, doubles = [], [], []
+    for k, w in later.items():
+        signal = f"count(*) FILTER (WHERE early_10s_sign <> 0 AND coalesce(sign({w}_vd), 0) <> 0)"
+        parts.append(f"{signal}::BIGINT AS signal_{k}")
+        ints.append(f"signal_{k}")
+        for v in ("continue", "fade"):
+            n = f"count(*) FILTER (WHERE early_10s_{v}s_to_{k})"
+            parts += [f"{n}::BIGINT AS {v}_{k}", f"{n} / nullif({signal}, 0)::DOUBLE AS {v}_rate_{k}"]
+            ints.append(f"{v}_{k}")
+            doubles.append(f"{v}_rate_{k}")
+    sql = f"WITH {inner}, sc AS ({rows}), final AS (SELECT candle, summary_type, bucket, count(*)::BIGINT AS n, avg(path_efficiency) AS mean_path_efficiency, avg(cum_sign_flip_count) AS mean_sign_flips, median(full_vd) AS median_full_delta, {', '.join(parts)} FROM sc WHERE bucket IS NOT NULL GROUP BY 1, 2, 3)"
+    return rounded_sql(sql, ["mean_path_efficiency", "mean_sign_flips", "median_full_delta", *doubles], ["candle", "summary_type", "bucket", "n", *ints])
+
+
 def regime_study(spark, sf_dir):
     b = bars(spark, sf_dir)
     f = extremes.session_features(b, "date", "h", SPANS)
@@ -276,7 +312,10 @@ QUERIES = {
     "bucket_path_summary": path_rates, "regime_direction": regimes, "bucket_lift": lifts, "combo_lift": combos, "combo_table": combo_pivot, "feature_correlations": correlations, "metric_bands": bands, "normality": normality,
     "normality_rollup": normality_rollup, "histogram": hist, "ecdf": cumulative, "event_links": links, "news_daily": news_daily, "event_cohorts": cohorts, "cohort_effect": effect, "permutation_test": permutation,
 }
+_C = _COMBOS[: _COMBOS.rindex(" SELECT ")]
 SQL = {
+    "delta_impulse": _impulse_sql(), "bucket_path_summary": _path_rates_sql(),
+    "combo_table": _C + " SELECT left_bucket, " + ", ".join(f"round(max(bullish_rate) FILTER (WHERE right_bucket = '{b}'), 6) + 0.0 AS {b}" for b in ("low", "mid", "high")) + " FROM final GROUP BY 1",
     "delta_reversal": _REVERSAL_SQL, "pair_sign_rows": _signed_sql(), "pair_decile_rows": _DECILES, "pair_tail_rows": _tails_sql(), "pair_context_rows": _CONTEXT,
     "regime_direction": rounded_sql(f"WITH {_REGIME_CTE}, final AS (SELECT * FROM rb)", ["trend_score_am", "chop_score_noon", "macro_dir_points"], _REGIME_COLUMNS), "bucket_lift": _LIFTS, "combo_lift": _COMBOS, "feature_correlations": _CORR, "metric_bands": _BANDS, "normality": _JB,
     "normality_rollup": f"WITH {_JB_CTE} SELECT 'tick_count' AS metric, CASE WHEN count(*) = 0 THEN 'insufficient' WHEN count(*) FILTER (WHERE exp(-jarque_bera / 2) <= 0.05) = 0 THEN 'all_normal' WHEN count(*) FILTER (WHERE exp(-jarque_bera / 2) > 0.05) = 0 THEN 'all_non_normal' ELSE 'mixed' END AS classification, count(*)::BIGINT AS n_tested, count(*) FILTER (WHERE exp(-jarque_bera / 2) > 0.05)::BIGINT AS n_normal FROM jc",

@@ -182,6 +182,19 @@ study AS (SELECT * EXCLUDE (bh, bl), window_range_points / nullif(candle_open, 0
   candle_extension_points / nullif(candle_range_points, 0) * 100 AS candle_extension_pct, macro_extension_points / nullif(macro_range_points, 0) * 100 AS macro_extension_pct, added_by_last_points / nullif(macro_range_points, 0) * 100 AS added_by_last_pct_of_macro FROM g1)"""
 
 
+def _range_summary_sql() -> str:
+    figures = ["window_range_points", "range_raw_pct_of_open", "range_pct_of_candle", "range_pct_of_macro", "candle_extension_points", "macro_extension_points"]
+    base = ", ".join([f"median({c}) AS median_{c}" for c in figures] + [f"avg({c}) AS mean_{c}" for c in figures[:4]])
+    long = " UNION ALL ".join(f"SELECT date, candle, \"window\", '{m}' AS metric, {m} AS value, window_range_points FROM study WHERE {m} IS NOT NULL" for m in x.RANGE_METRICS)
+    sql = f"""WITH {_range_cte()}, lg AS ({long}), ba AS (SELECT 'window_baseline' AS summary_type, candle, "window", count(*)::BIGINT AS n_days, {base} FROM study WHERE window_range_points IS NOT NULL GROUP BY candle, "window"),
+th AS (SELECT 'threshold' AS summary_type, candle, "window", metric, threshold, count(*)::BIGINT AS n_days, count(*) FILTER (WHERE value >= threshold)::BIGINT AS hit_count, median(value) AS median_metric, count(*) FILTER (WHERE value >= threshold) / count(*)::DOUBLE AS hit_rate FROM lg, (SELECT unnest([25.0, 50.0, 75.0, 90.0])::DOUBLE AS threshold) GROUP BY ALL),
+dc AS (SELECT *, count(*) OVER p AS n, count(DISTINCT value) OVER (PARTITION BY candle, "window", metric) AS nd, row_number() OVER (PARTITION BY candle, "window", metric ORDER BY value, date) AS r FROM lg WINDOW p AS (PARTITION BY candle, "window", metric)),
+de AS (SELECT 'decile' AS summary_type, candle, "window", metric, floor((r - 1) * 10 / n)::INT + 1 AS decile, count(*)::BIGINT AS n_days, median(value) AS median_metric, median(window_range_points) AS median_window_range_points FROM dc WHERE n >= 10 AND nd >= 10 GROUP BY candle, "window", metric, floor((r - 1) * 10 / n)::INT + 1),
+final AS (SELECT * FROM ba UNION ALL BY NAME SELECT * FROM th UNION ALL BY NAME SELECT * FROM de)"""
+    return rounded_sql(sql, [*(f"median_{c}" for c in figures), *(f"mean_{c}" for c in figures[:4]), "threshold", "median_metric", "hit_rate"], ["summary_type", "candle", '"window"', "n_days", "metric", "hit_count", "decile"])
+
+
+_CONTRIBUTIONS = ["stage1_range_pct", "stage2_added_pct", "k0_range_pct", "k1_added_pct", "k2_added_pct", "last_push_past_points", "last_retrace_depth_points"]
 _R_DOUBLES = [*(f"{p}_{c}" for p in ("window", "candle", "macro") for c in ("open", "high", "low", "close", "range_points")), *(f"{p}_extension_{u}" for p in ("candle", "macro") for u in ("points", "pct")), "range_raw_pct_of_open", "range_pct_of_candle", "range_pct_of_macro", "added_by_last_points", "added_by_last_pct_of_macro"]
 _R_OTHERS = ["date", "candle", '"window"', "window_start", "window_end", "window_tick_count", "candle_tick_count", "macro_tick_count"]
 
@@ -202,6 +215,10 @@ def stage_quantiles(spark, sf_dir):
     return rounded(x.stage_percentiles(staged(spark, sf_dir), ["macro_range_pct", "stage1_range_pct", "stage2_range_pct"]))
 
 
+def behaviours(spark, sf_dir):
+    return rounded(x.stage_behaviours(staged(spark, sf_dir)))
+
+
 def stage_correlations(spark, sf_dir):
     return rounded(x.correlation_pairs(staged(spark, sf_dir), ["stage1_skew", "stage2_skew", "macro_skew"]))
 
@@ -240,7 +257,7 @@ QUERIES = {
     "session_tags": sessions, "daily_outcomes": outcomes, "session_features": features, "pm_macro_interaction": interactions, "breakout_rates": interaction_rates, "extreme_bucket_shares": bucket_shares,
     "extreme_timing": lambda s, d: rounded(timed(s, d)), "extreme_timing_summary": timing_summary, "extreme_second_counts": second_counts, "with_trend_extremes": trend_extremes,
     "barrier_study": barrier, "barrier_summary": barrier_rates, "barrier_edge_cases": barrier_edges, "range_context": range_context, "range_context_summary": range_summary,
-    "stage_stats": stages, "stage_percentiles": stage_quantiles, "stage_correlations": stage_correlations, "hourly_complete_bars": hourly, "resampled_bars": three_hourly, "regime_context": regime_context,
+    "stage_stats": stages, "stage_behaviours": behaviours, "stage_percentiles": stage_quantiles, "stage_correlations": stage_correlations, "hourly_complete_bars": hourly, "resampled_bars": three_hourly, "regime_context": regime_context,
 }
 _OHLC = ["open", "high", "low", "close"]
 SQL = {
@@ -264,6 +281,10 @@ SQL = {
         f"WITH {_stage_cte()}, l AS (SELECT unnest(['macro_range_pct', 'stage1_range_pct', 'stage2_range_pct']) AS metric, unnest([macro_range_pct, stage1_range_pct, stage2_range_pct]) AS value FROM stages), final AS (SELECT metric, count(value)::BIGINT AS n, " + ", ".join(f"quantile_cont(value, {q}) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM l WHERE value IS NOT NULL GROUP BY 1)",
         ["p10", "p25", "p50", "p75", "p90", "p95", "p99"], ["metric", "n"]),
     "stage_correlations": rounded_sql(f"WITH {_stage_cte()}, final AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS correlation FROM stages" for a, b in (("stage1_skew", "stage2_skew"), ("stage1_skew", "macro_skew"), ("stage2_skew", "macro_skew"))) + ")", ["correlation"], ["a", "b"]),
+    "stage_behaviours": rounded_sql(
+        f"WITH {_stage_cte()}, final AS (SELECT last_behaviour, count(*)::BIGINT AS days, " + ", ".join(f"avg({c}) AS mean_{c}" for c in _CONTRIBUTIONS) + ", 100.0::DOUBLE * count(*) / (SELECT count(*) FROM stages) AS pct_of_days FROM stages GROUP BY 1)",
+        [*(f"mean_{c}" for c in _CONTRIBUTIONS), "pct_of_days"], ["last_behaviour", "days"]),
+    "range_context_summary": _range_summary_sql(),
     "hourly_complete_bars": rounded_sql(f"WITH {BARS}, final AS (SELECT date, h AS hour, o AS open, hi AS high, lo AS low, c AS close, 1::BIGINT AS n_minutes FROM bars WHERE h IN (12, 13, 14))", _OHLC, ["date", "hour", "n_minutes"]),
     "resampled_bars": f"""WITH {BARS}, b AS (SELECT strftime(time_bucket(INTERVAL 3 HOUR, datetime_utc, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS datetime_utc, datetime_utc AS t, * EXCLUDE (datetime_utc) FROM bars)
 SELECT datetime_utc, round(arg_min(o, t), 6) + 0.0 AS "Open", round(max(hi), 6) + 0.0 AS "High", round(min(lo), 6) + 0.0 AS "Low", round(arg_max(c, t), 6) + 0.0 AS "Close", sum(v)::BIGINT AS "Volume" FROM b GROUP BY 1""",

@@ -10,6 +10,7 @@ from ..operators.extremes import daily_outcomes
 from ..sources.bars import hourly_bars
 from ..sources.ticks import order_key, price
 from .base import BARS, TICKS, bars, rounded, rounded_sql, ticks
+from .extremes import _DAILY
 
 FIRST, LAST, STAGE2, BLOCKS = 3, 28, 15, {"early": 9, "mid": 19, "late": 27}
 BY = ["user_id"]
@@ -177,6 +178,24 @@ hx AS (SELECT *, pm_high - pm_low AS pm_range, pm_close - pm_open AS pm_dir_poin
 hc AS (SELECT *, abs(pm_dir_points) / nullif(pm_range, 0) AS pm_body_to_range, (pm_high - greatest(pm_open, pm_close)) / nullif(pm_range, 0) AS pm_upper_wick_share, (least(pm_open, pm_close) - pm_low) / nullif(pm_range, 0) AS pm_lower_wick_share, fvg_direction <> 'none' AS has_fvg, fvg_size_points / nullif(pm_range, 0) AS fvg_size_pct_of_pm_range,
   CASE WHEN pm_dir_points > 0 AND pm_close_pos >= 0.6 THEN 'bullish' WHEN pm_dir_points < 0 AND pm_close_pos <= 0.4 THEN 'bearish' ELSE 'neutral' END AS imbalance_direction FROM hx)"""
 
+def _cohorts_sql() -> str:
+    cohorts_ = {"fvg_direction": "fvg_direction", "imbalance_direction": "imbalance_direction", "fvg_x_imbalance": "fvg_direction || '|' || imbalance_direction", "fvg_size_bucket": "size_bucket"}
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS cohort, {e} AS bucket, md, mr FROM sb" for n, e in cohorts_.items())
+    near = lambda q: f"list_sort(list(fvg_size_points) FILTER (WHERE fvg_size_points > 0))[floor({q} * (count(*) FILTER (WHERE fvg_size_points > 0) - 1) + 0.5)::INT + 1]"
+    sql = f"""WITH {_HOURLY}, {_DAILY}, jo AS (SELECT hc.*, macro_dir_points AS md, macro_range_points AS mr FROM hc JOIN daily ON daily.date = hc.date WHERE coalesce(macro_dir_points, 0) <> 0),
+cu AS (SELECT count(*) FILTER (WHERE fvg_size_points > 0) AS m, {near('1 / 3.0::DOUBLE')} AS a, {near('2 / 3.0::DOUBLE')} AS b FROM jo),
+sb AS (SELECT jo.*, CASE WHEN fvg_size_points <= 0 THEN 'none' WHEN m < 3 THEN 'has_fvg' WHEN fvg_size_points <= a THEN 'small' WHEN fvg_size_points <= b THEN 'medium' ELSE 'large' END AS size_bucket FROM jo, cu), un AS ({rows}),
+final AS (SELECT cohort, bucket, count(*)::BIGINT AS n, count(*) FILTER (WHERE md > 0)::BIGINT AS macro_bull_n, count(*) FILTER (WHERE md < 0)::BIGINT AS macro_bear_n, avg(md) AS avg_macro_dir_points, median(md) AS median_macro_dir_points, avg(mr) AS avg_macro_range_points, median(mr) AS median_macro_range_points, avg((md > 0)::INT) AS macro_bull_rate, avg((md < 0)::INT) AS macro_bear_rate FROM un GROUP BY 1, 2)"""
+    return rounded_sql(sql, ["avg_macro_dir_points", "median_macro_dir_points", "avg_macro_range_points", "median_macro_range_points", "macro_bull_rate", "macro_bear_rate"], ["cohort", "bucket", "n", "macro_bull_n", "macro_bear_n"])
+
+
+def _profiles_sql() -> str:
+    inner = _grouped_sql({k: gaps.ENTRY_SCOPES[k] for k in ("entry_abs_quantile", "entry_block_abs_quantile")}, "entry")
+    figures = [f"{m}_pct_{n}" for m in ("mfe", "mae") for n in ("mean", "median", "p75", "p90")]
+    label = "CASE summary_scope WHEN 'entry_abs_quantile' THEN 'overall' ELSE 'by_block' END AS profile_type"
+    return rounded_sql(inner[: inner.rindex(" SELECT ")], figures, [label, "summary_scope", "n_total", "n_triggered", "position_block", "abs_delta_imbalance_quantile", "NULL::INT AS assigned_at"])
+
+
 QUERIES = {
     "gap_events": detect, "gap_outcomes": scan, "gap_delta_dominance": delta_enriched, "gap_scope_summary": scopes, "gap_outcome_rates": outcome_rates, "gap_entry_excursions": entry_excursions, "gap_success_context": success_context,
     "gap_all_summaries": everything, "gap_excursion_profiles": profiles, "gap_outcome_counts": counts, "gap_position_tables": positions, "hourly_gap_context": hourly, "hourly_gap_cohorts": cohorts,
@@ -185,7 +204,7 @@ SQL = {
     "gap_events": rounded_sql(f"WITH {_EVENTS}, final AS (SELECT * FROM events_)", _DETECT_DOUBLES, _DETECT_COLUMNS),
     "gap_outcomes": rounded_sql(f"WITH {_SCANNED}, final AS (SELECT * FROM scanned)", _SCAN_DOUBLES, _SCAN_COLUMNS),
     "gap_delta_dominance": rounded_sql(f"WITH {_ENRICHED}, final AS (SELECT * FROM enriched)", ["aligned_delta_imbalance"], ["user_id", "assigned_at", "volume_delta", "aligned_volume_delta", "abs_volume_delta", "aligned_delta_imbalance_quantile", "abs_delta_imbalance_quantile"]),
-    "gap_scope_summary": _scopes_sql(),
+    "gap_scope_summary": _scopes_sql(), "hourly_gap_cohorts": _cohorts_sql(), "gap_excursion_profiles": _profiles_sql(),
     "gap_outcome_rates": _grouped_sql(gaps.OUTCOME_SCOPES, "outcome"), "gap_entry_excursions": _grouped_sql(gaps.ENTRY_SCOPES, "entry"), "gap_success_context": _grouped_sql(gaps.SUCCESS_SCOPES, "success"),
     "gap_outcome_counts": f"WITH {_SCANNED} SELECT fvg_side, assigned_stage, outcome_bucket, count(*)::BIGINT AS n FROM scanned GROUP BY ALL",
     "gap_position_tables": f"WITH {_SCANNED}, p AS (SELECT *, floor((row_number() OVER (ORDER BY bar2_volume, user_id, assigned_at) - 1) * 4 / count(*) OVER ())::INT + 1 AS q FROM scanned) SELECT assigned_at, round(avg(bar2_volume), 6) + 0.0 AS mean_bar2_volume, {', '.join(f'count(*) FILTER (WHERE q = {i})::BIGINT AS n_q{i}' for i in (1, 2, 3, 4))} FROM p GROUP BY 1",
