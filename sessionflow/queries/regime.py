@@ -62,7 +62,8 @@ v1 AS (SELECT *, CASE WHEN m > 4 THEN CASE WHEN abs(v1) <= 1e-8 THEN 1 ELSE grea
 
 
 def directional(spark, sf_dir):
-    return rounded(r.directional_bars(r.with_directional(days(spark, sf_dir), 4), ["date"]))
+    """Directional indicators per hour of the days with enough hours for a whole ADX."""
+    return rounded(r.directional_bars(r.with_directional(days(spark, sf_dir).where("n >= 7"), 4), ["date"]))
 
 
 def quality(spark, sf_dir):
@@ -129,8 +130,30 @@ def table(spark, sf_dir):
     return rounded(r.with_labels(t).drop("sub_slopes", "sub_irr"))
 
 
+def _directional_sql(n: int = 4) -> str:
+    fold = lambda x: f"list_concat(list_transform(range(1, {n}), lambda i: NULL::DOUBLE), list_transform(range({n}, n + 1), lambda i: list_reduce(list_concat([list_sum({x}[1:{n}])], {x}[{n + 1}:i]), lambda a, b: a - a / {n} + b)))"
+    average = f"list_concat(list_transform(range(1, {2 * n - 1}), lambda i: NULL::DOUBLE), list_transform(range({2 * n - 1}, n + 1), lambda i: list_reduce(list_concat([list_avg(dx[{n}:{2 * n - 1}])], dx[{2 * n}:i]), lambda a, b: a * (1 - 1 / {n}.0::DOUBLE) + b / {n}.0::DOUBLE)))"
+    sql = f"""WITH {_DAY}, b AS (SELECT *, list_transform(range(1, n + 1), lambda i: greatest(hs[i] - ls[i], coalesce(abs(hs[i] - c[i - 1]), 0), coalesce(abs(ls[i] - c[i - 1]), 0))) AS tr, list_transform(range(1, n + 1), lambda i: CASE WHEN i > 1 AND hs[i] - hs[i - 1] > ls[i - 1] - ls[i] AND hs[i] - hs[i - 1] > 0 THEN hs[i] - hs[i - 1] ELSE 0.0::DOUBLE END) AS up,
+  list_transform(range(1, n + 1), lambda i: CASE WHEN i > 1 AND ls[i - 1] - ls[i] > hs[i] - hs[i - 1] AND ls[i - 1] - ls[i] > 0 THEN ls[i - 1] - ls[i] ELSE 0.0::DOUBLE END) AS dn FROM s WHERE n >= {2 * n - 1}),
+d AS (SELECT *, {fold('tr')} AS st, {fold('up')} AS su, {fold('dn')} AS sd FROM b), e AS (SELECT *, list_transform(range(1, n + 1), lambda i: 100 * su[i] / nullif(st[i], 0)) AS p, list_transform(range(1, n + 1), lambda i: 100 * sd[i] / nullif(st[i], 0)) AS m FROM d),
+f AS (SELECT *, list_transform(range(1, n + 1), lambda i: 100 * abs(p[i] - m[i]) / nullif(p[i] + m[i], 0)) AS dx FROM e), g AS (SELECT *, {average} AS adx FROM f),
+final AS (SELECT date, (unnest(range(1, n + 1)) - 1)::INT AS bar, unnest(tr) AS tr, unnest(p) AS plus_di, unnest(m) AS minus_di, unnest(dx) AS dx, unnest(adx) AS adx FROM g)"""
+    return rounded_sql(sql, ["tr", "plus_di", "minus_di", "dx", "adx"], ["date", "bar"])
+
+
+def _expansion_sql(k: int = 6) -> str:
+    names = ["containment_ib_extension_ratio", "containment_ib_asymmetry", "containment_bandwidth_squeeze", "containment_vwap_acceptance", "containment_excess_rejection"]
+    tail = lambda e: f"len(list_filter(range(1, n + 1), lambda i: ({e}) / (hs[i] - ls[i] + 1e-12) >= 0.4)) / n::DOUBLE"
+    sql = f"""WITH {_DAY.replace('list(c + 1 ORDER BY h) AS c FROM', 'list(c + 1 ORDER BY h) AS c, list(v::DOUBLE ORDER BY h) AS vs FROM')}, x1 AS (SELECT *, greatest(0, list_max(hs) - list_max(hs[1:{k}])) / (list_max(hs[1:{k}]) - list_min(ls[1:{k}]) + 1e-12) AS up_, greatest(0, list_min(ls[1:{k}]) - list_min(ls)) / (list_max(hs[1:{k}]) - list_min(ls[1:{k}]) + 1e-12) AS dn_,
+  list_transform(range(1, n - least(n, 10) + 2), lambda i: 4 * list_stddev_pop(c[i:i + least(n, 10) - 1]) / (abs(list_avg(c[i:i + least(n, 10) - 1])) + 1e-12)) AS bw, list_transform(range(1, n + 1), lambda i: (hs[i] + ls[i] + c[i]) / 3 * vs[i]) AS pv FROM s1),
+x2 AS (SELECT *, list_avg(list_transform(range(1, n + 1), lambda i: abs(c[i] - list_sum(pv[1:i]) / (list_sum(vs[1:i]) + 1e-12)))) AS far FROM x1),
+final AS (SELECT date, n, up_ + dn_ AS containment_ib_extension_ratio, abs(up_ - dn_) / (up_ + dn_ + 1e-12) AS containment_ib_asymmetry, coalesce(1 / (1 + list_avg(bw)), 1) AS containment_bandwidth_squeeze, 1 - least(far / (span + 1e-12), 1) AS containment_vwap_acceptance,
+  2 * least({tail('hs[i] - greatest(o[i], c[i])')}, {tail('least(o[i], c[i]) - ls[i]')}) AS containment_excess_rejection FROM x2)"""
+    return rounded_sql(sql, names, ["date", "n"])
+
+
 QUERIES = {
     "regime_targets": targets, "regime_path_shape": path_shape, "regime_directional_bars": directional, "regime_trend_quality": quality, "regime_reversion": reversion, "regime_range_signals": range_signals,
     "regime_slope_windows": slope_windows, "regime_last_window": last_windows, "regime_memory": memory, "regime_expansion": expansion, "regime_modeling_table": table,
 }
-SQL = {"regime_targets": _TARGETS, "regime_path_shape": _PATH, "regime_reversion": _REVERSION, "regime_range_signals": _RANGES}
+SQL = {"regime_targets": _TARGETS, "regime_path_shape": _PATH, "regime_reversion": _REVERSION, "regime_range_signals": _RANGES, "regime_directional_bars": _directional_sql(), "regime_expansion": _expansion_sql()}
