@@ -154,11 +154,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_duplicates(docs, id_col, text_col, radius)
     # A group's name may be null (null ids only), so groups are told apart by their fingerprints' root.
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
-    own_id, own_hash = fresh(docs, "_id", "_text_hash")
-    first = first.select(F.col("s.doc_id").alias(own_id), F.col("s.text_hash").alias(own_hash))
-    keyed = docs.withColumn(own_id, F.col(id_col).cast("long")).withColumn(own_hash, F.xxhash64(text_col))
-    same = keyed[own_id].eqNullSafe(first[own_id]) & (keyed[own_hash] == first[own_hash])
-    return keyed.join(first, same, "left_semi").dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
+    # Plain keys (a null id is 0 and a flag), so that the join's partitioning serves the last step too.
+    key = fresh(docs, "_id", "_none", "_text_hash")
+    first = first.select(*(c.alias(k) for c, k in zip((F.coalesce("s.doc_id", F.lit(0)), F.col("s.none"), F.col("s.text_hash")), key)))
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumns(dict(zip(key, (F.coalesce(own, F.lit(0)), own.isNull(), F.xxhash64(text_col)))))
+    return keyed.join(first, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
