@@ -11,16 +11,16 @@ FEATURES = ["y_lag_1", "y_mean_5", "y_mean_20"]
 
 
 def series(spark, sf_dir):
-    """(trade_date, y): daily order value in millions."""
+    """(trade_date, y): daily order value."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.groupBy(F.to_date("o_orderdate").alias("trade_date")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / 1e6).alias("y"))
+    return o.groupBy(F.to_date("o_orderdate").alias("trade_date")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")).alias("y"))
 
 
 def history(spark, sf_dir):
     return f.history_features(series(spark, sf_dir), "y")
 
 
-_SERIES = "series AS (SELECT o_orderdate::DATE AS trade_date, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE / 1e6 AS y FROM orders GROUP BY 1)"
+_SERIES = "series AS (SELECT o_orderdate::DATE AS trade_date, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS y FROM orders GROUP BY 1)"
 _HISTORY = f"""{_SERIES}, h0 AS (SELECT *, lag(y) OVER w AS y_lag_1, CASE WHEN count(y) OVER w5 = 5 THEN avg(y) OVER w5 END AS y_mean_5, CASE WHEN count(y) OVER w20 = 20 THEN avg(y) OVER w20 END AS y_mean_20, CASE WHEN count(y) OVER w20 = 20 THEN stddev_samp(y) OVER w20 END AS y_std_20, CASE WHEN count(y) OVER w20 = 20 THEN list_sort(list(y) OVER w20) END AS l
   FROM series WINDOW w AS (ORDER BY trade_date), w5 AS (ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w20 AS (ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 hist AS (SELECT *, l[6] AS y_q25_20, l[11] AS y_q50_20, l[15] AS y_q75_20 FROM h0)"""
@@ -77,14 +77,16 @@ final AS (SELECT *, (macro_high - macro_low) / nullif(close_before, 0) AS macro_
 
 
 def grams(spark, sf_dir):
-    """Gram sums of the folds' training rows."""
-    h = history(spark, sf_dir)
+    """Gram sums of the folds' training rows, in thousands so that products keep their digits."""
+    h = history(spark, sf_dir).withColumns({c: F.col(c) / 1e3 for c in ("y", "y_lag_1", "y_mean_5")})
     folded = f.in_folds(h, f.walkforward_folds(h, "trade_date"), "trade_date").where("part = 'train'")
     g = f.gram(folded, ["fold_id"], ["y_lag_1", "y_mean_5"], "y")
-    return rounded(g.select("fold_id", "n", F.col("sx")[0].alias("sx0"), F.col("sxx")[1].alias("sxx01"), F.col("sxy")[1].alias("sxy1"), "sy"), 4)
+    return g.select("fold_id", "n", F.round(F.col("sx")[0], 5).alias("sx0"), F.round(F.col("sxx")[1], 2).alias("sxx01"), F.round(F.col("sxy")[1], 2).alias("sxy1"), F.round("sy", 5).alias("sy"))
 
 
-_GRAMS = rounded_sql(f"WITH {_HISTORY}, fo AS ({_FOLDS[_FOLDS.index('SELECT row_number'):]}), final AS (SELECT fold_id, count(*)::BIGINT AS n, sum(y_lag_1) AS sx0, sum(y_lag_1 * y_mean_5) AS sxx01, sum(y_mean_5 * y) AS sxy1, sum(y) AS sy FROM hist JOIN fo ON trade_date >= train_start AND trade_date < validation_start WHERE y_lag_1 IS NOT NULL AND y_mean_5 IS NOT NULL GROUP BY 1)".replace("fo AS (", _FOLDS[_FOLDS.index("sp AS"):_FOLDS.index("\nSELECT row_number")] + ", fo AS ("), ["sx0", "sxx01", "sxy1", "sy"], ["fold_id", "n"], 4)
+_STEPS = _FOLDS[_FOLDS.index("sp AS") : _FOLDS.index("\nSELECT row_number")]
+_GRAMS = f"""WITH {_HISTORY}, {_STEPS}, fo AS ({_FOLDS[_FOLDS.index("SELECT row_number"):]}), th AS (SELECT trade_date, y / 1e3 AS y, y_lag_1 / 1e3 AS a, y_mean_5 / 1e3 AS b FROM hist)
+SELECT fold_id, count(*)::BIGINT AS n, round(sum(a), 5) AS sx0, round(sum(a * b), 2) AS sxx01, round(sum(b * y), 2) AS sxy1, round(sum(y), 5) AS sy FROM th JOIN fo ON trade_date >= train_start AND trade_date < validation_start WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1"""
 
 
 def experiment(spark, sf_dir):
