@@ -314,5 +314,18 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def sql(docs: str = "documents", width: int = WIDTH) -> str:
+    """DuckDB SQL for the digests of a table (doc_id, text) with one row per doc_id."""
+    return f"""
+WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM {docs}),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {width - 2})) AS i FROM split WHERE len(w) >= {width}),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {width - 1}], ' ')) AS k FROM starts),
+firsts AS (SELECT k, min(doc_id) AS d FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
+covered AS (SELECT DISTINCT v.doc_id, v.i + j AS p FROM windows v JOIN firsts f ON f.k = v.k AND f.d < v.doc_id, range({width}) r(j)),
+kept AS (SELECT a.doc_id, count(*) AS n, count(c.p) AS gone, coalesce(string_agg(a.word, ' ' ORDER BY a.p) FILTER (WHERE c.p IS NULL), '') AS t FROM words a LEFT JOIN covered c ON c.doc_id = a.doc_id AND c.p = a.p GROUP BY a.doc_id)
+SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id"""
+
+
 QUERIES = {"op10_recompression": op10_recompression}
-SQL: dict[str, str] = {}
+SQL = {"op10_recompression": sql()}
