@@ -11,6 +11,11 @@ other; equal fingerprints form one vertex, so copies cost nothing; a row with
 a null ``doc_id`` gets the component of its fingerprint but never names one
 (a component of null ids only is null); repeated rows come back repeated; an
 empty table gives an empty result; other columns are carried by the caller.
+
+The pipeline's stage (``keep_first``) has a rule of its own: texts of a
+five-word Jaccard similarity of 0.8 or more. Such texts differ in about 10 of
+64 bits, too many for masks, so its candidates come from bands of minimum
+hashes of the shingles and every link is verified (``similar_texts``).
 """
 
 from __future__ import annotations
@@ -19,15 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, materialize, slices, table
+from .common import Words, components, fresh, materialize, mix, rolling, slices, table
 
 BITS = 64
 #: Members of a bucket that are compared in one block; larger buckets are cut into block pairs.
 BLOCK = 1024
+#: Jaccard similarity of five-word shingles from which the pipeline's stage takes texts for near-duplicates.
+SIMILARITY = 0.8
+#: Bands of minimum hashes and minima a band: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 0.00005.
+BANDS, ROWS = 25, 5
+#: Texts of a candidate group that are compared in one block.
+PARTY = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[1], [0]], np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -144,15 +158,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group one row stays.
+def _shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The distinct word shingles of each text, as sorted names; a text of fewer words has one shingle of them all, an empty one none."""
+    words = Words(pc.ascii_lower(texts.cast(pa.large_string())))
+    names, first = words.names(), words.first
+    k = np.minimum(width, np.diff(first))
+    count = np.where(k > 0, np.diff(first) - k + 1, 0)
+    at = np.concatenate([[0], np.cumsum(count)])
+    starts = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], count)
+    hashes = rolling(names, starts, starts + np.repeat(k, count), 1)
+    return [np.unique(hashes[s:e]) for s, e in zip(at[:-1], at[1:])]
+
+
+def _minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS * ROWS minimum hashes for each set that is not empty."""
+    values, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    return np.stack([np.minimum.reduceat(values * a + b, at) for a, b in zip(*_FACTORS)], axis=1)
+
+
+def _vertex(shingles: np.ndarray) -> int:
+    """A name of the set; zero for the empty one."""
+    return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes()), "big", signed=True) if len(shingles) else 0
+
+
+def _marks(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (doc_id, text_hash, v, keys): the name of each text's shingle set and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                sets = _shingles(part.column("text"), width)
+                full = [s for s in sets if len(s)]
+                keys = np.zeros((0, BANDS), np.uint64)
+                if full:
+                    low = _minima(full).reshape(len(full), BANDS, ROWS)
+                    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(full), axis=0)
+                    for r in range(ROWS):
+                        keys = mix(keys * _ODD ^ low[:, :, r])
+                at = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([_vertex(s) for s in sets], pa.int64()), lists], ["doc_id", "text_hash", "v", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, text_hash long, v long, keys array<long>")
+
+
+def _alike(v: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what all pairs of the given sets with that Jaccard similarity do.
+
+    A pair that is connected already isn't compared. In larger groups the share
+    of equal minima goes first: 0.2 below the similarity is more than five
+    deviations away.
+    """
+    label, out = np.arange(len(v)), []
+    size = np.array([len(s) for s in sets])
+    low = _minima(sets) if len(sets) > 8 else None
+    for i in range(len(v)):
+        near = (np.arange(len(v)) > i) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
+        if low is not None:
+            near &= (low == low[i]).mean(axis=1) >= similarity - 0.2
+        for j in np.flatnonzero(near):
+            if label[i] == label[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (size[i] + size[j] - both) - 1e-6:
+                label[label == label[j]] = label[i]
+                out.append((int(v[i]), int(v[j])))
+    return out
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = 5, block: int = PARTY) -> DataFrame:
+    """Rows (doc_id, text_hash, root), one per row of ``docs``; root names the group of texts that links of the similarity connect.
+
+    The similarity is the Jaccard coefficient of the sets of ``width``-word
+    shingles; every link is verified on the sets themselves. Texts that share
+    a band of minima are candidates; candidates are connected first, so that a
+    shingle set moves once and not with every band, and then compared group by
+    group. A large group is cut into blocks whose pairs go to different tasks.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    marks = materialize(_marks(plain, width))
+    spread = marks.select("v", F.explode("keys").alias("key"))
+    shared = materialize(spread.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").select("key", "least"))
+    groups = materialize(components(spread.join(shared, "key").select(F.col("v").alias("a"), F.col("least").alias("b"))).withColumnRenamed("root", "party"))
+    chosen = marks.join(groups, "v").groupBy("v", "party").agg(F.min("text_hash").alias("text_hash"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                found = [s.tobytes() for s in _shingles(part.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("party"), pa.array(found, pa.binary())], ["v", "party", "set"])
+
+    texts = plain.join(chosen, "text_hash").select("v", "party", "text").mapInArrow(sets, "v long, party long, set binary")
+    texts = materialize(texts.dropDuplicates(["v"]))
+    blocks = groups.groupBy("party").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    dealt = (
+        texts.join(blocks, "party")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("party", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "set")
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        v = group.column("v").to_numpy()
+        found = _alike(v, [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()], similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    verified = dealt.groupBy("party", "i", "j").applyInArrow(compare, "a long, b long")
+    roots = materialize(components(verified).withColumnRenamed("v", "own").distinct())
+    return marks.join(roots, F.col("v") == F.col("own"), "left").select("doc_id", "text_hash", F.coalesce("root", "v").alias("root"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group of ``similar_texts`` one row stays.
 
     It is the row of the smallest id (null ids last), then of the smallest text
     hash; of rows equal in both one. The decision is made on (id, hash, group)
     alone; the texts move once, to meet it.
     """
-    groups = near_duplicates(docs, id_col, text_col, radius)
-    # A group's name may be null (null ids only), so groups are told apart by their fingerprints' root.
+    groups = similar_texts(docs, id_col, text_col, similarity)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
     # Plain keys (a null id is 0 and a flag), so that the join's partitioning serves the last step too.
     key = fresh(docs, "_id", "_none", "_text_hash")
