@@ -9,6 +9,9 @@ or more, so at depth ``min_lines`` the ranks are the LCP intervals that hold
 the repeated runs, and sorting deeper would not change them. In each interval
 the earliest suffix is the original; every other one is a later copy, and the
 lines a copy covers (united over its suffixes: the maximal run) are deleted.
+With ``min_words`` a later copy of a single line that has so many words is a
+repeated run too, wherever it stands; the pipeline runs so, while the query
+op1 deletes what its SQL does.
 
 A suffix whose rank nobody shares, or whose prefix meets the terminator, has
 no common prefix of that depth with any other; it leaves, so rounds shrink.
@@ -29,19 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, fresh, global_rank, materialize, table
+from .common import BLANK, WORD, fresh, global_rank, materialize, table
 
 #: Lines that a run needs to count as repeated.
 MIN_LINES = 2
+#: Words that make a run of a single line count in the pipeline: above the sentences that recur in prose, below a licence line or passage.
+MIN_WORDS = 20
 
 
-def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, text_hash, seq, line, name): the lines that are not blank; name is a digest of the line."""
+def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """Rows (doc_id, text_hash, seq, line, name): the lines that are not blank; name is a digest of the line.
+
+    With ``min_words`` also ``wordy``: whether the line has so many words.
+    """
+    wordy = (lambda x: [x.rlike(f"^{BLANK}*+(?:{WORD}+{BLANK}++){{{min_words - 1}}}{WORD}").alias("wordy")]) if min_words else lambda x: []
+    more = ["wordy"] if min_words else []
     lines = F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     solid = F.filter(lines, lambda s: ~s["x"].rlike(f"^{BLANK}*$"))
-    named = F.transform(solid, lambda s: F.struct(s["line"].alias("line"), F.unhex(F.md5(s["x"])).alias("name")))
+    named = F.transform(solid, lambda s: F.struct(s["line"].alias("line"), F.unhex(F.md5(s["x"])).alias("name"), *wordy(s["x"])))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), named.alias("lines"))
-    return keyed.select("doc_id", "text_hash", F.posexplode("lines").alias("seq", "s")).select("doc_id", "text_hash", "seq", "s.line", "s.name")
+    return keyed.select("doc_id", "text_hash", F.posexplode("lines").alias("seq", "s")).select("doc_id", "text_hash", "seq", "s.line", "s.name", *(f"s.{c}" for c in more))
 
 
 def _rank(suffixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,27 +72,31 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     return cur
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """Rows (doc_id, text_hash, lines): the line numbers that later copies cover; a null doc_id is the largest long."""
-    lines = line_ids(docs, id_col, text_col)
+    lines = line_ids(docs, id_col, text_col, min_words)
     lines = materialize(lines.distinct())  # rows equal in doc_id and text are one document
-    ranks = suffix_ranks(lines, min_lines)
+    ranks = suffix_ranks(lines.drop("wordy"), min_lines)
     place = F.struct("doc_id", "text_hash", "seq")
     # Written first, so that the join below has a plain exchange on either side and splits a frequent line's rows.
     first = materialize(ranks.groupBy("rank").agg(F.min(place).alias("first")))
     later = ranks.join(first, "rank").where(place != F.col("first"))
     covered = later.select("doc_id", "text_hash", F.explode(F.sequence("seq", F.col("seq") + min_lines - 1)).alias("seq")).distinct()
+    if min_words:
+        wordy = lines.where("wordy").select("name", "doc_id", "text_hash", "seq")
+        first = materialize(wordy.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
+        covered = covered.union(wordy.join(first, "name").where(place != F.col("first")).select("doc_id", "text_hash", "seq")).distinct()
     return covered.join(lines.select("doc_id", "text_hash", "seq", "line"), ["doc_id", "text_hash", "seq"]).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """``docs`` with the lines of later copies deleted from ``text_col``; all rows and columns stay.
 
     Two columns are added, ``_n_lines`` and ``_n_removed`` (with a further
     underscore where ``docs`` has such a column).
     """
     own_id, own_hash, own_lines, n_lines, n_removed = fresh(docs, "_id", "_hash", "_lines", "_n_lines", "_n_removed")
-    removed = repeated_runs(docs, id_col, text_col, min_lines)
+    removed = repeated_runs(docs, id_col, text_col, min_lines, min_words)
     removed = removed.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("lines").alias(own_lines))
     at = docs.columns.index(text_col)
     same = (F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)) == removed[own_id]) & (F.xxhash64(docs[text_col]) == removed[own_hash])
