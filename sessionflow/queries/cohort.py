@@ -302,7 +302,10 @@ def effect(spark, sf_dir):
 
 
 def permutation(spark, sf_dir):
-    return calendar.permutation_test(cohort_days(spark, sf_dir), "metric", "CPI_today", "Control", 200)
+    """Over the days and prices of all orders; no SQL fixes this query to those of ``cohort_days``."""
+    price = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("metric"))
+    days = calendar.event_cohorts(price, calendar.event_links(price.select("date"), news_rows(spark, sf_dir)))
+    return calendar.permutation_test(days, "metric", "CPI_today", "Control")
 
 
 _COHORT_CTE = f"{_NEWS}, pr AS (SELECT o_orderdate::DATE AS date, avg(o_totalprice) AS metric FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), co AS (SELECT pr.date, metric, CASE WHEN count(*) FILTER (WHERE relation = 'today' AND event_type = 'CPI') > 0 THEN 'CPI_today' WHEN count(*) FILTER (WHERE relation <> 'today' AND event_type = 'CPI') > 0 THEN 'CPI_next_premarket' ELSE 'Control' END AS cohort FROM pr LEFT JOIN links ON links.date = pr.date GROUP BY 1, 2)"
