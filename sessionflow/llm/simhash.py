@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The distinct word shingles of each text, as sorted names; a text of fewer words has one shingle of them all, an empty one none."""
-    words = Words(pc.ascii_lower(texts.cast(pa.large_string())))
+    # Copied first: lower-casing a slice in place of a whole array loses the slice's offset.
+    words = Words(pc.ascii_lower(pa.array(texts.to_pylist(), pa.large_string())))
     names, first = words.names(), words.first
     k = np.minimum(width, np.diff(first))
     count = np.where(k > 0, np.diff(first) - k + 1, 0)
@@ -211,16 +212,19 @@ def _alike(v: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tup
     """
     label, out = np.arange(len(v)), []
     size = np.array([len(s) for s in sets])
+    values, at = np.concatenate(sets), np.cumsum([0, *size[:-1]])
     low = _minima(sets) if len(sets) > 8 else None
     for i in range(len(v)):
         near = (np.arange(len(v)) > i) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
         if low is not None:
             near &= (low == low[i]).mean(axis=1) >= similarity - 0.2
-        for j in np.flatnonzero(near):
-            if label[i] == label[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (size[i] + size[j] - both) - 1e-6:
+        near &= label != label[i]
+        if not near.any():
+            continue
+        own = sets[i]
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, values), size[i] - 1)] == values, at, dtype=np.int64)
+        for j in np.flatnonzero(near & (both >= similarity * (size[i] + size - both) - 1e-6)):
+            if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 out.append((int(v[i]), int(v[j])))
     return out

@@ -55,3 +55,9 @@ def test_large_group_and_test_table(spark, sf):
     rows = many + [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in kept} == brute_firsts(rows) and len(kept) == len(brute_firsts(rows))
+
+
+def test_slices_of_a_batch_have_the_same_shingles():
+    texts = simhash.pa.array([" ".join([f"{i}w{j}" for j in range(9)]) for i in range(50)])
+    whole, part = simhash._shingles(texts, 5), simhash._shingles(texts.slice(20, 30), 5)
+    assert [s.tolist() for s in part] == [s.tolist() for s in whole[20:]] and all(len(s) == 5 for s in whole)
