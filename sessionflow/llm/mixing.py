@@ -4,18 +4,19 @@ Each source has a weight schedule over training time 0 to 1 (linear between a
 start and an end). Its integral, scaled to the source's target, is the
 source's cumulative token demand. A source's documents lie in a hash order;
 the demand is met by whole passes over that order and a last partial pass, the
-document at the cut being taken in part. A document's training position is the
-time at which its source's demand reaches the middle of what is taken of it
-first, and the mix is range-sorted by position.
+document at the cut being taken in part. Each time that a document is taken is
+a draw with a training position of its own: the time at which its source's
+demand reaches the middle of the draw. ``mix`` returns the documents, ``draws``
+the draws; the mix is range-sorted by position.
 
 Targets: weights 5, 2, 1 repeat over the sources by code point (null last) and
 share 150 % of all sizes. No source gets more than twice its size; what is
 over is shared again by weight among the others until none is above.
 
 Defined cases: a null or empty text has size 0 and nothing is taken of it (its
-position is that of its place); rows that repeat a document are documents of
-their own, ordered by a hash of the text; a null doc_id is ordered first; an
-empty table gives an empty result. Sums per source are built from bucket sums
+position is that of its place and it has no draws); rows that repeat a document
+are documents of their own, ordered by a hash of the text; a null doc_id is
+placed by its text; an empty table gives an empty result. Sums per source are built from bucket sums
 by hash prefix, so no source meets in one task.
 """
 
@@ -65,19 +66,22 @@ def arrival(part: Column, start: Column, end: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedule=SCHEDULE, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, taken, position), one per input row."""
+    """Rows (doc_id, source, size, source_size, target, taken, position, draws), one per input row.
+
+    draws are structs (pass from 0, words, position) in order of position, which is that of the first.
+    """
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("place"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(""))).alias("place"),
         F.xxhash64(F.col(text_col)).alias("text_hash"),
     )
     sized = materialize(sized)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialize(targets(sizes, weights, share, most)).select(F.col("source").alias("to"), "rank", "source_size", "target")
-    digits = 1
-    while 16**digits * BUCKET_ROWS < sized.count() and digits < 8:
+    n, digits = sized.count(), 1
+    while 16**digits * BUCKET_ROWS < n and digits < 8:
         digits += 1
     sized = sized.withColumn("bucket", F.substring("place", 1, digits))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -94,22 +98,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     cut = goal - passes * F.col("source_size")
     last = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), cut - F.col("at")))
-    middle = F.col("at") + F.when(passes > 0, F.col("size")).otherwise(last) / 2
-    part = F.when(goal > 0, F.least(F.lit(1.0), middle / goal)).otherwise(F.lit(0.0))
     start, end = (pick(F.col("rank"), tuple(s[i] for s in schedule)) for i in (0, 1))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + last).alias("taken"), arrival(part, start, end).alias("position"))
+
+    def time(before: Column, words: Column) -> Column:
+        return arrival(F.when(goal > 0, F.least(F.lit(1.0), (before + words / 2) / goal)).otherwise(F.lit(0.0)), start, end)
+
+    def draw(number: Column, words: Column) -> Column:
+        return F.struct(number.cast("int").alias("pass"), words.alias("words"), time(number * F.col("source_size") + F.col("at"), words).alias("position"))
+
+    some = F.col("size") > 0
+    whole = F.when(some & (passes > 0), F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), lambda p: draw(p, F.col("size"))))
+    rest = F.when(last > 0, F.array(draw(passes, last)))
+    none = F.array().cast("array<struct<pass:int,words:bigint,position:double>>")
+    first = time(F.col("at"), F.when(passes > 0, F.col("size")).otherwise(last))
+    return placed.select(
+        "doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + last).alias("taken"), first.alias("position"), F.concat(F.coalesce(whole, none), F.coalesce(rest, none)).alias("draws")
+    )
+
+
+def draws(mixed: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, taken, position, pass), one per draw of ``mix``; taken are the draw's words."""
+    each = mixed.select("doc_id", "source", "size", "source_size", "target", F.explode("draws").alias("draw"))
+    return each.select("doc_id", "source", "size", "source_size", "target", F.col("draw.words").alias("taken"), "draw.position", "draw.pass")
 
 
 def op2_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in the order of their first draw; next_position is that of the second, null if there is none."""
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", F.get("draws", F.lit(1))["position"].alias("next_position")).orderBy("position", "doc_id")
 
 
 def sql(docs: str = "documents") -> str:
     """DuckDB SQL for the mix of a table (doc_id, text, source)."""
     return f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS place
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS place
   FROM {docs}
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source
@@ -131,15 +154,18 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM placed
 ), taken AS (
   SELECT *, least(size, greatest(0, goal - passes * source_size - ahead)) AS last FROM cut
-), timed AS (
-  SELECT *, CASE WHEN goal > 0 THEN least(1.0::DOUBLE, (ahead + (CASE WHEN passes > 0 THEN size ELSE last END)::DOUBLE / 2) / goal) ELSE 0 END AS part,
+), drawn AS (
+  SELECT *, (ahead + (CASE WHEN passes > 0 THEN size ELSE last END)::DOUBLE / 2) AS middle,
+    CASE WHEN size > 0 AND passes > 1 THEN source_size + ahead + size::DOUBLE / 2 WHEN passes = 1 AND last > 0 THEN source_size + ahead + last::DOUBLE / 2 END AS next_middle,
     CASE rank % 3 WHEN 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w0, CASE rank % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 4.0::DOUBLE END AS w1
   FROM taken
 ), area AS (
-  SELECT *, part * (w0 + w1) / 2 AS a FROM timed
+  SELECT *, CASE WHEN goal > 0 THEN least(1.0::DOUBLE, middle / goal) ELSE 0 END * (w0 + w1) / 2 AS a,
+    CASE WHEN next_middle IS NOT NULL THEN least(1.0::DOUBLE, next_middle / goal) END * (w0 + w1) / 2 AS b
+  FROM drawn
 )
 SELECT doc_id, size, source_size, target, (passes * size + last)::BIGINT AS taken,
-  (a * 2) / (w0 + sqrt(w0 * w0 + (w1 - w0) * 2 * a)) AS position
+  (a * 2) / (w0 + sqrt(w0 * w0 + (w1 - w0) * 2 * a)) AS position, (b * 2) / (w0 + sqrt(w0 * w0 + (w1 - w0) * 2 * b)) AS next_position
 FROM area"""
 
 

@@ -57,3 +57,30 @@ def test_positions_follow_the_schedule(spark):
     placed = mixing.mix(spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")).where("taken > 0").collect()
     mean = {s: sum(r["position"] for r in placed if r["source"] == s) / sum(1 for r in placed if r["source"] == s) for s in ("a", "c")}
     assert mean["a"] < 0.5 < mean["c"]
+
+
+def test_every_draw_has_a_position(spark):
+    """Words per tenth of training and source meet the integrated schedule within one document."""
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(4000)], "doc_id long, text string, source string")
+    mixed = mixing.mix(df)
+    by_doc = defaultdict(list)
+    for r in mixing.draws(mixed).collect():
+        by_doc[r["doc_id"]].append(r)
+    rows = mixed.collect()
+    for r in rows:
+        own = sorted(by_doc[r["doc_id"]], key=lambda d: d["pass"])
+        assert sum(d["taken"] for d in own) == r["taken"] and all(0 < d["taken"] <= r["size"] for d in own)
+        assert [d["position"] for d in own] == sorted(d["position"] for d in own) and (not own or own[0]["position"] == r["position"])
+    assert max(map(len, by_doc.values())) == 2
+    targets = {r["source"]: r["target"] for r in rows}
+    for n, s in enumerate(sorted(targets)):
+        start, end = mixing.SCHEDULE[n % 3]
+        for tenth in range(1, 11):
+            t = tenth / 10
+            want = targets[s] * (start * t + (end - start) * t * t / 2) / ((start + end) / 2)
+            assert sum(d["taken"] for own in by_doc.values() for d in own if d["source"] == s and d["position"] <= t) == pytest.approx(want, abs=8)
+
+
+def test_null_ids_are_placed_by_their_texts(spark):
+    df = spark.createDataFrame([(None, f"w{i} x", "a") for i in range(50)], "doc_id long, text string, source string")
+    assert len({r["position"] for r in mixing.mix(df).collect()}) == 50

@@ -68,3 +68,25 @@ def test_ledger_scans_only_what_is_new(spark):
 def test_empty(spark):
     versions = secrets.addressed(spark.createDataFrame([], "path long, text string"))
     assert secrets.findings_by_path(versions, secrets.scan_unseen(versions)).collect() == []
+
+
+def test_a_pair_appended_twice_counts_once(spark):
+    versions = secrets.addressed(spark.createDataFrame([("a", TEXTS[3])], "path string, text string"))
+    ledger = secrets.scan_unseen(versions)
+    assert secrets.findings_by_path(versions, ledger.union(ledger)).count() == 1
+
+
+def test_query_delivers_to_a_ledger(spark, sf):
+    """Every document comes back once, with the findings of a scan of its own; what both deliveries hold is scanned once."""
+    scanned = []
+    real = secrets.scan_unseen
+    secrets.scan_unseen = lambda v, ledger=None, rule_version=secrets.RULE_VERSION: scanned.append((v, ledger)) or real(v, ledger, rule_version)
+    try:
+        got = {r["doc_id"]: r["spans"] for r in secrets.op5_blob_ledger(spark, sf).collect()}
+    finally:
+        secrets.scan_unseen = real
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got == {i: ",".join(f"{k}:{s}:{e}" for k, s, e in secrets.find(t or "")) for i, t in texts.items()}
+    assert [ledger is None for _, ledger in scanned] == [True, False]
+    (_, _), (second, ledger) = scanned
+    assert 0 < real(second, ledger).count() < len(set(texts.values()))
