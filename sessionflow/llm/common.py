@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (local runs, tests) a temporary
-    folder is taken and set, so that later calls agree.
+    Only where a local session does not name one (tests) a temporary folder is
+    taken and set, so that later calls agree; on a cluster that is an error,
+    as executors would write to disks of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir() or path
@@ -126,9 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so invertible modulo 2**64
+_JOIN = np.uint64(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,25 +143,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+def phrases(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A name for the ``length`` symbols from each on, as far as there are so many.
 
-
-def _power(base: int, inverse: bool, n: int) -> np.ndarray:
-    have = _powers.get((base, inverse))
-    if have is None or len(have) < n:
-        b = pow(int(_BASE[base]), -1, 1 << 64) if inverse else int(_BASE[base])
-        steps = np.full(max(n, 1 << 16), b, np.uint64)
-        steps[0] = 1
-        have = _powers[base, inverse] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """A name for each slice values[starts:ends], equal for equal slices."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power(base, False, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(base, True, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    Phrases of 1, 2, 4, ... symbols are joined, each time by a mixing that is
+    not linear, so no arithmetic relation between symbols makes names collide.
+    """
+    out, done, block, size = None, 0, symbols, 1
+    while True:
+        if length & size:
+            out = block if out is None else mix(out[: max(0, len(symbols) - done - size + 1)] * _JOIN + block[done:])
+            done += size
+        size *= 2
+        if size > length:
+            return out
+        half = size // 2
+        block = mix(block[: max(0, len(symbols) - size + 1)] * _JOIN + block[half:])
 
 
 class Words:
@@ -187,8 +187,23 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
-    def names(self, base: int = 0) -> np.ndarray:
-        return rolling(_BYTE[base][self.data], self.starts, self.ends, base)
+    def names(self) -> np.ndarray:
+        """XXH3 of each word, computed once for each distinct word."""
+        sizes = self.ends - self.starts
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[~_SEP[self.data]])])
+        coded = packed.dictionary_encode()
+        distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        return distinct[coded.indices.to_numpy()] if len(sizes) else np.zeros(0, np.uint64)
+
+    def sequences(self) -> tuple[bytes, np.ndarray]:
+        """All words, each followed by a space, and where each begins (one more entry than words)."""
+        sizes = self.ends - self.starts
+        at = np.concatenate([[0], np.cumsum(sizes + 1)])
+        solid = self.data[~_SEP[self.data]]
+        out = np.full(at[-1], 0x20, np.uint8)
+        out[np.arange(len(solid)) + np.repeat(np.arange(len(sizes)), sizes)] = solid
+        return out.tobytes(), at
 
 
 def slices(table_: pa.Table | pa.RecordBatch, text: str, most_bytes: int = 2 << 20):

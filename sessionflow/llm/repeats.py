@@ -11,13 +11,19 @@ left to choose from; a phrase of them is the window's signature.
 
 Spark then shuffles: (1) signatures, combined per block of documents, show
 which occur in several documents; (2) only windows behind shared signatures
-send a 95-bit name, which yields the smallest document with that very window;
+send their name, which yields the smallest document with that very window;
 (3) each block marks the words its later windows cover. Each exchange carries
 packed arrays by (block, bucket) and a document's text is moved once.
 
+A window's name is a 64-bit hash of its words' XXH3 and, to verify it, 63 bits
+of the SHA-256 of the words themselves; both must agree. Words of any length
+and form are told apart, also those made to collide in a polynomial hash.
+
 Defined cases: a null or empty text has no words; repeated doc_ids compare as
 equal (neither is smaller); a row with a null ``doc_id`` takes no part and
-keeps all words; an empty table gives an empty result.
+keeps all words, and is answered where it is read; an empty table gives an
+empty result. A group of tasks' memory holds one block of documents, of about
+``BLOCK_CHARS`` characters or one document if that is longer.
 """
 
 from __future__ import annotations
@@ -31,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, rolling, slices, table
+from .common import Words, mix, phrases, slices, table
 
 WIDTH = 13
 #: Symbols of a signature's phrase, symbols that a window must determine to use a level, words of a phrase below all levels.
 PHRASE, CHOICE, WORDS = 3, 5, 6
 #: Characters of text behind the signatures of one row of an exchange.
 BLOB_CHARS = 2400
+#: Characters of text that a block of documents holds at most, on average.
+BLOCK_CHARS = 64 << 20
 _LEFT, _PAIR, _RUN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _U = np.uint64
 
@@ -69,18 +77,9 @@ def compress_pairs(sym: np.ndarray, doc: np.ndarray, round_: int) -> tuple[np.nd
     return out[keep], doc[keep], np.cumsum(keep) - 1, left
 
 
-def _phrases(sym: np.ndarray, length: int) -> np.ndarray:
-    """The name of the ``length`` symbols from each on (cut at the end)."""
-    each = mix(sym)
-    out, n = each.copy(), len(sym)
-    for k in range(1, min(length, n)):
-        out = mix(out[: n - k] * _PAIR + each[k : k + len(out[: n - k])])
-    return out
-
-
 def _least(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
     """The smallest name of a phrase of ``length`` symbols in each span."""
-    names = _phrases(sym, length)
+    names = phrases(mix(sym), length)
     best = names[lo]
     for k in range(1, int((hi - lo).max(initial=1)) - length + 1):
         inside = np.flatnonzero(lo + k + length <= hi)
@@ -198,10 +197,14 @@ def _shared(packs: pa.Table) -> pa.Table:
     return pa.table({"block": packs.column("block"), "sig": pa.array(kept, pa.binary())})
 
 
-def _names(words: Words, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 95-bit name of each window: 64 bits, and 31 bits of another hash above a free bit."""
-    second = rolling(words.names(1), starts, starts + width, 1)
-    return rolling(words.names(), starts, starts + width), (second >> _U(33)).astype(np.uint32) << np.uint32(1)
+def _verified(words: Words, starts: np.ndarray, width: int) -> np.ndarray:
+    """63 bits of the SHA-256 of each window's words, above a free bit."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    data, at = words.sequences()
+    text, sha = memoryview(data), hashlib.sha256
+    digests = b"".join([sha(text[s:e]).digest()[:8] for s, e in zip(at[starts].tolist(), (at[starts + width] - 1).tolist())])
+    return np.frombuffer(digests, ">u8").astype(_U) << _U(1)
 
 
 def _named(docs: pa.Table, shared: pa.Table, width: int, buckets: int) -> pa.Table:
@@ -213,21 +216,22 @@ def _named(docs: pa.Table, shared: pa.Table, width: int, buckets: int) -> pa.Tab
     for part, ids, valid in _parts(docs) if docs.num_rows and len(known) else ():
         words = Words(part.column("text"))
         starts = window_starts(words.doc, width)
-        sig = signatures(words.names(), words.doc, starts, width) >> _U(1)
+        names = words.names()
+        sig = signatures(names, words.doc, starts, width) >> _U(1)
         at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
         starts = starts[(known[at] == sig) & valid[words.doc[starts]]]
-        keys, least, most = _by_key(list(_names(words, starts, width)), ids[words.doc[starts]], ids[words.doc[starts]])
+        keys, least, most = _by_key([phrases(names, width)[starts], _verified(words, starts, width)], ids[words.doc[starts]], ids[words.doc[starts]])
         found += [(keys, least), (keys, most)]
-    (k0, k1), least, most = _collect(found, [_U, np.uint32])
-    return _packs(docs.column("block")[0].as_py() if docs.num_rows else 0, buckets, {"k0": k0, "k1": k1 | (least < most), "ids": least})
+    (k0, k1), least, most = _collect(found, [_U, _U])
+    return _packs(docs.column("block")[0].as_py() if docs.num_rows else 0, buckets, {"k0": k0, "k1": k1 | (least < most).astype(_U), "ids": least})
 
 
 def _later(packs: pa.Table) -> pa.Table:
     """Returned to each block: windows that a smaller document elsewhere has, and those that its own smallest document began."""
-    k0, flagged = _read(packs.column("k0"), _U), _read(packs.column("k1"), np.uint32)
+    k0, flagged = _read(packs.column("k0"), _U), _read(packs.column("k1"), _U)
     sizes = [len(x) // 8 for x in packs.column("k0").to_pylist()]
     least = np.concatenate([np.zeros(0, np.int64)] + [(np.frombuffer(x, f"u{len(x) // n}").astype(_U) + _U(b % (1 << 64))).astype(np.int64) for x, b, n in zip(packs.column("ids").to_pylist(), packs.column("base").to_pylist(), sizes) if n])
-    k1, several = flagged & ~np.uint32(1), (flagged & 1).astype(bool)
+    k1, several = flagged & ~_U(1), (flagged & _U(1)).astype(bool)
     order = np.lexsort([k1, k0])
     first = np.empty(len(order), np.int64)
     if len(order):
@@ -241,12 +245,15 @@ def _later(packs: pa.Table) -> pa.Table:
     return pa.table({"block": packs.column("block")} | {n: pa.array([r[j] for r in rows], pa.binary()) for j, n in enumerate(("k0", "k1", "own0", "own1", "least"))})
 
 
+_NONE = pa.schema([(n, pa.binary()) for n in ("k0", "k1", "own0", "own1", "least")]).empty_table()
+
+
 def _cut(docs: pa.Table, known: pa.Table, width: int) -> pa.Table:
     """Each row with its number of words, how many are removed and the words kept."""
     lowest = np.iinfo(np.int64).min  # a smaller document is elsewhere: every window here is later
     own = _read(known.column("least"), np.int64)
     a = np.concatenate([_read(known.column("k0"), _U), _read(known.column("own0"), _U)])
-    b = np.concatenate([_read(known.column("k1"), np.uint32), _read(known.column("own1"), np.uint32)])
+    b = np.concatenate([_read(known.column("k1"), _U), _read(known.column("own1"), _U)])
     low = np.concatenate([np.full(len(a) - len(own), lowest), own])
     order = np.argsort(a, kind="stable")
     a, b, low = a[order], b[order], low[order]
@@ -257,10 +264,11 @@ def _cut(docs: pa.Table, known: pa.Table, width: int) -> pa.Table:
         cover = np.zeros(len(words.doc) + 1, np.int32)
         if len(a):
             starts = window_starts(words.doc, width)
-            k0, k1 = _names(words, starts, width)
+            k0 = phrases(words.names(), width)[starts]
             at = np.searchsorted(a, k0)
             hit = (a[np.minimum(at, len(a) - 1)] == k0) & valid[words.doc[starts]]
-            starts, k0, k1, at = starts[hit], k0[hit], k1[hit], at[hit]
+            starts, k0, at = starts[hit], k0[hit], at[hit]
+            k1 = _verified(words, starts, width)
             late = np.zeros(len(at), bool)
             for k in range(most_same):  # names that agree in the first 64 bits only
                 i = np.minimum(at + k, len(a) - 1)
@@ -292,22 +300,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the text as ``kept_sha256`` instead. ``blocks`` is the number of document
     groups and of key buckets. An exchange has up to ``blocks`` squared rows, so
     by default it grows with the root of the text: a row holds a hundred
-    signatures or so at any size.
+    signatures or so up to 2 TB of text. Beyond, blocks stay at ``BLOCK_CHARS``
+    and rows get shorter, as a block's memory matters more than a row's head.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    unnamed = docs.where("doc_id is null")
     if blocks is None:
         chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-        blocks = max(1, math.ceil(math.sqrt(chars / BLOB_CHARS)))
+        blocks = max(1, math.ceil(math.sqrt(chars / BLOB_CHARS)), math.ceil(chars / BLOCK_CHARS))
     buckets = blocks
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    docs = docs.where("doc_id is not null").withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
     signed = docs.groupBy("block").applyInArrow(lambda t: _signed(t, width, buckets), SIGNED)
     shared = signed.groupBy("bucket").applyInArrow(_shared, SHARED)
     named = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda d, s: _named(d, s, width, buckets), NAMED)
     later = named.groupBy("bucket").applyInArrow(_later, LATER)
-    both = docs.groupBy("block").cogroup(later.groupBy("block"))
-    if digest:
-        return both.applyInArrow(lambda d, k: _digest(_cut(d, k, width)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return both.applyInArrow(lambda d, k: _cut(d, k, width), "doc_id long, n_words long, n_removed long, kept binary").select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
+    out, kind = (_digest, "kept_sha256 string") if digest else (lambda t: t, "kept binary")
+    cut = docs.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(lambda d, k: out(_cut(d, k, width)), f"doc_id long, n_words long, n_removed long, {kind}")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from out(_cut(pa.Table.from_batches([batch]), _NONE, width)).to_batches()
+
+    cut = cut.union(unnamed.mapInArrow(whole, cut.schema))
+    return cut if digest else cut.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
 
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

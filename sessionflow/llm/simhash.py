@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, fresh, materialize, mix, rolling, slices, table
+from .common import Words, components, fresh, materialize, mix, phrases, slices, table
 
 BITS = 64
 #: Members of a bucket that are compared in one block; larger buckets are cut into block pairs.
@@ -163,12 +163,12 @@ def _shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
     # Copied first: lower-casing a slice in place of a whole array loses the slice's offset.
     words = Words(pc.ascii_lower(pa.array(texts.to_pylist(), pa.large_string())))
     names, first = words.names(), words.first
-    k = np.minimum(width, np.diff(first))
-    count = np.where(k > 0, np.diff(first) - k + 1, 0)
-    at = np.concatenate([[0], np.cumsum(count)])
-    starts = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], count)
-    hashes = rolling(names, starts, starts + np.repeat(k, count), 1)
-    return [np.unique(hashes[s:e]) for s, e in zip(at[:-1], at[1:])]
+    n = np.diff(first)
+    wide, out = phrases(names, width), []
+    for s, m in zip(first[:-1].tolist(), n.tolist()):
+        # A text of fewer words has one shingle of them all; its length keeps it apart from those of full width.
+        out.append(np.unique(wide[s : s + m - width + 1]) if m >= width else mix(phrases(names[s : s + m], m) + np.uint64(m)) if m else wide[:0])
+    return out
 
 
 def _minima(sets: list[np.ndarray]) -> np.ndarray:

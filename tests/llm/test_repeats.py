@@ -73,3 +73,49 @@ def test_a_window_has_one_signature_everywhere(window, a, b, c):
         starts = repeats.window_starts(doc, 13)
         found.add(int(repeats.signatures(sym, doc, starts, 13)[len(before)]))
     assert len(found) == 1
+
+
+def thue_morse(n, flip=False):
+    """Words over two letters on which every polynomial hash modulo a power of two collides with the complement."""
+    return "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(n))
+
+
+OTHERS = " ".join(f"o{i}" for i in range(12))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_made_to_collide_stay(spark, n):
+    rows = [(1, f"{thue_morse(n)} {OTHERS}"), (2, f"{thue_morse(n, True)} {OTHERS}"), (3, f"{thue_morse(n)} {OTHERS} end")]
+    assert [r[2] for r in sorted(run(spark, rows, blocks=1))] == [0, 0, 13]
+    assert sorted(run(spark, rows)) == sorted(brute(rows))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 7), st.booleans(), st.integers(8, 11)), min_size=2, max_size=6))
+def test_adversarial_long_words(parts):
+    """Documents of one long word, built of Thue-Morse blocks, and twelve others: names agree only where words do."""
+    import pyarrow as pa
+
+    words = ["x" * k + thue_morse(1 << e, flip) + "y" * k for k, flip, e in parts]
+    docs = pa.table({"doc_id": pa.array(range(len(words)), pa.int64()), "text": [f"{w} {OTHERS}" for w in words], "block": pa.array([0] * len(words), pa.int32())})
+    shared = repeats._shared(repeats._signed(docs, 13, 1))
+    later = repeats._later(repeats._named(docs, shared, 13, 1))
+    removed = repeats._cut(docs, later, 13).column("n_removed").to_pylist()
+    assert removed == [13 if w in words[:i] else 0 for i, w in enumerate(words)]
+
+
+def test_sequences_decide_where_names_agree(spark, monkeypatch):
+    """Even if every window had one name, the SHA-256 of its words would tell windows apart."""
+    import pyarrow as pa
+
+    rows = [(1, f"a {OTHERS}"), (2, f"b {OTHERS}"), (3, f"a {OTHERS}")]
+    docs = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows], "block": pa.array([0] * 3, pa.int32())})
+    monkeypatch.setattr(repeats.Words, "names", lambda self: np.ones(len(self.starts), np.uint64))
+    later = repeats._later(repeats._named(docs, repeats._shared(repeats._signed(docs, 13, 1)), 13, 1))
+    assert repeats._cut(docs, later, 13).column("n_removed").to_pylist() == [0, 0, 13]
+
+
+def test_null_ids_take_no_part_however_many(spark):
+    rows = [(None, SHARED)] * 300 + [(1, SHARED), (2, SHARED)]
+    got = run(spark, rows)
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
