@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -52,3 +54,48 @@ def test_sql_says_the_same(spark, sf, k):
     want = dict(c.execute(lines.sql(min_lines=k, select="SELECT doc_id, text FROM kept")).fetchall())
     got = lines.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), min_lines=k).collect()
     assert {r["doc_id"]: r["text"] for r in got} == want
+
+
+def brute_runs(rows, k):
+    """(id, line, length, original id, original line) of maximal repeated runs of k lines or more."""
+    docs = sorted({(i is None, i or 0, t) for i, t in rows if t is not None}, key=lambda d: d[:2])
+    seqs = [[(n, x) for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\v\f\r")] for _, _, t in docs]
+    places = [(d, j) for d, s in enumerate(seqs) for j in range(len(s))]
+
+    def common(a, b):
+        (d, i), (e, j), n = a, b, 0
+        while i + n < len(seqs[d]) and j + n < len(seqs[e]) and seqs[d][i + n][1] == seqs[e][j + n][1]:
+            n += 1
+        return n
+
+    out, last = set(), (None, 0, 0)
+    for at, p in enumerate(places):
+        found = [(common(p, q), -b) for b, q in enumerate(places[:at])]
+        length, b = max(found, default=(0, 0))
+        if length >= k and not (last[0] == p[0] and last[1] == p[1] - 1 and last[2] > length):
+            (d, i), (e, j) = p, places[-b]
+            ident = lambda x: None if docs[x][0] else docs[x][1]
+            out.add((ident(d), seqs[d][i][0], length, ident(e), seqs[e][j][0]))
+        last = (*p, length)
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_maximal_runs_match_brute_force(spark, k):
+    rng = random.Random(k)
+    rows = [(1, f"head\n{RUN}\ntail"), (2, f"{RUN}\nother\n{RUN}"), (7, "same\n" * 9), (12, "\n".join(f"l{i}" for i in range(70))), (13, "x\n" + "\n\n".join(f"l{i}" for i in range(5, 64)) + "\ny"), (None, f"x\n{RUN}"), (14, None), (15, "")]
+    rows += [(20 + i, "\n".join(rng.choice("abc") for _ in range(rng.randrange(25)))) for i in range(12)]
+    got = lines.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=k).collect()
+    assert {(r["doc_id"], r["line"], r["length"], r["original_id"], r["original_line"]) for r in got} == brute_runs(rows, k) and len(got) == len(brute_runs(rows, k))
+
+
+def test_ranks_are_the_order_of_suffixes(spark):
+    rows = [(1, "b\na\nb\na\nb\nc"), (2, "a\nb\na\nb"), (3, "c\nb\na")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lines.line_ids(df).collect()
+    name = {(r["doc_id"], r["seq"]): bytes(r["name"]) for r in ids}
+    for k, level in enumerate(lines.suffix_ranks(lines.line_ids(df))):
+        got = level.collect()
+        keys = {(r["doc_id"], r["seq"]): tuple(name[r["doc_id"], r["seq"] + j] for j in range(1 << k)) for r in got}
+        order = sorted(set(keys.values()))
+        assert all(r["rank"] == order.index(keys[r["doc_id"], r["seq"]]) for r in got)

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 import corpus_pipeline as pipeline
 from sessionflow.llm import decontaminate, lines, mixing, quality, queries, simhash
@@ -30,7 +31,7 @@ def line_runs(spark, sf, before, after):
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?)", [(i, r["text"]) for i, r in before.items()])
-    want = dict(c.execute(lines.sql(select="SELECT doc_id, text FROM kept")).fetchall())
+    want = dict(c.execute(lines.sql(min_words=lines.MIN_WORDS, select="SELECT doc_id, text FROM kept")).fetchall())
     assert {r["doc_id"]: r["text"] for r in after} == want
     assert all(r["n_chars"] == len(r["text"]) for r in after if r["text"] != before[r["doc_id"]]["text"])
 
@@ -50,8 +51,12 @@ def mixed(spark, sf, before, after):
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, r["text"], r["source"]) for i, r in before.items()])
-    want = {r[0]: r[4] for r in c.execute(mixing.sql()).fetchall() if r[4]}
-    assert {r["doc_id"]: r["taken"] for r in after} == want
+    want = {r[0]: r[4:] for r in c.execute(mixing.sql()).fetchall() if r[4]}
+    drawn = {}
+    for r in after:  # in the order of training
+        drawn.setdefault(r["doc_id"], []).append(r)
+    assert {i: sum(r["taken"] for r in own) for i, own in drawn.items()} == {i: r[0] for i, r in want.items()}
+    assert all([r["position"] for r in own] == pytest.approx([p for p in want[i][1:] if p is not None]) for i, own in drawn.items()) and max(map(len, drawn.values())) == 2
     assert [r["position"] for r in after] == sorted(r["position"] for r in after)
 
 
