@@ -64,3 +64,50 @@ def test_recall_on_the_table(spark, sf):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = brute(data, {i for i, _ in data}, 5)
     assert sum(len({i for i, _ in v} & got.get(q, set())) for q, v in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_repeated_ids_are_queries_and_candidates_of_their_own(spark):
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 1"), k=3).collect())
+    # Each vector of id 1 has its own list; the other vector of that id is a candidate.
+    assert got == [(1, 1, 2), (1, 1, 3), (1, 2, 2), (1, 2, 3), (1, 3, 1), (1, 3, 1)]
+
+
+def test_magnitudes_do_not_matter(spark):
+    data = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1.0, 1.0]), (3, [1e-200, 1.5e-200]), (4, [-1.0, 5e-324])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(df, df.where("vec_id = 0")).collect()}
+    assert got == pytest.approx({1: 3 / np.sqrt(10), 2: 1.0, 3: 2.5 / np.sqrt(6.5), 4: -1 / np.sqrt(2)})
+
+
+def test_probed_are_the_best_sums():
+    x, axes = np.random.default_rng(2).normal(size=(7, 16)), [16, 4, 2]
+    scores = ann.nearness(x, 1, axes)
+    whole = (scores[0][:, :, None, None] + scores[1][:, None, :, None] + scores[2][:, None, None, :]).reshape(7, -1)
+    found = ann.probed(x, 1, axes, 20)
+    assert np.allclose(np.take_along_axis(whole, found, 1), -np.sort(-whole, axis=1)[:, :20])
+    assert (ann.probed(x, 1, axes, 1)[:, 0] == ann.buckets(x, 1, axes)).all()
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_recall_and_share_as_the_table_grows(spark, chunk):
+    """Recall stays over 0.9 on vectors without clusters while the share of vectors that a query meets falls."""
+    shares = []
+    for n in (2000, 20_000) if chunk == 4096 else (2000,):
+        x = np.random.default_rng(4).normal(size=(n, 32)).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8).cache()
+        got = {}
+        for r in ann.nearest(df, df.where(f"vec_id % {n // 100} = 0"), part=512, chunk=chunk).collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        hit = 0
+        for q, ids in got.items():
+            near = u @ u[q]
+            near[q] = -2
+            hit += len(set(np.argsort(-near)[:5].tolist()) & set(ids))
+        assert len(got) == 100 and hit >= 450
+        classes = df.selectExpr("32 AS dim", "vec_id AS class_id", "cast(embedding AS array<double>) AS v")
+        tables, axes, probes, _ = ann.fit(classes)[32]
+        shares.append(tables * probes / np.prod([2 * a for a in axes]))
+    assert shares == sorted(shares, reverse=True)
