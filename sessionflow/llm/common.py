@@ -165,7 +165,8 @@ class Words:
     """The words of a slice of texts: byte offsets, document index and names.
 
     ``doc`` is the index of a word's text in the slice, ``first`` the index of
-    each text's first word (one more entry than texts).
+    each text's first word and ``offsets`` that of its first byte in ``data``
+    (one more entry than texts).
     """
 
     def __init__(self, texts: pa.Array):
@@ -175,7 +176,7 @@ class Words:
         buf = texts.buffers()[2]
         data = np.frombuffer(buf, np.uint8)[offsets[0] : offsets[-1]] if buf is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        self.data, self.n_docs = data, len(texts)
+        self.data, self.offsets = data, offsets
         solid = ~_SEP[data]
         begin, end = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]

@@ -1,4 +1,5 @@
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
@@ -23,7 +24,7 @@ def test_stages_match_brute_force(spark, sf):
 
 def rejects(spark, sf, before, after):
     model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
-    ok = {i for i, r in before.items() if quality.score_rows(model, quality.np.array([quality.features(r["text"].encode())]))[0] >= 0.7}
+    ok = {i for i, r in before.items() if quality.score_rows(model, quality.features(pa.array([r["text"]])))[0] >= 0.7}
     assert {r["doc_id"] for r in after} == ok and 0 < len(ok) < len(before)
 
 
