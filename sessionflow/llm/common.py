@@ -97,13 +97,14 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (long columns a, b): rows (v, root), root the smallest vertex.
 
     Alternating large-star and small-star steps: every step is a grouped
-    minimum (combined before the shuffle) and a join on the vertex, so a hub
-    with very many links is split by the skew join instead of meeting in one
-    task. Each round is written to the shared folder. Roots map to themselves.
+    minimum (combined before the shuffle), written, and a join of it on the
+    vertex. Written, it has a plain exchange like the links, so the skew join
+    can split a hub with very many links. Each round is written to the shared
+    folder. Roots map to themselves.
     """
 
     def star(both: DataFrame, keep: Column) -> DataFrame:
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         return both.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
     def mark(df: DataFrame) -> tuple[int, int]:
@@ -115,9 +116,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(cur)
     while before[0]:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both, F.col("v") > F.col("u")).where("a <> b").distinct()
+        large = materialize(star(both, F.col("v") > F.col("u")).where("a <> b").distinct())
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(least, "u").select(F.explode(F.array("v", "u")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         cur = materialize(small)
         now = mark(cur)

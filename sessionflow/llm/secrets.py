@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from .common import materialize, shared_dir, slices, table
 
 #: Name of the rule set; a new one makes every blob unseen again.
 RULE_VERSION = "2024-06"
@@ -98,8 +98,11 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_versi
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Rows (path, blob, spans): the ledger's findings at every path that holds the blob, repeated versions included."""
-    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
+    """Rows (path, blob, spans): the ledger's findings at every path that holds the blob, repeated versions included.
+
+    The findings are written first, so that the join has a plain exchange on either side and splits a blob of many paths.
+    """
+    known = materialize(ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans"))
     none = F.array().cast(SPANS)
     return versions.select("path", "blob").join(known, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 

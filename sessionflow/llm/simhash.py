@@ -117,13 +117,16 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
 
     Buckets are counted before anything is gathered. A bucket of at most
     ``block`` members is compared in one place; a larger one is cut into blocks
-    whose pairs go to different tasks. A block pair returns a forest, not its pairs.
+    whose pairs go to different tasks, so n different fingerprints that agree
+    under one mask send n * n / ``block`` rows. A block pair returns a forest,
+    not its pairs.
     """
     spread = distinct.select(
         "fp",
         F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks(radius))])).alias("s"),
     ).select("fp", "s.t", "s.key")
-    full = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # Written, so that the join has a plain exchange on either side and splits a crowded bucket's rows.
+    full = materialize(spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     members = (
         spread.join(full, ["t", "key"])
@@ -154,7 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = materialize(components(links(distinct.select("fp"), radius)))
     placed = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("rep").alias("component_id")).join(placed, "root").select("fp", "root", "component_id")
+    placed = materialize(placed)
+    named = materialize(placed.groupBy("root").agg(F.min("rep").alias("component_id"))).join(placed, "root").select("fp", "root", "component_id")
     return fps.join(named, "fp")
 
 
@@ -254,7 +258,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     texts = plain.join(chosen, "text_hash").select("v", "party", "text").mapInArrow(sets, "v long, party long, set binary")
     texts = materialize(texts.dropDuplicates(["v"]))
-    blocks = groups.groupBy("party").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = materialize(groups.groupBy("party").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
     dealt = (
         texts.join(blocks, "party")

@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 from sessionflow.llm import decontaminate, lines, mixing, quality, queries, simhash
 
 from .test_decontaminate import brute as leaks
-from .test_simhash import brute_components
+from .test_similar import brute_firsts
 
 
 def test_stages_match_brute_force(spark, sf):
@@ -38,8 +38,8 @@ def line_runs(spark, sf, before, after):
 
 
 def one_of_each(spark, sf, before, after):
-    parts = brute_components([(i, r["text"]) for i, r in before.items()])
-    assert {r["doc_id"] for r in after} == {c for _, _, c in parts} and len(after) == len({c for _, _, c in parts})
+    want = brute_firsts([(i, r["text"]) for i, r in before.items()])
+    assert {r["doc_id"] for r in after} == want and len(after) == len(want)
 
 
 def no_leaks(spark, sf, before, after):
