@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import global_rank
+
 ColumnLike = Column | str
 
 
@@ -78,20 +80,26 @@ def rank_quantile(df: DataFrame, by: Sequence[str], value: str, out: str, ties:
     """``out``: label of a value's part of K by ordinal rank, K the least of k, the count and the number of different values.
 
     Labels are ``q1_lowest``, ``q2``, ..., ``qK_highest``; with ``plain`` they
-    are ``q1`` to ``qK``, and ``all`` for a single value.
+    are ``q1`` to ``qK``, and ``all`` for a single value. Without groups the
+    rank is taken by a range partitioning, not in one task.
     """
     here = col(value).isNotNull()
-    part = Window.partitionBy(*by, here)
-    df = df.withColumn("_rank", F.row_number().over(part.orderBy(value, *ties))).withColumn("_dense", F.dense_rank().over(part.orderBy(value)))
-    n, distinct = F.count("*").over(part), F.max("_dense").over(part)
-    df = df.withColumn("_n", n).withColumn("_k", F.least(F.lit(k).cast("long"), n, distinct.cast("long")))
-    bucket = F.least(F.floor((F.col("_rank") - 1) * F.col("_k") / F.col("_n")) + 1, F.col("_k")).cast("int")
+    if by:
+        part = Window.partitionBy(*by, here)
+        df = df.withColumn("_rank", F.row_number().over(part.orderBy(value, *ties))).withColumn("_dense", F.dense_rank().over(part.orderBy(value)))
+        df = df.withColumn("_n", F.count("*").over(part)).withColumn("_distinct", F.max("_dense").over(part)).drop("_dense")
+    else:
+        df = global_rank(df, [value, *ties], "_rank").withColumn("_rank", F.col("_rank") + 1)
+        whole = df.agg(F.count(value).alias("_n"), F.countDistinct(value).alias("_distinct"))
+        df = df.join(F.broadcast(whole), how="cross")  # one row
+    df = df.withColumn("_k", F.least(F.lit(k).cast("long"), F.col("_n"), F.col("_distinct").cast("long")))
+    bucket = F.least(F.floor(F.try_divide((F.col("_rank") - 1) * F.col("_k"), F.col("_n"))) + 1, F.col("_k")).cast("int")
     name = F.concat(F.lit("q"), bucket.cast("string"))
     if plain:
         label = F.when(F.col("_k") == 1, "all").otherwise(name)
     else:
         label = F.when(bucket == 1, "q1_lowest").when(bucket == F.col("_k"), F.concat(name, F.lit("_highest"))).otherwise(name)
-    return df.withColumn(out, F.when(here, label)).drop("_rank", "_dense", "_n", "_k")
+    return df.withColumn(out, F.when(here, label)).drop("_rank", "_distinct", "_n", "_k")
 
 
 def average_rank(by: Sequence[str], value: str) -> Column:

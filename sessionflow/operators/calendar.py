@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from ..functions.tables import materialize
 from ..functions.timecols import EVENT_PATTERNS, ZONE, second_of_day
 
 #: Labels that ``classify_event`` can give.
@@ -82,11 +83,16 @@ def permutation_test(df: DataFrame, metric: str, a: str, b: str, iterations: int
 
     The rows of both cohorts (days, a small table) are repeated per iteration,
     dealt to the first cohort by a seeded hash order, and summed in one pass.
+    A row is known by its cohort, value and place among equals, so nothing is
+    numbered over the whole table and the result doesn't hang on partitions.
     """
-    rows = df.where(F.col(cohort).isin(a, b) & F.col(metric).isNotNull()).select(F.col(metric).cast("double").alias("x"), (F.col(cohort) == a).alias("in_a"))
-    numbered = rows.withColumn("row", F.row_number().over(Window.orderBy("in_a", "x")))
-    n = numbered.agg(F.count_if("in_a").alias("na"), F.count("*").alias("n"), (F.avg(F.when(F.col("in_a"), F.col("x"))) - F.avg(F.when(~F.col("in_a"), F.col("x")))).alias("observed"))
-    dealt = numbered.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("iteration").orderBy(F.xxhash64("iteration", "row", F.lit(seed)))))
-    means = dealt.join(F.broadcast(n), how="cross").groupBy("iteration").agg((F.avg(F.when(F.col("place") <= F.col("na"), F.col("x"))) - F.avg(F.when(F.col("place") > F.col("na"), F.col("x")))).alias("d"), F.max("observed").alias("observed"))
+    x, in_a = F.col(metric).cast("double"), F.col(cohort) == a
+    rows = df.where(F.col(cohort).isin(a, b) & F.col(metric).isNotNull()).groupBy(x.alias("x"), in_a.alias("in_a")).agg(F.count("*").alias("copies"))
+    rows = materialize(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies"))
+    n = rows.agg(F.count_if("in_a").alias("na"), (F.avg(F.when(F.col("in_a"), F.col("x"))) - F.avg(F.when(~F.col("in_a"), F.col("x")))).alias("observed"))
+    dealt = rows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    order = F.xxhash64("iteration", "in_a", "x", "copy", F.lit(seed))
+    dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("iteration").orderBy(order, "in_a", "x", "copy")))
+    first = F.col("place") <= F.col("na")
+    means = dealt.join(F.broadcast(n), how="cross").groupBy("iteration").agg((F.avg(F.when(first, F.col("x"))) - F.avg(F.when(~first, F.col("x")))).alias("d"), F.max("observed").alias("observed"))
     return means.agg(F.max("observed").alias("difference"), ((F.count_if(F.abs("d") >= F.abs("observed")) + 1) / F.lit(iterations + 1)).alias("p_value"))

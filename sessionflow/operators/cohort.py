@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, decile, guarded_corr, pct, quantile_linear, quantile_nearest, ratio, share, sign_or_zero, unpivot
+from ..functions.tables import materialize
 
 
 def pair_long(study: DataFrame, day: str, predictors: Sequence[str], targets: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -66,11 +67,22 @@ def condition_rows(study: DataFrame, day: str, base: str, other: str, predictor:
     return _rates(pair_long(marked, day, [predictor], targets, ["condition"]).groupBy("condition", "predictor", "target").agg(*_pair_aggregates()))
 
 
-def summaries(study: DataFrame, day: str, predictors: Sequence[str], targets: Sequence[str], contexts: Sequence[tuple[str, str, str]] = (), distinct: int = 0) -> DataFrame:
-    """Sign, decile (raw and imbalance), tail and context tables as one ragged table."""
+def predictor_deciles(long: DataFrame, day: str, target: str = "k359") -> DataFrame:
+    """Per decile of a predictor with ten different values or more: how often the target opposes it, and both means."""
+    cut = decile_rows(long.where(F.col("target") == target), day, "x", 10)
+    return cut.select("predictor", "predictor_decile", "n_days", "n_signal_days", "opposite_count", "opposite_rate", "mean_predictor_delta", F.col("mean_target_delta").alias(f"mean_{target}_delta"))
+
+
+def summaries(study: DataFrame, day: str, predictors: Sequence[str], targets: Sequence[str], contexts: Sequence[tuple[str, str, str]] = (), distinct: int = 0, against: str | None = None) -> DataFrame:
+    """Sign, decile (raw and imbalance), tail and context tables as one ragged table; with ``against`` also predictor deciles against that target.
+
+    The study is written first, as every table reads it.
+    """
+    study = materialize(study)
     long = pair_long(study, day, predictors, targets)
     parts = [sign_rows(long).withColumn("summary_type", F.lit("target_sign")), decile_rows(long, day, "x", distinct).withColumn("summary_type", F.lit("target_raw_decile")), decile_rows(long, day, "imb", distinct).withColumn("summary_type", F.lit("target_imbalance_decile")), tail_rows(long).withColumn("summary_type", F.lit("target_tail"))]
     parts += [condition_rows(study, day, a, b, p, targets).withColumn("summary_type", F.lit("context")) for a, b, p in contexts]
+    parts += [predictor_deciles(long, day, against).withColumn("summary_type", F.lit("decile"))] if against else []
     return reduce(lambda a, b: a.unionByName(b, True), parts)
 
 
@@ -90,6 +102,7 @@ def path_summary(paths: DataFrame) -> DataFrame:
 
 def tertiles(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """low / mid / high buckets by linear thirds of each column (column to bucket name)."""
+    df = materialize(df)  # read for the cut points and for the rows
     cuts = df.agg(*(quantile_linear(c, q).alias(f"_{i}_{k}") for i, c in enumerate(columns) for k, q in (("a", 1 / 3), ("b", 2 / 3))))
     df = df.join(F.broadcast(cuts), how="cross")  # one row
     for i, (c, out) in enumerate(columns.items()):

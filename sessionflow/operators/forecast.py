@@ -1,8 +1,9 @@
 """Range forecasting and walk-forward evaluation.
 
-Ridge fits come from grouped Gram sums (one aggregate for all folds or dates);
-only the small normal equations are solved per group, inside tasks. Tree
-models are MLlib's.
+Linear fits come from grouped Gram sums (one aggregate for all folds or
+dates); only the small equations are solved per group, inside tasks. Tree
+models are MLlib's, but for the quantile loss, which it lacks: that is boosted
+per month inside the groups of a grouped map.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, guarded_corr, quantile_linear, ratio, share
+from ..functions.tables import materialize
 from .extremes import _when
 
 QUANTILES = (0.25, 0.5, 0.75)
@@ -107,17 +109,35 @@ def gram(df: DataFrame, by: Sequence[str], features: Sequence[str], target: str)
     return kept.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("sx"), F.array(*products).alias("sxx"), F.array(*(F.sum(F.col(c) * F.col(target)) for c in features)).alias("sxy"), F.sum(target).alias("sy"))
 
 
-def ridge(grams: DataFrame, by: Sequence[str], alpha: float | str = 1.0) -> DataFrame:
+def _elastic(z: np.ndarray, c: np.ndarray, alpha: float, l1_ratio: float) -> np.ndarray:
+    """Elastic-net coefficients by coordinate descent on a correlation matrix and the features' covariances with the target."""
+    soft, flat = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    w = np.zeros(len(c))
+    for _ in range(10_000):
+        moved = 0.0
+        for j in range(len(w)):
+            rest = c[j] - z[j] @ w + z[j, j] * w[j]
+            new = np.sign(rest) * max(0.0, abs(rest) - soft) / (z[j, j] + flat) if z[j, j] + flat > 0 else 0.0
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved <= 1e-12 * max(1.0, np.abs(w).max()):
+            break
+    return w
+
+
+def ridge(grams: DataFrame, by: Sequence[str], alpha: float | str = 1.0, l1_ratio: float | str | None = None) -> DataFrame:
     """Rows (by, n, mean, scale, coef, intercept): ridge on population-standardised features, exact from Gram sums.
 
-    ``alpha`` is a number or a column of ``grams``.
+    ``alpha`` is a number or a column of ``grams``, and so is ``l1_ratio``; where
+    that is not null the fit is an elastic net, mean squared error / 2 + alpha
+    (l1_ratio |w| + (1 - l1_ratio) w^2 / 2), from the same sums.
     """
-    grams = grams.withColumn("_alpha", F.lit(float(alpha)) if not isinstance(alpha, str) else F.col(alpha).cast("double"))
+    given = lambda x: F.col(x).cast("double") if isinstance(x, str) else F.lit(None if x is None else float(x)).cast("double")
+    grams = grams.withColumn("_alpha", given(alpha)).withColumn("_l1", given(l1_ratio))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for n, sx, sxx, sxy, sy, a in zip(f["n"], f["sx"], f["sxx"], f["sxy"], f["sy"], f["_alpha"]):
+            for n, sx, sxx, sxy, sy, a, l1 in zip(f["n"], f["sx"], f["sxx"], f["sxy"], f["sy"], f["_alpha"], f["_l1"]):
                 k = len(sx)
                 full = np.zeros((k, k))
                 full[np.triu_indices(k)] = sxx
@@ -127,7 +147,8 @@ def ridge(grams: DataFrame, by: Sequence[str], alpha: float | str = 1.0) -> Data
                 scale = np.sqrt(np.maximum(np.diag(cov) / n, 0))
                 scale[scale <= 1e-12 * np.maximum(1, np.abs(mean))] = 1.0
                 z = cov / np.outer(scale, scale)
-                coef = np.linalg.solve(z + a * np.eye(k), (np.asarray(sxy) - mean * sy) / scale)
+                c = (np.asarray(sxy) - mean * sy) / scale
+                coef = np.linalg.solve(z + a * np.eye(k), c) if pd.isna(l1) else _elastic(z / n, c / n, a, l1)
                 rows.append((mean.tolist(), scale.tolist(), coef.tolist(), sy / n))
             out = f[[*by, "n"]].copy()
             for i, c in enumerate(("mean", "scale", "coef", "intercept")):
@@ -140,11 +161,11 @@ def ridge(grams: DataFrame, by: Sequence[str], alpha: float | str = 1.0) -> Data
 
 
 def predict(df: DataFrame, fits: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Adds prediction, null where a feature is."""
+    """Adds prediction, null where a feature is; a row once for each fit of its ``by``, with the fits' other keys."""
     x = F.array(*(F.col(c).cast("double") for c in features))
     z = F.zip_with(F.zip_with(x, "mean", lambda a, b: a - b), F.zip_with("coef", "scale", lambda a, b: a / b), lambda a, b: a * b)
     value = F.col("intercept") + F.aggregate(z, F.lit(0.0), lambda s, v: s + v)
-    return df.join(F.broadcast(fits.select(*by, "mean", "scale", "coef", "intercept")), list(by)).withColumn("prediction", value).drop("mean", "scale", "coef", "intercept")
+    return df.join(F.broadcast(fits.drop("n")), list(by)).withColumn("prediction", value).drop("mean", "scale", "coef", "intercept")
 
 
 def _trailing(daily: DataFrame, holdout: DataFrame, day: str, years: int) -> DataFrame:
@@ -173,27 +194,65 @@ def har_forecast(daily: DataFrame, target: str, day: str = "trade_date", fractio
     return out.select(day, F.lit(0.5).alias("quantile"), "prediction", F.col(target).alias("target"), F.lit("har_rv").alias("model_name"))
 
 
-def boosted_quantile_forecast(daily: DataFrame, target: str, features: Sequence[str], day: str = "trade_date", fraction: float = 0.15, years: int = 2, quantiles: Sequence[float] = QUANTILES, trees: int = 20, depth: int = 3, blocks: int = 2) -> DataFrame:
-    """Forecast rows of a gradient-boosted mean plus the training residuals' quantile, refitted for each of ``blocks`` parts of the holdout.
+def boosted_quantile_forecast(daily: DataFrame, target: str, features: Sequence[str], day: str = "trade_date", fraction: float = 0.15, years: int = 2, quantiles: Sequence[float] = QUANTILES, trees: int = 20, depth: int = 3, rate: float = 0.1) -> DataFrame:
+    """Forecast rows of boosted quantile trees, refitted for each calendar month of the holdout on the years before it.
 
-    Another estimator than a boosted quantile loss, which MLlib lacks: the
-    spread is that of the training residuals, the same for all days of a block.
+    Trees of ``depth`` are grown on the sign of the quantile loss (its negative
+    gradient) and each leaf takes the quantile of its residuals, so the spread
+    hangs on the features. A month's training rows are those of a few years of
+    days; the months are fitted side by side, one group each.
     """
-    from pyspark.ml.regression import GBTRegressor
-
-    data = daily.where(F.col(target).isNotNull()).dropna(subset=list(features))
-    hold = holdout_days(data, day, fraction).where("holdout").withColumn("block", F.ntile(blocks).over(Window.orderBy(day)))
-    starts = [(r["block"], r["start"]) for r in hold.groupBy("block").agg(F.min(day).alias("start")).orderBy("block").collect()]  # a handful of blocks
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    parts = []
-    for block, start in starts:
-        train = assembler.transform(data.where((F.col(day) < F.lit(start)) & (F.col(day) >= F.add_months(F.lit(start).cast("date"), -12 * years))))
-        model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, seed=7).fit(train)
-        offsets = model.transform(train).agg(*(quantile_linear(F.col(target) - F.col("prediction"), q).alias(f"q{i}") for i, q in enumerate(quantiles)))
-        cells = ", ".join(f"CAST({q} AS DOUBLE), prediction + q{i}" for i, q in enumerate(quantiles))
-        test = model.transform(assembler.transform(data.join(hold.where(F.col("block") == block).select(day), day))).join(F.broadcast(offsets), how="cross")
-        parts.append(test.select(day, F.col(target).alias("target"), F.expr(f"stack({len(quantiles)}, {cells}) AS (quantile, prediction)")))
-    return reduce(DataFrame.unionByName, parts).withColumn("model_name", F.lit("boosted_quantiles"))
+    names = [*features, target]
+    data = daily.where(F.col(target).isNotNull()).dropna(subset=list(features)).select(F.col(day).cast("date").alias("_day"), *(F.col(c).cast("double").alias(c) for c in dict.fromkeys(names)))
+    data = materialize(data)
+    hold = holdout_days(data, "_day", fraction).where("holdout").select("_day", F.trunc("_day", "month").alias("_month"))
+    months = hold.groupBy("_month").agg(F.min("_day").alias("_start"))
+    near = (F.col("_day") < F.col("_start")) & (F.col("_day") >= F.add_months("_start", -12 * years))
+    train = data.join(F.broadcast(months), near).drop("_start").withColumn("_train", F.lit(True))
+    both = train.unionByName(data.join(hold, "_day").withColumn("_train", F.lit(False)))
+    columns = list(dict.fromkeys(features))
+
+    def month(rows: pd.DataFrame) -> pd.DataFrame:
+        known, asked = rows[rows["_train"]].sort_values("_day"), rows[~rows["_train"]]
+        out = []
+        for q in quantiles:
+            found = boosted_quantile(known[columns].to_numpy(), known[target].to_numpy(), asked[columns].to_numpy(), q, trees, depth, rate) if len(known) and len(asked) else np.zeros(0)
+            part = asked.iloc[: len(found)]
+            out.append(pd.DataFrame({"_day": part["_day"], "target": part[target], "quantile": q, "prediction": found}))
+        return pd.concat(out)
+
+    found = both.groupBy("_month").applyInPandas(month, "_day date, target double, quantile double, prediction double")
+    return found.select(F.col("_day").alias(day), "target", "quantile", "prediction", F.lit("boosted_quantiles").alias("model_name"))
+
+
+def boosted_quantile(x: np.ndarray, y: np.ndarray, asked: np.ndarray, q: float, trees: int = 20, depth: int = 3, rate: float = 0.1, least: int = 5) -> np.ndarray:
+    """Predictions for ``asked`` of boosted trees under the quantile loss; leaves have ``least`` rows or more."""
+    fitted, out = np.full(len(y), np.quantile(y, q)), np.full(len(asked), np.quantile(y, q))
+
+    def grow(rows: np.ndarray, there: np.ndarray, pull: np.ndarray, rest: np.ndarray, left: int) -> None:
+        best = (1e-12, 0, 0.0)
+        for j in range(x.shape[1]) if left and len(rows) >= 2 * least else ():
+            order = rows[np.argsort(x[rows, j], kind="stable")]
+            v, g = x[order, j], np.cumsum(pull[order])
+            n, at = len(order), np.arange(1, len(order))
+            gain = g[:-1] ** 2 / at + (g[-1] - g[:-1]) ** 2 / (n - at) - g[-1] ** 2 / n
+            gain[(v[1:] == v[:-1]) | (at < least) | (n - at < least)] = -1
+            k = int(np.argmax(gain))
+            if gain[k] > best[0]:
+                best = (gain[k], j, (v[k] + v[k + 1]) / 2)
+        if best[0] <= 1e-12:
+            step = rate * np.quantile(rest[rows], q)
+            fitted[rows] += step
+            out[there] += step
+            return
+        _, j, cut = best
+        grow(rows[x[rows, j] <= cut], there[asked[there, j] <= cut], pull, rest, left - 1)
+        grow(rows[x[rows, j] > cut], there[asked[there, j] > cut], pull, rest, left - 1)
+
+    for _ in range(trees):
+        rest = y - fitted
+        grow(np.arange(len(y)), np.arange(len(asked)), np.where(rest > 0, q, q - 1.0), rest, depth)
+    return out
 
 
 def forecast_summary(forecasts: DataFrame, by: Sequence[str] = ("experiment", "model_name", "quantile")) -> DataFrame:
@@ -254,13 +313,16 @@ RIDGE_ALPHAS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 
 
 def registry(group: str, session: str, alpha: float = 1.0) -> list[dict]:
-    """Experiment specs of a group: representation_sweep, ridge_alpha_sweep, post_adx_ablation, persistence_rewrites, containment_v2."""
+    """Experiment specs of a group: representation_sweep, ridge_alpha_sweep, elastic_net_sweep, post_adx_ablation, persistence_rewrites, containment_v2."""
     spec = lambda i, era, name, a=alpha: {"experiment_id": i, "experiment_group": group, "session_name": session, "era_name": era, "feature_set": name, "features": feature_sets()[name], "model_name": "ridge", "alpha": a}
     if group == "representation_sweep":
         eras = (("full", "full_dev"), ("post", "post_covid"), ("pre", "pre_covid"))
         return [spec(f"EXP{3 + 3 * i + j:02d}_{p}_{s}", e, s) for i, (p, e) in enumerate(eras) for j, s in enumerate(("core5", "core5_dra", "adx_parts"))]
     if group == "ridge_alpha_sweep":
         return [spec(f"{x}_{p}_core5_alpha_{str(a).replace('.', 'p')}", e, "core5", a) for p, e, x in (("full", "full_dev", "EXP01"), ("post", "post_covid", "EXP02")) for a in RIDGE_ALPHAS]
+    if group == "elastic_net_sweep":
+        grid = [(a, r) for a in ELASTIC_ALPHAS for r in ELASTIC_L1_RATIOS]
+        return [spec(f"EN{i:02d}_full_core5", "full_dev", "core5", a) | {"model_name": "elastic_net", "l1_ratio": r} for i, (a, r) in enumerate(grid, 1)]
     if group == "post_adx_ablation":
         return [spec(f"EXP{20 + i}_post_{s}", "post_covid", s) for i, s in enumerate(["adx_parts", *(x for x in feature_sets() if "minus" in x)])]
     if group == "persistence_rewrites":
@@ -270,25 +332,33 @@ def registry(group: str, session: str, alpha: float = 1.0) -> list[dict]:
     raise ValueError(f"unknown experiment group: {group}")
 
 
-def walkforward_experiment(table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", alpha: float = 1.0, fraction: float = 0.15, train_months: int = 24, valid_months: int = 3, step_months: int = 3) -> dict[str, DataFrame]:
-    """Folds over the development days, then a refit on all of them for the holdout.
-
-    Returns predictions (fold 0 is the holdout), coefs, metrics per fold,
-    metrics out of sample and on the holdout, and stability. Rows with a null
-    feature or target are left out; without folds the tables have holdout rows only.
-    """
-    rows = table.dropna(subset=[*features, target])
+def _walk(rows: DataFrame, features: Sequence[str], target: str, day: str, specs: DataFrame | None, fraction: float = 0.15, train_months: int = 24, valid_months: int = 3, step_months: int = 3, alpha: float | str = 1.0, l1_ratio: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fits, predictions with sample) of every fold, 0 for the holdout, once for each row of ``specs``; Gram sums are taken once for all."""
     marked = rows.join(F.broadcast(holdout_days(rows, day, fraction)), day)
     dev = marked.where("not holdout").drop("holdout")
     folded = in_folds(dev, walkforward_folds(dev, day, train_months, valid_months, step_months), day)
     final = marked.withColumn("fold_id", F.lit(0)).withColumn("part", F.when(F.col("holdout"), "valid").otherwise("train")).drop("holdout")
     both = folded.unionByName(final.select(*folded.columns))
-    fits = ridge(gram(both.where("part = 'train'"), ["fold_id"], features, target), ["fold_id"], alpha)
+    grams, by = gram(both.where("part = 'train'"), ["fold_id"], features, target), ["fold_id"]
+    if specs is not None:
+        grams, by = grams.join(F.broadcast(specs), how="cross"), ["fold_id", "experiment_id"]  # specs are a handful
+    fits = ridge(grams, by, alpha, l1_ratio)
     predictions = predict(both.where("part = 'valid'"), fits, ["fold_id"], features).withColumn("target", F.col(target)).withColumn("residual", F.col("target") - F.col("prediction"))
+    return fits, predictions.withColumn("sample", F.when(F.col("fold_id") == 0, "holdout").otherwise("out_of_sample"))
+
+
+def walkforward_experiment(table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", alpha: float = 1.0, fraction: float = 0.15, train_months: int = 24, valid_months: int = 3, step_months: int = 3, l1_ratio: float | None = None) -> dict[str, DataFrame]:
+    """Folds over the development days, then a refit on all of them for the holdout; an elastic net with ``l1_ratio``.
+
+    Returns predictions (fold 0 is the holdout), coefs, metrics per fold,
+    metrics out of sample and on the holdout, and stability. Rows with a null
+    feature or target are left out; without folds the tables have holdout rows only.
+    """
+    rows = table.dropna(subset=[*features, target])
+    fits, predictions = _walk(rows, features, target, day, None, fraction, train_months, valid_months, step_months, alpha, l1_ratio)
     coefs = coefficients(fits, ["fold_id"], features)
-    sample = predictions.withColumn("sample", F.when(F.col("fold_id") == 0, "holdout").otherwise("out_of_sample"))
     return {
-        "predictions": predictions, "coefs": coefs, "fold_metrics": regression_metrics(predictions, ["fold_id"], day), "metrics": regression_metrics(sample, ["sample"], day), "stability": coefficient_stability(coefs.where("fold_id > 0")),
+        "predictions": predictions.drop("sample"), "coefs": coefs, "fold_metrics": regression_metrics(predictions, ["fold_id"], day), "metrics": regression_metrics(predictions, ["sample"], day), "stability": coefficient_stability(coefs.where("fold_id > 0")),
     }
 
 
@@ -301,21 +371,49 @@ def leaderboard(results: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc_nulls_last("out_of_sample_r2"))
 
 
-def elastic_net(train: DataFrame, valid: DataFrame, features: Sequence[str], target: str, alpha: float, l1_ratio: float) -> DataFrame:
-    """``valid`` with the prediction of MLlib's elastic net on standardised features."""
-    from pyspark.ml.regression import LinearRegression
+ELASTIC_ALPHAS, ELASTIC_L1_RATIOS = (0.03, 0.1, 0.3, 1.0), (0.1, 0.25, 0.5)
+#: First and last day of an era, both inside; null for none (fixed values).
+ERAS = {"full_dev": (None, None), "pre_covid": (None, "2020-02-28"), "post_covid": ("2020-07-01", None)}
 
-    a = VectorAssembler(inputCols=list(features), outputCol="_x")
-    model = LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha, elasticNetParam=l1_ratio, standardization=True).fit(a.transform(train))
-    return model.transform(a.transform(valid)).drop("_x")
+
+def run_registry(table: DataFrame, specs: Sequence[Mapping], target: str, day: str = "trade_date", session: str = "session_name", eras: Mapping[str, tuple[str | None, str | None]] = ERAS, **options) -> DataFrame:
+    """Leaderboard of a registry's specs over a modelling table: their era's rows of their session, folds, then the holdout.
+
+    A row per spec: what it is, rows and days after the filter, out-of-sample and holdout
+    metrics and mean sign consistency; a spec without rows is skipped with that status. Specs of
+    the same session, era and features share their Gram sums and one plan.
+    """
+    table, parts = materialize(table), []
+    groups: dict[tuple, list] = {}
+    for x in specs:
+        groups.setdefault((x["session_name"], x["era_name"], tuple(x["features"])), []).append(x)
+    keys = ("experiment_id", "experiment_group", "session_name", "era_name", "feature_set", "model_name")
+    for (name, era, features), members in groups.items():
+        first, last = eras[era]
+        rows = table.where(F.col(session) == name)
+        rows = rows.where(F.col(day) >= F.lit(first).cast("date")) if first else rows
+        rows = rows.where(F.col(day) <= F.lit(last).cast("date")) if last else rows
+        rows = rows.select(day, *features, target).dropna()
+        held = [(*(x[k] for k in keys), float(x["alpha"]), x.get("l1_ratio")) for x in members]
+        what = table.sparkSession.createDataFrame(held, ", ".join(f"{k} string" for k in keys) + ", alpha double, l1_ratio double")
+        fits, predictions = _walk(rows, features, target, day, what.select("experiment_id", "alpha", "l1_ratio"), alpha="alpha", l1_ratio="l1_ratio", **options)
+        found = regression_metrics(predictions, ["experiment_id", "sample"], day).groupBy("experiment_id").pivot("sample", ["out_of_sample", "holdout"]).agg(F.max("mae").alias("mae"), F.max("r2").alias("r2"), F.max("spearman").alias("spearman"))
+        signs = coefficient_stability(coefficients(fits, ["fold_id", "experiment_id"], features).where("fold_id > 0"), ["experiment_id"]).groupBy("experiment_id").agg(F.avg("sign_consistency").alias("mean_sign_consistency"))
+        size = rows.agg(F.count("*").alias("n_rows"), F.countDistinct(day).alias("n_dates"))
+        parts.append(what.join(F.broadcast(size), how="cross").join(found, "experiment_id", "left").join(signs, "experiment_id", "left").withColumn("status", F.when(F.col("n_rows") > 0, "ok").otherwise("skipped: no rows")))
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc_nulls_last("out_of_sample_r2"), "experiment_id")
 
 
 def regression_bakeoff(table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", fraction: float = 0.2, trees: int = 20, seed: int = 7) -> DataFrame:
-    """Holdout metrics of ridge, boosted trees, a forest and a wide forest (many features per split), trained on the days before."""
+    """Metrics of ridge, boosted trees, a forest and a wide forest (many features per split), on the holdout, trained on the days before.
+
+    Out-of-sample metrics over walk-forward folds are those of ``walkforward_experiment``; tree models are fitted once.
+    """
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     rows = table.dropna(subset=[*features, target])
     marked = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.join(F.broadcast(holdout_days(rows, day, fraction)), day)).withColumn("target", F.col(target).cast("double"))
+    marked = marked.select(day, "_x", "target", "holdout")
     train, test = marked.where("not holdout"), marked.where("holdout")
     models = {
         "ridge": LinearRegression(featuresCol="_x", labelCol="target", regParam=0.01, elasticNetParam=0.0), "boosted_trees": GBTRegressor(featuresCol="_x", labelCol="target", maxIter=trees, maxDepth=3, seed=seed),
@@ -369,24 +467,49 @@ def classification_bakeoff(table: DataFrame, features: Sequence[str], target: st
     return classification_metrics(reduce(DataFrame.unionByName, scored).withColumnRenamed(day, "trade_date"), ["model_name"])
 
 
-def three_way_probe(labeled: DataFrame, features: Sequence[str], day: str = "trade_date", fraction: float = 0.2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(per-class report, confusion counts) of a multinomial logistic model on the holdout; the report has macro and weighted F1 in every row."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IndexToString, StringIndexer
-
-    rows = labeled.dropna(subset=[*features, "label"])
-    marked = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.join(F.broadcast(holdout_days(rows, day, fraction)), day))
-    indexer = StringIndexer(inputCol="label", outputCol="_y", handleInvalid="keep").fit(marked)
-    indexed = indexer.transform(marked)
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01, family="multinomial").fit(indexed.where("not holdout"))
-    scored = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels + ["__unknown"]).transform(model.transform(indexed.where("holdout")))
-    confusion = scored.groupBy("label", "predicted").agg(F.count("*").alias("n"))
-    total = lambda c: confusion.groupBy(F.col(c).alias("class")).agg(F.sum("n").alias(f"_{c}"))
-    right = confusion.where("label = predicted").select(F.col("label").alias("class"), F.col("n").alias("_right"))
-    report = total("label").join(total("predicted"), "class", "left").join(right, "class", "left").na.fill(0)
+#: Labels of the probe (fixed values).
+LABELS = ("trend", "containment", "chop")
+
+
+def three_way_probe(labeled: DataFrame, features: Mapping[str, Sequence[str]], labels: Sequence[str] = LABELS, session: str = "session_name", day: str = "trade_date", fraction: float = 0.15, trees: int = 20, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(per-class report, confusion counts) on the holdout of each session (name to features) for three models.
+
+    A balanced multinomial logit, boosted trees (one against the rest) and a
+    balanced forest. Rows of other labels take no part; a session in which the
+    days before the holdout or those in it lack a label is left out. The report
+    has macro and weighted F1 and balanced accuracy in every row of a model.
+    """
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+    from pyspark.ml.feature import StandardScaler
+
+    parts, labels = [], list(labels)
+    code = reduce(lambda c, i: F.when(F.col("label") == labels[i], float(i)).otherwise(c), range(len(labels)), F.lit(None).cast("double"))
+    for name, columns in features.items():
+        rows = labeled.where(F.col(session) == name).dropna(subset=list(columns))
+        marked = materialize(rows.join(F.broadcast(holdout_days(rows, day, fraction)), day).withColumn("_y", code).where("_y is not null").select(day, "_y", "holdout", *columns))
+        counts = {(r["holdout"], r["_y"]): r["count"] for r in marked.groupBy("holdout", "_y").count().collect()}  # two times the labels
+        if len(counts) < 2 * len(labels):
+            continue
+        weight = F.element_at(F.create_map(*(F.lit(x) for i in range(len(labels)) for x in (float(i), 1.0 / counts[False, float(i)]))), F.col("_y"))
+        assembled = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(marked.withColumn("_w", weight))
+        scaler = StandardScaler(inputCol="_v", outputCol="_x", withMean=True).fit(assembled.where("not holdout"))
+        train, test = (scaler.transform(assembled).where(c) for c in ("not holdout", "holdout"))
+        models = {
+            "multinomial_logit": LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=0.01, family="multinomial"), "boosted_trees": OneVsRest(featuresCol="_x", labelCol="_y", classifier=GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.05, seed=seed)),
+            "random_forest": RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=6, minInstancesPerNode=5, seed=seed),
+        }
+        parts += [m.fit(train).transform(test).select(F.lit(name).alias("session"), F.lit(n).alias("model_name"), F.col("_y").cast("int").alias("_y"), F.col("prediction").cast("int").alias("_p")) for n, m in models.items()]
+    if not parts:
+        parts = [labeled.sparkSession.createDataFrame([], "session string, model_name string, _y int, _p int")]
+    scored = reduce(DataFrame.unionByName, parts)
+    named = lambda c: F.element_at(F.array(*map(F.lit, labels)), F.col(c) + 1)
+    by = ["session", "model_name"]
+    confusion = materialize(scored.groupBy(*by, named("_y").alias("label"), named("_p").alias("predicted")).agg(F.count("*").alias("n")))
+    total = lambda c: confusion.groupBy(*by, F.col(c).alias("class")).agg(F.sum("n").alias(f"_{c}"))
+    right = confusion.where("label = predicted").select(*by, F.col("label").alias("class"), F.col("n").alias("_right"))
+    report = total("label").join(total("predicted"), [*by, "class"], "left").join(right, [*by, "class"], "left").na.fill(0)
     report = report.withColumn("precision", F.coalesce(F.try_divide("_right", "_predicted"), F.lit(0.0))).withColumn("recall", F.try_divide("_right", "_label"))
     report = report.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))).withColumnRenamed("_label", "support")
-    whole = Window.partitionBy()  # a few classes
+    whole = Window.partitionBy(*by)  # a few classes
     report = report.withColumn("macro_f1", F.avg("f1").over(whole)).withColumn("weighted_f1", F.sum(F.col("f1") * F.col("support")).over(whole) / F.sum("support").over(whole)).withColumn("balanced_accuracy", F.avg("recall").over(whole))
     return report.drop("_predicted", "_right"), confusion
-

@@ -433,10 +433,11 @@ def with_state(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, dynamic: b
 def features(df: DataFrame, quality: tuple = QUALITY["1pm-3pm"], balance: int | None = 15, atr_period: int = 10, reference: int = 15) -> DataFrame:
     """All features of sessions of one kind; trend quality, ATR ratio and swings are taken on coarser bars."""
     minutes, period, use_dx, weights, least = quality
-    by = [c for c in df.columns if c not in ("n", "t", "o", "h", "l", "c", "v")]
-    coarse = with_swing_density(with_atr_ratio(trend_quality(coarser(df, minutes), period, use_dx, weights, least), atr_period)).drop("n", "t", "o", "h", "l", "c", "v")
-    fine = with_expansion(with_targets(with_hurst(with_autocorrelation(with_variance_ratio(with_efficiency(with_slope_score(with_irr(with_range_overlap(df, reference)))))))), balance)
-    return fine.join(coarse, by)
+    bars = ("n", "t", "o", "h", "l", "c", "v")
+    aside = df.withColumns({f"_fine_{c}": F.col(c) for c in bars})
+    coarse = with_swing_density(with_atr_ratio(trend_quality(coarser(aside, minutes), period, use_dx, weights, least), atr_period))
+    fine = coarse.withColumns({c: F.col(f"_fine_{c}") for c in bars}).drop(*(f"_fine_{c}" for c in bars))
+    return with_expansion(with_targets(with_hurst(with_autocorrelation(with_variance_ratio(with_efficiency(with_slope_score(with_irr(with_range_overlap(fine, reference)))))))), balance)
 
 
 def modeling_table(bars: DataFrame, by: Sequence[str], at: str, **options) -> DataFrame:

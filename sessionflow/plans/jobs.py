@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialize
 from ..functions.timecols import with_market_time
 from ..operators import cohort, extremes, flow, forecast, gaps, regime, vwap
 from ..sources.bars import load_bars
@@ -116,14 +117,22 @@ def historical_regimes(spark: SparkSession, source: str, out: str) -> None:
     write_table(regime_table(load_bars(spark, source)), out, ["session_name"])
 
 
-def containment_research(table: DataFrame, features: Mapping[str, Sequence[str]], target: str = "containment_target", out: str | None = None) -> dict[str, DataFrame]:
-    """Regression and classification bake-offs for each session (name to features), as two tables; written if ``out`` is given."""
+def containment_research(table: DataFrame, features: Mapping[str, Sequence[str]], target: str = "containment_target", out: str | None = None, label: str = "default") -> dict[str, DataFrame]:
+    """Regression and classification bake-offs for each session (name to features), and a manifest of what ran.
+
+    The manifest has a row per bake-off and session: its label, target, features, rows, days and models. All three are written if ``out`` is given.
+    """
     kinds = {"regression": forecast.regression_bakeoff, "classification": forecast.classification_bakeoff}
     found = {}
     for kind, run in kinds.items():
-        found[kind] = reduce(DataFrame.unionByName, (run(table.where(F.col("session_name") == s), list(fs), target).withColumn("session_name", F.lit(s)) for s, fs in features.items()))
-        if out:
-            write_table(found[kind], f"{out}/{kind}", kind="csv")
+        parts = (run(table.where(F.col("session_name") == s), list(fs), target).withColumn("session_name", F.lit(s)) for s, fs in features.items())
+        found[kind] = materialize(reduce(DataFrame.unionByName, parts))
+    names = F.element_at(F.create_map(*(x for s, fs in features.items() for x in (F.lit(s), F.concat_ws(",", *map(F.lit, fs))))), F.col("session_name"))
+    sizes = table.where(F.col("session_name").isin(*features)).groupBy("session_name").agg(F.count("*").alias("n_rows"), F.countDistinct("trade_date").alias("n_dates")).withColumn("features", names)
+    ran = reduce(DataFrame.unionByName, (d.groupBy("session_name").agg(F.concat_ws(",", F.sort_array(F.collect_set("model_name"))).alias("models")).withColumn("kind", F.lit(k)) for k, d in found.items()))
+    found["manifest"] = ran.join(sizes, "session_name").withColumns({"table_label": F.lit(label), "target": F.lit(target)})
+    for name, d in found.items() if out else ():
+        write_table(d, f"{out}/{name}", kind="csv")
     return found
 
 

@@ -102,7 +102,7 @@ def pair_contexts(spark, sf_dir):
 
 
 def reversal_summary(spark, sf_dir):
-    return rounded(cohort.summaries(reversal_study(spark, sf_dir), "trade_date_et", PREDICTORS, ["k359", "k359_00_39"], [("rth_pre_macro", "macro_pre59", "rth_plus_macro_pre59")]))
+    return rounded(cohort.summaries(reversal_study(spark, sf_dir), "trade_date_et", PREDICTORS, ["k359", "k359_00_39"], [("rth_pre_macro", "macro_pre59", "rth_plus_macro_pre59")], against="k359"))
 
 
 def _pairs(source: str = "study", predictors=PREDICTORS, targets=("k359", "k359_00_39"), keep: str = "") -> str:
@@ -117,25 +117,58 @@ _PAIR_INTS = ["n_days", "n_signal_days", "opposite_count", "same_count", "zero_p
 _PAIR_DOUBLES = ["mean_predictor_delta", "median_predictor_delta", "mean_target_delta", "median_target_delta", "target_p25", "target_p75", "pearson", "opposite_rate", "same_rate"]
 
 
-def _signed_sql() -> str:
+def _signed_sql(cte: str | None = None, pairs: str | None = None) -> str:
     more, doubles = [], []
     for n, c in (("positive", "x > 0"), ("negative", "x < 0")):
         more += [f"avg(y) FILTER (WHERE {c}) AS mean_target_when_{n}", f"median(y) FILTER (WHERE {c}) AS median_target_when_{n}", *(f"list_sort(list(y) FILTER (WHERE {c} AND y IS NOT NULL))[floor({q} * (count(y) FILTER (WHERE {c}) - 1) + 0.5)::INT + 1] AS target_{k}_when_{n}" for q, k in ((0.25, "p25"), (0.75, "p75")))]
         doubles += [f"mean_target_when_{n}", f"median_target_when_{n}", f"target_p25_when_{n}", f"target_p75_when_{n}"]
-    return rounded_sql(f"WITH {_study_cte()}, lg AS ({_pairs()}), final AS (SELECT predictor, target, {_PAIR}, {', '.join(more)} FROM lg GROUP BY 1, 2)", [*_PAIR_DOUBLES, *doubles], ["predictor", "target", *_PAIR_INTS])
+    return rounded_sql(f"WITH {cte or _study_cte()}, lg AS ({pairs or _pairs()}), final AS (SELECT predictor, target, {_PAIR}, {', '.join(more)} FROM lg GROUP BY 1, 2)", [*_PAIR_DOUBLES, *doubles], ["predictor", "target", *_PAIR_INTS])
 
 
-_DECILES = rounded_sql(f"WITH {_study_cte()}, lg AS ({_pairs()}), dc AS (SELECT *, CASE WHEN count(*) OVER p >= 10 THEN floor((row_number() OVER (PARTITION BY predictor, target ORDER BY x, trade_date_et) - 1) * 10 / count(*) OVER p)::INT + 1 END AS predictor_decile FROM lg WHERE x IS NOT NULL WINDOW p AS (PARTITION BY predictor, target)), final AS (SELECT predictor, target, predictor_decile, {_PAIR} FROM dc WHERE predictor_decile IS NOT NULL GROUP BY 1, 2, 3)", _PAIR_DOUBLES, ["predictor", "target", "predictor_decile", *_PAIR_INTS])
+def _deciles_sql(cte: str | None = None, pairs: str | None = None, by: str = "x", distinct: int = 0) -> str:
+    enough = f"count(*) OVER p >= 10 AND (SELECT count(DISTINCT {by}) FROM lg z WHERE z.predictor = lg.predictor AND z.target = lg.target) >= {distinct}"
+    return rounded_sql(
+        f"WITH {cte or _study_cte()}, lg AS ({pairs or _pairs()}), dc AS (SELECT *, CASE WHEN {enough} THEN floor((row_number() OVER (PARTITION BY predictor, target ORDER BY {by}, trade_date_et) - 1) * 10 / count(*) OVER p)::INT + 1 END AS predictor_decile FROM lg WHERE {by} IS NOT NULL WINDOW p AS (PARTITION BY predictor, target)), final AS (SELECT predictor, target, predictor_decile, {_PAIR} FROM dc WHERE predictor_decile IS NOT NULL GROUP BY 1, 2, 3)",
+        _PAIR_DOUBLES, ["predictor", "target", "predictor_decile", *_PAIR_INTS],
+    )
+
 
+_DECILES = _deciles_sql()
 
-def _tails_sql() -> str:
+
+def _tails_sql(cte: str | None = None, pairs: str | None = None) -> str:
     tails = {"positive_top_20": (1, 0.8), "positive_top_10": (1, 0.9), "negative_bottom_20": (-1, 0.2), "negative_bottom_10": (-1, 0.1)}
     cuts = ", ".join(f"list_sort(list(x) FILTER (WHERE x * {s} > 0))[floor({q} * (count(*) FILTER (WHERE x * {s} > 0) - 1) + 0.5)::INT + 1] AS c_{n}" for n, (s, q) in tails.items())
     rows = " UNION ALL ".join(f"SELECT lg.*, '{n}' AS tail FROM lg JOIN cu ON cu.predictor = lg.predictor AND cu.target = lg.target WHERE x * {s} > 0 AND (x - c_{n}) * {s} >= 0" for n, (s, _) in tails.items())
-    return rounded_sql(f"WITH {_study_cte()}, lg AS ({_pairs()}), cu AS (SELECT predictor, target, {cuts} FROM lg GROUP BY 1, 2), tl AS ({rows}), final AS (SELECT predictor, target, tail, {_PAIR} FROM tl GROUP BY 1, 2, 3)", _PAIR_DOUBLES, ["predictor", "target", "tail", *_PAIR_INTS])
+    return rounded_sql(f"WITH {cte or _study_cte()}, lg AS ({pairs or _pairs()}), cu AS (SELECT predictor, target, {cuts} FROM lg GROUP BY 1, 2), tl AS ({rows}), final AS (SELECT predictor, target, tail, {_PAIR} FROM tl GROUP BY 1, 2, 3)", _PAIR_DOUBLES, ["predictor", "target", "tail", *_PAIR_INTS])
+
 
+_context_sql = lambda targets: rounded_sql(f"WITH {_study_cte()}, ma AS (SELECT *, CASE WHEN rth_pre_macro_volume_delta * macro_pre59_volume_delta > 0 THEN 'macro_pre59_same_as_rth_pre_macro' WHEN rth_pre_macro_volume_delta * macro_pre59_volume_delta < 0 THEN 'macro_pre59_opposes_rth_pre_macro' END AS condition FROM study), lg AS ({_pairs('ma', ['rth_plus_macro_pre59'], targets, ', condition')}), final AS (SELECT condition, predictor, target, {_PAIR} FROM lg WHERE condition IS NOT NULL GROUP BY 1, 2, 3)", _PAIR_DOUBLES, ["condition", "predictor", "target", *_PAIR_INTS])
+_CONTEXT = _context_sql(['k359'])
 
-_CONTEXT = rounded_sql(f"WITH {_study_cte()}, ma AS (SELECT *, CASE WHEN rth_pre_macro_volume_delta * macro_pre59_volume_delta > 0 THEN 'macro_pre59_same_as_rth_pre_macro' WHEN rth_pre_macro_volume_delta * macro_pre59_volume_delta < 0 THEN 'macro_pre59_opposes_rth_pre_macro' END AS condition FROM study), lg AS ({_pairs('ma', ['rth_plus_macro_pre59'], ['k359'], ', condition')}), final AS (SELECT condition, predictor, target, {_PAIR} FROM lg WHERE condition IS NOT NULL GROUP BY 1, 2, 3)", _PAIR_DOUBLES, ["condition", "predictor", "target", *_PAIR_INTS])
+
+def _summaries_sql(cte: str, predictors: list[str], targets: list[str], imbalance: str, context: str = "", against: str = "") -> str:
+    """The ragged union of the tables above over a study; ``imbalance`` is the SQL of a predictor's, with {p} for its name."""
+    row = lambda p, t: f"SELECT trade_date_et, '{p}' AS predictor, {p}_volume_delta::DOUBLE AS x, {imbalance.format(p=p)} AS imb, '{t}' AS target, {t}_volume_delta::DOUBLE AS y FROM study"
+    pairs = " UNION ALL ".join(row(p, t) for p in predictors for t in targets)
+    parts = {"target_sign": _signed_sql(cte, pairs), "target_raw_decile": _deciles_sql(cte, pairs), "target_imbalance_decile": _deciles_sql(cte, pairs, "imb"), "target_tail": _tails_sql(cte, pairs)}
+    out = [f"SELECT '{n}' AS summary_type, * FROM ({q})" for n, q in (parts | ({"context": context} if context else {})).items()]
+    if against:
+        alone = " UNION ALL ".join(row(p, against) for p in predictors)
+        out.append(f"SELECT 'decile' AS summary_type, predictor, predictor_decile, n_days, n_signal_days, opposite_count, opposite_rate, mean_predictor_delta, mean_target_delta AS mean_{against}_delta FROM ({_deciles_sql(cte, alone, 'x', 10)})")
+    return " UNION ALL BY NAME ".join(out)
+
+
+def impulse_summary(spark, sf_dir):
+    g, _, b = _inputs(spark, sf_dir)
+    s = studies.delta_impulse(g, b, {"eth_only_pre350": (0, 14), "rth_only_pre350": (15, 17), "eth_rth_pre350": (0, 17)}, {"k350_00_09": (0, 1), "k350_00_29": (0, 5)}, 2)
+    return rounded(cohort.summaries(s, "trade_date_et", ["eth_only_pre350", "rth_only_pre350", "eth_rth_pre350"], ["k350_00_09", "k350_00_29"]))
+
+
+def _impulse_summary_sql() -> str:
+    whole = _impulse_sql()
+    cte = whole[whole.index("WITH ") + 5 : whole.index(", final AS (")].replace("study AS (", "study_ AS (").replace("k AS (SELECT *,", "study AS (SELECT *,")
+    return _summaries_sql(cte, ["eth_only_pre350", "rth_only_pre350", "eth_rth_pre350"], ["k350_00_09", "k350_00_29"], "{p}_delta_imbalance")
 
 
 def path_rates(spark, sf_dir):
@@ -266,12 +299,12 @@ def news_rows(spark, sf_dir):
 
 _PATTERNS = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{p}') THEN '{n}'" for n, p in calendar.EVENT_PATTERNS) + " ELSE 'OTHER' END"
 _NEWS = f"""raw AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 MINUTE * (o_orderkey % 1440) AS dt_utc, {_TITLE_SQL} AS title, o_orderpriority[1] IN ('1', '2') AS hi FROM orders),
-news AS (SELECT *, timezone('America/New_York', timezone('UTC', dt_utc)) AS dt_et, {_PATTERNS} AS event_type FROM raw WHERE hi AND NOT contains(title, 'speaks')), days AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_orderkey % 3 = 0),
+news AS (SELECT *, timezone('America/New_York', timezone('UTC', dt_utc)) AS dt_et, {_PATTERNS} AS event_type FROM raw WHERE hi AND NOT contains(title, 'speaks')), days AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders),
 links AS (SELECT d.date, relation, id AS event_id, dt_utc, event_type, title, (epoch_us(dt_utc) - epoch_us(timezone('UTC', timezone('America/New_York', d.date + INTERVAL 950 MINUTE)))) / 60000000.0 AS minutes_from_close FROM days d JOIN (SELECT *, dt_et::DATE AS date, 'today' AS relation FROM news UNION ALL SELECT *, (dt_et::DATE - 1)::DATE, 'next_premarket' FROM news WHERE dt_et::TIME < TIME '09:30:00') n ON n.date = d.date)"""
 
 
 def trading_days(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date")).distinct()
 
 
 def links(spark, sf_dir):
@@ -289,7 +322,7 @@ SELECT d.date, coalesce(num_today, 0) AS num_today, coalesce(num_next_premarket,
 
 
 def cohort_days(spark, sf_dir):
-    price = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("metric"))
+    price = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("metric"))
     return calendar.event_cohorts(price, calendar.event_links(trading_days(spark, sf_dir), news_rows(spark, sf_dir)))
 
 
@@ -302,21 +335,19 @@ def effect(spark, sf_dir):
 
 
 def permutation(spark, sf_dir):
-    """Over the days and prices of all orders; no SQL fixes this query to those of ``cohort_days``."""
-    price = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("metric"))
-    days = calendar.event_cohorts(price, calendar.event_links(price.select("date"), news_rows(spark, sf_dir)))
-    return calendar.permutation_test(days, "metric", "CPI_today", "Control")
+    return calendar.permutation_test(cohort_days(spark, sf_dir), "metric", "CPI_today", "Control")
 
 
-_COHORT_CTE = f"{_NEWS}, pr AS (SELECT o_orderdate::DATE AS date, avg(o_totalprice) AS metric FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), co AS (SELECT pr.date, metric, CASE WHEN count(*) FILTER (WHERE relation = 'today' AND event_type = 'CPI') > 0 THEN 'CPI_today' WHEN count(*) FILTER (WHERE relation <> 'today' AND event_type = 'CPI') > 0 THEN 'CPI_next_premarket' ELSE 'Control' END AS cohort FROM pr LEFT JOIN links ON links.date = pr.date GROUP BY 1, 2)"
+_COHORT_CTE = f"{_NEWS}, pr AS (SELECT o_orderdate::DATE AS date, avg(o_totalprice) AS metric FROM orders GROUP BY 1), co AS (SELECT pr.date, metric, CASE WHEN count(*) FILTER (WHERE relation = 'today' AND event_type = 'CPI') > 0 THEN 'CPI_today' WHEN count(*) FILTER (WHERE relation <> 'today' AND event_type = 'CPI') > 0 THEN 'CPI_next_premarket' ELSE 'Control' END AS cohort FROM pr LEFT JOIN links ON links.date = pr.date GROUP BY 1, 2)"
 
 QUERIES = {
-    "delta_reversal": reversal, "delta_impulse": impulse, "pair_sign_rows": pair_signs, "pair_decile_rows": pair_deciles, "pair_tail_rows": pair_tails, "pair_context_rows": pair_contexts, "delta_reversal_summary": reversal_summary,
+    "delta_impulse_summary": impulse_summary, "delta_reversal": reversal, "delta_impulse": impulse, "pair_sign_rows": pair_signs, "pair_decile_rows": pair_deciles, "pair_tail_rows": pair_tails, "pair_context_rows": pair_contexts, "delta_reversal_summary": reversal_summary,
     "bucket_path_summary": path_rates, "regime_direction": regimes, "bucket_lift": lifts, "combo_lift": combos, "combo_table": combo_pivot, "feature_correlations": correlations, "metric_bands": bands, "normality": normality,
     "normality_rollup": normality_rollup, "histogram": hist, "ecdf": cumulative, "event_links": links, "news_daily": news_daily, "event_cohorts": cohorts, "cohort_effect": effect, "permutation_test": permutation,
 }
 _C = _COMBOS[: _COMBOS.rindex(" SELECT ")]
 SQL = {
+    "delta_reversal_summary": _summaries_sql(_study_cte(), PREDICTORS, ["k359", "k359_00_39"], "{p}_volume_delta / nullif({p}_classified_size, 0)::DOUBLE", _context_sql(["k359", "k359_00_39"]), "k359"), "delta_impulse_summary": _impulse_summary_sql(),
     "delta_impulse": _impulse_sql(), "bucket_path_summary": _path_rates_sql(),
     "combo_table": _C + " SELECT left_bucket, " + ", ".join(f"round(max(bullish_rate) FILTER (WHERE right_bucket = '{b}'), 6) + 0.0 AS {b}" for b in ("low", "mid", "high")) + " FROM final GROUP BY 1",
     "delta_reversal": _REVERSAL_SQL, "pair_sign_rows": _signed_sql(), "pair_decile_rows": _DECILES, "pair_tail_rows": _tails_sql(), "pair_context_rows": _CONTEXT,

@@ -196,6 +196,11 @@ def _profiles_sql() -> str:
     return rounded_sql(inner[: inner.rindex(" SELECT ")], figures, [label, "summary_scope", "n_total", "n_triggered", "position_block", "abs_delta_imbalance_quantile", "NULL::INT AS assigned_at"])
 
 
+def _everything_sql() -> str:
+    parts = [_scopes_sql(), _grouped_sql(gaps.OUTCOME_SCOPES, "outcome"), _grouped_sql(gaps.ENTRY_SCOPES, "entry"), _grouped_sql(gaps.SUCCESS_SCOPES, "success")]
+    return " UNION ALL BY NAME ".join(f"SELECT * FROM ({q})" for q in parts)
+
+
 QUERIES = {
     "gap_events": detect, "gap_outcomes": scan, "gap_delta_dominance": delta_enriched, "gap_scope_summary": scopes, "gap_outcome_rates": outcome_rates, "gap_entry_excursions": entry_excursions, "gap_success_context": success_context,
     "gap_all_summaries": everything, "gap_excursion_profiles": profiles, "gap_outcome_counts": counts, "gap_position_tables": positions, "hourly_gap_context": hourly, "hourly_gap_cohorts": cohorts,
@@ -204,7 +209,7 @@ SQL = {
     "gap_events": rounded_sql(f"WITH {_EVENTS}, final AS (SELECT * FROM events_)", _DETECT_DOUBLES, _DETECT_COLUMNS),
     "gap_outcomes": rounded_sql(f"WITH {_SCANNED}, final AS (SELECT * FROM scanned)", _SCAN_DOUBLES, _SCAN_COLUMNS),
     "gap_delta_dominance": rounded_sql(f"WITH {_ENRICHED}, final AS (SELECT * FROM enriched)", ["aligned_delta_imbalance"], ["user_id", "assigned_at", "volume_delta", "aligned_volume_delta", "abs_volume_delta", "aligned_delta_imbalance_quantile", "abs_delta_imbalance_quantile"]),
-    "gap_scope_summary": _scopes_sql(), "hourly_gap_cohorts": _cohorts_sql(), "gap_excursion_profiles": _profiles_sql(),
+    "gap_all_summaries": _everything_sql(), "gap_scope_summary": _scopes_sql(), "hourly_gap_cohorts": _cohorts_sql(), "gap_excursion_profiles": _profiles_sql(),
     "gap_outcome_rates": _grouped_sql(gaps.OUTCOME_SCOPES, "outcome"), "gap_entry_excursions": _grouped_sql(gaps.ENTRY_SCOPES, "entry"), "gap_success_context": _grouped_sql(gaps.SUCCESS_SCOPES, "success"),
     "gap_outcome_counts": f"WITH {_SCANNED} SELECT fvg_side, assigned_stage, outcome_bucket, count(*)::BIGINT AS n FROM scanned GROUP BY ALL",
     "gap_position_tables": f"WITH {_SCANNED}, p AS (SELECT *, floor((row_number() OVER (ORDER BY bar2_volume, user_id, assigned_at) - 1) * 4 / count(*) OVER ())::INT + 1 AS q FROM scanned) SELECT assigned_at, round(avg(bar2_volume), 6) + 0.0 AS mean_bar2_volume, {', '.join(f'count(*) FILTER (WHERE q = {i})::BIGINT AS n_q{i}' for i in (1, 2, 3, 4))} FROM p GROUP BY 1",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
 from ..operators import liquidity as lq
 from ..operators import regime
 from ..sources.ticks import ticks_from_events
@@ -50,31 +50,28 @@ def strong(spark, sf_dir):
     return rounded(lq.of_kinds(found, [("TRENDLINE", None), ("EQUAL_HIGHS", "SWING_TICK_EQUAL")]))
 
 
-def _streamed(spark, sf_dir, build, mode):
+def _streamed(spark, sf_dir, build, keys=()):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     # the file source lists a folder, so the one file is named by a glob
     raw = stream.read_stream(spark, f"{sf_dir}/events.parquet*", batch.schema)
-    name = f"s{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    stream.run_available(build(ticks_from_events(raw)), name, f"{folder}/{name}", mode)
-    return spark.table(name)
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    return stream.write_available(build(ticks_from_events(raw)), f"{folder}/out", f"{folder}/checkpoint", keys)
 
 
 def stream_bars(spark, sf_dir):
     """Hourly bars that the watermark has closed (the last two hours are still open)."""
-    out = _streamed(spark, sf_dir, lambda t: stream.streaming_bars(t, "1 hour", "1 hour"), "append")
+    out = _streamed(spark, sf_dir, lambda t: stream.streaming_bars(t, "1 hour", "1 hour"))
     return rounded(out.withColumn("datetime_utc", F.date_format("datetime_utc", "yyyy-MM-dd HH:mm:ss")))
 
 
 def stream_delta(spark, sf_dir):
-    out = _streamed(spark, sf_dir, lambda t: stream.streaming_delta(t, "1 hour", "1 hour"), "append")
+    out = _streamed(spark, sf_dir, lambda t: stream.streaming_delta(t, "1 hour", "1 hour"))
     return rounded(out.withColumn("datetime_utc", F.date_format("datetime_utc", "yyyy-MM-dd HH:mm:ss")).select("datetime_utc", "buy_size", "sell_size", "volume_delta", "total_size", "delta_imbalance"))
 
 
 def stream_vwap(spark, sf_dir):
     """The last update of each day's VWAP from 12:00 to 18:00."""
-    out = _streamed(spark, sf_dir, lambda t: stream.streaming_vwap(t, 12 * 3600, 18 * 3600), "complete")
-    return rounded(out)
+    return rounded(_streamed(spark, sf_dir, lambda t: stream.streaming_vwap(t, 12 * 3600, 18 * 3600), ["date"]))
 
 
 _OPEN = "(SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)"

@@ -156,7 +156,44 @@ final AS (SELECT *, CASE WHEN candle_state <> 'neutral' THEN bias = candle_state
 
 
 def retouch_rates(spark, sf_dir):
-    return rounded(v.retouch_summary(retouches(spark, sf_dir), ["retouch_frozen_lag_s", "retouch_rolling_lag_s", "mfe_break_points", "mae_break_points", "fwd_break_h16_points"]))
+    return rounded(v.retouch_summary(retouches(spark, sf_dir), list(_RATED)))
+
+
+_near = lambda v, q: f"list_sort(list({v}) FILTER (WHERE {v} IS NOT NULL))[floor({q} * (count({v}) - 1) + 0.5)::INT + 1]"
+
+
+def _context_summary_sql() -> str:
+    tenth = lambda v: f"CASE WHEN {v} IS NOT NULL AND count({v}) OVER () >= 10 THEN (floor((row_number() OVER (PARTITION BY {v} IS NULL ORDER BY {v}, date) - 1) * 10 / count({v}) OVER ())::INT + 1)::VARCHAR END"
+    first, holds = "concat_ws('_', 'first10', barrier_first10::VARCHAR)", "concat_ws('_', 'holds', barrier_holds::VARCHAR)"
+    close = "CASE WHEN coalesce(greatest(0, -vwap_dist_at_close_points), 0) <= 0 THEN 'no_wrong_side_close' WHEN cw <= 0.25 THEN 'wrong_le_1tick' WHEN cw <= 2 THEN 'wrong_1tick_to_2pts' WHEN cw <= 5 THEN 'wrong_2_to_5pts' ELSE 'wrong_gt_5pts' END"
+    scopes = [
+        ("barrier_only", first), ("barrier_only", holds), ("vwap_early_only", "early_constructive"), ("barrier_vwap_early", f"concat_ws('_', {first}, early_constructive)"), ("barrier_vwap_early", f"concat_ws('_', {holds}, early_constructive)"), ("barrier_late_context", f"concat_ws('_', {holds}, late_constructive)"),
+        ("wrong_side_close_bucket", close), ("wrong_side_share_decile", tenth("wrong_side_share")), ("worst_wrong_side_decile", tenth("worst_wrong_side_dist_points")), ("late_decision", "context_transition"),
+    ]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS scope, {e} AS bucket, t1_points, t2_points, after_points FROM cy" for n, e in scopes)
+    long = " UNION ALL ".join(f"SELECT scope, bucket, '{t}' AS target_name, {t}_points AS points FROM sc WHERE bucket IS NOT NULL" for t in ("t1", "t2", "after"))
+    qs = {f"p{round(q * 100)}_target_points": _near("points", q) for q in (0.1, 0.25, 0.75, 0.9)}
+    kinds = {"bullish": ">", "bearish": "<", "neutral": "="}
+    sql = f"""WITH {_CTX_CTE}, sc AS ({rows}), lg AS ({long}), final AS (SELECT scope, bucket, target_name, count(*)::BIGINT AS sample_size, avg(points) AS avg_target_points, median(points) AS median_target_points, {', '.join(f'{e} AS {n}' for n, e in qs.items())},
+  {', '.join(f'count(*) FILTER (WHERE points {o} 0)::BIGINT AS {k}_count, 100.0 * count(*) FILTER (WHERE points {o} 0) / count(*) AS {k}_pct' for k, o in kinds.items())} FROM lg GROUP BY 1, 2, 3)"""
+    return rounded_sql(sql, ["avg_target_points", "median_target_points", *qs, *(f"{k}_pct" for k in kinds)], ["scope", "bucket", "target_name", "sample_size", *(f"{k}_count" for k in kinds)])
+
+
+_RATED = ("retouch_frozen_lag_s", "retouch_rolling_lag_s", "mfe_break_points", "mae_break_points", "fwd_break_h16_points")
+
+
+def _retouch_rates_sql() -> str:
+    whole = _retouch_sql()
+    cte = whole[: whole.rindex(" SELECT ")].replace("final AS (SELECT *, CASE WHEN candle_state", "st AS (SELECT *, CASE WHEN candle_state")
+    flags = ("retouch_frozen_occurred", "retouch_rolling_occurred", "bias_matches_candle", "bias_matches_macro")
+    rate = lambda scope, source: " UNION ALL ".join(f"SELECT '{scope}' AS scope, bucket, '{f}' AS metric, avg({f}::INT) * 100 AS value, count({f})::BIGINT AS sample_size FROM {source} WHERE {f} IS NOT NULL GROUP BY bucket" for f in flags)
+    figures = {"mean": "avg({m})", "median": "median({m}::DOUBLE)"} | {f"p{round(q * 100)}": None for q in (0.1, 0.25, 0.75, 0.9)}
+    dist = " UNION ALL ".join(f"SELECT 'distribution', bucket, '{m}_{k}', {e.format(m=m) if e else _near(m, int(k[1:]) / 100)}, count({m})::BIGINT FROM sd WHERE {m} IS NOT NULL GROUP BY bucket" for m in _RATED for k, e in figures.items())
+    tenth = lambda v: f"SELECT *, '{v}_' || (floor((row_number() OVER (ORDER BY {v}, date) - 1) * 10 / count(*) OVER ())::INT + 1) AS bucket FROM ht WHERE {v} IS NOT NULL AND (SELECT count(DISTINCT {v}) FROM ht) >= 10"
+    deciles = ("range_first_points", "vol_share_first")
+    sql = f"""{cte}, ht AS (SELECT * FROM st WHERE trigger_state = 'triggered'), sd AS (SELECT 'all' AS bucket, * FROM ht UNION ALL SELECT bias, * FROM ht), {', '.join(f'd{i} AS ({tenth(v)})' for i, v in enumerate(deciles))},
+final AS (SELECT 'coverage' AS scope, trigger_state AS bucket, 'days' AS metric, count(*)::DOUBLE AS value, count(*)::BIGINT AS sample_size FROM st GROUP BY 2 UNION ALL {rate('frequency', 'sd')} UNION ALL {dist} UNION ALL {' UNION ALL '.join(rate('decile', f'd{i}') for i in range(len(deciles)))})"""
+    return rounded_sql(sql, ["value"], ["scope", "bucket", "metric", "sample_size"])
 
 
 QUERIES = {
@@ -165,7 +202,7 @@ QUERIES = {
 }
 _Q = ", ".join(f"quantile_cont(value, {q}) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9))
 SQL = {
-    "vwap_premacro": _PRE, "vwap_merged_partials": _PRE, "vwap_intramacro": _INTRA, "vwap_summary": _summary_sql(), "vwap_retouch": _retouch_sql(),
+    "vwap_barrier_context_summary": _context_summary_sql(), "vwap_retouch_summary": _retouch_rates_sql(), "vwap_premacro": _PRE, "vwap_merged_partials": _PRE, "vwap_intramacro": _INTRA, "vwap_summary": _summary_sql(), "vwap_retouch": _retouch_sql(),
     "vwap_barrier_context": rounded_sql(f"WITH {_CTX_CTE}, final AS (SELECT * FROM cy)", _CTX_DOUBLES, ["date", *_CTX]),
     "vwap_wrong_side_quantiles": rounded_sql(f"WITH {_CTX_CTE}, l AS (SELECT unnest(['seconds_wrong_side', 'wrong_side_share', 'worst_wrong_side_dist_points']) AS metric, unnest([seconds_wrong_side, wrong_side_share, worst_wrong_side_dist_points]) AS value FROM cy), final AS (SELECT metric, count(value)::BIGINT AS n, {_Q} FROM l WHERE value IS NOT NULL GROUP BY 1)", ["p10", "p25", "p50", "p75", "p90"], ["metric", "n"]),
     "vwap_decision_table": rounded_sql(f"WITH {_CTX_CTE}, final AS (SELECT context_transition, macro_trend_state, count(*)::BIGINT AS n, avg(t2_points) AS mean_points, median(t2_points) AS median_points FROM cy GROUP BY 1, 2)", ["mean_points", "median_points"], ["context_transition", "macro_trend_state", "n"]),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,14 +32,36 @@ def streaming_delta(ticks: DataFrame, width: str = "5 seconds", late: str = "10
     return out.withColumn("datetime_utc", F.col("w.start")).drop("w")
 
 
-def streaming_vwap(ticks: DataFrame, start: int, end: int, zone: str = ZONE) -> DataFrame:
-    """Running VWAP and last price of each day's window; update mode, one row of state per day."""
-    local = wall("ts", zone)
-    inside = ticks.where(within(second_of_day(local), start, end)).withColumn("date", F.to_date(local))
-    out = inside.groupBy("date").agg(F.sum(price() * F.col("size")).alias("_pv"), F.sum("size").alias("volume"), F.max_by(price(), order_key()).alias("last_price"))
-    return out.withColumn("vwap", F.when(F.col("volume") > 0, F.col("_pv") / F.col("volume"))).drop("_pv")
+def streaming_vwap(ticks: DataFrame, start: int, end: int, zone: str = ZONE, late: str = "2 hours") -> DataFrame:
+    """Running VWAP and last price of each day's window: one row of state per day, dropped once the watermark of local time passes the day."""
+    local = ticks.withColumn("_local", wall("ts", zone))
+    inside = local.where(within(second_of_day(F.col("_local")), start, end)).withWatermark("_local", late)
+    out = inside.groupBy(F.window("_local", "1 day")).agg(F.sum(price() * F.col("size")).alias("_pv"), F.sum("size").alias("volume"), F.max_by(price(), order_key()).alias("last_price"))
+    vwap = F.when(F.col("volume") > 0, F.col("_pv") / F.col("volume"))
+    return out.select(F.to_date("window.start").alias("date"), "volume", "last_price", vwap.alias("vwap"))
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
     """Process what there is and stop; results go to the in-memory table ``name`` (for tests and small runs)."""
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def write_available(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Process what there is into Parquet files at ``path`` and return them; nothing passes through the driver.
+
+    Without ``keys`` closed windows are appended. With ``keys`` each batch's
+    updates are written to a folder of its own, which a repeated batch
+    overwrites, and the latest row of each key is returned.
+    """
+    out = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if not keys:
+        out.format("parquet").outputMode("append").option("path", path).start().awaitTermination()
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    out.outputMode("update").foreachBatch(save).start().awaitTermination()
+    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))

@@ -146,6 +146,39 @@ def trendline(points, a, c, up, tol=0.01, var=0.3, dev=3.0):
     )
 
 
+def brute_patterns(h, l, c, lookback, spacing, least, most, tolerance, variance):
+    """All patterns of a session, by loops: (type, strength, is_buyside, start, end, points)."""
+    want = set()
+    for up in (True, False):
+        a, s = (h, 1) if up else (l, -1)
+        b, n, kind = a * s, len(a), "EQUAL_HIGHS" if up else "EQUAL_LOWS"
+        swings, ticks = [], set()
+        for i in range(lookback, n - lookback):
+            if all(b[i] > b[j] for j in range(i - lookback, i + lookback + 1) if j != i):
+                swings.append((i, a[i], False))
+            elif b[i] == b[i + 1] and b[i - 1] < b[i] and b[i + 2 : i + 3].max(initial=-np.inf) < b[i] and all(b[j] < b[i] for j in range(max(0, i - lookback), min(n, i + lookback + 3)) if j < i - 1 or j > i + 2):
+                swings.append((i, a[i], True))
+                ticks.add(i)
+                want.add((kind, "TICK_SWING", up, i, i + 1, 2))
+        regular = [(i, p) for i, p, t in swings if not t]
+        for i in range(n):
+            for j in range(i + 1, n):
+                if b[i] == b[j] and not any(b[x] > b[i] for x in range(i + 1, j)) and not (i in ticks and j == i + 1):
+                    both = {i, j} <= {x for x, _ in regular}
+                    want.add((kind, "SWING_TICK_EQUAL" if both else "TICK_EQUAL", up, i, j, 2))
+        for x, (i, p) in enumerate(regular):
+            for j, q in regular[x + 1 :]:
+                if p != q and abs(p - q) / ((p + q) / 2) <= spacing and p * s >= q * s and all(b[y] <= p * s for y in range(i + 1, j)):
+                    want.add((kind, "OLDER_HIGHER", up, i, j, 2))
+        used, pts = set(), [(i, p) for i, p, _ in swings]
+        for size in range(most, least - 1, -1):
+            for st in range(len(pts) - size + 1):
+                if not used & set(range(st, st + size)) and trendline(pts[st : st + size], a, c, up, tolerance, variance):
+                    used |= set(range(st, st + size))
+                    want.add(("TRENDLINE", None, up, pts[st][0], pts[st + size - 1][0], size))
+    return want
+
+
 def test_liquidity_patterns(spark):
     rng = np.random.default_rng(5)
     data = {}
@@ -159,34 +192,7 @@ def test_liquidity_patterns(spark):
         got.setdefault(x["k"], set()).add((x["type"], x["strength"], x["is_buyside"], x["start_index"], x["end_index"], x["n_points"]))
     total = 0
     for k, (h, l, c) in data.items():
-        want = set()
-        for up in (True, False):
-            a, s = (h, 1) if up else (l, -1)
-            b, n, kind = a * s, 60, "EQUAL_HIGHS" if up else "EQUAL_LOWS"
-            swings, ticks = [], set()
-            for i in range(2, n - 2):
-                if all(b[i] > b[j] for j in range(i - 2, i + 3) if j != i):
-                    swings.append((i, a[i], False))
-                elif b[i] == b[i + 1] and b[i - 1] < b[i] and b[i + 2] < b[i] and all(b[j] < b[i] for j in range(max(0, i - 2), min(n, i + 5)) if j < i - 1 or j > i + 2):
-                    swings.append((i, a[i], True))
-                    ticks.add(i)
-                    want.add((kind, "TICK_SWING", up, i, i + 1, 2))
-            regular = [(i, p) for i, p, t in swings if not t]
-            for i in range(n):
-                for j in range(i + 1, n):
-                    if b[i] == b[j] and not any(b[x] > b[i] for x in range(i + 1, j)) and not (i in ticks and j == i + 1):
-                        both = {i, j} <= {x for x, _ in regular}
-                        want.add((kind, "SWING_TICK_EQUAL" if both else "TICK_EQUAL", up, i, j, 2))
-            for x, (i, p) in enumerate(regular):
-                for j, q in regular[x + 1 :]:
-                    if p != q and abs(p - q) / ((p + q) / 2) <= 0.01 and p * s >= q * s and all(b[y] <= p * s for y in range(i + 1, j)):
-                        want.add((kind, "OLDER_HIGHER", up, i, j, 2))
-            used, pts = set(), [(i, p) for i, p, _ in swings]
-            for size in range(5, 2, -1):
-                for st in range(len(pts) - size + 1):
-                    if not used & set(range(st, st + size)) and trendline(pts[st : st + size], a, c, up):
-                        used |= set(range(st, st + size))
-                        want.add(("TRENDLINE", None, up, pts[st][0], pts[st + size - 1][0], size))
+        want = brute_patterns(h, l, c, 2, 0.01, 3, 5, 0.01, 0.3)
         assert got.get(k, set()) == want, k
         total += sum(x[0] == "TRENDLINE" for x in want)
     assert total > 0
@@ -212,3 +218,129 @@ def test_streams_equal_batch(spark, tmp_path):
     (v,) = spark.table("vwap").collect()
     want = df.agg((F.sum(F.col("price_ticks") / 4 * F.col("size")) / F.sum("size")).alias("v"), F.sum("size").alias("n")).first()
     assert v["vwap"] == pytest.approx(want["v"]) and v["volume"] == want["n"]
+
+
+def test_streams_write_files(spark, tmp_path):
+    """Appended windows and the latest update of each key come back from files; a window's state has a watermark."""
+    base = int(dt.datetime(2025, 1, 2, 14, 0, tzinfo=dt.timezone.utc).timestamp())
+    rows = [((base + i * 3600) * 10**9, i % 3, i % 3, 84000 + i * 5 % 11, i + 1) for i in range(100)]
+    df = normalize(spark.createDataFrame(rows, "ts_event long, intra_ts_rank long, side int, price_ticks long, size long"))
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    read = lambda: stream.read_stream(spark, str(tmp_path / "in"), df.schema, 1)
+    bars = stream.write_available(stream.streaming_bars(read(), "1 day", "9 days"), str(tmp_path / "bars"), str(tmp_path / "c1"))
+    assert bars.collect() == []  # nothing is closed yet, and the files say so with a schema
+    flow_ = stream.streaming_vwap(read(), 0, 86400, late="9 days")
+    assert "EventTimeWatermark" in flow_._jdf.queryExecution().analyzed().toString()
+    got = {r["date"]: r for r in stream.write_available(flow_, str(tmp_path / "vwap"), str(tmp_path / "c2"), ["date"]).collect()}
+    p = df.withColumn("date", F.to_date(F.from_utc_timestamp("ts", "America/New_York"))).groupBy("date").agg((F.sum(F.col("price_ticks") / 4 * F.col("size")) / F.sum("size")).alias("v"), F.sum("size").alias("n")).collect()
+    assert {r["date"]: (pytest.approx(r["v"]), r["n"]) for r in p} == {d: (r["vwap"], r["volume"]) for d, r in got.items()}
+
+
+def elastic(x, y, alpha, l1):
+    """Elastic net by coordinate descent on the rows."""
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z, r, w = (x - mean) / scale, y - y.mean(), np.zeros(x.shape[1])
+    for _ in range(3000):
+        for j in range(len(w)):
+            rho = z[:, j] @ (r - z @ w + z[:, j] * w[j]) / len(y)
+            w[j] = np.sign(rho) * max(0, abs(rho) - alpha * l1) / ((z[:, j] ** 2).mean() + alpha * (1 - l1))
+    return mean, scale, w, y.mean()
+
+
+@pytest.mark.parametrize("alpha, l1", [(0.001, 0.5), (0.01, 0.25), (1.0, 0.9)])
+def test_elastic_net_from_gram_sums(daily, alpha, l1):
+    p = daily.dropna().toPandas()
+    grams = f.gram(daily, [], FEATURES, "y").withColumn("g", F.lit(1))
+    (fit,) = f.ridge(grams, ["g"], alpha, l1).collect()
+    _, _, w, b = elastic(p[FEATURES].to_numpy(), p["y"].to_numpy(), alpha, l1)
+    assert fit["coef"] == pytest.approx(w, abs=1e-8) and fit["intercept"] == pytest.approx(b)
+    assert (alpha < 1) == any(fit["coef"])
+    run = f.walkforward_experiment(daily, FEATURES, "y", alpha=alpha, l1_ratio=l1)
+    days = sorted(p["trade_date"])[-math.ceil(len(p) * 0.15) :]
+    dev, held = p[~p["trade_date"].isin(days)], p[p["trade_date"].isin(days)]
+    mean, scale, w, b = elastic(dev[FEATURES].to_numpy(), dev["y"].to_numpy(), alpha, l1)
+    mae = np.abs(held["y"] - (b + ((held[FEATURES].to_numpy() - mean) / scale) @ w)).mean()
+    assert {r["sample"]: r["mae"] for r in run["metrics"].collect()}["holdout"] == pytest.approx(mae)
+
+
+def brute_boosted(x, y, asked, q, trees, depth, rate, least=5):
+    """The same trees by trying every split."""
+    fitted, out = np.full(len(y), np.quantile(y, q)), np.full(len(asked), np.quantile(y, q))
+    for _ in range(trees):
+        rest = y - fitted
+        pull = np.where(rest > 0, q, q - 1.0)
+        todo, steps, new = [(np.ones(len(y), bool), np.ones(len(asked), bool), depth)], np.zeros(len(y)), np.zeros(len(asked))
+        while todo:
+            rows, there, left = todo.pop()
+            best = None
+            for j in range(x.shape[1]) if left and rows.sum() >= 2 * least else ():
+                for cut in sorted(set(x[rows, j]))[:-1]:
+                    a, b = rows & (x[:, j] <= cut), rows & (x[:, j] > cut)
+                    gain = pull[a].sum() ** 2 / a.sum() + pull[b].sum() ** 2 / b.sum() - pull[rows].sum() ** 2 / rows.sum()
+                    if a.sum() >= least and b.sum() >= least and gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                        above = x[b, j].min()
+                        best = (gain, j, (cut + above) / 2)
+            if best is None:
+                steps[rows], new[there] = rate * np.quantile(rest[rows], q), rate * np.quantile(rest[rows], q)
+            else:
+                _, j, cut = best
+                todo += [(rows & (x[:, j] <= cut), there & (asked[:, j] <= cut), left - 1), (rows & (x[:, j] > cut), there & (asked[:, j] > cut), left - 1)]
+        fitted, out = fitted + steps, out + new
+    return out
+
+
+@pytest.mark.parametrize("q", [0.25, 0.5, 0.75])
+def test_boosted_quantiles(q):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 3))
+    y = x[:, 0] + np.abs(x[:, 1]) * rng.normal(size=80)
+    got = f.boosted_quantile(x[:60], y[:60], x[60:], q, 6, 2, 0.3)
+    assert got == pytest.approx(brute_boosted(x[:60], y[:60], x[60:], q, 6, 2, 0.3))
+    wide = rng.normal(size=(4000, 2))
+    target = wide[:, 0] * 2 + np.exp(wide[:, 1]) * rng.normal(size=4000)
+    held = f.boosted_quantile(wide[:3000], target[:3000], wide[3000:], q, 60, 3, 0.2)
+    assert (target[3000:] <= held).mean() == pytest.approx(q, abs=0.05)
+
+
+def test_boosted_forecast_refits_each_month(daily):
+    got = f.boosted_quantile_forecast(daily, "y", FEATURES, fraction=0.1, years=1, trees=3).toPandas()
+    p = daily.dropna().orderBy("trade_date").toPandas()
+    days = p["trade_date"][-math.ceil(len(p) * 0.1) :]
+    assert sorted(got["trade_date"].unique()) == sorted(days) and len(got) == 3 * len(days)
+    for month in {d.replace(day=1) for d in days}:
+        own = [d for d in days if d.replace(day=1) == month]
+        start = min(own)
+        t = p[(p["trade_date"] < start) & (p["trade_date"] >= start.replace(year=start.year - 1))]
+        a = p[p["trade_date"].isin(own)]
+        want = f.boosted_quantile(t[FEATURES].to_numpy(), t["y"].to_numpy(), a[FEATURES].to_numpy(), 0.5, 3)
+        mine = got[(got["quantile"] == 0.5) & got["trade_date"].isin(own)].sort_values("trade_date")
+        assert mine["prediction"].to_numpy() == pytest.approx(want)
+
+
+def test_probe_skips_sessions_without_a_label(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(240):
+        kind = f.LABELS[i % 3]
+        rows.append((DAY + dt.timedelta(days=i), "full", float(i % 3 + rng.normal() * 0.1), kind))
+        rows.append((DAY + dt.timedelta(days=i), "poor", float(rng.normal()), f.LABELS[i % 2]))
+    df = spark.createDataFrame([*rows, (DAY, "full", 0.0, "uncertain")], "trade_date date, session_name string, x double, label string")
+    report, confusion = f.three_way_probe(df, {"full": ["x"], "poor": ["x"]}, trees=8)
+    got = report.collect()
+    assert {r["session"] for r in got} == {"full"} and {r["model_name"] for r in got} == {"multinomial_logit", "boosted_trees", "random_forest"}
+    assert all(r["f1"] > 0.9 and r["macro_f1"] > 0.9 for r in got) and sum(r["n"] for r in confusion.collect()) == 3 * 36
+    assert f.three_way_probe(df, {"poor": ["x"]})[0].collect() == []
+
+
+def test_predictor_deciles(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(-50, 51, 60).astype(float), rng.integers(-9, 10, 60).astype(float)
+    rows = [(DAY + dt.timedelta(days=i), "p", float(a), float(a) / 100, "k359", float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    rows += [(DAY + dt.timedelta(days=i), "few", float(i % 9), 0.0, "k359", 1.0) for i in range(60)]
+    got = {r["predictor_decile"]: r for r in cohort.predictor_deciles(spark.createDataFrame(rows, "d date, predictor string, x double, imb double, target string, y double"), "d").collect()}
+    order = np.lexsort([np.arange(60), x])
+    for k in range(10):
+        i = order[k * 6 : k * 6 + 6]
+        signal = (x[i] != 0) & (y[i] != 0)
+        assert (got[k + 1]["n_days"], got[k + 1]["n_signal_days"], got[k + 1]["opposite_count"]) == (6, signal.sum(), (x[i] * y[i] < 0).sum()) and got[k + 1]["mean_k359_delta"] == pytest.approx(y[i].mean())
+    assert len(got) == 10  # a predictor with nine values has none
