@@ -10,8 +10,9 @@ are streamed: a task holds one Arrow batch and a few numbers of state, never a
 whole conversation, so a conversation of any length passes.
 
 Defined cases: a null text or role is empty; a record whose layout no mapping
-knows is one turn of role ``unmapped`` with the raw record as its text, so
-nothing is lost; null turns come first, ties are ordered by the record;
+knows, that is no JSON, is nested too deep to parse or whose texts hold half a
+surrogate pair is one turn of role ``unmapped`` with the raw record as its
+text, so nothing is lost; null turns come first, ties are ordered by the record;
 repeated rows are turns of their own; a null conv_id is a conversation; an
 empty table gives an empty result.
 """
@@ -79,9 +80,9 @@ def turns(raw: str, known: dict[str, dict]) -> tuple[str, list[tuple[str, str]]]
     """(fingerprint, canonical turns) of a JSON record."""
     try:
         record = json.loads(raw)
-    except ValueError:
-        record = None
-    mark = fingerprint(paths(record))
+        mark = fingerprint(paths(record))
+    except (ValueError, RecursionError):  # no JSON, nested too deep, or half a surrogate pair in a name
+        record, mark = None, fingerprint({""})
     layout = known.get(mark)
     if layout is None:
         return mark, [("unmapped", raw)]
@@ -92,6 +93,10 @@ def turns(raw: str, known: dict[str, dict]) -> tuple[str, list[tuple[str, str]]]
             name = "" if name is None else str(name)
             parts = ["" if (x := _at(item, f)) is None else str(x) for f in fields]
             out.append((layout["roles"].get(name, name), "\n".join([parts[0], *(p for p in parts[1:] if p)])))
+    try:
+        "".join(x for turn in out for x in turn).encode()
+    except UnicodeEncodeError:  # an escaped half of a surrogate pair: no text that can be written
+        return mark, [("unmapped", raw)]
     return mark, out
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -13,6 +9,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import global_rank, materialize, shared_dir
+
+__all__ = ["BLANK", "WORD", "Words", "components", "fresh", "global_rank", "materialize", "mix", "phrases", "shared_dir", "slices", "table"]
+
 #: What separates words and fills blank lines: space and \t \n \v \f \r.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,36 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a local session does not name one (tests) a temporary folder is
-    taken and set, so that later calls agree; on a cluster that is an error,
-    as executors would write to disks of their own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir() or path
-    return path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    It cuts the lineage and survives lost executors; columnar and compressed,
-    so smaller than an RDD checkpoint of the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name with as many underscores before it as keep it apart from the columns of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -62,37 +32,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def n_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """``df`` with ``out``: its row number (from 0) in the order of ``order``, nulls last.
-
-    A range partitioning, a sort in each partition and an offset per
-    partition: no single-task window. Only one count per partition reaches the
-    driver. ``order`` should be unique, else ties are numbered arbitrarily.
-    """
-    spark, keys = df.sparkSession, [F.col(c).asc_nulls_last() for c in order]
-    placed = materialize(
-        df.repartitionByRange(n_partitions(df), *keys)
-        .sortWithinPartitions(*keys)
-        .select("*", F.monotonically_increasing_id().alias("_at"))
-        .select("*", F.shiftright("_at", 33).cast("int").alias("_part"))
-    )
-    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
-        total += n
-    offsets = spark.createDataFrame(starts, "_part int, _start long")  # one row per partition
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
-        .drop("_part", "_at", "_start")
-    )
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (long columns a, b): rows (v, root), root the smallest vertex.
 

@@ -6,8 +6,8 @@ children in order. Two replicas are compared from the root: only where node
 hashes differ are the children looked at, so the records of intact ranges are
 never compared.
 
-Defined cases: a null url or html is an empty field; a null page_id goes to a
-file by a hash of its content, before the others; repeated records take
+Defined cases: a null url or html is an empty field; a null page_id goes to one
+of 16**5 files of its own, with negative numbers, by a digest of its content; repeated records take
 offsets of their own; a replica may lack records or hold others at further
 offsets; with an empty replica every record of the other differs; two empty
 ones give an empty result.
@@ -36,7 +36,8 @@ def digests(pages: DataFrame, *more: Column, file_records: int = FILE_RECORDS) -
     Records are hashed where they are read; only digests move from here on.
     """
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), record(F.col("url"), F.col("html")).alias("record"))
-    number = F.coalesce(F.floor(F.col("page_id") / file_records), F.pmod(F.xxhash64("record"), F.lit(file_records))).cast("long")
+    none = -1 - F.conv(F.substring(F.md5("record"), 1, 5), 16, 10).cast("long")
+    number = F.coalesce(F.floor(F.col("page_id") / file_records).cast("long"), none)
     return kept.select(number.alias("file_no"), "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *more)
 
 
@@ -106,23 +107,28 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fa
     return compared.select("file_no", "record_offset", F.coalesce("length_a", "length_b").alias("length"), state.alias("state"), "expected", "found")
 
 
-def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def damaged_replica_audit(pages: DataFrame) -> DataFrame:
     """Audit a replica of all pages in which some records were altered and some lost."""
     altered = F.when(F.col("page_id") % 97 == 5, F.translate("record", "e", "3")).otherwise(F.col("record"))
-    records = materialize(placed(digests(table(spark, sf_dir, "pages"), F.sha2(altered, 256).alias("other"))))
+    records = materialize(placed(digests(pages, F.sha2(altered, 256).alias("other"))))
     replica = records.where(F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))).select("file_no", "record_offset", "length", F.col("other").alias("digest"))
     return audit(records, replica)
 
 
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_replica_audit(table(spark, sf_dir, "pages"))
+
+
 def _sql() -> str:
+    number = f"coalesce(floor(page_id / {FILE_RECORDS}.0)::BIGINT, -1 - ('0x' || substr(md5(record), 1, 5))::BIGINT)"
     return f"""
 WITH records AS (
   SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages
 ), placed AS (
-  SELECT page_id, page_id // {FILE_RECORDS} AS file_no, record, strlen(record)::BIGINT AS length,
-    coalesce(sum(strlen(record)) OVER (PARTITION BY page_id // {FILE_RECORDS} ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset
+  SELECT page_id, {number} AS file_no, record, strlen(record)::BIGINT AS length,
+    coalesce(sum(strlen(record)) OVER (PARTITION BY {number} ORDER BY page_id NULLS FIRST, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset
   FROM records
 ), compared AS (
   SELECT *, CASE WHEN page_id % 211 = 7 THEN NULL WHEN page_id % 97 = 5 THEN replace(record, 'e', '3') ELSE record END AS other FROM placed

@@ -70,3 +70,8 @@ def test_round_trip(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_records(chat.as_records(df))).collect() == []
+
+
+@pytest.mark.parametrize("raw", ["[" * 100_000, '{"prompt":"\\ud800"}', '{"a\\udfff":1}', '{"prompt":' * 3000 + "1" + "}" * 3000, "\x00", "nul"])
+def test_records_that_cannot_be_parsed_or_written_are_kept(raw):
+    assert chat.turns(raw, chat.registry())[1] == [("unmapped", raw)]

@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+
 from pyspark.sql import functions as F
 
 from sessionflow.llm import fixity
@@ -49,3 +51,16 @@ def test_nulls_and_repeats(spark):
     assert found(spark, ours, ours) == {}
     assert len(found(spark, ours, ours.where("length > 6000 is not true"))) == len(found(spark, ours, ours.where("length <= 6000")))
     assert len(found(spark, ours, ours.limit(0))) == len(pages)
+
+
+def test_sql_says_the_same_of_null_and_negative_ids(spark):
+    pages = [*rows(120), *((None, f"n{i}", "h" * i) for i in range(40)), (None, "n1", "h"), (-5, "u", "a"), (-2000, "u", "b"), (-92, None, "eee"), (102, "again", "e")]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    rel = c.execute(fixity.SQL["op8_merkle_audit"])
+    names = [d[0] for d in rel.description]
+    got = fixity.damaged_replica_audit(spark.createDataFrame(pages, "page_id long, url string, html string")).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rel.fetchall(), key=str)
+    placed = fixity.placed(fixity.digests(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id is null"))
+    assert placed.select("file_no").distinct().count() == 40  # equal records share a file
