@@ -152,8 +152,69 @@ final AS (SELECT date, n, up_ + dn_ AS containment_ib_extension_ratio, abs(up_ -
     return rounded_sql(sql, names, ["date", "n"])
 
 
+def _quality_sql(n: int = 4, least: int = 8) -> str:
+    """Trend quality from the directional indicators: crossovers, persistence by runs of the leading side, the weighted score."""
+    whole = _directional_sql(n)
+    cte = whole[: whole.index("final AS (")]
+    parts = ["persistence_avg", "persistence_margin_weighted", "persistence_time_in_control", "persistence_recency_weighted", "crossovers", "crossover_score"]
+    gated = ", ".join(f"CASE WHEN quality_error IS NULL THEN {c} END AS {c}" for c in parts)
+    sql = f"""{cte}un AS (SELECT date, unnest(range(1, n + 1)) AS i, unnest(p) AS p, unnest(m) AS m, unnest(adx) AS a FROM g), ok AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY i) AS k, count(*) OVER (PARTITION BY date) AS nv, p, m, a FROM un WHERE p IS NOT NULL AND m IS NOT NULL AND a IS NOT NULL),
+le AS (SELECT *, p - m AS d, lag(p - m) OVER w AS d1, coalesce(last_value(nullif(sign(p - m), 0) IGNORE NULLS) OVER w, 1) AS s, least(greatest(abs(p - m) / (p + m + 1e-12), 0), 1) AS gap FROM ok WINDOW w AS (PARTITION BY date ORDER BY k ROWS UNBOUNDED PRECEDING)),
+ru AS (SELECT *, coalesce(s <> lag(s) OVER w, TRUE)::INT AS new FROM le WINDOW w AS (PARTITION BY date ORDER BY k)), rv AS (SELECT *, sum(new) OVER (PARTITION BY date ORDER BY k) AS run FROM ru), rw AS (SELECT date, run, any_value(nv) AS nv, (count(*) / any_value(nv)) ** 2 * avg(gap) AS part FROM rv GROUP BY 1, 2),
+rx AS (SELECT date, count(*) AS runs, sum(part) AS mw FROM rw GROUP BY 1), ry AS (SELECT date, any_value(nv) AS nv, count(*) FILTER (WHERE d * d1 < 0) AS crossed, arg_max(a, k) AS last_a, arg_max(p, k) AS last_p, arg_max(m, k) AS last_m, abs(avg(s * gap)) AS tc, abs(sum(s * gap * CASE WHEN k = 1 THEN 0.65::DOUBLE ** (nv - 1) ELSE 0.35 * 0.65::DOUBLE ** (nv - k) END)) AS rc FROM rv GROUP BY 1),
+al AS (SELECT s.date, s.n, coalesce(nv, 0)::INT AS valid_bars, CASE WHEN s.n < {least} THEN 'Insufficient data' WHEN coalesce(nv, 0) = 0 THEN 'No valid data after warm-up' END AS quality_error, last_a, last_p, last_m, crossed::INT AS crossovers, least(greatest(1 - crossed / (nv / 2.0::DOUBLE), 0), 1) AS crossover_score,
+  CASE WHEN nv < 2 THEN 0 ELSE 1.0::DOUBLE / runs END AS persistence_avg, CASE WHEN nv < 2 THEN 0 ELSE least(mw, 1) END AS persistence_margin_weighted, CASE WHEN nv < 2 THEN 0 ELSE least(tc, 1) END AS persistence_time_in_control, CASE WHEN nv < 2 THEN 0 ELSE least(rc, 1) END AS persistence_recency_weighted FROM s LEFT JOIN rx ON rx.date = s.date LEFT JOIN ry ON ry.date = s.date),
+am AS (SELECT date, n, valid_bars, quality_error, CASE WHEN quality_error IS NULL THEN last_a END AS strength_raw, CASE WHEN quality_error IS NULL THEN CASE WHEN last_p > last_m THEN 'plus' ELSE 'minus' END END AS dominant_di, {gated} FROM al),
+final AS (SELECT *, strength_raw / 100 AS strength, CASE WHEN strength_raw IS NOT NULL THEN least(greatest(0.5 * strength_raw / 100 + 0.3 * persistence_margin_weighted + 0.2 * crossover_score, 0), 1) END AS trend_quality FROM am)"""
+    return rounded_sql(sql, [*(c for c in parts if c != "crossovers"), "strength_raw", "strength", "trend_quality"], ["date", "n", "valid_bars", "quality_error", "dominant_di", "crossovers"])
+
+
+def _memory_sql() -> str:
+    sql = f"""WITH {_DAY}, lg AS (SELECT date, m, r, unnest(range(2, least(m // 4, 20) + 1)) AS k FROM s3 WHERE least(m // 4, 20) >= 3), lv AS (SELECT date, m, ln(k) AS x, list_var_samp(list_transform(range(1, (m - k + 1)::BIGINT), lambda i: r[i + k] - r[i])) AS v FROM lg),
+hu AS (SELECT date, CASE WHEN any_value(m) >= 20 AND count(*) >= 3 THEN least(greatest(regr_slope(ln(v), x) / 2, 0), 1) END AS hs FROM lv WHERE v > 0 GROUP BY 1),
+j AS (SELECT s3.date, {_acf(1)} AS day_acf_1, {_acf(2)} AS day_acf_2, {_acf(5)} AS day_acf_5, hu.hs AS day_hurst FROM s3 LEFT JOIN hu ON hu.date = s3.date),
+final AS (SELECT *, CASE WHEN day_acf_1 IS NULL OR day_hurst IS NULL THEN 'insufficient_data' WHEN day_hurst > 0.6 AND day_acf_1 > 0.2 THEN 'trending' WHEN day_hurst < 0.4 AND day_acf_1 < -0.1 THEN 'mean_reverting' WHEN abs(day_acf_1) < 0.1 AND day_hurst BETWEEN 0.45 AND 0.55 THEN 'random_walk' WHEN day_hurst > 0.5 THEN 'weak_trend' ELSE 'weak_reversion' END AS day_signal FROM j)"""
+    return rounded_sql(sql, ["day_acf_1", "day_acf_2", "day_acf_5", "day_hurst"], ["date", "day_signal"])
+
+
+def _slopes(source: str, k: int = 4, look: int = 3) -> str:
+    """CTEs from ``source`` (key columns, n and lists o, hs, ls, c of a window) to sl: the multi-scale slope score; positions count from one."""
+    slope = lambda a, b: f"CASE WHEN NOT coalesce({b} > {a} AND c[{a}] > 0, FALSE) THEN 0 WHEN {b} - {a} < 2 THEN (c[{b}] / c[{a}] - 1) / ({b} - {a}) ELSE (c[{b}] / c[{a}] - 1) / ({b} - {a}) / greatest(list_stddev_samp(list_transform(range({a} + 1, {b} + 1), lambda i: ln(c[i]) - ln(c[i - 1]))), 1e-10) END"
+    subs = ", ".join(slope(f"({i} * (n // {k}) + 1)", "n" if i == k - 1 else f"({i + 1} * (n // {k}))") for i in range(k))
+
+    def prominent(a: str, b: str, s: int) -> str:
+        side = lambda x, lo, hi: f"list_max(list_transform(range({lo}, {hi}), lambda j: {s} * {x}[j]))"
+        low = lambda lo, hi: f"list_min(list_transform(range({lo}, {hi}), lambda j: {s} * {b}[j]))"
+        rise = f"({s} * {a}[i] - greatest({low(f'i - {look}', 'i')}, {low('i + 1', f'i + {look} + 1')}))"
+        fit = f"{s} * {a}[i] > {side(a, f'i - {look}', 'i')} AND {s} * {a}[i] > {side(a, 'i + 1', f'i + {look} + 1')} AND {rise} >= 0.5 * atr"
+        return f"CASE WHEN n >= {2 * k} THEN -list_reverse_sort(list_transform(list_filter(range({look} + 1, n - {look} + 1), lambda i: {fit}), lambda i: {{'p': {rise}, 'i': -i}}))[1].i END"
+
+    leg = lambda a, b: f"0.5 * (1 + tanh(({slope(a, b)}) * up))"
+    return f"""w1 AS (SELECT *, CASE WHEN n >= {2 * k} THEN {slope('1', 'n')} END AS main_slope, CASE WHEN n >= {2 * k} THEN [{subs}] END AS sub, list_avg(list_transform(range(greatest(1, n - 13), n + 1), lambda i: greatest(hs[i] - ls[i], coalesce(abs(hs[i] - c[i - 1]), 0), coalesce(abs(ls[i] - c[i - 1]), 0)))) AS atr0 FROM {source}),
+w2 AS (SELECT *, CASE WHEN atr0 = 0 THEN 1e-6 ELSE atr0 END AS atr, CASE WHEN main_slope > 0 THEN 1 ELSE -1 END AS up FROM w1), w3 AS (SELECT *, {prominent('hs', 'ls', 1)} AS hi, {prominent('ls', 'hs', -1)} AS lo FROM w2), w4 AS (SELECT *, CASE WHEN up > 0 THEN hi ELSE lo END AS entry, CASE WHEN up > 0 THEN lo ELSE hi END AS leave FROM w3),
+w5 AS (SELECT *, CASE WHEN n < {2 * k} THEN NULL WHEN hi IS NULL AND lo IS NULL THEN 0.5 WHEN hi IS NOT NULL AND lo IS NOT NULL THEN ({leg('1', 'least(hi, lo)')} + {leg('greatest(hi, lo)', 'n')}) / 2 WHEN entry IS NOT NULL THEN {leg('1', 'entry')} * 0.75 + 0.125 ELSE {leg('leave', 'n')} * 0.75 + 0.125 END AS co,
+  CASE WHEN abs(main_slope) < 1e-6 THEN len(list_filter(sub, lambda x: abs(x) < 1e-6)) / {k}.0::DOUBLE ELSE len(list_filter(sub, lambda x: sign(x) = up)) / {k}.0::DOUBLE END AS directional_consistency, list_stddev_samp(sub) AS sd, list_avg(list_transform(sub, lambda x: abs(x))) AS sz FROM w4),
+w6 AS (SELECT *, CASE WHEN main_slope IS NOT NULL THEN greatest(0.1, CASE WHEN abs(main_slope) > 1e-6 THEN exp(-sd / (abs(main_slope) * sqrt({k}))) WHEN sz > 1e-6 THEN 1 / (1 + sd / sz) ELSE 1 END) END AS slope_alignment, CASE WHEN main_slope IS NOT NULL THEN greatest(0.2, co) END AS extrema_coherence, tanh(abs(main_slope) * 5) AS magnitude_score FROM w5),
+w7 AS (SELECT *, round(0.35 * directional_consistency + 0.2 * slope_alignment + 0.2 * extrema_coherence + 0.25 * magnitude_score, 4) AS slope_score, (hi - 1)::INT AS prominent_high, (lo - 1)::INT AS prominent_low FROM w6),
+sl AS (SELECT *, CASE WHEN slope_score >= 0.8 THEN 'STRONG_TREND' WHEN slope_score >= 0.6 THEN 'TRENDING_WITH_NOISE' WHEN slope_score >= 0.4 THEN 'MIXED_TRANSITIONAL' WHEN slope_score >= 0.2 THEN 'CHOPPY_CONSOLIDATING' WHEN slope_score IS NOT NULL THEN 'HIGHLY_CHOPPY' END AS slope_interpretation FROM w7)"""
+
+
+def _slope_windows_sql(width: int = 12, step: int = 6) -> str:
+    cut = ", ".join(f"{x}[window_start + 1:window_start + {width}] AS {x}" for x in ("o", "hs", "ls", "c"))
+    sql = f"""WITH {_DAY}, ws AS (SELECT date, o, hs, ls, c, unnest(range(0, greatest(n - {width} + 1, 0), {step}))::INT AS window_start FROM s), wi AS (SELECT date, window_start, {width} AS n, {cut} FROM ws), {_slopes('wi')}, final AS (SELECT * FROM sl)"""
+    return rounded_sql(sql, ["main_slope", "slope_score", "directional_consistency", "slope_alignment", "extrema_coherence", "magnitude_score"], ["date", "window_start", "slope_interpretation", "prominent_high", "prominent_low"])
+
+
+def _last_window_sql(width: int = 10) -> str:
+    tail = "_tail AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY h DESC) AS back FROM bars)"
+    irr = _REVERSION[_REVERSION.index(", nb AS (") + 2 : _REVERSION.rindex(" SELECT ")].replace("FROM bars WINDOW", f"FROM (SELECT * FROM _tail WHERE back <= {width}) WINDOW").replace("final AS (SELECT *,", "rv AS (SELECT *,")
+    cut = ", ".join(f"{x}[greatest(n - {width}, 0) + 1:n] AS {x}" for x in ("o", "hs", "ls", "c"))
+    sql = f"""WITH {_DAY}, wi AS (SELECT date, least(n, {width}) AS n, n >= {width} AS enough, {cut} FROM s), {_slopes('wi')}, {tail}, {irr}, final AS (SELECT sl.date, enough, slope_score, slope_interpretation, full_irr, irr_interpretation FROM sl JOIN rv ON rv.date = sl.date)"""
+    return rounded_sql(sql, ["slope_score", "full_irr"], ["date", "enough", "slope_interpretation", "irr_interpretation"])
+
+
 QUERIES = {
     "regime_targets": targets, "regime_path_shape": path_shape, "regime_directional_bars": directional, "regime_trend_quality": quality, "regime_reversion": reversion, "regime_range_signals": range_signals,
     "regime_slope_windows": slope_windows, "regime_last_window": last_windows, "regime_memory": memory, "regime_expansion": expansion, "regime_modeling_table": table,
 }
-SQL = {"regime_targets": _TARGETS, "regime_path_shape": _PATH, "regime_reversion": _REVERSION, "regime_range_signals": _RANGES, "regime_directional_bars": _directional_sql(), "regime_expansion": _expansion_sql()}
+SQL = {"regime_targets": _TARGETS, "regime_path_shape": _PATH, "regime_reversion": _REVERSION, "regime_range_signals": _RANGES, "regime_directional_bars": _directional_sql(), "regime_expansion": _expansion_sql(), "regime_trend_quality": _quality_sql(), "regime_memory": _memory_sql(), "regime_slope_windows": _slope_windows_sql(), "regime_last_window": _last_window_sql()}
