@@ -14,7 +14,7 @@ from . import test_regime as plain
 
 #: What this file checks; ``test_oracle`` asks that every query has SQL or stands here (permutation_test: ``test_whole_queries``).
 CHECKED = {
-    "regime_modeling_table", "liquidity_patterns", "liquidity_selected", "regression_bakeoff", "classification_bakeoff",
+    "regime_modeling_table", "regression_bakeoff", "classification_bakeoff",
     "boosted_quantile_forecast", "three_way_probe", "registry_ridge_sweep", "registry_elastic_sweep", "permutation_test",
 }
 
@@ -102,7 +102,7 @@ def test_liquidity(spark, sf):
     for x in rows:
         got.setdefault(x["date"], set()).add((x["type"], x["strength"], x["is_buyside"], x["start_index"], x["end_index"], x["n_points"]))
     for d, (h, l, c) in sessions.items():
-        assert got.get(d, set()) == models.brute_patterns(h, l, c, 2, 0.2, 3, 8, 0.3, 0.9), d
+        assert got.get(d, set()) == models.brute_patterns(h, l, c, 2, 0.2, 3, 7, 0.3, 0.9), d
     kept = {tuple(x)[:6] for x in patterns.strong(spark, sf).select("date", "type", "strength", "is_buyside", "start_index", "end_index").collect()}
     assert kept == {(x["date"], x["type"], x["strength"], x["is_buyside"], x["start_index"], x["end_index"]) for x in rows if x["type"] == "TRENDLINE" or (x["type"], x["strength"]) == ("EQUAL_HIGHS", "SWING_TICK_EQUAL")}
 
