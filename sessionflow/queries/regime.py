@@ -213,8 +213,38 @@ def _last_window_sql(width: int = 10) -> str:
     return rounded_sql(sql, ["slope_score", "full_irr"], ["date", "enough", "slope_interpretation", "irr_interpretation"])
 
 
+def _table_sql() -> str:
+    """The modelling table: the features of the statements above before they are rounded, the ensemble over them, labels."""
+    inner = lambda sql: sql[: sql.rindex(" SELECT ")]
+    part = lambda sql, columns: f"({inner(sql)} SELECT date, {', '.join(columns)} FROM final)"
+    quality_ = ["valid_bars", "quality_error", "strength_raw", "strength", "trend_quality", "dominant_di", "persistence_avg", "persistence_margin_weighted", "persistence_time_in_control", "persistence_recency_weighted", "crossovers", "crossover_score"]
+    ranges = ["atr_ratio", "atr_signal", "dra_last", "dra_inside", "swing_highs", "swing_lows", "swing_count", "swing_class"]
+    irr = ["full_irr", "median_sub_irr", "mean_sub_irr", "directional_strength", "irr_regime", "high_part", "low_part", "irr_interpretation"]
+    slopes = ["main_slope", "slope_score", "slope_interpretation", "prominent_high", "prominent_low", "directional_consistency", "slope_alignment", "extrema_coherence", "magnitude_score", "greatest(atr0, 0) AS atr_value", "co AS extrema_coherence_raw"]
+    expansion_ = ["containment_ib_extension_ratio", "containment_ib_asymmetry", "containment_bandwidth_squeeze", "containment_vwap_acceptance", "containment_excess_rejection"]
+    clip = lambda x: f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, 0), 1) END"
+    found = {"adx": "trend_quality", "atr_range": clip("1 - atr_ratio"), "dra": clip("1 - dra_inside"), "irr": clip("directional_strength"), "lag": "hurst_simple", "mss": "slope_score", "spd": "CASE swing_class WHEN 'trending' THEN 1.0 WHEN 'mixed' THEN 0.5 WHEN 'chop' THEN 0.0 END"}
+    weight = {k: f"{v} * least(greatest(1 + {r.LEANING[k]} * tilt, 0.5), 1.5)" for k, v in r.WEIGHTS.items()}
+    needed = {"adx_quality": "trend_quality", "mss": "slope_score", "irr": "mean_sub_irr", "er": "efficiency_ratio", "log_vr": "log_variance_ratio", "dra": "dra_last", "atr": "atr_ratio", "hurst": "hurst_simple"}
+    missing = "concat_ws(';', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{k}' END" for k, c in needed.items()) + ")"
+    targets_ = [c for c in TARGETS if c not in ("chop_outside_share",)]
+    sql = f"""WITH {_DAY}, wi AS (SELECT * FROM s), {_slopes('wi')}, q AS {part(_quality_sql(), quality_)}, ra AS {part(_RANGES, ranges)}, rv AS {part(_REVERSION, irr)}, pa AS {part(_PATH, [*PATH, 'direction', 'variance_class'])}, me AS {part(_memory_sql(), ['day_acf_5 AS acf_5', 'day_hurst AS hurst_simple'])}, tg AS {part(_TARGETS, [*targets_, 'chop_outside_share'])}, ex AS {part(_expansion_sql(), expansion_)},
+br AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY date) AS n, hi + 1 AS hh, lo + 1 AS ll FROM bars), bk AS (SELECT date, CASE WHEN i < (n % least(n, 4)) * (n // least(n, 4) + 1) THEN i // (n // least(n, 4) + 1) ELSE n % least(n, 4) + (i - (n % least(n, 4)) * (n // least(n, 4) + 1)) // (n // least(n, 4)) END AS k, max(hh) - min(ll) AS w FROM br GROUP BY 1, 2),
+bs AS (SELECT bk.date, least(stddev_pop(w / (span + 1e-12)), 1) AS chop_instability FROM bk JOIN s1 ON s1.date = bk.date GROUP BY 1), sd AS (SELECT date, list_filter(list_transform(c, lambda x: sign(x - (list_max(hs) + list_min(ls)) / 2)), lambda x: x <> 0) AS sides FROM s),
+mc AS (SELECT date, CASE WHEN len(sides) > 1 THEN len(list_filter(range(2, len(sides) + 1), lambda i: sides[i] <> sides[i - 1])) / (len(sides) - 1)::DOUBLE ELSE 0 END AS containment_mid_cross_count FROM sd),
+j AS (SELECT s.date, s.n, c[n] / c[1] - 1 AS change, q.* EXCLUDE (date), ra.* EXCLUDE (date), rv.* EXCLUDE (date), pa.* EXCLUDE (date), me.* EXCLUDE (date), tg.* EXCLUDE (date), ex.* EXCLUDE (date), z.* EXCLUDE (date), chop_instability, 1 - chop_instability AS containment_range_stability, containment_mid_cross_count, NULL::DOUBLE AS hurst_rs
+  FROM s JOIN q USING (date) JOIN ra USING (date) JOIN rv USING (date) JOIN pa USING (date) JOIN me USING (date) JOIN tg USING (date) JOIN ex USING (date) JOIN (SELECT date, {', '.join(slopes)} FROM sl) z USING (date) JOIN bs USING (date) JOIN mc USING (date)),
+t0 AS (SELECT *, least(greatest(0.35 * chop_path_waste + 0.3 * chop_flip_rate + 0.2 * chop_outside_share + 0.15 * chop_instability, 0), 1) AS chop_score, 0.5 * tanh(4 * (coalesce(hurst_simple, 0.5) - 0.5)) AS tilt FROM j),
+t1_ AS (SELECT *, ({' + '.join(f'coalesce(({found[k]}) * {weight[k]}, 0)' for k in weight)}) / nullif({' + '.join(f'CASE WHEN ({found[k]}) IS NOT NULL THEN {weight[k]} ELSE 0 END' for k in weight)}, 0) AS composite_signal FROM t0), t2_ AS (SELECT *, coalesce(abs(composite_signal - 0.5) * 2, 0) AS confidence, {missing} AS miss FROM t1_),
+final AS (SELECT *, CASE WHEN composite_signal IS NULL OR confidence < 0.3 THEN 'UNCERTAIN' WHEN composite_signal >= 0.7 THEN 'STRONG_TREND' WHEN composite_signal >= 0.55 THEN 'WEAK_TREND' WHEN composite_signal <= 0.3 THEN 'CHOPPY' WHEN composite_signal <= 0.45 THEN 'CONSOLIDATION' ELSE 'WEAK_TREND' END AS state, CASE WHEN n < 2 THEN 'NEUTRAL' WHEN change > 0.001 THEN 'UP' WHEN change < -0.001 THEN 'DOWN' ELSE 'NEUTRAL' END AS trend_direction,
+  CASE WHEN miss = '' THEN 'ok' ELSE 'missing:' || miss END AS feature_status, CASE WHEN chop_score >= 0.6 AND descriptive_target <= 0.45 AND containment_target <= 0.45 THEN 'chop' WHEN containment_target >= 0.6 AND descriptive_target <= 0.45 AND chop_score <= 0.55 THEN 'containment' WHEN descriptive_target >= 0.6 AND containment_target <= 0.45 AND chop_score <= 0.45 THEN 'trend' ELSE 'uncertain' END AS label FROM t2_)"""
+    texts = ["date", "n", "valid_bars", "quality_error", "dominant_di", "crossovers", "atr_signal", "swing_highs", "swing_lows", "swing_count", "swing_class", "irr_regime", "high_part", "low_part", "irr_interpretation", "slope_interpretation", "prominent_high", "prominent_low", "direction", "variance_class", "state", "trend_direction", "feature_status", "label"]
+    doubles = [c.rsplit(" AS ")[-1] for c in (*quality_, *ranges, *irr, *slopes, *PATH, "acf_5", "hurst_simple", "hurst_rs", *TARGETS, *expansion_, "chop_instability", "containment_range_stability", "containment_mid_cross_count", "chop_score", "composite_signal", "confidence") if c not in texts]
+    return rounded_sql(sql, doubles, texts)
+
+
 QUERIES = {
     "regime_targets": targets, "regime_path_shape": path_shape, "regime_directional_bars": directional, "regime_trend_quality": quality, "regime_reversion": reversion, "regime_range_signals": range_signals,
     "regime_slope_windows": slope_windows, "regime_last_window": last_windows, "regime_memory": memory, "regime_expansion": expansion, "regime_modeling_table": table,
 }
-SQL = {"regime_targets": _TARGETS, "regime_path_shape": _PATH, "regime_reversion": _REVERSION, "regime_range_signals": _RANGES, "regime_directional_bars": _directional_sql(), "regime_expansion": _expansion_sql(), "regime_trend_quality": _quality_sql(), "regime_memory": _memory_sql(), "regime_slope_windows": _slope_windows_sql(), "regime_last_window": _last_window_sql()}
+SQL = {"regime_targets": _TARGETS, "regime_path_shape": _PATH, "regime_reversion": _REVERSION, "regime_range_signals": _RANGES, "regime_directional_bars": _directional_sql(), "regime_expansion": _expansion_sql(), "regime_trend_quality": _quality_sql(), "regime_memory": _memory_sql(), "regime_slope_windows": _slope_windows_sql(), "regime_last_window": _last_window_sql(), "regime_modeling_table": _table_sql()}

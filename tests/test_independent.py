@@ -14,7 +14,7 @@ from . import test_regime as plain
 
 #: What this file checks; ``test_oracle`` asks that every query has SQL or stands here (permutation_test: ``test_whole_queries``).
 CHECKED = {
-    "regime_modeling_table", "regression_bakeoff", "classification_bakeoff",
+    "regression_bakeoff", "classification_bakeoff",
     "boosted_quantile_forecast", "three_way_probe", "registry_ridge_sweep", "registry_elastic_sweep", "permutation_test",
 }
 
