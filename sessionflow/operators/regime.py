@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.stats import ratio
+from ..functions.tables import materialize
 
 EPS = 1e-12
 #: Per session: minutes per bar, smoothing period, DX instead of ADX, weights of strength, persistence, crossover, least bars (fixed values).
@@ -431,18 +432,23 @@ def with_state(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, dynamic: b
 
 
 def features(df: DataFrame, quality: tuple = QUALITY["1pm-3pm"], balance: int | None = 15, atr_period: int = 10, reference: int = 15) -> DataFrame:
-    """All features of sessions of one kind; trend quality, ATR ratio and swings are taken on coarser bars."""
+    """All features of sessions of one kind; trend quality, ATR ratio and swings are taken on coarser bars.
+
+    The first half is written before the second is built on it: one plan of all features takes the driver longer to
+    analyse, step by step, than a cluster to read the sessions' arrays once more.
+    """
     minutes, period, use_dx, weights, least = quality
     bars = ("n", "t", "o", "h", "l", "c", "v")
     aside = df.withColumns({f"_fine_{c}": F.col(c) for c in bars})
     coarse = with_swing_density(with_atr_ratio(trend_quality(coarser(aside, minutes), period, use_dx, weights, least), atr_period))
     fine = coarse.withColumns({c: F.col(f"_fine_{c}") for c in bars}).drop(*(f"_fine_{c}" for c in bars))
-    return with_expansion(with_targets(with_hurst(with_autocorrelation(with_variance_ratio(with_efficiency(with_slope_score(with_irr(with_range_overlap(fine, reference)))))))), balance)
+    half = materialize(with_slope_score(with_irr(with_range_overlap(fine, reference))))
+    return with_expansion(with_targets(with_hurst(with_autocorrelation(with_variance_ratio(with_efficiency(half))))), balance)
 
 
 def modeling_table(bars: DataFrame, by: Sequence[str], at: str, **options) -> DataFrame:
     """One row per session with all features, the ensemble state and ``feature_status`` (``ok`` or what is missing)."""
-    out = with_state(features(sessions(bars, by, at), **options))
+    out = with_state(features(materialize(sessions(bars, by, at)), **options))
     needed = {"adx_quality": "trend_quality", "mss": "slope_score", "irr": "mean_sub_irr", "er": "efficiency_ratio", "log_vr": "log_variance_ratio", "dra": "dra_last", "atr": "atr_ratio", "hurst": "hurst_simple"}
     missing = F.concat_ws(";", *(F.when(F.col(c).isNull(), F.lit(k)) for k, c in needed.items()))
     return out.withColumn("feature_status", F.when(missing == "", "ok").otherwise(F.concat(F.lit("missing:"), missing))).drop("t", "o", "h", "l", "c", "v")
