@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, fixity, lines, mixing, quality, repeats, secrets, simhash
+from . import ann, chat, decontaminate, fixity, lines, mixing, quality, repair, repeats, secrets, shards, simhash, whitening
 
-_MODULES = (lines, mixing, simhash, decontaminate, secrets, chat, ann, fixity, quality, repeats)
+_MODULES = (lines, mixing, simhash, decontaminate, secrets, chat, ann, fixity, quality, repeats, whitening, shards, repair)
 
 
 def queries() -> dict:

@@ -66,6 +66,6 @@ def test_queries_are_registered():
 
     names = set(entry.queries())
     assert {q for q in queries.queries()} <= names and "pipeline" in names
-    assert sorted(int(q[2:].split("_")[0]) for q in names if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names if q.startswith("op")) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= names
     assert simhash.BITS == 64 and decontaminate.SHINGLE == 5
