@@ -9,10 +9,12 @@ A conversation's records lie in one partition in the order of their turn and
 are streamed: a task holds one Arrow batch and a few numbers of state, never a
 whole conversation, so a conversation of any length passes.
 
-Defined cases: a null text or role is empty; a record whose layout no mapping
-knows, that is no JSON, is nested too deep to parse or whose texts hold half a
-surrogate pair is one turn of role ``unmapped`` with the raw record as its
-text, so nothing is lost; null turns come first, ties are ordered by the record;
+Defined cases: a null text or role is empty; a mapped field that is no string
+is written as the JSON it came as; names that hold a dot, a bracket or a
+backslash are escaped in paths, so a flat record never passes for a nested one;
+a record whose layout no mapping knows, that is no JSON, bears a name twice, is
+nested too deep to parse or whose texts hold half a surrogate pair is one turn
+of role ``unmapped`` with the raw record as its text, so nothing is lost; null turns come first, ties are ordered by the record;
 repeated rows are turns of their own; a null conv_id is a conversation; an
 empty table gives an empty result.
 """
@@ -50,16 +52,18 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]")
 _ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
+_SPECIAL, _STEP = re.compile(r"([\\.\[\]])"), re.compile(r"(?:^|\.)((?:[^\\.]|\\.)*)", re.DOTALL)
 _SEGMENT = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*?)" + re.escape(END), re.DOTALL)
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """The field paths of a record's leaves; ``[]`` stands for any list element."""
+def paths(value: object, at: str | None = None) -> set[str]:
+    """The field paths of a record's leaves; ``[]`` stands for any list element, names are escaped by backslashes."""
     if isinstance(value, dict) and value:
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        names = ((_SPECIAL.sub(r"\\\1", k), v) for k, v in value.items())
+        return set().union(*(paths(v, k if at is None else f"{at}.{k}") for k, v in names))
     if isinstance(value, list) and value:
-        return set().union(*(paths(v, f"{at}[]") for v in value))
-    return {at}
+        return set().union(*(paths(v, f"{at or ''}[]") for v in value))
+    return {at or ""}
 
 
 def fingerprint(found: set[str]) -> str:
@@ -71,15 +75,41 @@ def registry(layouts=LAYOUTS) -> dict[str, dict]:
 
 
 def _at(record: object, path: str) -> object:
-    for key in path.split("."):
-        record = record.get(key) if isinstance(record, dict) else None
+    """What stands at a path without list elements."""
+    for key in _STEP.findall(path):
+        record = record.get(_UNESCAPE.sub(r"\1", key)) if isinstance(record, dict) else None
     return record
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a name stands twice in a record")
+    return found
+
+
+def _constant(name: str) -> object:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _parsed(raw: str) -> object:
+    return json.loads(raw, object_pairs_hook=_once, parse_int=_Number, parse_float=_Number, parse_constant=_constant)
+
+
+def _text(value: object) -> str:
+    if value is None:
+        return ""
+    return str(value) if isinstance(value, str) else json.dumps(value)  # true, false, [] or {}
+
+
 def turns(raw: str, known: dict[str, dict]) -> tuple[str, list[tuple[str, str]]]:
     """(fingerprint, canonical turns) of a JSON record."""
     try:
-        record = json.loads(raw)
+        record = _parsed(raw)
         mark = fingerprint(paths(record))
     except (ValueError, RecursionError):  # no JSON, nested too deep, or half a surrogate pair in a name
         record, mark = None, fingerprint({""})
@@ -89,9 +119,8 @@ def turns(raw: str, known: dict[str, dict]) -> tuple[str, list[tuple[str, str]]]
     out = []
     for item in _at(record, layout["each"]) if layout["each"] else [record]:
         for role, fields in layout["turns"]:
-            name = role[1:] if role[0] == "=" else _at(item, role)
-            name = "" if name is None else str(name)
-            parts = ["" if (x := _at(item, f)) is None else str(x) for f in fields]
+            name = role[1:] if role[0] == "=" else _text(_at(item, role))
+            parts = [_text(_at(item, f)) for f in fields]
             out.append((layout["roles"].get(name, name), "\n".join([parts[0], *(p for p in parts[1:] if p)])))
     try:
         "".join(x for turn in out for x in turn).encode()

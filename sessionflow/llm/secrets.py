@@ -117,10 +117,15 @@ def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame | None:
         return None
 
 
-def update_ledger(versions: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Scan what the ledger at ``ledger_path`` has not seen, append it and return the findings by path."""
+def extend_ledger(versions: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> None:
+    """Scan what the ledger at ``ledger_path`` has not seen and append it."""
     ledger = read_ledger(versions.sparkSession, ledger_path)
     scan_unseen(versions, ledger, rule_version).write.mode("append").parquet(ledger_path)
+
+
+def update_ledger(versions: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """``extend_ledger``, and the findings by path."""
+    extend_ledger(versions, ledger_path, rule_version)
     return findings_by_path(versions, read_ledger(versions.sparkSession, ledger_path), rule_version)
 
 
@@ -133,7 +138,7 @@ def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = addressed(table(spark, sf_dir, "documents"), "doc_id")
     ledger_path = f"{shared_dir(spark)}/ledger/{uuid.uuid4().hex}"
     for delivery in range(DELIVERIES):
-        update_ledger(versions.where(F.pmod(F.xxhash64("path"), F.lit(DELIVERIES)) == delivery), ledger_path)
+        extend_ledger(versions.where(F.pmod(F.xxhash64("path"), F.lit(DELIVERIES)) == delivery), ledger_path)
     found = findings_by_path(versions, read_ledger(spark, ledger_path))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE]

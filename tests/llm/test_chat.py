@@ -33,8 +33,42 @@ def test_layouts(record, want):
     assert chat.turns(json.dumps(record), chat.registry())[1] == want
 
 
+def test_fields_that_are_no_strings_stand_as_json():
+    for value in ("true", "false", "[]", "{}", "1e400", "0.10", "-0", "12345678901234567890123"):
+        assert chat.turns(f'{{"prompt": {value}}}', chat.registry())[1] == [("user", value)]
+    assert chat.turns('{"role": 7, "content": false}', chat.registry())[1] == [("7", "false")]
+
+
+LEAF = st.one_of(st.text(max_size=6), st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False))
+NAMES = st.sampled_from(["messages", "role", "content", "turn", "speaker", "turn.speaker", "turn.utterance.text", "utterance", "text", "messages[].role", "messages[]", "messages\\", "a\\.b", "prompt", "response", "system", "", "."])
+RECORD = st.recursive(LEAF, lambda inner: st.one_of(st.lists(inner, max_size=3), st.dictionaries(NAMES, inner, max_size=3)), max_leaves=8)
+
+
+def strings(value):
+    if isinstance(value, dict):
+        return [s for v in value.values() for s in strings(v)]
+    return [s for v in value for s in strings(v)] if isinstance(value, list) else [value] if isinstance(value, str) else []
+
+
+@settings(max_examples=500, deadline=None)
+@given(RECORD)
+def test_no_text_of_any_record_is_lost(record):
+    raw = json.dumps(record)
+    found = chat.turns(raw, chat.registry())[1]
+    back = {"user": "human", "assistant": "gpt"}
+    said = [x for role, text in found for x in (role, back.get(role, role), text)]
+    assert found == [("unmapped", raw)] or all(any(s in x for x in said) for s in strings(record))
+
+
+def test_escaped_names_can_be_mapped():
+    layout = {"paths": (r"a\.b.c\[\]",), "each": None, "turns": (("=user", (r"a\.b.c\[\]",)),), "roles": {}}
+    assert chat.turns('{"a.b": {"c[]": "x"}}', chat.registry((layout,)))[1] == [("user", "x")]
+    assert chat.turns('{"a": {"b": {"c": ["x"]}}}', chat.registry((layout,)))[1][0][0] == "unmapped"
+
+
 def test_unknown_layouts_are_kept():
-    for raw in ('{"q": 1, "zz": []}', "not json", "null", "[]"):
+    flat = ('{"": {"prompt": "x"}}', '{"turn.speaker":"user","turn.utterance.text":"hello"}', '{"messages[].role":"user","messages[].content":"hi"}', '{"prompt":"a","prompt":"b"}', '{"prompt": NaN}')
+    for raw in ('{"q": 1, "zz": []}', "not json", "null", "[]", *flat):
         assert chat.turns(raw, chat.registry())[1] == [("unmapped", raw)]
 
 
