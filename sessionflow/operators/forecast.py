@@ -1,24 +1,26 @@
 """Range forecasting and walk-forward evaluation.
 
 Linear fits come from grouped Gram sums (one aggregate for all folds or
-dates); only the small equations are solved per group, inside tasks. Tree
-models are MLlib's, but for the quantile loss, which it lacks: that is boosted
-per month inside the groups of a grouped map.
+dates); only the small equations are solved per group, inside tasks. Trees are
+MLlib's where one fit is asked for; fits over many windows (months, folds) and
+those under the quantile loss grow side by side from histograms (``trees``).
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, guarded_corr, quantile_linear, ratio, share
 from ..functions.tables import materialize
+from . import trees as trees_
 from .extremes import _when
 
 QUANTILES = (0.25, 0.5, 0.75)
@@ -165,94 +167,101 @@ def predict(df: DataFrame, fits: DataFrame, by: Sequence[str], features: Sequenc
     x = F.array(*(F.col(c).cast("double") for c in features))
     z = F.zip_with(F.zip_with(x, "mean", lambda a, b: a - b), F.zip_with("coef", "scale", lambda a, b: a / b), lambda a, b: a * b)
     value = F.col("intercept") + F.aggregate(z, F.lit(0.0), lambda s, v: s + v)
-    return df.join(F.broadcast(fits.drop("n")), list(by)).withColumn("prediction", value).drop("mean", "scale", "coef", "intercept")
+    return df.join(fits.drop("n"), list(by)).withColumn("prediction", value).drop("mean", "scale", "coef", "intercept")
 
 
-def _trailing(daily: DataFrame, holdout: DataFrame, day: str, years: int) -> DataFrame:
-    """Training rows of each holdout day: the years before it, columns prefixed none, the day as ``test_date``."""
-    tests = holdout.where("holdout").select(F.col(day).alias("test_date"))
-    near = (F.col(day) < F.col("test_date")) & (F.col(day) >= F.add_months("test_date", -12 * years))
-    return daily.join(F.broadcast(tests), near)
+def rolling_quantile_forecast(daily: DataFrame, target: str, day: str = "trade_date", fraction: float = 0.15, years: int = 2, quantiles: Sequence[float] = QUANTILES, by: Sequence[str] = ()) -> DataFrame:
+    """Forecast rows: linear quantiles of the target over the years before each holdout day.
 
+    A frame of days slides over each series (``by``), one row a day; no day is sent to the days that look back on it.
+    """
+    known = daily.where(F.col(target).isNotNull())
+    hold = holdout_days(known, day, fraction)
+    number = F.datediff(F.col(day).cast("date"), F.lit("1970-01-01").cast("date"))
+    behind = Window.partitionBy(*by).orderBy("_n").rangeBetween(-366 * years, -1)
+    seen = known.select(*by, F.col(day), F.col(target).cast("double").alias("_y"), F.col(target).alias("target"), number.alias("_n")).withColumn("_behind", F.collect_list(F.struct("_n", "_y")).over(behind))
+    start = F.datediff(F.add_months(F.col(day).cast("date"), -12 * years), F.lit("1970-01-01").cast("date"))
+    held = seen.join(F.broadcast(hold.where("holdout").select(day)), day).withColumn("_start", start)  # days
+    held = held.withColumn("_x", F.array_sort(F.transform(F.filter("_behind", lambda s: s["_n"] >= F.col("_start")), lambda s: s["_y"]))).where(F.size("_x") > 0)
+
+    def at(q: float) -> Column:
+        place = F.lit(q) * (F.size("_x") - 1)
+        low, high = F.get("_x", F.floor(place).cast("int")), F.get("_x", F.ceil(place).cast("int"))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    each = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("quantile"), at(q).alias("prediction")) for q in quantiles)))
+    return held.select(*by, day, each.alias("f"), "target").select(*by, day, "f.quantile", "f.prediction", "target", F.lit("rolling_quantiles").alias("model_name"))
 
-def rolling_quantile_forecast(daily: DataFrame, target: str, day: str = "trade_date", fraction: float = 0.15, years: int = 2, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """Forecast rows: linear quantiles of the target over the years before each holdout day."""
-    train = _trailing(daily.where(F.col(target).isNotNull()), holdout_days(daily.where(F.col(target).isNotNull()), day, fraction), day, years)
-    q = train.groupBy("test_date").agg(*(quantile_linear(target, x).alias(f"q{i}") for i, x in enumerate(quantiles)))
-    cells = ", ".join(f"CAST({x} AS DOUBLE), q{i}" for i, x in enumerate(quantiles))
-    long = q.select(F.col("test_date").alias(day), F.expr(f"stack({len(quantiles)}, {cells}) AS (quantile, prediction)"))
-    return long.join(daily.select(day, F.col(target).alias("target")), day).withColumn("model_name", F.lit("rolling_quantiles"))
 
+def trailing_gram(rows: DataFrame, tests: DataFrame, features: Sequence[str], target: str, day: str, years: int, by: Sequence[str] = ()) -> DataFrame:
+    """``gram`` over the years before each day of ``tests`` (by, day), as differences of prefix sums.
 
-def har_forecast(daily: DataFrame, target: str, day: str = "trade_date", fraction: float = 0.15, years: int = 2, alpha: float = 1.0) -> DataFrame:
-    """Forecast rows of a ridge on lag 1 and means of 5 and 20 days, refitted for each holdout day."""
+    Each test asks for two prefixes, that of its own day and that of the day its
+    window starts; asking rows and data lie in one order, so a running sum answers all.
+    """
+    names, k = [*features, target], len(features)
+    kept = rows.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in names))).select(*by, F.col(day).cast("date").alias("_at"), *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)))
+    v, pairs = [F.col(f"_v{i}") for i in range(k + 1)], [(i, j) for i in range(k) for j in range(i, k)]
+    cells = {"n": F.lit(1.0), "sy": v[k]} | {f"sx{i}": v[i] for i in range(k)} | {f"sxy{i}": v[i] * v[k] for i in range(k)} | {f"sxx{i}_{j}": v[i] * v[j] for i, j in pairs}
+    data = kept.select(*by, "_at", F.lit(None).cast("date").alias("_test"), F.lit(0).alias("_sign"), *(c.alias(f"_{n}") for n, c in cells.items()))
+    own = F.col(day).cast("date")
+    ends = F.explode(F.array(F.struct(own.alias("at"), F.lit(1).alias("sign")), F.struct(F.add_months(own, -12 * years).alias("at"), F.lit(-1).alias("sign"))))
+    asked = tests.select(*by, own.alias("_test"), ends.alias("_e")).select(*by, F.col("_e.at").alias("_at"), "_test", F.col("_e.sign").alias("_sign"), *(F.lit(0.0).alias(f"_{n}") for n in cells))
+    before = Window.partitionBy(*by).orderBy("_at", F.col("_test").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # a day's asking rows come before its data
+    summed = data.unionByName(asked).select(*by, "_test", "_sign", *(F.sum(f"_{n}").over(before).alias(n) for n in cells)).where("_test is not null")
+    window = summed.groupBy(*by, "_test").agg(*(F.sum(F.col(n) * F.col("_sign")).alias(n) for n in cells)).where("n > 0")
+    return window.select(*by, F.col("_test").alias(day), F.col("n").cast("long").alias("n"), F.array(*(f"sx{i}" for i in range(k))).alias("sx"), F.array(*(f"sxx{i}_{j}" for i, j in pairs)).alias("sxx"), F.array(*(f"sxy{i}" for i in range(k))).alias("sxy"), "sy")
+
+
+def har_forecast(daily: DataFrame, target: str, day: str = "trade_date", fraction: float = 0.15, years: int = 2, alpha: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """Forecast rows of a ridge on lag 1 and means of 5 and 20 days, refitted for each holdout day (and series ``by``)."""
     features = [f"{target}_lag_1", f"{target}_mean_5", f"{target}_mean_20"]
     known = daily.where(F.col(target).isNotNull())
-    hold = holdout_days(known, day, fraction)
-    fits = ridge(gram(_trailing(known, hold, day, years), ["test_date"], features, target), ["test_date"], alpha).withColumnRenamed("test_date", day)
-    out = predict(known, fits, [day], features).where("prediction is not null")
-    return out.select(day, F.lit(0.5).alias("quantile"), "prediction", F.col(target).alias("target"), F.lit("har_rv").alias("model_name"))
+    tests = known.join(F.broadcast(holdout_days(known, day, fraction).where("holdout").select(day)), day).select(*by, day).distinct()
+    fits = ridge(trailing_gram(known, tests, features, target, day, years, by), [*by, day], alpha)
+    out = predict(known, fits, [*by, day], features).where("prediction is not null")
+    return out.select(*by, day, F.lit(0.5).alias("quantile"), "prediction", F.col(target).alias("target"), F.lit("har_rv").alias("model_name"))
 
 
-def boosted_quantile_forecast(daily: DataFrame, target: str, features: Sequence[str], day: str = "trade_date", fraction: float = 0.15, years: int = 2, quantiles: Sequence[float] = QUANTILES, trees: int = 20, depth: int = 3, rate: float = 0.1) -> DataFrame:
+def boosted_quantile_forecast(
+    daily: DataFrame, target: str, features: Sequence[str], day: str = "trade_date", fraction: float = 0.15, years: int = 2, quantiles: Sequence[float] = QUANTILES, trees: int = 20, depth: int = 3, rate: float = 0.1,
+    by: str | None = None, experiments: Mapping[str, datetime.date | None] | None = None, bins: int = trees_.BINS,
+) -> DataFrame:
     """Forecast rows of boosted quantile trees, refitted for each calendar month of the holdout on the years before it.
 
     Trees of ``depth`` are grown on the sign of the quantile loss (its negative
     gradient) and each leaf takes the quantile of its residuals, so the spread
-    hangs on the features. A month's training rows are those of a few years of
-    days; the months are fitted side by side, one group each.
+    hangs on the features. All months, quantiles, series (``by``) and
+    experiments (name to first day, None for all; each with a holdout of its
+    own) grow side by side from histograms; the driver holds a month's start per
+    series and experiment, and the trees. Up to ``bins`` rows every value can be a cut.
     """
-    names = [*features, target]
-    data = daily.where(F.col(target).isNotNull()).dropna(subset=list(features)).select(F.col(day).cast("date").alias("_day"), *(F.col(c).cast("double").alias(c) for c in dict.fromkeys(names)))
-    data = materialize(data)
-    hold = holdout_days(data, "_day", fraction).where("holdout").select("_day", F.trunc("_day", "month").alias("_month"))
-    months = hold.groupBy("_month").agg(F.min("_day").alias("_start"))
-    near = (F.col("_day") < F.col("_start")) & (F.col("_day") >= F.add_months("_start", -12 * years))
-    train = data.join(F.broadcast(months), near).drop("_start").withColumn("_train", F.lit(True))
-    both = train.unionByName(data.join(hold, "_day").withColumn("_train", F.lit(False)))
-    columns = list(dict.fromkeys(features))
-
-    def month(rows: pd.DataFrame) -> pd.DataFrame:
-        known, asked = rows[rows["_train"]].sort_values("_day"), rows[~rows["_train"]]
-        out = []
-        for q in quantiles:
-            found = boosted_quantile(known[columns].to_numpy(), known[target].to_numpy(), asked[columns].to_numpy(), q, trees, depth, rate) if len(known) and len(asked) else np.zeros(0)
-            part = asked.iloc[: len(found)]
-            out.append(pd.DataFrame({"_day": part["_day"], "target": part[target], "quantile": q, "prediction": found}))
-        return pd.concat(out)
-
-    found = both.groupBy("_month").applyInPandas(month, "_day date, target double, quantile double, prediction double")
-    return found.select(F.col("_day").alias(day), "target", "quantile", "prediction", F.lit("boosted_quantiles").alias("model_name"))
-
-
-def boosted_quantile(x: np.ndarray, y: np.ndarray, asked: np.ndarray, q: float, trees: int = 20, depth: int = 3, rate: float = 0.1, least: int = 5) -> np.ndarray:
-    """Predictions for ``asked`` of boosted trees under the quantile loss; leaves have ``least`` rows or more."""
-    fitted, out = np.full(len(y), np.quantile(y, q)), np.full(len(asked), np.quantile(y, q))
-
-    def grow(rows: np.ndarray, there: np.ndarray, pull: np.ndarray, rest: np.ndarray, left: int) -> None:
-        best = (1e-12, 0, 0.0)
-        for j in range(x.shape[1]) if left and len(rows) >= 2 * least else ():
-            order = rows[np.argsort(x[rows, j], kind="stable")]
-            v, g = x[order, j], np.cumsum(pull[order])
-            n, at = len(order), np.arange(1, len(order))
-            gain = g[:-1] ** 2 / at + (g[-1] - g[:-1]) ** 2 / (n - at) - g[-1] ** 2 / n
-            gain[(v[1:] == v[:-1]) | (at < least) | (n - at < least)] = -1
-            k = int(np.argmax(gain))
-            if gain[k] > best[0]:
-                best = (gain[k], j, (v[k] + v[k + 1]) / 2)
-        if best[0] <= 1e-12:
-            step = rate * np.quantile(rest[rows], q)
-            fitted[rows] += step
-            out[there] += step
-            return
-        _, j, cut = best
-        grow(rows[x[rows, j] <= cut], there[asked[there, j] <= cut], pull, rest, left - 1)
-        grow(rows[x[rows, j] > cut], there[asked[there, j] > cut], pull, rest, left - 1)
-
-    for _ in range(trees):
-        rest = y - fitted
-        grow(np.arange(len(y)), np.arange(len(asked)), np.where(rest > 0, q, q - 1.0), rest, depth)
-    return out
+    data = trees_.TreeData(daily, day, features, target, by, bins)
+    number = lambda d: trees_.day_number(d, 0)
+    jobs, names = [], []
+    for name, since in (experiments or {"": None}).items():
+        rows = data.rows if since is None else data.rows.where(F.col("day") >= number(since))
+        hold = holdout_days(rows, "day", fraction).where("holdout").select("day")
+        month = F.trunc(F.date_from_unix_date("day"), "month")
+        for r in rows.join(hold, "day").groupBy("group", month.alias("month")).agg(F.min(F.date_from_unix_date("day")).alias("start")).orderBy("group", "month").collect():
+            first = max(number(_months_before(r["start"], 12 * years)), -(1 << 31) if since is None else number(since))
+            for q in quantiles:
+                jobs.append(trees_.Job(first, number(r["start"]), number(r["start"]), number(_months_before(r["month"], -1)), q, r["group"]))
+                names.append((name, q))
+    models = trees_.boosted(data, jobs, trees, depth, rate) if jobs else []
+    trained = {u for u, m in enumerate(models) if m.trees and m.trained}
+    found = trees_.answers(data, models)
+    of = lambda k, kind: F.element_at(F.lit([n[k] for n in names] or [None]).cast(f"array<{kind}>"), F.col("model") + 1)
+    out = found.where(F.col("model").isin(*trained)) if len(trained) < len(models) else found
+    columns = [F.col("day").alias(day), *([F.col("group").alias(by)] if by else []), "target", of(1, "double").alias("quantile"), "prediction", F.lit("boosted_quantiles").alias("model_name")]
+    return out.select(*columns, *([of(0, "string").alias("experiment")] if experiments else []))
+
+
+def _months_before(day: datetime.date, months: int) -> datetime.date:
+    """The same day of the month so many months earlier, or that month's last."""
+    at = day.year * 12 + day.month - 1 - months
+    last = (datetime.date(at // 12 + (at % 12 == 11), (at + 1) % 12 + 1, 1) - datetime.timedelta(days=1)).day
+    return datetime.date(at // 12, at % 12 + 1, min(day.day, last))
 
 
 def forecast_summary(forecasts: DataFrame, by: Sequence[str] = ("experiment", "model_name", "quantile")) -> DataFrame:
@@ -404,23 +413,33 @@ def run_registry(table: DataFrame, specs: Sequence[Mapping], target: str, day: s
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc_nulls_last("out_of_sample_r2"), "experiment_id")
 
 
-def regression_bakeoff(table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", fraction: float = 0.2, trees: int = 20, seed: int = 7) -> DataFrame:
-    """Metrics of ridge, boosted trees, a forest and a wide forest (many features per split), on the holdout, trained on the days before.
+def regression_bakeoff(
+    table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", fraction: float = 0.2, trees: int = 20, seed: int = 7, train_months: int = 24, valid_months: int = 3, step_months: int = 3,
+) -> DataFrame:
+    """Metrics of ridge, boosted trees, a forest and a wide forest (many features per split): oos_* over walk-forward folds, holdout_* of a fit on all days before.
 
-    Out-of-sample metrics over walk-forward folds are those of ``walkforward_experiment``; tree models are fitted once.
+    The folds lie in the days before the holdout. Ridge comes from Gram sums;
+    of each kind of trees those of all folds and of the holdout grow side by side.
     """
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
     rows = table.dropna(subset=[*features, target])
-    marked = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.join(F.broadcast(holdout_days(rows, day, fraction)), day)).withColumn("target", F.col(target).cast("double"))
-    marked = marked.select(day, "_x", "target", "holdout")
-    train, test = marked.where("not holdout"), marked.where("holdout")
-    models = {
-        "ridge": LinearRegression(featuresCol="_x", labelCol="target", regParam=0.01, elasticNetParam=0.0), "boosted_trees": GBTRegressor(featuresCol="_x", labelCol="target", maxIter=trees, maxDepth=3, seed=seed),
-        "random_forest": RandomForestRegressor(featuresCol="_x", labelCol="target", numTrees=trees, maxDepth=5, seed=seed), "wide_forest": RandomForestRegressor(featuresCol="_x", labelCol="target", numTrees=trees, maxDepth=8, featureSubsetStrategy="all", subsamplingRate=0.7, seed=seed),
+    held = rows.join(F.broadcast(holdout_days(rows, day, fraction)), day)
+    dev = held.where("not holdout").drop("holdout")
+    ends = held.agg(F.min(F.when(~F.col("holdout"), F.col(day))).cast("date").alias("first"), F.min(F.when(F.col("holdout"), F.col(day))).cast("date").alias("start")).first()
+    number, far = (lambda d: trees_.day_number(d, 0)), 1 << 31
+    jobs = [trees_.Job(number(r["train_start"]), number(r["validation_start"]), number(r["validation_start"]), min(number(r["validation_end"]), number(ends["start"]))) for r in walkforward_folds(dev, day, train_months, valid_months, step_months).collect()]  # a handful
+    jobs.append(trees_.Job(-far, number(ends["start"]), number(ends["start"]), far))
+    data = trees_.TreeData(rows, day, features, target)
+    grown = {
+        "boosted_trees": lambda: trees_.boosted(data, jobs, trees, 3, 0.1), "random_forest": lambda: trees_.forest(data, jobs, trees, 5, seed=seed),
+        "wide_forest": lambda: trees_.forest(data, jobs, trees, 8, share=1.0, rows=0.7, seed=seed),
     }
-    scored = [m.fit(train).transform(test).select(day, "target", "prediction", F.lit(n).alias("model_name")) for n, m in models.items()]
-    return regression_metrics(reduce(DataFrame.unionByName, scored), ["model_name"], day)
+    sample = F.when(F.col("model") == len(jobs) - 1, "holdout").otherwise("oos")
+    scored = [trees_.answers(data, fit()).select(F.col("day").alias(day), "target", "prediction", sample.alias("sample"), F.lit(n).alias("model_name")) for n, fit in grown.items()]
+    _, linear = _walk(rows, features, target, day, None, fraction, train_months, valid_months, step_months)
+    scored.append(linear.select(F.col(day).cast("date").alias(day), F.col("target").cast("double").alias("target"), "prediction", F.when(F.col("fold_id") == 0, "holdout").otherwise("oos").alias("sample"), F.lit("ridge").alias("model_name")))
+    found = regression_metrics(reduce(DataFrame.unionByName, scored), ["model_name", "sample"], day)
+    metrics = ("n_rows", "n_dates", "mae", "r2", "pearson", "spearman")
+    return found.groupBy("model_name").pivot("sample", ["oos", "holdout"]).agg(*(F.max(m).alias(m) for m in metrics))
 
 
 def classification_metrics(scored: DataFrame, by: Sequence[str], top: float = 0.1) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import forecast as f
@@ -166,10 +168,7 @@ def classifiers(spark, sf_dir):
 
 def boosted(spark, sf_dir):
     """Both slices of the whole series."""
-    h = history(spark, sf_dir)
-    late = h.where(F.col("trade_date") >= F.lit("1998-01-01").cast("date"))
-    parts = [f.boosted_quantile_forecast(d, "y", FEATURES).withColumn("experiment", F.lit(n)) for n, d in (("full_history", h), ("post_covid", late))]
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(f.boosted_quantile_forecast(history(spark, sf_dir), "y", FEATURES, experiments={"full_history": None, "post_covid": datetime.date(1998, 1, 1)}))
 
 
 def table(spark, sf_dir):

@@ -135,12 +135,14 @@ def test_bakeoffs(spark, sf):
     features = [*forecast.FEATURES, "y_std_20"]
     dev, held = split(h.dropna(subset=[*features, "y"]), "trade_date", 0.2)
     rows = {r["model_name"]: r for r in forecast.bakeoff(spark, sf).collect()}
-    assert set(rows) == {"ridge", "boosted_trees", "random_forest", "wide_forest"} and {r["n_rows"] for r in rows.values()} == {len(held)}
-    mean, scale, w, b = models.ridge(dev[features].to_numpy(float), dev["y"].to_numpy(float), 0.01 * len(dev))
+    assert set(rows) == {"ridge", "boosted_trees", "random_forest", "wide_forest"} and {r["holdout_n_rows"] for r in rows.values()} == {len(held)}
+    mean, scale, w, b = models.ridge(dev[features].to_numpy(float), dev["y"].to_numpy(float), 1.0)
     want = np.abs(held["y"] - (b + ((held[features].to_numpy(float) - mean) / scale) @ w)).mean()
-    assert rows["ridge"]["mae"] == pytest.approx(want, rel=1e-3)
+    assert rows["ridge"]["holdout_mae"] == pytest.approx(want, rel=1e-3)
     naive = np.abs(held["y"] - dev["y"].mean()).mean()
-    assert all(r["mae"] < 1.2 * naive for r in rows.values())
+    assert all(r["holdout_mae"] < 1.2 * naive and r["oos_mae"] < 1.2 * naive for r in rows.values())
+    walk = {r["sample"]: r for r in f.walkforward_experiment(forecast.history(spark, sf), features, "y", fraction=0.2)["metrics"].collect()}["out_of_sample"]
+    assert {(r["oos_n_rows"], r["oos_n_dates"]) for r in rows.values()} == {(walk["n_rows"], walk["n_dates"])} and rows["ridge"]["oos_mae"] == pytest.approx(walk["mae"], rel=1e-6)
     cut = np.quantile(dev["y"], 0.75)
     for r in forecast.classifiers(spark, sf).collect():
         assert r["n_rows"] == len(held) and r["n_positive"] == (held["y"] >= cut).sum() and 0 <= r["roc_auc"] <= 1

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionflow.operators import calendar, cohort, forecast as f
+from sessionflow.operators import calendar, cohort, forecast as f, trees
 from sessionflow.operators import liquidity as lq
 from sessionflow.sources.ticks import minute_bars, normalize
 from sessionflow.streaming import ticks as stream
@@ -289,32 +289,117 @@ def brute_boosted(x, y, asked, q, trees, depth, rate, least=5):
     return out
 
 
+def dated(spark, x, y):
+    """Rows a day apart, in many partitions."""
+    names = [f"f{j}" for j in range(x.shape[1])]
+    rows = [(DAY + dt.timedelta(days=i), *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, ", ".join(["trade_date date", *(f"{n} double" for n in names), "y double"])).repartition(5), names
+
+
+def windows(trained, asked, **more):
+    start = trees.day_number(DAY, 0)
+    return trees.Job(start, start + trained, start + trained, start + asked, **more)
+
+
 @pytest.mark.parametrize("q", [0.25, 0.5, 0.75])
-def test_boosted_quantiles(q):
+def test_boosted_quantiles(spark, q):
+    """Histogram trees of two windows side by side, against every split tried on the rows."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(80, 3))
+    x = rng.normal(size=(80, 3)).round(1)
     y = x[:, 0] + np.abs(x[:, 1]) * rng.normal(size=80)
-    got = f.boosted_quantile(x[:60], y[:60], x[60:], q, 6, 2, 0.3)
-    assert got == pytest.approx(brute_boosted(x[:60], y[:60], x[60:], q, 6, 2, 0.3))
+    df, names = dated(spark, x, y)
+    data = trees.TreeData(df, "trade_date", names, "y")
+    got = trees.answers(data, trees.boosted(data, [windows(60, 80, quantile=q), windows(40, 50, quantile=q)], 6, 2, 0.3)).collect()
+    for model, (a, b) in enumerate(((60, 80), (40, 50))):
+        own = [r["prediction"] for r in sorted(got, key=lambda r: r["day"]) if r["model"] == model]
+        assert own == pytest.approx(brute_boosted(x[:a], y[:a], x[a:b], q, 6, 2, 0.3))
+
+
+def test_quantiles_of_leaves_are_exact(spark):
+    """Ties, a heavy outlier and more rows than steps: the search is narrowed until both order statistics are known."""
+    rng = np.random.default_rng(2)
+    y = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), [1e9, -1e9]])
+    df, names = dated(spark, rng.normal(size=(len(y), 1)), y)
+    data = trees.TreeData(df, "trade_date", names, "y")
+    jobs = [windows(len(y), len(y), quantile=q) for q in (0.0, 0.1, 0.5, 0.5731, 0.99, 1.0)]
+    got = trees._quantiles(data, {i: trees._Unit(j) for i, j in enumerate(jobs)}, None, steps=16)
+    assert [got[i, 0] for i in range(len(jobs))] == pytest.approx([np.quantile(y, j.quantile) for j in jobs], rel=1e-12)
+
+
+def test_boosted_quantiles_cover(spark):
+    rng = np.random.default_rng(8)
     wide = rng.normal(size=(4000, 2))
     target = wide[:, 0] * 2 + np.exp(wide[:, 1]) * rng.normal(size=4000)
-    held = f.boosted_quantile(wide[:3000], target[:3000], wide[3000:], q, 60, 3, 0.2)
-    assert (target[3000:] <= held).mean() == pytest.approx(q, abs=0.05)
+    df, names = dated(spark, wide, target)
+    data = trees.TreeData(df, "trade_date", names, "y", bins=64)
+    got = trees.answers(data, trees.boosted(data, [windows(3000, 4000, quantile=q) for q in (0.25, 0.75)], 12, 3, 0.3)).toPandas()
+    assert [(g["target"] <= g["prediction"]).mean() for _, g in got.groupby("model")] == pytest.approx([0.25, 0.75], abs=0.06)
+    assert got["prediction"][got["model"] == 1].std() > 1  # it hangs on the features
+
+
+def test_boosted_means_and_forests(spark):
+    """Boosting by the mean equals plain residual trees; a forest of all rows and features is one tree; drawn rows and features still learn."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3)).round(1)
+    y = 3 * x[:, 0] + x[:, 1] ** 2 + 0.1 * rng.normal(size=200)
+    df, names = dated(spark, x, y)
+    data = trees.TreeData(df, "trade_date", names, "y")
+    job = windows(150, 200)
+    got = [r["prediction"] for r in trees.answers(data, trees.boosted(data, [job], 4, 2, 0.5)).orderBy("day").collect()]
+    out, fitted = np.full(50, y[:150].mean()), np.full(150, y[:150].mean())
+    for _ in range(4):
+        both = plain_tree(x[:150], y[:150] - fitted, np.concatenate([x[:150], x[150:]]), 2, 5)
+        fitted, out = fitted + 0.5 * both[:150], out + 0.5 * both[150:]
+    assert got == pytest.approx(out)
+    same = [r["prediction"] for r in trees.answers(data, trees.forest(data, [job], 3, 3, share=1.0, rows=1.0)).orderBy("day").collect()]
+    assert same == pytest.approx(plain_tree(x[:150], y[:150], x[150:], 3, 1))
+    drawn = np.array([r["prediction"] for r in trees.answers(data, trees.forest(data, [job], 30, 5)).orderBy("day").collect()])
+    assert np.abs(drawn - y[150:]).mean() < 0.7 * np.abs(y[150:] - y[:150].mean()).mean() and np.corrcoef(drawn, y[150:])[0, 1] > 0.8
+
+
+def plain_tree(x, y, asked, depth, least):
+    """A least-squares tree by trying every split."""
+    best, out = None, np.full(len(asked), y.mean())
+    for j in range(x.shape[1]) if depth else ():
+        for cut in sorted(set(x[:, j]))[:-1]:
+            a = x[:, j] <= cut
+            gain = y[a].sum() ** 2 / a.sum() + y[~a].sum() ** 2 / (~a).sum() - y.sum() ** 2 / len(y)
+            if a.sum() >= least and (~a).sum() >= least and gain > 1e-12 and (best is None or gain > best[0] * (1 + 1e-12)):
+                best = (gain, j, (cut + x[~a, j].min()) / 2)
+    if best:
+        _, j, cut = best
+        for here, there in ((x[:, j] <= cut, asked[:, j] <= cut), (x[:, j] > cut, asked[:, j] > cut)):
+            out[there] = plain_tree(x[here], y[here], asked[there], depth - 1, least)
+    return out
 
 
-def test_boosted_forecast_refits_each_month(daily):
-    got = f.boosted_quantile_forecast(daily, "y", FEATURES, fraction=0.1, years=1, trees=3).toPandas()
+def test_boosted_forecast_refits_each_month(spark, daily):
+    """Months, quantiles, series and experiments side by side; every row in a histogram of its own value."""
     p = daily.dropna().orderBy("trade_date").toPandas()
-    days = p["trade_date"][-math.ceil(len(p) * 0.1) :]
-    assert sorted(got["trade_date"].unique()) == sorted(days) and len(got) == 3 * len(days)
-    for month in {d.replace(day=1) for d in days}:
-        own = [d for d in days if d.replace(day=1) == month]
-        start = min(own)
-        t = p[(p["trade_date"] < start) & (p["trade_date"] >= start.replace(year=start.year - 1))]
-        a = p[p["trade_date"].isin(own)]
-        want = f.boosted_quantile(t[FEATURES].to_numpy(), t["y"].to_numpy(), a[FEATURES].to_numpy(), 0.5, 3)
-        mine = got[(got["quantile"] == 0.5) & got["trade_date"].isin(own)].sort_values("trade_date")
-        assert mine["prediction"].to_numpy() == pytest.approx(want)
+    since = p["trade_date"].iloc[100]
+    both = daily.withColumn("s", F.lit("a")).unionByName(daily.withColumn("s", F.lit("b")).withColumn("y", -F.col("y")))
+    got = f.boosted_quantile_forecast(both, "y", FEATURES, fraction=0.1, years=1, trees=2, by="s", experiments={"all": None, "late": since}, bins=4096).toPandas()
+    for name, known in (("all", p), ("late", p[p["trade_date"] >= since])):
+        days = known["trade_date"][-math.ceil(len(known) * 0.1) :]
+        rows = got[got["experiment"] == name]
+        assert sorted(rows["trade_date"].unique()) == sorted(days) and len(rows) == 6 * len(days)
+        for month in {d.replace(day=1) for d in days}:
+            own = [d for d in days if d.replace(day=1) == month]
+            start = min(own)
+            t = known[(known["trade_date"] < start) & (known["trade_date"] >= start.replace(year=start.year - 1))]
+            a = known[known["trade_date"].isin(own)]
+            for series, side in (("a", 1), ("b", -1)):
+                want = brute_boosted(t[FEATURES].to_numpy(), side * t["y"].to_numpy(), a[FEATURES].to_numpy(), 0.5, 2, 3, 0.1)
+                mine = rows[(rows["quantile"] == 0.5) & rows["trade_date"].isin(own) & (rows["s"] == series)].sort_values("trade_date")
+                assert mine["prediction"].to_numpy() == pytest.approx(want)
+    assert f.boosted_quantile_forecast(daily.limit(0), "y", FEATURES).count() == 0
+
+
+def test_no_group_holds_raw_rows(spark, daily):
+    """What is exchanged while trees grow is blocks of histograms, whatever the number of rows."""
+    data = trees.TreeData(daily, "trade_date", FEATURES, "y", bins=16)
+    plan = trees.answers(data, trees.boosted(data, [windows(200, 300, quantile=0.5)], 1, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Exchange" not in plan
 
 
 def test_probe_skips_sessions_without_a_label(spark):

@@ -33,3 +33,9 @@ def test_scan_reads_only_what_is_asked(spark, sf):
     assert "user_id" not in text.split("ReadSchema")[1] and "value" not in text.split("ReadSchema")[1]
     raw = spark.read.parquet(f"{sf}/events.parquet")
     assert "GreaterThanOrEqual(ts" in plan(tick_window(raw, "2024-01-05 00:00:00", "2024-01-06 00:00:00"))
+
+
+@pytest.mark.parametrize("name", ["rolling_quantile_forecast", "har_forecast"])
+def test_trailing_windows_join_no_ranges(spark, sf, name):
+    text = plan(queries.queries()[name](spark, sf))
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
