@@ -38,7 +38,7 @@ BLOCK = 1024
 SIMILARITY = 0.8
 #: Bands of minimum hashes and minima a band: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 0.00005.
 BANDS, ROWS = 25, 5
-#: Texts of a candidate group that are compared in one block.
+#: Texts of a band's bucket, or of a first text's followers, that are compared in one block.
 PARTY = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[1], [0]], np.uint64)
@@ -207,26 +207,29 @@ def _marks(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, v long, keys array<long>")
 
 
-def _alike(v: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect what all pairs of the given sets with that Jaccard similarity do.
+def _shared(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """How many members each of the sets (none empty) has in common with the set ``own``."""
+    values, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    return np.add.reduceat(own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values, at, dtype=np.int64)
+
+
+def _alike(v: np.ndarray, sets: list[np.ndarray], similarity: float, group: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all pairs of the given sets with that Jaccard similarity do, texts of one ``group`` being connected.
 
     A pair that is connected already isn't compared. In larger groups the share
     of equal minima goes first: 0.2 below the similarity is more than five
     deviations away.
     """
-    label, out = np.arange(len(v)), []
+    label, out = np.unique(group, return_inverse=True)[1], []
     size = np.array([len(s) for s in sets])
-    values, at = np.concatenate(sets), np.cumsum([0, *size[:-1]])
     low = _minima(sets) if len(sets) > 8 else None
     for i in range(len(v)):
-        near = (np.arange(len(v)) > i) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
-        if low is not None:
+        near = (np.arange(len(v)) > i) & (label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
+        if low is not None and near.any():
             near &= (low == low[i]).mean(axis=1) >= similarity - 0.2
-        near &= label != label[i]
         if not near.any():
             continue
-        own = sets[i]
-        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, values), size[i] - 1)] == values, at, dtype=np.int64)
+        both = _shared(sets, sets[i])
         for j in np.flatnonzero(near & (both >= similarity * (size[i] + size - both) - 1e-6)):
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
@@ -234,47 +237,87 @@ def _alike(v: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tup
     return out
 
 
+def _links_table(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _sets(table_: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in table_.column("set").to_pylist()]
+
+
+def band_buckets(vertices: DataFrame) -> DataFrame:
+    """Rows (v, key, least): the bands that more than one of ``vertices`` (v, keys) share; of bands with the same members one."""
+    spread = vertices.select("v", F.explode("keys").alias("key"))
+    full = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    one = materialize(full.groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key", "least"))
+    return spread.join(one, "key").select("v", "key", "least")
+
+
+def first_pairs(buckets: DataFrame, sets: DataFrame, block: int = PARTY) -> DataFrame:
+    """Rows (b, chunk, v, set): each text beside the first (b) of its buckets' first texts, which stands in every chunk of its followers."""
+    pairs = materialize(buckets.where("v <> least").groupBy("v").agg(F.min("least").alias("b")))
+    chunks = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")))
+    followers = pairs.join(chunks, "b").select("b", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), "v")
+    leads = chunks.select("b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("b").alias("v"))
+    return followers.union(leads).join(sets, "v").select("b", "chunk", "v", "set")
+
+
+def open_blocks(buckets: DataFrame, roots: DataFrame, sets: DataFrame, block: int = PARTY) -> DataFrame:
+    """Rows (key, i, j, v, group, set): the buckets whose texts ``roots`` (v, root) leaves in several groups, cut into pairs of blocks."""
+    grouped = buckets.join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("group"))
+    cut = materialize(grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = (
+        grouped.join(cut, "key")
+        .withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "group")
+    )
+    return dealt.join(sets, "v").select("key", "i", "j", "v", "group", "set")
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = 5, block: int = PARTY) -> DataFrame:
     """Rows (doc_id, text_hash, root), one per row of ``docs``; root names the group of texts that links of the similarity connect.
 
     The similarity is the Jaccard coefficient of the sets of ``width``-word
     shingles; every link is verified on the sets themselves. Texts that share
-    a band of minima are candidates; candidates are connected first, so that a
-    shingle set moves once and not with every band, and then compared group by
-    group. A large group is cut into blocks whose pairs go to different tasks.
+    a band of minima are candidates. Each is first compared with one text, the
+    first of its buckets' first texts, which links most copies; then the
+    buckets that still hold several groups are compared, each for itself, a
+    large one in blocks whose pairs go to different tasks. Components are formed
+    of verified links alone, so candidates that merely hang together never meet.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     marks = materialize(_marks(plain, width))
-    spread = marks.select("v", F.explode("keys").alias("key"))
-    shared = materialize(spread.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").select("key", "least"))
-    groups = materialize(components(spread.join(shared, "key").select(F.col("v").alias("a"), F.col("least").alias("b"))).withColumnRenamed("root", "party"))
-    chosen = marks.join(groups, "v").groupBy("v", "party").agg(F.min("text_hash").alias("text_hash"))
+    vertices = marks.groupBy("v").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))  # texts of the same shingles have the same keys
+    buckets = materialize(band_buckets(vertices.select("v", "keys")))
+    chosen = vertices.select("v", "text_hash").join(buckets.select("v").distinct(), "v")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 found = [s.tobytes() for s in _shingles(part.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("party"), pa.array(found, pa.binary())], ["v", "party", "set"])
-
-    texts = plain.join(chosen, "text_hash").select("v", "party", "text").mapInArrow(sets, "v long, party long, set binary")
-    texts = materialize(texts.dropDuplicates(["v"]))
-    blocks = materialize(groups.groupBy("party").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    dealt = (
-        texts.join(blocks, "party")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("party", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "set")
-    )
-
-    def compare(group: pa.Table) -> pa.Table:
-        v = group.column("v").to_numpy()
-        found = _alike(v, [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()], similarity)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    verified = dealt.groupBy("party", "i", "j").applyInArrow(compare, "a long, b long")
-    roots = materialize(components(verified).withColumnRenamed("v", "own").distinct())
-    return marks.join(roots, F.col("v") == F.col("own"), "left").select("doc_id", "text_hash", F.coalesce("root", "v").alias("root"))
+                yield pa.RecordBatch.from_arrays([part.column("v"), pa.array(found, pa.binary())], ["v", "set"])
+
+    sets = materialize(plain.join(chosen, "text_hash").select("v", "text").mapInArrow(shingled, "v long, set binary").dropDuplicates(["v"]))
+
+    def against_first(key: tuple, table_: pa.Table) -> pa.Table:
+        v, found = table_.column("v").to_numpy(), _sets(table_)
+        lead, rest = int(np.flatnonzero(v == key[0].as_py())[0]), np.flatnonzero(v != key[0].as_py())
+        if not len(rest):
+            return _links_table([])
+        size, both = np.array([len(found[i]) for i in rest]), _shared([found[i] for i in rest], found[lead])
+        near = both >= similarity * (size + len(found[lead]) - both) - 1e-6
+        return _links_table([(int(v[i]), key[0].as_py()) for i in rest[near]])
+
+    def in_block(table_: pa.Table) -> pa.Table:
+        return _links_table(_alike(table_.column("v").to_numpy(), _sets(table_), similarity, table_.column("group").to_numpy()))
+
+    first = materialize(first_pairs(buckets, sets, block).groupBy("b", "chunk").applyInArrow(against_first, "a long, b long"))
+    roots = materialize(components(first).distinct())
+    rest = open_blocks(buckets, roots, sets, block).groupBy("key", "i", "j").applyInArrow(in_block, "a long, b long")
+    joined = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(materialize(rest)))
+    named = materialize(joined.withColumnRenamed("v", "own").distinct())
+    return marks.join(named, F.col("v") == F.col("own"), "left").select("doc_id", "text_hash", F.coalesce("root", "v").alias("root"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -61,3 +62,35 @@ def test_slices_of_a_batch_have_the_same_shingles():
     texts = simhash.pa.array([" ".join([f"{i}w{j}" for j in range(9)]) for i in range(50)])
     whole, part = simhash._shingles(texts, 5), simhash._shingles(texts.slice(20, 30), 5)
     assert [s.tolist() for s in part] == [s.tolist() for s in whole[20:]] and all(len(s) == 5 for s in whole)
+
+
+def test_a_chain_of_candidates_sends_few_sets(spark):
+    """Texts 0.65 alike to the next hang together by their bands; each is compared with few others and all stay."""
+    n, long, step = 1500, 104, 21  # 79 of 121 shingles in common with the next
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * step, i * step + long))) for i in range(n)], "doc_id long, text string")
+    marks = simhash._marks(df.selectExpr("doc_id", "xxhash64(text) AS text_hash", "text"), 5)
+    buckets = simhash.band_buckets(marks.select("v", "keys")).cache()
+    assert buckets.select("v").distinct().count() > 0.9 * n
+    sets = marks.selectExpr("v", "X'00' AS set")
+    none = spark.createDataFrame([], "v long, root long")
+    assert simhash.first_pairs(buckets, sets).count() <= 2 * n and simhash.open_blocks(buckets, none, sets).count() < 6 * n
+    groups = simhash.components(buckets.selectExpr("v AS a", "least AS b")).groupBy("root").count()
+    assert groups.agg({"count": "max"}).first()[0] > simhash.PARTY / 4  # candidates do form long chains
+    assert simhash.keep_first(df).count() == n
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_groups_that_the_first_text_does_not_link(spark, block):
+    """Members of a large group are linked through each other where the first of their bucket is too far."""
+    rng = random.Random(3)
+    rows, words = [], list(BASE)
+    for i in range(80):  # a drift: neighbours are alike, the ends are not
+        at = rng.randrange(len(words))
+        words[at] = f"d{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(words[: 118 - i % 3])) for i in range(12)]
+    rng.shuffle(rows)
+    groups = {}
+    for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect():
+        groups.setdefault(r["root"], []).append(r["doc_id"])
+    assert {min(g) for g in groups.values()} == brute_firsts(rows)
