@@ -65,6 +65,22 @@ def arrival(part: Column, start: Column, end: Column) -> Column:
     return F.when(start + root > 0, area * 2 / (start + root)).otherwise(F.lit(0.0))
 
 
+def _offsets(buckets: DataFrame, digits: int) -> DataFrame:
+    """Rows (s, b, offset): what a source's buckets (source, bucket, bucket_size) before each bucket hold.
+
+    Buckets are first added up by the first half of their digits, so that a
+    window holds about the root of a source's buckets.
+    """
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = lambda c, by, order: F.coalesce(F.sum(c).over(before(by, order)), F.lit(0))
+    halved = buckets.withColumn("half", F.substring("bucket", 1, digits // 2))
+    halves = halved.groupBy("source", "half").agg(F.sum("bucket_size").alias("half_size"))
+    halves = halves.select(F.col("source").alias("s"), F.col("half").alias("h"), behind("half_size", ["source"], "half").alias("first"))
+    inside = halved.withColumn("inside", behind("bucket_size", ["source", "half"], "bucket"))
+    joined = inside.join(halves, F.col("source").eqNullSafe(F.col("s")) & (F.col("half") == F.col("h")))
+    return joined.select("s", F.col("bucket").alias("b"), (F.col("first") + F.col("inside")).alias("offset"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedule=SCHEDULE, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken, position, draws), one per input row.
 
@@ -85,8 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         digits += 1
     sized = sized.withColumn("bucket", F.substring("place", 1, digits))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
+    starts = _offsets(buckets, digits)
     inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))

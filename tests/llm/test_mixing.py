@@ -84,3 +84,16 @@ def test_every_draw_has_a_position(spark):
 def test_null_ids_are_placed_by_their_texts(spark):
     df = spark.createDataFrame([(None, f"w{i} x", "a") for i in range(50)], "doc_id long, text string, source string")
     assert len({r["position"] for r in mixing.mix(df).collect()}) == 50
+
+
+def test_offsets_of_many_buckets(spark):
+    """Two levels of prefix sums equal one running sum, also for a null source and a single digit."""
+    for digits in (1, 3, 4):
+        names = [f"{i * 7919 % 16**digits:0{digits}x}" for i in range(min(16**digits, 700))]
+        rows = [(s, b, 1 + (i * 31) % 17) for s in ("a", "b", None) for i, b in enumerate(names) if i % 3 or s]
+        got = {(r["s"], r["b"]): r["offset"] for r in mixing._offsets(spark.createDataFrame(rows, "source string, bucket string, bucket_size long"), digits).collect()}
+        want, run = {}, {}
+        for s, b, size in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+            want[s, b] = run.get(s, 0)
+            run[s] = want[s, b] + size
+        assert got == want
