@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import global_rank
+from .tables import global_rank, materialize
 
 ColumnLike = Column | str
 
@@ -57,6 +57,18 @@ def quantile_nearest(c: ColumnLike, q: float) -> Column:
     return F.when(F.size(kept) > 0, F.element_at(kept, F.greatest(index, F.lit(1))))
 
 
+def nearest_quantiles(df: DataFrame, value: str, qs: Mapping[str, float]) -> DataFrame:
+    """One row: ``_m``, the count of values, and per name of ``qs`` the value whose index is nearest to q (m - 1).
+
+    Selected by rank over a range partitioning; no values are gathered.
+    """
+    ranked = global_rank(df.where(col(value).isNotNull()).select(col(value).cast("double").alias("_v")), ["_v"], "_r")
+    m = ranked.agg(F.count("*").alias("_m"))
+    at = lambda q: F.floor(F.lit(q) * (F.col("_m") - 1) + 0.5)
+    picked = ranked.join(F.broadcast(m), how="cross")  # one row
+    return picked.agg(F.count("*").alias("_m"), *(F.max(F.when(F.col("_r") == at(q), F.col("_v"))).alias(n) for n, q in qs.items()))
+
+
 def decile(df: DataFrame, by: Sequence[str], value: str, out: str, ties: Sequence[str] = (), k: int = 10, min_distinct: int = 0) -> DataFrame:
     """``out``: floor((rank - 1) k / n) + 1 over the non-null values of a group, by ordinal rank.
 
@@ -102,10 +114,33 @@ def rank_quantile(df: DataFrame, by: Sequence[str], value: str, out: str, ties:
     return df.withColumn(out, F.when(here, label)).drop("_rank", "_distinct", "_n", "_k")
 
 
-def average_rank(by: Sequence[str], value: str) -> Column:
-    """Rank with ties sharing their mean, within groups."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+def average_ranks(df: DataFrame, by: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """``df`` with, per column of ``names``, its rank within the group under the given name, ties sharing their mean; null for a null.
+
+    Values are counted first and the counts laid out by range over all groups
+    and columns, so a large group is ranked by several tasks. Only one sum per
+    partition reaches the driver.
+    """
+    spark, keys = df.sparkSession, [f"_k{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names))))
+    counted = df.select(*named, each.alias("_e")).select(*keys, "_e.c", "_e.v").where("v is not null").groupBy(*keys, "c", "v").agg(F.count("*").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialize(counted.repartitionByRange(parts, *keys, "c", "v").withColumn("part", F.spark_partition_id()))
+    run = Window.partitionBy("part").orderBy(*keys, "c", "v")
+    sums = laid.groupBy("part").agg(F.sum("n").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    placed = laid.withColumn("upto", F.sum("n").over(run)).join(F.broadcast(sums.select("part", before.alias("before"))), "part").select(*keys, "c", "v", "n", (F.col("upto") + F.col("before")).alias("upto"))
+    placed = materialize(placed)
+    starts = placed.groupBy(*keys, "c").agg(F.min(F.col("upto") - F.col("n")).alias("start"))
+    same = [F.col(k).eqNullSafe(F.col(f"s{k}")) for k in keys]
+    ranks = placed.join(starts.select(*(F.col(k).alias(f"s{k}") for k in keys), F.col("c").alias("s_c"), "start"), [*same, F.col("c") == F.col("s_c")])
+    ranks = ranks.select(*keys, "c", "v", (F.col("upto") - F.col("n") - F.col("start") + (F.col("n") + 1) / 2).alias("rank"))
+    for i, (c, out) in enumerate(names.items()):
+        own = ranks.where(F.col("c") == i).select(*(F.col(k).alias(f"{k}_{i}") for k in keys), F.col("v").alias(f"_v_{i}"), F.col("rank").alias(out))
+        on = [F.col(g).eqNullSafe(F.col(f"{k}_{i}")) for g, k in zip(by, keys)] + [F.col(c).cast("double") == F.col(f"_v_{i}")]
+        df = df.join(own, on, "left").drop(*(f"{k}_{i}" for k in keys), f"_v_{i}")
+    return df
 
 
 def guarded_corr(a: ColumnLike, b: ColumnLike) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +80,54 @@ def cohens_d(df: DataFrame, metric: str, a: str, b: str, cohort: str = "cohort")
     return m.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "na", "nb", F.when((F.col("na") > 1) & (F.col("nb") > 1), ratio(F.col("ma") - F.col("mb"), pooled)).alias("cohens_d"))
 
 
-def permutation_test(df: DataFrame, metric: str, a: str, b: str, iterations: int = 1000, seed: int = 7, cohort: str = "cohort") -> DataFrame:
+def permutation_test(df: DataFrame, metric: str, a: str, b: str, iterations: int = 1000, seed: int = 7, cohort: str = "cohort", bucket_rows: int = 1 << 15) -> DataFrame:
     """Two-sided permutation test of a mean difference: (hits + 1) / (iterations + 1).
 
-    The rows of both cohorts (days, a small table) are repeated per iteration,
-    dealt to the first cohort by a seeded hash order, and summed in one pass.
-    A row is known by its cohort, value and place among equals, so nothing is
-    numbered over the whole table and the result doesn't hang on partitions.
+    Rows are dealt to buckets by a hash. For every iteration the driver draws
+    how many of the first cohort's places fall to each bucket (multivariate
+    hypergeometric), and the bucket's task draws which rows take them: together
+    a uniform draw of that many rows. A task returns one array of sums, one per
+    iteration, so the rows exchanged don't grow with the iterations. A row is
+    known by its cohort, value and place among equals, so the result doesn't
+    hang on partitions.
     """
     x, in_a = F.col(metric).cast("double"), F.col(cohort) == a
     rows = df.where(F.col(cohort).isin(a, b) & F.col(metric).isNotNull()).groupBy(x.alias("x"), in_a.alias("in_a")).agg(F.count("*").alias("copies"))
     rows = materialize(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies"))
-    n = rows.agg(F.count_if("in_a").alias("na"), (F.avg(F.when(F.col("in_a"), F.col("x"))) - F.avg(F.when(~F.col("in_a"), F.col("x")))).alias("observed"))
-    dealt = rows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    order = F.xxhash64("iteration", "in_a", "x", "copy", F.lit(seed))
-    dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("iteration").orderBy(order, "in_a", "x", "copy")))
-    first = F.col("place") <= F.col("na")
-    means = dealt.join(F.broadcast(n), how="cross").groupBy("iteration").agg((F.avg(F.when(first, F.col("x"))) - F.avg(F.when(~first, F.col("x")))).alias("d"), F.max("observed").alias("observed"))
-    return means.agg(F.max("observed").alias("difference"), ((F.count_if(F.abs("d") >= F.abs("observed")) + 1) / F.lit(iterations + 1)).alias("p_value"))
+    n = rows.agg(F.count("*").alias("n"), F.count_if("in_a").alias("na"), F.sum("x").alias("total"), F.avg(F.when(F.col("in_a"), F.col("x"))).alias("ma"), F.avg(F.when(~F.col("in_a"), F.col("x"))).alias("mb")).first()
+    spark, schema = df.sparkSession, "difference double, p_value double"
+    if not n["na"] or n["na"] == n["n"]:
+        return spark.createDataFrame([(None, None)], schema)
+    bucket = F.pmod(F.xxhash64("in_a", "x", "copy"), F.lit(-(-n["n"] // bucket_rows))).cast("int")
+    placed = materialize(rows.select(bucket.alias("bucket"), "in_a", "x", "copy"))
+    sizes = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}
+    order = sorted(sizes)
+    drawn = np.random.default_rng(seed).multivariate_hypergeometric([sizes[k] for k in order], n["na"], size=iterations, method="marginals")
+    places = {k: drawn[:, i] for i, k in enumerate(order)}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, values, now = np.zeros(iterations), [], None
+
+        def close() -> None:
+            if values:
+                v, rng = np.concatenate(values), np.random.default_rng((seed, now))
+                for i, k in enumerate(places[now].tolist()):
+                    total[i] += v[rng.permutation(len(v))[:k]].sum()
+                values.clear()
+
+        for batch in batches:
+            which, v = batch.column("bucket").to_numpy(), batch.column("x").to_numpy()
+            for k in np.unique(which).tolist():  # sorted, as the rows are
+                if k != now:
+                    close()
+                    now = k
+                values.append(v[which == k])
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    ordered = placed.repartition("bucket").sortWithinPartitions("bucket", "in_a", "x", "copy")
+    total = np.sum([r["sums"] for r in ordered.select("bucket", "x").mapInArrow(sums, "sums array<double>").collect()], axis=0)  # an array per task
+    observed = n["ma"] - n["mb"]
+    means = total / n["na"] - (n["total"] - total) / (n["n"] - n["na"])
+    hits = int((np.abs(means) >= abs(observed) * (1 - 1e-12)).sum())
+    return spark.createDataFrame([(float(observed), (hits + 1) / (iterations + 1))], schema)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, decile, guarded_corr, pct, quantile_linear, quantile_nearest, ratio, share, sign_or_zero, unpivot
+from ..functions.stats import average_ranks, decile, guarded_corr, pct, quantile_linear, quantile_nearest, ratio, share, sign_or_zero, unpivot
 from ..functions.tables import materialize
 
 
@@ -143,7 +143,7 @@ def correlations(df: DataFrame, day: str, features: Sequence[str], outcomes: Seq
     o = unpivot(df, [day], list(outcomes), "outcome", "y")
     pairs = f.join(o, day).where("x is not null and y is not null")
     key = ["feature", "outcome"]
-    ranked = pairs.withColumn("rx", average_rank(key, "x")).withColumn("ry", average_rank(key, "y"))
+    ranked = average_ranks(materialize(pairs), key, {"x": "rx", "y": "ry"})
     return ranked.groupBy(*key).agg(guarded_corr("x", "y").alias("pearson"), guarded_corr("rx", "ry").alias("spearman"), F.count("*").alias("sample_size"))
 
 

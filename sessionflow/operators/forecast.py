@@ -9,7 +9,7 @@ those under the quantile loss grow side by side from histograms (``trees``).
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, guarded_corr, quantile_linear, ratio, share
+from ..functions.stats import average_ranks, guarded_corr, quantile_linear, ratio, share
 from ..functions.tables import materialize
 from . import trees as trees_
 from .extremes import _when
@@ -284,7 +284,7 @@ def regression_metrics(predictions: DataFrame, by: Sequence[str], day: str = "tr
     """Rows, days, absolute error, R squared, Pearson and Spearman per group."""
     by = list(by)
     p = predictions.where("prediction is not null and target is not null")
-    p = p.withColumn("_a", average_rank(by, "target")).withColumn("_b", average_rank(by, "prediction"))
+    p = average_ranks(materialize(p.select(*by, day, "target", "prediction")), by, {"target": "_a", "prediction": "_b"})
     e = F.col("target") - F.col("prediction")
     out = p.groupBy(*by).agg(
         F.count("*").alias("n_rows"), F.countDistinct(day).alias("n_dates"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("_s"), (F.var_pop("target") * F.count("*")).alias("_t"),
@@ -356,7 +356,25 @@ def _walk(rows: DataFrame, features: Sequence[str], target: str, day: str, specs
     return fits, predictions.withColumn("sample", F.when(F.col("fold_id") == 0, "holdout").otherwise("out_of_sample"))
 
 
-def walkforward_experiment(table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", alpha: float = 1.0, fraction: float = 0.15, train_months: int = 24, valid_months: int = 3, step_months: int = 3, l1_ratio: float | None = None) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Named tables, each built when it is first asked for: ranks are laid out by jobs of their own, which an unread table need not run."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def walkforward_experiment(table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", alpha: float = 1.0, fraction: float = 0.15, train_months: int = 24, valid_months: int = 3, step_months: int = 3, l1_ratio: float | None = None) -> Mapping[str, DataFrame]:
     """Folds over the development days, then a refit on all of them for the holdout; an elastic net with ``l1_ratio``.
 
     Returns predictions (fold 0 is the holdout), coefs, metrics per fold,
@@ -366,9 +384,10 @@ def walkforward_experiment(table: DataFrame, features: Sequence[str], target: st
     rows = table.dropna(subset=[*features, target])
     fits, predictions = _walk(rows, features, target, day, None, fraction, train_months, valid_months, step_months, alpha, l1_ratio)
     coefs = coefficients(fits, ["fold_id"], features)
-    return {
-        "predictions": predictions.drop("sample"), "coefs": coefs, "fold_metrics": regression_metrics(predictions, ["fold_id"], day), "metrics": regression_metrics(predictions, ["sample"], day), "stability": coefficient_stability(coefs.where("fold_id > 0")),
-    }
+    return Tables({
+        "predictions": lambda: predictions.drop("sample"), "coefs": lambda: coefs, "fold_metrics": lambda: regression_metrics(predictions, ["fold_id"], day), "metrics": lambda: regression_metrics(predictions, ["sample"], day),
+        "stability": lambda: coefficient_stability(coefs.where("fold_id > 0")),
+    })
 
 
 def leaderboard(results: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
@@ -451,7 +470,7 @@ def classification_metrics(scored: DataFrame, by: Sequence[str], top: float = 0.
     down = Window.partitionBy(*by).orderBy(F.desc("score"))
     block = Window.partitionBy(*by, "score")
     n = F.count("*").over(Window.partitionBy(*by))
-    s = scored.withColumn("_rank", average_rank(by, "score")).withColumn("_tp", F.sum("label").over(down.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.count("*").over(down.rangeBetween(Window.unboundedPreceding, 0)))
+    s = average_ranks(materialize(scored), by, {"score": "_rank"}).withColumn("_tp", F.sum("label").over(down.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.count("*").over(down.rangeBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("_pos", F.sum("label").over(block)).withColumn("_size", F.count("*").over(block)).withColumn("_n", n).withColumn("_place", F.row_number().over(down.orderBy(F.desc("score"), *([F.col(c) for c in ("trade_date",) if c in scored.columns]))))
     hit = F.col("score") >= 0.5
     c = lambda cond: F.count_if(cond).cast("double")

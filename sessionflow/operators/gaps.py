@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantile_linear, quantile_nearest, rank_quantile, ratio, sign_or_zero
+from ..functions.stats import nearest_quantiles, quantile_linear, rank_quantile, ratio, sign_or_zero
 from ..functions.tables import materialize
 
 
@@ -239,7 +239,7 @@ def context_cohorts(joined: DataFrame) -> DataFrame:
     """Direction rates and moves by gap, imbalance, both, and gap-size tercile (by nearest quantiles of the gaps that exist)."""
     some = F.when(F.col("fvg_size_points") > 0, F.col("fvg_size_points"))
     joined = materialize(joined)  # read for the cut points and for the rows
-    cuts = joined.agg(F.count(some).alias("_m"), quantile_nearest(some, 1 / 3).alias("_a"), quantile_nearest(some, 2 / 3).alias("_b"))
+    cuts = nearest_quantiles(joined.select(some.alias("_size")), "_size", {"_a": 1 / 3, "_b": 2 / 3})
     df = joined.join(F.broadcast(cuts), how="cross")  # one row
     size = F.when(F.col("fvg_size_points") <= 0, "none").when(F.col("_m") < 3, "has_fvg").when(F.col("fvg_size_points") <= F.col("_a"), "small").when(F.col("fvg_size_points") <= F.col("_b"), "medium").otherwise("large")
     cohort = lambda n, c: F.struct(F.lit(n).alias("cohort"), c.alias("bucket"))

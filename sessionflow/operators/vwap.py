@@ -22,10 +22,14 @@ def state(points: Column | str) -> Column:
     return F.when(p > 0, "bullish").when(p < 0, "bearish").when(p == 0, "neutral")
 
 
-def timed_ticks(ticks: DataFrame, zone: str = ZONE) -> DataFrame:
-    """(date, sec, ts_ns, intra_ts_rank, at, p, size): New York day and second, order key, price."""
+#: Seconds of a slice in which running sums are taken.
+SLICE = 10
+
+
+def timed_ticks(ticks: DataFrame, zone: str = ZONE, by: Sequence[str] = ()) -> DataFrame:
+    """(by, date, sec, ts_ns, intra_ts_rank, at, p, size): New York day and second, order key, price."""
     local = wall("ts", zone)
-    return ticks.select(F.to_date(local).alias("date"), second_of_day(local).alias("sec"), "ts_ns", "intra_ts_rank", order_key().alias("at"), price().alias("p"), "size")
+    return ticks.select(*by, F.to_date(local).alias("date"), second_of_day(local).alias("sec"), "ts_ns", "intra_ts_rank", order_key().alias("at"), price().alias("p"), "size")
 
 
 def partials(ticks: DataFrame, specs: Mapping[str, tuple[int, int]], targets: Mapping[str, tuple[int, int]], zone: str = ZONE) -> DataFrame:
@@ -129,14 +133,23 @@ def vwap_summary(features: DataFrame, prefixes: Sequence[str], targets: Sequence
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sample_size", "bullish_count", "bearish_count", "neutral_count")}).withColumn("feature_set", F.lit(label))
 
 
-def running_vwap(ticks: DataFrame, start: int, freeze: int, end: int, zone: str = ZONE) -> DataFrame:
-    """Ticks of [start, end) with the VWAP since ``start``, which stops moving at ``freeze``."""
-    t = timed_ticks(ticks, zone).where(within("sec", start, end))
-    ordered = Window.partitionBy("date").orderBy("ts_ns", "intra_ts_rank").rowsBetween(Window.unboundedPreceding, 0)
+def running_vwap(ticks: DataFrame, start: int, freeze: int, end: int, zone: str = ZONE, by: Sequence[str] = ()) -> DataFrame:
+    """Ticks of [start, end) with the VWAP since ``start`` of their day (and ``by``), which stops moving at ``freeze``.
+
+    Sums run within slices of ``SLICE`` seconds and are offset by those of the
+    slices before, so a task never holds a day.
+    """
+    key = [*by, "date"]
+    t = timed_ticks(ticks, zone, by).where(within("sec", start, end)).withColumn("slice", F.floor(F.col("sec") / SLICE).cast("int"))
     moving = F.col("sec") < freeze
-    pv = F.sum(F.when(moving, F.col("p") * F.col("size"))).over(ordered)
-    v = F.sum(F.when(moving, F.col("size"))).over(ordered)
-    return t.withColumn("vwap", F.when(v > 0, pv / v))
+    t = t.withColumn("_pv", F.when(moving, F.col("p") * F.col("size"))).withColumn("_v", F.when(moving, F.col("size")))
+    behind = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # slices of a day
+    before = t.groupBy(*key, "slice").agg(F.sum("_pv").alias("_pv"), F.sum("_v").alias("_v"))
+    before = before.select(*key, "slice", *(F.coalesce(F.sum(c).over(behind), F.lit(0)).alias(f"{c}0") for c in ("_pv", "_v")))
+    inside = Window.partitionBy(*key, "slice").orderBy("ts_ns", "intra_ts_rank").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.col(f"{c}0") + F.coalesce(F.sum(c).over(inside), F.lit(0))
+    t = t.join(before, [*key, "slice"]).withColumns({"_pvs": run("_pv"), "_vs": run("_v")})
+    return t.withColumn("vwap", F.when(F.col("_vs") > 0, F.col("_pvs") / F.col("_vs"))).drop("_pv", "_v", "_pv0", "_v0", "_pvs", "_vs")
 
 
 def barrier_ts(day: Column | str, second: Column | str, start: int, zone: str = ZONE) -> Column:
@@ -145,21 +158,26 @@ def barrier_ts(day: Column | str, second: Column | str, start: int, zone: str =
     return F.to_utc_timestamp(F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + start + second), zone)
 
 
-def barrier_tick_metrics(ticks: DataFrame, barrier: DataFrame, start: int, length: int = 60, targets: Mapping[str, tuple[int, int]] | None = None, touch: float = TOUCH, zone: str = ZONE) -> DataFrame:
+def barrier_tick_metrics(ticks: DataFrame, barrier: DataFrame, start: int, length: int = 60, targets: Mapping[str, tuple[int, int]] | None = None, touch: float = TOUCH, zone: str = ZONE, by: Sequence[str] = ()) -> DataFrame:
     """Per barrier day how the candle after the barrier lay to its running VWAP: at the barrier, at its close, worst, and for how long on the wrong side.
 
     ``barrier`` has date, macro_trend_state, barrier_time (seconds into the
-    candle). Only its days are scanned (a semi join that Spark broadcasts if small).
+    candle), and ``by`` where instruments share days. Only its days are scanned
+    (a join that Spark broadcasts if small).
     """
     targets = targets or {}
     end = max([start + length, *(b for _, b in targets.values())])
-    days = barrier.select("date", "macro_trend_state", "barrier_time")
-    t = running_vwap(ticks, start, start + length, end, zone).join(days, "date")
+    key = [*by, "date"]
+    days = barrier.select(*key, "macro_trend_state", "barrier_time")
+    t = running_vwap(ticks, start, start + length, end, zone, by).join(days, key)
     after = (F.col("sec") >= start + F.col("barrier_time")) & (F.col("sec") < start + length)
     t = t.withColumn("after", after)
-    order = Window.partitionBy("date", "after").orderBy("ts_ns", "intra_ts_rank")
+    order = Window.partitionBy(*key, "slice", "after").orderBy("ts_ns", "intra_ts_rank")
+    firsts = t.groupBy(*key, "after", "slice").agg(F.min("ts_ns").alias("_first"))  # the tick that follows a slice is the first of the next
+    firsts = firsts.select(*key, "after", "slice", F.lead("_first").over(Window.partitionBy(*key, "after").orderBy("slice")).alias("_next"))
+    t = t.join(firsts, [*key, "after", "slice"])
     close_ns = F.unix_micros(barrier_ts("date", F.lit(length), start, zone)) * 1000
-    t = t.withColumn("secs", F.greatest(F.lit(0.0), (F.coalesce(F.lead("ts_ns").over(order), close_ns) - F.col("ts_ns")) / 1e9))
+    t = t.withColumn("secs", F.greatest(F.lit(0.0), (F.coalesce(F.lead("ts_ns").over(order), F.col("_next"), close_ns) - F.col("ts_ns")) / 1e9))
     up = F.when(F.col("macro_trend_state") == "bullish", 1.0).when(F.col("macro_trend_state") == "bearish", -1.0)
     t = t.withColumn("raw", F.col("p") - F.col("vwap")).withColumn("signed", F.col("raw") * up)
     here = F.col("after")
@@ -172,7 +190,7 @@ def barrier_tick_metrics(ticks: DataFrame, barrier: DataFrame, start: int, lengt
     for name, (a, b) in targets.items():
         inside = F.when(within("sec", a, b), F.struct("at", "p"))
         aggregates.append((F.max(inside)["p"] - F.min(inside)["p"]).alias(f"{name}_points"))
-    m = t.groupBy("date", "barrier_time").agg(*aggregates)
+    m = t.groupBy(*key, "barrier_time").agg(*aggregates)
     side = lambda d: F.when(F.abs(d) <= touch, "touch").when(d > touch, "above").when(d.isNotNull(), "below")
     some = F.col("post_barrier_tick_count") > 0
     m = m.withColumn("vwap_side_at_barrier", side(F.col("_a.raw"))).withColumn("vwap_dist_at_barrier_points", F.col("_a.signed")).withColumn("vwap_side_at_close", side(F.col("_b.raw"))).withColumn("vwap_dist_at_close_points", F.col("_b.signed"))
@@ -199,9 +217,11 @@ def transition(a: Column | str, b: Column | str) -> Column:
     return F.when((a == "unknown") | (b == "unknown"), "unknown").when((a == "touch") | (b == "touch"), "touch_mixed").otherwise(F.concat_ws("_to_", a, b))
 
 
-def barrier_context(barrier: DataFrame, vwap: DataFrame, ticks: DataFrame, early: str, late: str, start: int, length: int = 60, targets: Mapping[str, tuple[int, int]] | None = None, zone: str = ZONE) -> DataFrame:
+def barrier_context(barrier: DataFrame, vwap: DataFrame, ticks: DataFrame, early: str, late: str, start: int, length: int = 60, targets: Mapping[str, tuple[int, int]] | None = None, zone: str = ZONE, by: Sequence[str] = ()) -> DataFrame:
     """Barrier days with VWAP features ``early`` and ``late`` (prefixes), tick metrics and what they say together."""
-    df = barrier.join(vwap, "date").join(barrier_tick_metrics(ticks, barrier, start, length, targets, zone=zone), "date", "left")
+    key = [*by, "date"]
+    metrics = barrier_tick_metrics(ticks, barrier, start, length, targets, zone=zone, by=by).drop("macro_trend_state")
+    df = barrier.join(vwap, key).join(metrics, key, "left")
     good = lambda c: F.col(c).isin("constructive", "touch")
     df = df.withColumn("early_constructive", constructive("macro_trend_state", f"{early}_vwap_side")).withColumn("late_constructive", constructive("macro_trend_state", f"{late}_vwap_side"))
     df = df.withColumn("context_transition", transition("early_constructive", "late_constructive"))
@@ -237,8 +257,8 @@ def decision_table(context: DataFrame, target: str) -> DataFrame:
     return context.groupBy("context_transition", "macro_trend_state").agg(F.count("*").alias("n"), F.avg(f"{target}_points").alias("mean_points"), F.median(f"{target}_points").alias("median_points"))
 
 
-def retouch_study(ticks: DataFrame, start: int, first: int, candle: int, end: int, horizons: Mapping[str, int], touch: float = TOUCH, zone: str = ZONE) -> DataFrame:
-    """One row per day: the first break of the range of the first seconds, then the first return to the frozen and the running VWAP.
+def retouch_study(ticks: DataFrame, start: int, first: int, candle: int, end: int, horizons: Mapping[str, int], touch: float = TOUCH, zone: str = ZONE, by: Sequence[str] = ()) -> DataFrame:
+    """One row per day (and ``by``): the first break of the range of the first seconds, then the first return to the frozen and the running VWAP.
 
     ``start`` is the anchor, ``start + first`` the end of the first range,
     ``candle`` of the first candle and ``end`` of the window, in seconds of the
@@ -246,32 +266,33 @@ def retouch_study(ticks: DataFrame, start: int, first: int, candle: int, end: in
     passed), best and worst signed excursion before ``end``.
     """
     last = max([end, *horizons.values()])
-    t = running_vwap(ticks, start, last, last, zone)
+    key = [*by, "date"]
+    t = running_vwap(ticks, start, last, last, zone, by)
     opening = F.col("sec") < start + first
     edge = lambda cond: F.when(cond, F.struct("at", "p"))
     move = lambda cond: (F.max(edge(cond))["p"] - F.min(edge(cond))["p"])
     pv, v = F.sum(F.when(opening, F.col("p") * F.col("size"))), F.sum(F.when(opening, F.col("size")))
-    day = t.groupBy("date").agg(
+    day = t.groupBy(*key).agg(
         F.count_if(F.col("sec") < end).alias("tick_count_macro"), F.count_if(opening).alias("_n"), F.min(edge(opening))["p"].alias("open_first"), F.max(F.when(opening, F.col("p"))).alias("high_first"), F.min(F.when(opening, F.col("p"))).alias("low_first"),
         F.when(v > 0, pv / v).alias("vwap_frozen"), ratio(v, F.sum(F.when(F.col("sec") < candle, F.col("size")))).alias("vol_share_first"), move(F.col("sec") < candle).alias("candle_dir_points"), move(F.col("sec") < end).alias("macro_dir_points"),
         *(F.max(edge(F.col("sec") < h))["p"].alias(f"_p_{k}") for k, h in horizons.items()),
     )
     day = day.withColumn("has_first", F.col("_n") > 0).drop("_n").withColumn("range_first_points", F.col("high_first") - F.col("low_first"))
-    t = t.join(day.select("date", "high_first", "low_first", "vwap_frozen"), "date").where(F.col("sec") < end)
+    t = t.join(day.select(*key, "high_first", "low_first", "vwap_frozen"), key).where(F.col("sec") < end)
     outside = (F.col("sec") >= start + first) & ((F.col("p") > F.col("high_first")) | (F.col("p") < F.col("low_first")))
-    breaks = t.groupBy("date").agg(F.min(F.when(outside, F.struct("at", "p", "sec"))).alias("brk"))
-    t = t.join(breaks.where("brk is not null"), "date").withColumn("bias_", F.when(F.col("brk.p") > F.col("high_first"), 1.0).otherwise(-1.0))
+    breaks = t.groupBy(*key).agg(F.min(F.when(outside, F.struct("at", "p", "sec"))).alias("brk"))
+    t = t.join(breaks.where("brk is not null"), key).withColumn("bias_", F.when(F.col("brk.p") > F.col("high_first"), 1.0).otherwise(-1.0))
     later = F.col("at") > F.col("brk.at")
     reached = lambda v: later & v.isNotNull() & ((F.col("p") - v) * F.col("bias_") <= touch)
-    found = t.groupBy("date", "brk", "bias_").agg(F.min(F.when(reached(F.col("vwap_frozen")), F.struct("at", "p", "sec", "vwap"))).alias("frozen"), F.min(F.when(reached(F.col("vwap")), F.struct("at", "p", "sec", "vwap"))).alias("rolling"))
+    found = t.groupBy(*key, "brk", "bias_").agg(F.min(F.when(reached(F.col("vwap_frozen")), F.struct("at", "p", "sec", "vwap"))).alias("frozen"), F.min(F.when(reached(F.col("vwap")), F.struct("at", "p", "sec", "vwap"))).alias("rolling"))
     anchors = {"break": "brk", "retouch_frozen": "frozen", "retouch_rolling": "rolling"}
-    w = t.select("date", "at", "p").join(found, "date")
+    w = t.select(*key, "at", "p").join(found, key)
     excursions = []
     for name, a in anchors.items():
         signed = F.when(F.col("at") >= F.col(f"{a}.at"), (F.col("p") - F.col(f"{a}.p")) * F.col("bias_"))
         excursions += [F.max(signed).alias(f"mfe_{name}_points"), F.min(signed).alias(f"mae_{name}_points")]
-    moves = w.groupBy("date").agg(*excursions)
-    out = day.join(found, "date", "left").join(moves, "date", "left")
+    moves = w.groupBy(*key).agg(*excursions)
+    out = day.join(found, key, "left").join(moves, key, "left")
     for name, a in anchors.items():
         for k, h in horizons.items():
             ahead = F.when(F.col(f"{a}.sec") < h, (F.col(f"_p_{k}") - F.col(f"{a}.p")) * F.col("bias_"))

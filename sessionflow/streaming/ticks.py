@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,22 +47,50 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Batches of updates after which a keyed table is merged into one folder.
+COMPACT = 16
+
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers of the folders ``kind=<number>`` under ``path`` that were written in full; none where there is no such path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    found = [int(x.split("=")[1]) for x in names if x.startswith(f"{kind}=")]
+    return sorted(n for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}={n}/_SUCCESS")))
+
+
+def keyed_table(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The latest row of each key of a table of updates at ``path``; an empty table where no batch has been written."""
+    merged = _numbers(spark, path, "merged")[-1:]
+    after = [n for n in _numbers(spark, path, "batch") if not merged or n > merged[0]]
+    parts = [spark.read.schema(schema).parquet(f"{path}/{k}={n}").withColumn("_batch", F.lit(n).cast("long")) for k, ns in (("merged", merged), ("batch", after)) for n in ns]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rest = [c for c in schema.names if c not in keys]
+    return reduce(DataFrame.union, parts).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in schema.names))
+
+
 def write_available(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ()) -> DataFrame:
     """Process what there is into Parquet files at ``path`` and return them; nothing passes through the driver.
 
     Without ``keys`` closed windows are appended. With ``keys`` each batch's
     updates are written to a folder of its own, which a repeated batch
-    overwrites, and the latest row of each key is returned.
+    overwrites; every ``COMPACT`` batches the latest rows are merged into one
+    folder, from which reading begins. The latest row of each key is returned.
+    An empty source gives an empty table.
     """
+    spark, schema = df.sparkSession, df.schema
     out = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if not keys:
         out.format("parquet").outputMode("append").option("path", path).start().awaitTermination()
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % COMPACT == COMPACT - 1:
+            keyed_table(batch.sparkSession, path, schema, keys).write.mode("overwrite").parquet(f"{path}/merged={number}")
 
     out.outputMode("update").foreachBatch(save).start().awaitTermination()
-    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    rest = [c for c in df.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
+    return keyed_table(spark, path, schema, keys)
