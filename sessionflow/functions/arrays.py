@@ -124,3 +124,35 @@ def frames(a: Column, width: int | Column, f: Callable[[Column], Column]) -> Col
     width = F.lit(width) if isinstance(width, int) else width
     n = F.size(a) - width
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: f(part(a, i, width)))).otherwise(F.array().cast("array<double>"))
+
+
+def range_maxima(a: Column) -> Column:
+    """Maxima over 1, 2, 4, ... elements from each on (an array per power, as far as there are so many): n log n values."""
+    n = F.size(a)
+
+    def doubled(levels: Column, k: Column) -> Column:
+        last, half = F.element_at(levels, -1), F.pow(F.lit(2.0), k - 1).cast("int")
+        m = n - 2 * half + 1
+        return F.concat(levels, F.array(F.zip_with(part(last, 0, m), part(last, half, m), lambda x, y: F.greatest(x, y))))
+
+    top = F.floor(F.log2(n.cast("double"))).cast("int")
+    return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), top), F.array(a), doubled)).otherwise(F.array(a))
+
+
+def next_greater(a: Column, maxima: Column) -> Column:
+    """The index of the next greater element of each, null without one; ``maxima`` are the column's ``range_maxima``.
+
+    Leaps of falling powers of two over what is not greater: log n steps an element. Nulls are leapt over.
+    """
+    n = F.size(a)
+
+    def search(x: Column, i: Column) -> Column:
+        def leap(pos: Column, k: Column) -> Column:
+            wide = F.pow(F.lit(2.0), k).cast("int")
+            over = (pos + wide <= n) & F.coalesce(F.try_element_at(F.element_at(maxima, k + 1), pos + 1) <= x, F.lit(True))
+            return F.when(over, pos + wide).otherwise(pos)
+
+        end = F.aggregate(F.sequence(F.size(maxima) - 1, F.lit(0), F.lit(-1)), i + 1, leap)
+        return F.when(end < n, end)
+
+    return F.transform(a, search)

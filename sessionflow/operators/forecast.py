@@ -433,7 +433,7 @@ def run_registry(table: DataFrame, specs: Sequence[Mapping], target: str, day: s
 
 
 def regression_bakeoff(
-    table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", fraction: float = 0.2, trees: int = 20, seed: int = 7, train_months: int = 24, valid_months: int = 3, step_months: int = 3,
+    table: DataFrame, features: Sequence[str], target: str, day: str = "trade_date", fraction: float = 0.2, trees: int = 20, seed: int = 7, train_months: int = 24, valid_months: int = 3, step_months: int = 3, bins: int = 32,
 ) -> DataFrame:
     """Metrics of ridge, boosted trees, a forest and a wide forest (many features per split): oos_* over walk-forward folds, holdout_* of a fit on all days before.
 
@@ -447,7 +447,7 @@ def regression_bakeoff(
     number, far = (lambda d: trees_.day_number(d, 0)), 1 << 31
     jobs = [trees_.Job(number(r["train_start"]), number(r["validation_start"]), number(r["validation_start"]), min(number(r["validation_end"]), number(ends["start"]))) for r in walkforward_folds(dev, day, train_months, valid_months, step_months).collect()]  # a handful
     jobs.append(trees_.Job(-far, number(ends["start"]), number(ends["start"]), far))
-    data = trees_.TreeData(rows, day, features, target)
+    data = trees_.TreeData(rows, day, features, target, bins=bins)
     grown = {
         "boosted_trees": lambda: trees_.boosted(data, jobs, trees, 3, 0.1), "random_forest": lambda: trees_.forest(data, jobs, trees, 5, seed=seed),
         "wide_forest": lambda: trees_.forest(data, jobs, trees, 8, share=1.0, rows=0.7, seed=seed),

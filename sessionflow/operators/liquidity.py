@@ -79,13 +79,13 @@ def tick_equal_patterns(df: DataFrame, by: Sequence[str], up: bool) -> DataFrame
     """
     c, s = ("h", "highs") if up else ("l", "lows")
     a = F.col(c) if up else F.transform(c, lambda x: -x)
-    indexes = F.sequence(F.lit(0), F.size(c) - 1)
-    through = F.transform(indexes, lambda i: F.array_position(F.transform(A.part(a, i + 1, F.size(a) - i - 1), lambda x: x > A.at(a, i)), F.lit(True)))
+    held = df.where("n > 0").withColumn("_a", a)
+    through = A.next_greater(F.col("_a"), F.col("_max"))
     regular = F.transform(F.filter(s, lambda p: ~p["is_tick_swing"]), lambda p: p["index"])
     tick = F.transform(F.filter(s, lambda p: p["is_tick_swing"]), lambda p: p["index"])
-    bars = df.where("n > 0").select(*by, F.posexplode(F.arrays_zip(F.col(c).alias("price"), through.alias("through"))).alias("_i", "_b"), regular.alias("_r"), tick.alias("_k"))
+    bars = held.withColumn("_max", A.range_maxima(F.col("_a"))).select(*by, F.posexplode(F.arrays_zip(F.col(c).alias("price"), through.alias("through"))).alias("_i", "_b"), regular.alias("_r"), tick.alias("_k"))
     bars = bars.select(
-        *by, "_i", F.col("_b.price").alias("_price"), F.when(F.col("_b.through") > 0, F.col("_i") + F.col("_b.through")).alias("_end"),
+        *by, "_i", F.col("_b.price").alias("_price"), F.col("_b.through").alias("_end"),
         F.array_contains("_r", F.col("_i")).alias("_swing"), F.array_contains("_k", F.col("_i")).alias("_tick"),
     )
     later = bars.select(*by, "_price", F.col("_i").alias("_j"), F.col("_swing").alias("_swing2"))

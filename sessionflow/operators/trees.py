@@ -29,6 +29,8 @@ from ..functions.tables import materialize
 
 #: Bins of a feature (all values, if there are no more rows) and of a search for an order statistic.
 BINS, STEPS = 256, 512
+#: Rows a task takes; fewer tasks send fewer blocks.
+TASK_ROWS = 1 << 14
 EPOCH = datetime.date(1970, 1, 1)
 _GAIN = 1e-12
 
@@ -112,6 +114,8 @@ class TreeData:
         row = self.rows.agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), *(F.percentile_approx(f"x{i}", at, 100 * bins).alias(f"e{i}") for i in range(len(x)))).first()
         self.n, self.low, self.high = row["n"], row["low"], row["high"]
         self.edges = [np.unique(row[f"e{i}"] or [0.0]) for i in range(len(x))]
+        self.tasks = max(1, -(-self.n // TASK_ROWS))
+        self.rows = self.rows.coalesce(self.tasks)  # never more than there are
 
     def batches(self, given: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for b in given:
@@ -165,7 +169,8 @@ def _pass(data: TreeData, keys: Sequence[int], shape: tuple[int, ...], fill: Seq
 
     if not keys:
         return []
-    found = data.rows.mapInArrow(partial, "unit int, node int, block binary").repartition("unit").mapInArrow(reduced, f"unit int, node int, {schema}")
+    answering = min(data.tasks, len(keys), int(data.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = data.rows.mapInArrow(partial, "unit int, node int, block binary").repartition(answering, "unit").mapInArrow(reduced, f"unit int, node int, {schema}")
     return [tuple(r) for r in found.collect()]  # a row per unit and node
 
 
@@ -187,17 +192,18 @@ def _histograms(units: dict[int, _Unit], grown: dict[int, tuple], level: int, pu
             here = node >= begin
             rows, own, node, w = rows[here], own[here], node[here] - begin, w[here]
             g = pull(unit, y[rows], own) * w
-            wide = len(data.edges[0]) if len(data.edges) == 1 else max(map(len, data.edges))
-            for n in np.unique(node):
-                at = node == n
-                block = np.zeros((4, len(data.edges), wide))
-                block[2], block[3] = np.inf, -np.inf
-                for j in range(len(data.edges)):
-                    b, v = bins[rows[at], j], own[at, j]
-                    block[0, j], block[1, j] = np.bincount(b, w[at], wide), np.bincount(b, g[at], wide)
-                    np.minimum.at(block[2, j], b, v)
-                    np.maximum.at(block[3, j], b, v)
-                yield i, int(n) + begin, block
+            wide = max(map(len, data.edges))
+            nodes, at = np.unique(node, return_inverse=True)
+            blocks = np.zeros((4, len(nodes), len(data.edges), wide))
+            for j in range(len(data.edges)):
+                cell, size = at * wide + bins[rows, j], len(nodes) * wide
+                low, high = np.full(size, np.inf), np.full(size, -np.inf)
+                np.minimum.at(low, cell, own[:, j])
+                np.maximum.at(high, cell, own[:, j])
+                for k, found in enumerate((np.bincount(cell, w, size), np.bincount(cell, g, size), low, high)):
+                    blocks[k, :, j] = found.reshape(len(nodes), wide)
+            for t, n in enumerate(nodes.tolist()):
+                yield i, n + begin, blocks[:, t]
 
     return part
 

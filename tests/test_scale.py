@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionflow.functions import stats
+from sessionflow.functions import arrays, stats
 from sessionflow.operators import calendar, vwap
 from sessionflow.streaming import ticks as stream
 
@@ -111,3 +111,12 @@ def test_keyed_stream_is_merged(spark, tmp_path, monkeypatch):
     last = max(int(p.name[6:]) for p in (tmp_path / "out").glob("batch=*"))
     (tmp_path / "out" / f"merged={last + 1}").mkdir()  # begun and lost: not read
     assert {tuple(r) for r in stream.keyed_table(spark, str(tmp_path / "out"), out.schema, ("k",)).collect()} == {tuple(r) for r in out.collect()}
+
+
+def test_next_greater(spark):
+    rng = np.random.default_rng(6)
+    rows = [[], [1.0], [2.0, 2.0], list(range(40, 0, -1)), list(range(33)), *(rng.integers(0, 9, n).tolist() for n in (2, 3, 7, 8, 9, 31, 64, 100))]
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(rows)], "i int, a array<double>")
+    got = {r["i"]: r["g"] for r in df.withColumn("m", arrays.range_maxima(F.col("a"))).withColumn("g", arrays.next_greater(F.col("a"), F.col("m"))).collect()}
+    for i, r in enumerate(rows):
+        assert got[i] == [next((j for j in range(k + 1, len(r)) if r[j] > r[k]), None) for k in range(len(r))]
