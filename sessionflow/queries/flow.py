@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import timecols
 from ..operators import flow
 from ..sources import ticks as source
 from .base import DELTA, END, START, TICKS, rounded, rounded_sql, ticks
@@ -160,3 +161,30 @@ FROM (SELECT DISTINCT date_et FROM c) d CROSS JOIN range(12) r(i) LEFT JOIN c ON
     "ticks_to_bars": f"""WITH {TICKS}, final AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS datetime_utc, arg_min(price, (ts, rk)) AS "Open", max(price) AS "High", min(price) AS "Low", arg_max(price, (ts, rk)) AS "Close", sum(size)::BIGINT AS "Volume"
 FROM et_ticks WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1) SELECT datetime_utc, round("Open", 6) + 0.0 AS "Open", round("High", 6) + 0.0 AS "High", round("Low", 6) + 0.0 AS "Low", round("Close", 6) + 0.0 AS "Close", "Volume" FROM final""",
 }
+
+
+#: Spans in minutes of the New York day; the first that holds a visitor's whole day names it.
+_SPANS = {"night": (0, 479), "morning": (480, 779), "afternoon": (720, 1079), "evening": (1020, 1439)}
+_ERAS = {"pre_end": "1996-12-31", "transition": ("1997-01-01", "1997-12-31"), "post_start": "1998-01-01"}
+
+
+def visits(spark, sf_dir):
+    """The session that holds all events of a user's New York day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", F.to_date(timecols.wall("ts")).alias("date"))
+    return timecols.detect_session(events, ["user_id", "date"], "ts", _SPANS)
+
+
+def era_totals(spark, sf_dir):
+    """Orders and their value before, after and around a transition year."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    total = lambda name: timecols.era(orders, "o_orderdate", name, **_ERAS).groupBy(F.lit(name).alias("era")).agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("value"))
+    return total("pre_covid").unionByName(total("post_covid")).unionByName(total("full_dev"))
+
+
+QUERIES |= {"detected_sessions": visits, "era_totals": era_totals}
+SQL |= {
+    "detected_sessions": f"""WITH {TICKS}, seen AS (SELECT user_id, date, min(sec // 60) AS a, max(sec // 60) AS b FROM et_ticks GROUP BY 1, 2)
+SELECT user_id, date, CASE {" ".join(f"WHEN a >= {a} AND b <= {b} THEN '{k}'" for k, (a, b) in _SPANS.items())} ELSE 'unknown' END AS session_name FROM seen""",
+    "era_totals": """WITH o AS (SELECT o_orderdate::DATE AS d, o_totalprice::DECIMAL(18, 2) AS price FROM orders), e AS (SELECT 'pre_covid' AS era, price FROM o WHERE d <= DATE '1996-12-31'
+UNION ALL SELECT 'post_covid', price FROM o WHERE d >= DATE '1998-01-01' UNION ALL SELECT 'full_dev', price FROM o WHERE year(d) <> 1997) SELECT era, count(*)::BIGINT AS n, sum(price)::DOUBLE AS value FROM e GROUP BY 1""",
+}
