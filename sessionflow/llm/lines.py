@@ -13,8 +13,8 @@ longest common prefix of d lines or more. From the deepest interval in which a
 suffix has an earlier one, its longest earlier match is found by halving: an
 interval of depth L is divided by the ranks of the suffixes L further on, of
 depth 1/2, 1/4, ... of its own power of two, into intervals of greater depth,
-and it stays itself only for members that none of these takes along. So each
-suffix learns the length of its longest match with an earlier suffix and the
+and it stays itself for the first of each of these and for members that none of
+them takes along. So each suffix learns the length of its longest match with an earlier suffix and the
 first place where that stands. Matches that no match one line further up holds
 are the maximal repeated runs; the lines of a run's later copy are deleted.
 With ``min_words`` a later copy of a single line that has so many words is a
@@ -43,6 +43,8 @@ MIN_LINES = 2
 MIN_WORDS = 20
 
 
+#: Rows up to which a level is ranked in one sorted partition and joined without tables written in between (some 30 MB).
+FEW = 1 << 18
 #: A suffix's place: a null doc_id is last.
 PLACE = ("none", "doc_id", "text_hash", "seq")
 
@@ -66,33 +68,34 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return keyed.select(*PLACE[:3], F.posexplode("lines").alias("seq", "s")).select(*PLACE, "s.line", "s.name", *(f"s.{c}" for c in more))
 
 
-def _rank(suffixes: DataFrame, keys: list[str]) -> DataFrame:
-    """``suffixes`` (place and keys) with their ``rank``, the interval's ``n`` and ``first`` place; those that share their keys with none leave."""
+def _rank(suffixes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``suffixes`` (place and keys, ``most`` rows at most) with their ``rank``, the interval's ``n`` and ``first`` place; those that share their keys with none leave."""
     shared = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
-    return materialize(suffixes.join(global_rank(shared, keys, "rank"), keys).drop(*keys))
+    # Row numbers of one sorted partition are those that the range sort gives.
+    ranked = shared.repartition(1).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()) if most <= FEW else global_rank(shared, keys, "rank")
+    return materialize(suffixes.join(ranked, keys).drop(*keys))
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     """Rows (place, rank, n, first) of the suffixes that share their first 1, 2, 4, ... lines with another, until there are none."""
     more = [c for c in lines.columns if c == "wordy"]
-    levels = [_rank(lines.select(*PLACE, "name", *more), ["name"])]
-    while levels[-1].head(1):
+    levels = [_rank(lines.select(*PLACE, "name", *more), ["name"], lines.count())]
+    while n := levels[-1].count():
         step = 1 << (len(levels) - 1)
         ahead = Window.partitionBy(*PLACE[:3]).orderBy("seq").rangeBetween(step, step)
         pairs = levels[-1].select(*PLACE, F.col("rank").alias("rank1"), F.first("rank").over(ahead).alias("rank2")).where("rank2 is not null")
-        levels.append(_rank(pairs, ["rank1", "rank2"]))
+        levels.append(_rank(pairs, ["rank1", "rank2"], n))
     return levels[:-1]
 
 
 def _open(level: DataFrame, above: DataFrame | None) -> DataFrame:
-    """The members of the level's intervals that the next depth doesn't take along as a whole."""
+    """The members of the level's intervals but those that the next depth gives an earlier match.
+
+    Whatever such a suffix shares with others at this depth it shares with the first of its deeper interval too, and that one is still here.
+    """
     if above is None:
         return level
-    # All of an interval go on together exactly if one of the next level has as many members.
-    whole = above.where(F.struct(*PLACE) == F.col("first")).select(*(F.col(f"first.{c}").alias(c) for c in PLACE), F.col("n").alias("n_above"))
-    firsts = level.where(F.struct(*PLACE) == F.col("first")).select(*PLACE, "rank", "n")
-    gone = firsts.join(whole, list(PLACE)).where("n = n_above").select("rank")
-    return level.join(materialize(gone), "rank", "left_anti")
+    return level.join(above.where(F.struct(*PLACE) != F.col("first")).select(*PLACE), list(PLACE), "left_anti")
 
 
 def longest_matches(levels: list[DataFrame], min_lines: int) -> DataFrame | None:
@@ -100,17 +103,18 @@ def longest_matches(levels: list[DataFrame], min_lines: int) -> DataFrame | None
 
     None if no level is that deep.
 
-    State: members (place) of intervals (depth ``length``, ``first``, size ``n``).
-    An interval is known by its depth and first place.
+    State: members (place) of intervals (depth ``length``, ``first``). An
+    interval is known by its depth and first place. A suffix that finds an
+    earlier one at a greater depth leaves the lesser: the earlier one stands for it there.
     """
     lowest = min_lines.bit_length() - 1
-    columns = [*PLACE, "length", "first", "n"]
+    columns = [*PLACE, "length", "first"]
     state = None
     if len(levels) <= lowest:
         return None
     for k in range(len(levels) - 1, -1, -1):
         if k >= lowest:
-            own = _open(levels[k], levels[k + 1] if k + 1 < len(levels) else None).select(*PLACE, F.lit(1 << k).cast("long").alias("length"), "first", "n")
+            own = _open(levels[k], levels[k + 1] if k + 1 < len(levels) else None).select(*PLACE, F.lit(1 << k).cast("long").alias("length"), "first")
             state = own if state is None else state.union(own)
         if k == 0:
             break
@@ -119,11 +123,12 @@ def longest_matches(levels: list[DataFrame], min_lines: int) -> DataFrame | None
         state = state.withColumn("there", F.col("seq") + F.col("length"))
         state = materialize(state.join(there, [*PLACE[:3], "there"], "left").select(*columns, "next"))
         parts = state.where("next is not null").groupBy("length", "first", "next").agg(F.count("*").alias("n_part"), F.min(F.struct(*PLACE)).alias("first_part")).where("n_part > 1")
-        # Written first, so that the join has a plain exchange on either side and splits a large interval's rows.
-        found = state.join(materialize(parts), ["length", "first", "next"], "left")
-        stay = F.when(F.coalesce(F.col("n_part") < F.col("n"), F.lit(True)), F.struct("length", "first", "n"))
-        on = F.when(F.col("n_part").isNotNull(), F.struct((F.col("length") + step).alias("length"), F.col("first_part").alias("first"), F.col("n_part").alias("n")))
-        state = found.select(*PLACE, F.explode(F.filter(F.array(stay, on), lambda s: s.isNotNull())).alias("s")).select(*PLACE, "s.length", "s.first", "s.n")
+        # Many rows are written first, so that the join has a plain exchange on either side and splits a large interval's rows.
+        found = state.join(parts if state.count() <= FEW else materialize(parts), ["length", "first", "next"], "left")
+        leaves = F.coalesce(F.struct(*PLACE) != F.col("first_part"), F.lit(False))
+        stay = F.when(~leaves, F.struct("length", "first"))
+        on = F.when(F.col("n_part").isNotNull(), F.struct((F.col("length") + step).alias("length"), F.col("first_part").alias("first")))
+        state = found.select(*PLACE, F.explode(F.filter(F.array(stay, on), lambda s: s.isNotNull())).alias("s")).select(*PLACE, "s.length", "s.first")
     later = state.where((F.struct(*PLACE) != F.col("first")) & (F.col("length") >= min_lines))
     return later.groupBy(*PLACE).agg(F.max("length").alias("length"), F.max_by("first", "length").alias("first"))
 
