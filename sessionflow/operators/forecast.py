@@ -409,13 +409,15 @@ def run_registry(table: DataFrame, specs: Sequence[Mapping], target: str, day: s
 
     A row per spec: what it is, rows and days after the filter, out-of-sample and holdout
     metrics and mean sign consistency; a spec without rows is skipped with that status. Specs of
-    the same session, era and features share their Gram sums and one plan.
+    the same session, era and features share their Gram sums; the predictions of all specs are
+    ranked and measured together.
     """
-    table, parts = materialize(table), []
+    table = materialize(table)
     groups: dict[tuple, list] = {}
     for x in specs:
         groups.setdefault((x["session_name"], x["era_name"], tuple(x["features"])), []).append(x)
     keys = ("experiment_id", "experiment_group", "session_name", "era_name", "feature_set", "model_name")
+    sizes, measured, weights = [], [], []
     for (name, era, features), members in groups.items():
         first, last = eras[era]
         rows = table.where(F.col(session) == name)
@@ -425,11 +427,15 @@ def run_registry(table: DataFrame, specs: Sequence[Mapping], target: str, day: s
         held = [(*(x[k] for k in keys), float(x["alpha"]), x.get("l1_ratio")) for x in members]
         what = table.sparkSession.createDataFrame(held, ", ".join(f"{k} string" for k in keys) + ", alpha double, l1_ratio double")
         fits, predictions = _walk(rows, features, target, day, what.select("experiment_id", "alpha", "l1_ratio"), alpha="alpha", l1_ratio="l1_ratio", **options)
-        found = regression_metrics(predictions, ["experiment_id", "sample"], day).groupBy("experiment_id").pivot("sample", ["out_of_sample", "holdout"]).agg(F.max("mae").alias("mae"), F.max("r2").alias("r2"), F.max("spearman").alias("spearman"))
-        signs = coefficient_stability(coefficients(fits, ["fold_id", "experiment_id"], features).where("fold_id > 0"), ["experiment_id"]).groupBy("experiment_id").agg(F.avg("sign_consistency").alias("mean_sign_consistency"))
+        measured.append(predictions.select("experiment_id", "sample", day, "target", "prediction", "residual"))
+        weights.append(coefficients(fits, ["fold_id", "experiment_id"], features).where("fold_id > 0"))
         size = rows.agg(F.count("*").alias("n_rows"), F.countDistinct(day).alias("n_dates"))
-        parts.append(what.join(F.broadcast(size), how="cross").join(found, "experiment_id", "left").join(signs, "experiment_id", "left").withColumn("status", F.when(F.col("n_rows") > 0, "ok").otherwise("skipped: no rows")))
-    return reduce(DataFrame.unionByName, parts).orderBy(F.desc_nulls_last("out_of_sample_r2"), "experiment_id")
+        sizes.append(what.join(F.broadcast(size), how="cross"))  # one row
+    whole = lambda parts: reduce(DataFrame.unionByName, parts)
+    found = regression_metrics(whole(measured), ["experiment_id", "sample"], day).groupBy("experiment_id").pivot("sample", ["out_of_sample", "holdout"]).agg(F.max("mae").alias("mae"), F.max("r2").alias("r2"), F.max("spearman").alias("spearman"))
+    signs = coefficient_stability(whole(weights), ["experiment_id"]).groupBy("experiment_id").agg(F.avg("sign_consistency").alias("mean_sign_consistency"))
+    board = whole(sizes).join(found, "experiment_id", "left").join(signs, "experiment_id", "left").withColumn("status", F.when(F.col("n_rows") > 0, "ok").otherwise("skipped: no rows"))
+    return board.orderBy(F.desc_nulls_last("out_of_sample_r2"), "experiment_id")
 
 
 def regression_bakeoff(

@@ -176,6 +176,12 @@ def table(spark, sf_dir):
     h = history(spark, sf_dir)
     names = {"mss": "y_lag_1", "adx_quality": "y_mean_5", "irr": "y_mean_20", "er": "y_std_20", "dra": "y_q50_20"}
     out = h.withColumns({n: F.col(c) / 1e6 for n, c in names.items()}).withColumn("log_vr", F.log(F.col("y_mean_5") / F.col("y_mean_20"))).withColumn("adx_strength", F.col("adx_quality"))
+    low, mid, high = (F.col(f"y_q{q}_20") for q in (25, 50, 75))
+    lag, mean5 = F.col("y_lag_1"), F.col("y_mean_5")
+    out = out.withColumns({
+        "adx_persistence": high / 1e6, "adx_crossover": low / 1e6, "adx_persistence_margin": (high - low) / 1e6, "adx_persistence_control": mean5 / high, "adx_persistence_recency": lag / mean5,
+        "containment_overshoot_ratio": lag / high, "containment_range_stability": F.col("y_std_20") / F.col("y_mean_20"), "containment_mid_cross_count": (lag > mid).cast("double"), "containment_swing_symmetry": (high - mid) / (high - low + 1.0),
+    })
     label = F.when(F.col("y") > F.col("y_q75_20"), "trend").when(F.col("y") < F.col("y_q25_20"), "chop").otherwise("containment")
     session = F.when(F.dayofmonth("trade_date") % 2 == 0, "even").otherwise("odd")
     return out.withColumns({"goal": F.col("y") / 1e6, "session_name": session, "label": label})
@@ -191,6 +197,15 @@ def elastic_sweep(spark, sf_dir):
     return rounded(f.run_registry(table(spark, sf_dir), f.registry("elastic_net_sweep", "odd"), "goal"))
 
 
+#: Eras of the feature registries: the series cut in two, each long enough for folds.
+HALVES = {"full_dev": (None, None), "pre_covid": (None, "1998-04-30"), "post_covid": ("1998-05-01", None)}
+
+
+def feature_sweep(group):
+    """The query that runs a registry group whose specs differ in features or era, over the even days' session."""
+    return lambda spark, sf_dir: rounded(f.run_registry(table(spark, sf_dir), f.registry(group, "even"), "goal", eras=HALVES))
+
+
 def slice_counts(spark, sf_dir):
     return f.slices(history(spark, sf_dir), "trade_date", "1998-01-01").groupBy("experiment").agg(F.count("*").alias("n"), F.min("trade_date").alias("first_day"), F.round(F.avg("y"), 4).alias("mean_y"))
 
@@ -207,6 +222,7 @@ def probe(spark, sf_dir):
 QUERIES = {
     "forecast_history_features": lambda s, d: rounded(history(s, d)), "walkforward_folds": folds, "holdout_days": holdout, "rolling_quantile_forecast": lambda s, d: rounded(rolling(s, d)), "har_forecast": lambda s, d: rounded(har(s, d)), "forecast_summary": summary,
     "forecast_range_table": ranges, "fold_gram_sums": grams, "walkforward_metrics": experiment, "coefficient_stability": stability, "experiment_leaderboard": sweep, "regression_bakeoff": bakeoff, "classification_bakeoff": classifiers, "boosted_quantile_forecast": boosted, "three_way_probe": probe, "forecast_slices": slice_counts, "registry_ridge_sweep": alpha_sweep, "registry_elastic_sweep": elastic_sweep,
+    **{f"registry_{g}": feature_sweep(g) for g in ("representation_sweep", "post_adx_ablation", "persistence_rewrites", "containment_v2")},
 }
 SQL = {
     "forecast_history_features": rounded_sql(f"WITH {_HISTORY}, final AS (SELECT * FROM hist)", _H, ["trade_date"]), "walkforward_folds": _FOLDS,

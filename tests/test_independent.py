@@ -4,6 +4,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sessionflow.operators import forecast as f
@@ -16,6 +17,7 @@ from . import test_regime as plain
 CHECKED = {
     "regression_bakeoff", "classification_bakeoff",
     "boosted_quantile_forecast", "three_way_probe", "registry_ridge_sweep", "registry_elastic_sweep", "permutation_test",
+    "registry_representation_sweep", "registry_post_adx_ablation", "registry_persistence_rewrites", "registry_containment_v2",
 }
 
 
@@ -130,6 +132,41 @@ def test_registries(spark, sf):
             assert r["holdout_mae"] == pytest.approx(mae, abs=2e-6) and r["n_rows"] == len(p)
 
 
+def folds_by_hand(days):
+    """(train, valid) day sets of a walk-forward run of 24 and 3 months in steps of 3."""
+    days = pd.Series(sorted(pd.to_datetime(days).unique()))
+    start, k = days.min(), 0
+    while (begin := start + pd.DateOffset(months=24 + 3 * k)) <= days.max():
+        train, valid = days[(days >= begin - pd.DateOffset(months=24)) & (days < begin)], days[(days >= begin) & (days < begin + pd.DateOffset(months=3))]
+        if len(train) and len(valid):
+            yield set(train), set(valid)
+        k += 1
+
+
+@pytest.mark.parametrize("group, n", [("representation_sweep", 9), ("post_adx_ablation", 6), ("persistence_rewrites", 4), ("containment_v2", 2)])
+def test_feature_registries(spark, sf, group, n):
+    """Out-of-sample and holdout errors of every spec by fits on the rows themselves."""
+    p = forecast.table(spark, sf).where("session_name = 'even'").toPandas()
+    p["trade_date"] = pd.to_datetime(p["trade_date"])
+    rows = {r["experiment_id"]: r for r in forecast.feature_sweep(group)(spark, sf).collect()}
+    specs = f.registry(group, "even")
+    assert len(rows) == len(specs) == n and {r["status"] for r in rows.values()} == {"ok"}
+    for x in specs:
+        names, (first, last) = list(x["features"]), forecast.HALVES[x["era_name"]]
+        q = p[(p["trade_date"] >= (first or "1900-01-01")) & (p["trade_date"] <= (last or "2100-01-01"))].dropna(subset=[*names, "goal"])
+        dev, held = split(q, "trade_date", 0.15)
+
+        def errors(train, test, names=names, x=x):
+            mean, scale, w, b = models.ridge(train[names].to_numpy(float), train["goal"].to_numpy(float), x["alpha"])
+            return np.abs(test["goal"] - (b + ((test[names].to_numpy(float) - mean) / scale) @ w))
+
+        r = rows[x["experiment_id"]]
+        oos = [errors(dev[dev["trade_date"].isin(a)], dev[dev["trade_date"].isin(b)]) for a, b in folds_by_hand(dev["trade_date"])]
+        assert oos and r["n_rows"] == len(q) and r["n_dates"] == q["trade_date"].nunique()
+        assert r["out_of_sample_mae"] == pytest.approx(np.concatenate(oos).mean(), abs=2e-6)
+        assert r["holdout_mae"] == pytest.approx(errors(dev, held).mean(), abs=2e-6)
+
+
 def test_bakeoffs(spark, sf):
     h = forecast.history(spark, sf).toPandas()
     features = [*forecast.FEATURES, "y_std_20"]
