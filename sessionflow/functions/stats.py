@@ -33,6 +33,13 @@ def ratio(a: ColumnLike, b: ColumnLike) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def float_ratio(a: ColumnLike, b: ColumnLike) -> Column:
+    """a / b as floating point has it: over zero a signed infinity, zero over zero not a number; null where either is null."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    over_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
+    return F.when(a.isNotNull() & (b == 0), over_zero).otherwise(F.try_divide(a, b))
+
+
 def pct(a: ColumnLike, b: ColumnLike) -> Column:
     return ratio(a, b) * 100.0
 

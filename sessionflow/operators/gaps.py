@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import nearest_quantiles, quantile_linear, rank_quantile, ratio, sign_or_zero
+from ..functions.stats import float_ratio, nearest_quantiles, quantile_linear, rank_quantile, ratio, sign_or_zero
 from ..functions.tables import materialize
 
 
@@ -67,8 +67,9 @@ def scan_outcomes(events: DataFrame, bars: DataFrame, by: Sequence[str], at: str
 
     The scan of a gap ends with the bar by which it was both retraced and
     invalidated, so a later entry does not count. Excursions are over bars
-    after the entry, as shares of the entry price. Unconfirmable gaps have no
-    outcome: nothing held, nothing touched.
+    after the entry, as shares of the entry price (of a price of zero infinite,
+    or not a number without a move). Unconfirmable gaps have no outcome:
+    nothing held, nothing touched.
     """
     window = bars.where(F.col(at).between(first, last)).select(*by, F.col(at).alias("t"), F.col("Open").alias("o"), F.col("High").alias("h"), F.col("Low").alias("l"), F.col("Close").alias("c"))
     slim = events.where("is_confirmable").select(*by, "assigned_at", "fvg_side", "confirmed_at", "gap_bottom", "gap_top", "entry_price")
@@ -91,7 +92,7 @@ def scan_outcomes(events: DataFrame, bars: DataFrame, by: Sequence[str], at: str
     more = w.join(found.select(*key, "first_entry_at", "first_retrace_at", "success_reference_price"), key)
     beyond = F.when(bull, F.col("h") > F.col("success_reference_price")).otherwise(F.col("l") < F.col("success_reference_price"))
     after = F.col("t") > F.col("first_entry_at")
-    high, low = F.max(F.when(after, (F.col("h") - F.col("entry_price")) / F.col("entry_price"))), F.max(F.when(after, (F.col("entry_price") - F.col("l")) / F.col("entry_price")))
+    high, low = F.max(F.when(after, float_ratio(F.col("h") - F.col("entry_price"), "entry_price"))), F.max(F.when(after, float_ratio(F.col("entry_price") - F.col("l"), "entry_price")))
     moves = more.groupBy(*key).agg(when((F.col("t") > F.col("first_retrace_at")) & beyond).alias("success_break_at"), high.alias("_up"), low.alias("_down"))
     out = events.join(found.join(moves, key), key, "left")
     ok = F.col("is_confirmable")
