@@ -37,7 +37,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["gap_outcomes", "gap_delta_dominance", "gap_outcome_rates", "gap_entry_excursions", "gap_success_context", "gap_all_summaries", "gap_excursion_profiles"])
+@pytest.mark.parametrize("name", ["gap_outcomes", "gap_delta_dominance", "gap_outcome_rates", "gap_entry_excursions", "gap_success_context", "gap_all_summaries", "gap_excursion_profiles", "gap_position_tables"])
 def test_entry_at_zero(spark, folder, name):
     got, want = compare(spark, folder, name)
     assert got == want
