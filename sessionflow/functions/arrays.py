@@ -95,14 +95,17 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
-def smooth(a: Column, period: int, kind: str) -> Column:
-    """Recursive smoothing, as long as ``a``: null up to the seed over the first ``period`` values after leading nulls.
+def smooth(a: Column, period: int, kind: str, start: int | None = None) -> Column:
+    """Recursive smoothing, as long as ``a``: null up to the seed over the first ``period`` values after leading nulls, or from index ``start`` on.
 
     ``sum`` (Wilder, sum form), ``ema`` (sum form) or ``mean`` (Wilder,
     average form). The seed skips nulls; a null later on makes all after it null.
     """
-    lead = F.coalesce(F.array_position(F.transform(a, lambda x: x.isNotNull()), F.lit(True)) - 1, F.lit(0)).cast("int")
-    lead = F.when(lead < 0, F.size(a)).otherwise(lead)
+    if start is None:
+        lead = F.coalesce(F.array_position(F.transform(a, lambda x: x.isNotNull()), F.lit(True)) - 1, F.lit(0)).cast("int")
+        lead = F.when(lead < 0, F.size(a)).otherwise(lead)
+    else:
+        lead = F.lit(start)
     body = part(a, lead, F.size(a) - lead)
     first = present(part(body, 0, period))
     seed = mean(first) if kind == "mean" else total(first)

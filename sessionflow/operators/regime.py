@@ -58,15 +58,19 @@ def directional_movement() -> tuple[Column, Column]:
     return F.concat(F.array(F.lit(0.0)), plus), F.concat(F.array(F.lit(0.0)), minus)
 
 
-def with_directional(df: DataFrame, period: int = 14, smoothing: str = "sum") -> DataFrame:
-    """Adds arrays tr, plus_di, minus_di, dx and adx."""
+def with_directional(df: DataFrame, period: int = 14, smoothing: str = "sum", fixed_start: bool = False) -> DataFrame:
+    """Adds arrays tr, plus_di, minus_di, dx and adx.
+
+    ADX starts from the mean of ``period`` values of DX, the first of which is the first that exists; with ``fixed_start``
+    it is that of bar ``period``, and values missing in between (no movement either way so far) are left out of the mean.
+    """
     plus, minus = directional_movement()
     df = df.withColumn("tr", true_range()).withColumn("_p", plus).withColumn("_m", minus)
     df = df.withColumn("_tr", A.smooth(F.col("tr"), period, smoothing)).withColumn("_p", A.smooth(F.col("_p"), period, smoothing)).withColumn("_m", A.smooth(F.col("_m"), period, smoothing))
     di = lambda a: F.zip_with(F.col(a), F.col("_tr"), lambda x, y: F.try_divide(x * 100, y))
     df = df.withColumn("plus_di", di("_p")).withColumn("minus_di", di("_m")).drop("_p", "_m", "_tr")
     df = df.withColumn("dx", F.zip_with("plus_di", "minus_di", lambda p, m: F.try_divide(F.abs(p - m) * 100, p + m)))
-    return df.withColumn("adx", A.smooth(F.col("dx"), period, "mean"))
+    return df.withColumn("adx", A.smooth(F.col("dx"), period, "mean", period - 1 if fixed_start else None))
 
 
 def directional_bars(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -108,10 +112,10 @@ def with_persistence(df: DataFrame, p: str = "plus_di", m: str = "minus_di", alp
     return df.drop("_s", "_g", "_x", "_r")
 
 
-def trend_quality(df: DataFrame, period: int, use_dx: bool, weights: tuple[float, float, float], least: int) -> DataFrame:
+def trend_quality(df: DataFrame, period: int, use_dx: bool, weights: tuple[float, float, float], least: int, fixed_start: bool = False) -> DataFrame:
     """Adds the quality score and its parts from arrays of bars; null with a reason below ``least`` bars or without a valid value."""
     strength = "dx" if use_dx else "adx"
-    d = with_directional(df, period)
+    d = with_directional(df, period, fixed_start=fixed_start)
     valid = F.filter(F.arrays_zip(strength, "plus_di", "minus_di"), lambda x: x[strength].isNotNull() & x["plus_di"].isNotNull() & x["minus_di"].isNotNull())
     d = d.withColumn("_v", valid).withColumn("_vp", F.col("_v.plus_di")).withColumn("_vm", F.col("_v.minus_di")).withColumn("_vs", F.col(f"_v.{strength}"))
     d = with_persistence(with_crossovers(d, "_vp", "_vm"), "_vp", "_vm")
@@ -431,7 +435,7 @@ def with_state(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, dynamic: b
     return df.withColumn("state", state).withColumn("trend_direction", F.when(F.col("n") < 2, "NEUTRAL").when(change > 0.001, "UP").when(change < -0.001, "DOWN").otherwise("NEUTRAL"))
 
 
-def features(df: DataFrame, quality: tuple = QUALITY["1pm-3pm"], balance: int | None = 15, atr_period: int = 10, reference: int = 15) -> DataFrame:
+def features(df: DataFrame, quality: tuple = QUALITY["1pm-3pm"], balance: int | None = 15, atr_period: int = 10, reference: int = 15, fixed_start: bool = False) -> DataFrame:
     """All features of sessions of one kind; trend quality, ATR ratio and swings are taken on coarser bars.
 
     The first half is written before the second is built on it: one plan of all features takes the driver longer to
@@ -440,7 +444,7 @@ def features(df: DataFrame, quality: tuple = QUALITY["1pm-3pm"], balance: int |
     minutes, period, use_dx, weights, least = quality
     bars = ("n", "t", "o", "h", "l", "c", "v")
     aside = df.withColumns({f"_fine_{c}": F.col(c) for c in bars})
-    coarse = with_swing_density(with_atr_ratio(trend_quality(coarser(aside, minutes), period, use_dx, weights, least), atr_period))
+    coarse = with_swing_density(with_atr_ratio(trend_quality(coarser(aside, minutes), period, use_dx, weights, least, fixed_start), atr_period))
     fine = coarse.withColumns({c: F.col(f"_fine_{c}") for c in bars}).drop(*(f"_fine_{c}" for c in bars))
     half = materialize(with_slope_score(with_irr(with_range_overlap(fine, reference))))
     return with_expansion(with_targets(with_hurst(with_autocorrelation(with_variance_ratio(with_efficiency(half))))), balance)
