@@ -14,13 +14,16 @@ empty table gives an empty result; other columns are carried by the caller.
 
 The pipeline's stage (``keep_first``) has a rule of its own: texts of a
 five-word Jaccard similarity of 0.8 or more. Such texts differ in about 10 of
-64 bits, too many for masks, so its candidates come from bands of minimum
-hashes of the shingles and every link is verified (``similar_texts``).
+64 bits, too many for masks, so its fingerprints are longer: texts that agree on
+all bits of one of many bands, and in most of 128 bits beside them, are
+candidates, and every link is verified (``similar_texts``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,15 @@ BITS = 64
 BLOCK = 1024
 #: Jaccard similarity of five-word shingles from which the pipeline's stage takes texts for near-duplicates.
 SIMILARITY = 0.8
-#: Bands of minimum hashes and minima a band: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 0.00005.
-BANDS, ROWS = 25, 5
+#: Share of equal bits of two texts at that similarity: their cosine is 1.6 / 1.8 at least, an angle of 27 degrees; rounded down.
+AGREE = 0.84
+#: Texts that share a band are compared if at most so many of 128 other bits differ (19.5 are expected, five deviations more).
+NEAR, BESIDE = 40, 128
+#: Columns in which a text's shingles are summed, each with a sign, before they are projected on the fingerprint's bits.
+FOLD = 1024
 #: Texts of a band's bucket, or of a first text's followers, that are compared in one block.
 PARTY = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[1], [0]], np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -175,10 +181,31 @@ def _shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _minima(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS * ROWS minimum hashes for each set that is not empty."""
-    values, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    return np.stack([np.minimum.reduceat(values * a + b, at) for a, b in zip(*_FACTORS)], axis=1)
+def bands_of(rows: int) -> tuple[int, int]:
+    """Bands and bits a band for a table of so many rows: about 32 unrelated texts meet in a band, and a pair at the similarity shares none with probability 0.001 at most."""
+    bits = min(40, max(12, (rows - 1).bit_length() - 5))
+    return math.ceil(7 / AGREE**bits), bits
+
+
+@lru_cache(maxsize=2)
+def _signs(n: int) -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 2, (FOLD, n), dtype=np.int8).astype(np.float32) * 2 - 1
+
+
+def long_fingerprints(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """A row of n SimHash bits for each set: whether the sum of its shingles' signs is above zero.
+
+    A shingle's hash picks one of FOLD rows of signs and whether they are reversed.
+    The sums are whole numbers, so they are the same in whatever order they are formed.
+    """
+    out = []
+    for at in range(0, len(sets), 256):
+        part = sets[at : at + 256]
+        hashes = mix(np.concatenate(part) ^ _ODD)
+        cell = np.repeat(np.arange(len(part)), [len(s) for s in part]) * FOLD + (hashes % np.uint64(FOLD)).astype(np.int64)
+        sums = np.bincount(cell, np.where(hashes >> np.uint64(63), 1.0, -1.0), len(part) * FOLD).reshape(len(part), FOLD)
+        out.append(sums.astype(np.float32) @ _signs(n) > 0)
+    return np.concatenate(out) if out else np.zeros((0, n), bool)
 
 
 def _vertex(shingles: np.ndarray) -> int:
@@ -186,25 +213,26 @@ def _vertex(shingles: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes()), "big", signed=True) if len(shingles) else 0
 
 
-def _marks(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, text_hash, v, keys): the name of each text's shingle set and its band keys."""
+def _marks(docs: DataFrame, width: int, bands: int = 237, bits: int = 20) -> DataFrame:
+    """Rows (doc_id, text_hash, v, fp, fq, keys): the name of each text's shingle set, twice 64 bits of its fingerprint and the keys of its bands of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sets = _shingles(part.column("text"), width)
-                full = [s for s in sets if len(s)]
-                keys = np.zeros((0, BANDS), np.uint64)
-                if full:
-                    low = _minima(full).reshape(len(full), BANDS, ROWS)
-                    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(full), axis=0)
-                    for r in range(ROWS):
-                        keys = mix(keys * _ODD ^ low[:, :, r])
-                at = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)])
+                found = long_fingerprints([s for s in sets if len(s)], BESIDE + bands * bits)
+                parted = found[:, BESIDE:].reshape(-1, bands, bits)
+                keys = np.zeros(parted.shape[:2], np.uint64)
+                for i in range(bits):
+                    keys |= parted[:, :, i].astype(np.uint64) << np.uint64(i)
+                keys = mix(keys ^ np.arange(1, bands + 1, dtype=np.uint64) * _ODD)
+                beside = np.zeros((2, len(sets)), np.int64)
+                beside[:, [i for i, s in enumerate(sets) if len(s)]] = np.packbits(found[:, :BESIDE], axis=1).view(np.int64).T
+                at = np.cumsum([0, *(bands if len(s) else 0 for s in sets)])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([_vertex(s) for s in sets], pa.int64()), lists], ["doc_id", "text_hash", "v", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([_vertex(s) for s in sets], pa.int64()), *map(pa.array, beside), lists], ["doc_id", "text_hash", "v", "fp", "fq", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, v long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, v long, fp long, fq long, keys array<long>")
 
 
 def _shared(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
@@ -216,17 +244,17 @@ def _shared(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
 def _alike(v: np.ndarray, sets: list[np.ndarray], similarity: float, group: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what all pairs of the given sets with that Jaccard similarity do, texts of one ``group`` being connected.
 
-    A pair that is connected already isn't compared. In larger groups the share
-    of equal minima goes first: 0.2 below the similarity is more than five
-    deviations away.
+    A pair that is connected already isn't compared. In larger groups 512
+    fingerprint bits go first: 138 different ones are seven deviations more than
+    a pair at the similarity has.
     """
     label, out = np.unique(group, return_inverse=True)[1], []
     size = np.array([len(s) for s in sets])
-    low = _minima(sets) if len(sets) > 8 else None
+    bits = np.packbits(long_fingerprints(sets, 512), axis=1).view(np.uint64) if len(sets) > 8 else None
     for i in range(len(v)):
         near = (np.arange(len(v)) > i) & (label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
-        if low is not None and near.any():
-            near &= (low == low[i]).mean(axis=1) >= similarity - 0.2
+        if bits is not None and near.any():
+            near &= np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= 138
         if not near.any():
             continue
         both = _shared(sets, sets[i])
@@ -245,6 +273,54 @@ def _sets(table_: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in table_.column("set").to_pylist()]
 
 
+def _near_groups(v: np.ndarray, fp: np.ndarray, fq: np.ndarray, radius: int) -> np.ndarray:
+    """For each text of the buckets (v, fp and fq: one bucket a row) the smallest text of those that fingerprints within the radius connect it with."""
+    near, label = np.bitwise_count(fp[:, :, None] ^ fp[:, None, :]) + np.bitwise_count(fq[:, :, None] ^ fq[:, None, :]) <= radius, v
+    while True:
+        new = np.where(near, label[:, None, :], np.iinfo(np.int64).max).min(axis=2)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_buckets(vertices: DataFrame, radius: int = NEAR, block: int = BLOCK) -> DataFrame:
+    """Rows (v, key, least) like those of ``band_buckets`` for ``vertices`` (v, fp, fq, keys), each bucket parted into the texts that near fingerprints connect.
+
+    Texts without a near one leave it, so those that meet by chance send no
+    sets. A bucket above ``block`` is cut into blocks whose pairs go to
+    different tasks, as in ``links``; every two of its texts meet.
+    """
+    spread = vertices.select("v", "fp", "fq", F.explode("keys").alias("key"))
+    crowded = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = (
+        spread.join(crowded, "key", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "fp", "fq")
+    )
+    packed = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("v", "fp", "fq")).alias("m"))  # two blocks at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("m")
+            size, members = lists.value_lengths().to_numpy(), lists.flatten()
+            v, fp, fq = members.field("v").to_numpy(), members.field("fp").to_numpy().view(np.uint64), members.field("fq").to_numpy().view(np.uint64)
+            key, begin = batch.column("key").to_numpy(), np.cumsum(size) - size
+            for n in np.unique(size[size > 1]).tolist():
+                of = np.flatnonzero(size == n)
+                for at in range(0, len(of), step := max(1, (1 << 20) // (n * n))):
+                    some = of[at : at + step]
+                    rows = begin[some][:, None] + np.arange(n)
+                    label = _near_groups(v[rows], fp[rows], fq[rows], radius)
+                    kept = (label[:, :, None] == label[:, None, :]).sum(axis=2) > 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(key[some][:, None], rows.shape)[kept]), pa.array(v[rows][kept]), pa.array(label[kept])], ["key", "v", "least"])
+
+    parted = materialize(packed.select(F.xxhash64("key", "i", "j").alias("key"), "m").mapInArrow(run, "key long, v long, least long"))
+    keyed = parted.select("v", F.array(F.xxhash64("key", "least")).alias("keys")).distinct()
+    return band_buckets(keyed)
+
+
 def band_buckets(vertices: DataFrame) -> DataFrame:
     """Rows (v, key, least): the bands that more than one of ``vertices`` (v, keys) share; of bands with the same members one."""
     spread = vertices.select("v", F.explode("keys").alias("key"))
@@ -280,16 +356,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The similarity is the Jaccard coefficient of the sets of ``width``-word
     shingles; every link is verified on the sets themselves. Texts that share
-    a band of minima are candidates. Each is first compared with one text, the
+    a band of SimHash bits and are near in 128 others are candidates. Each is first compared with one text, the
     first of its buckets' first texts, which links most copies; then the
     buckets that still hold several groups are compared, each for itself, a
     large one in blocks whose pairs go to different tasks. Components are formed
     of verified links alone, so candidates that merely hang together never meet.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    marks = materialize(_marks(plain, width))
-    vertices = marks.groupBy("v").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))  # texts of the same shingles have the same keys
-    buckets = materialize(band_buckets(vertices.select("v", "keys")))
+    marks = materialize(_marks(plain, width, *bands_of(docs.count())))
+    vertices = materialize(marks.groupBy("v").agg(F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("fq").alias("fq"), F.first("keys").alias("keys")))  # texts of the same shingles have the same bits
+    buckets = materialize(near_buckets(vertices.select("v", "fp", "fq", "keys")))
     chosen = vertices.select("v", "text_hash").join(buckets.select("v").distinct(), "v")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
