@@ -43,6 +43,8 @@ SIMILARITY = 0.8
 AGREE = 0.84
 #: Texts that share a band are compared if at most so many of 128 other bits differ (19.5 are expected, five deviations more).
 NEAR, BESIDE = 40, 128
+#: Those that are near are compared further if at most so many of 512 more bits differ (77.6 are expected, seven deviations more).
+CLOSE, WIDE = 138, 512
 #: Columns in which a text's shingles are summed, each with a sign, before they are projected on the fingerprint's bits.
 FOLD = 1024
 #: Texts of a band's bucket, or of a first text's followers, that are compared in one block.
@@ -214,25 +216,28 @@ def _vertex(shingles: np.ndarray) -> int:
 
 
 def _marks(docs: DataFrame, width: int, bands: int = 237, bits: int = 20) -> DataFrame:
-    """Rows (doc_id, text_hash, v, fp, fq, keys): the name of each text's shingle set, twice 64 bits of its fingerprint and the keys of its bands of the others."""
+    """Rows (doc_id, text_hash, v, fp, fq, wide, keys): the name of each text's shingle set, twice 64 bits of its fingerprint, WIDE more of them and the keys of its bands of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sets = _shingles(part.column("text"), width)
-                found = long_fingerprints([s for s in sets if len(s)], BESIDE + bands * bits)
-                parted = found[:, BESIDE:].reshape(-1, bands, bits)
+                found = long_fingerprints([s for s in sets if len(s)], BESIDE + bands * bits + WIDE)
+                parted = found[:, BESIDE:-WIDE].reshape(-1, bands, bits)
                 keys = np.zeros(parted.shape[:2], np.uint64)
                 for i in range(bits):
                     keys |= parted[:, :, i].astype(np.uint64) << np.uint64(i)
                 keys = mix(keys ^ np.arange(1, bands + 1, dtype=np.uint64) * _ODD)
-                beside = np.zeros((2, len(sets)), np.int64)
-                beside[:, [i for i, s in enumerate(sets) if len(s)]] = np.packbits(found[:, :BESIDE], axis=1).view(np.int64).T
+                some = [i for i, s in enumerate(sets) if len(s)]
+                beside, wide = np.zeros((2, len(sets)), np.int64), np.zeros((len(sets), WIDE // 64), np.int64)
+                beside[:, some] = np.packbits(found[:, :BESIDE], axis=1).view(np.int64).T
+                wide[some] = np.packbits(found[:, -WIDE:], axis=1).view(np.int64)
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * wide.shape[1], pa.int32()), pa.array(wide.ravel()))
                 at = np.cumsum([0, *(bands if len(s) else 0 for s in sets)])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([_vertex(s) for s in sets], pa.int64()), *map(pa.array, beside), lists], ["doc_id", "text_hash", "v", "fp", "fq", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([_vertex(s) for s in sets], pa.int64()), *map(pa.array, beside), words, lists], ["doc_id", "text_hash", "v", "fp", "fq", "wide", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, v long, fp long, fq long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, v long, fp long, fq long, wide array<long>, keys array<long>")
 
 
 def _shared(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
@@ -244,21 +249,22 @@ def _shared(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
 def _alike(v: np.ndarray, sets: list[np.ndarray], similarity: float, group: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what all pairs of the given sets with that Jaccard similarity do, texts of one ``group`` being connected.
 
-    A pair that is connected already isn't compared. In larger groups 512
-    fingerprint bits go first: 138 different ones are seven deviations more than
+    A pair that is connected already isn't compared. In larger groups WIDE
+    fingerprint bits go first: CLOSE different ones are seven deviations more than
     a pair at the similarity has.
     """
     label, out = np.unique(group, return_inverse=True)[1], []
     size = np.array([len(s) for s in sets])
-    bits = np.packbits(long_fingerprints(sets, 512), axis=1).view(np.uint64) if len(sets) > 8 else None
+    bits = np.packbits(long_fingerprints(sets, WIDE), axis=1).view(np.uint64) if len(sets) > 8 else None
     for i in range(len(v)):
         near = (np.arange(len(v)) > i) & (label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
         if bits is not None and near.any():
-            near &= np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= 138
+            near &= np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= CLOSE
         if not near.any():
             continue
-        both = _shared(sets, sets[i])
-        for j in np.flatnonzero(near & (both >= similarity * (size[i] + size - both) - 1e-6)):
+        some = np.flatnonzero(near)
+        both = _shared([sets[j] for j in some], sets[i])
+        for j in some[both >= similarity * (size[i] + size[some] - both) - 1e-6]:
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 out.append((int(v[i]), int(v[j])))
@@ -273,9 +279,12 @@ def _sets(table_: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in table_.column("set").to_pylist()]
 
 
-def _near_groups(v: np.ndarray, fp: np.ndarray, fq: np.ndarray, radius: int) -> np.ndarray:
-    """For each text of the buckets (v, fp and fq: one bucket a row) the smallest text of those that fingerprints within the radius connect it with."""
-    near, label = np.bitwise_count(fp[:, :, None] ^ fp[:, None, :]) + np.bitwise_count(fq[:, :, None] ^ fq[:, None, :]) <= radius, v
+def _near_groups(v: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
+    """For each text of the buckets (v: one bucket a row, bits: 64 to a word) the smallest text of those that fingerprints within the radius connect it with."""
+    far = np.zeros((*v.shape, v.shape[1]), np.uint16)
+    for word in np.moveaxis(bits, 2, 0):
+        far += np.bitwise_count(word[:, :, None] ^ word[:, None, :])
+    near, label = far <= radius, v
     while True:
         new = np.where(near, label[:, None, :], np.iinfo(np.int64).max).min(axis=2)
         if (new == label).all():
@@ -283,42 +292,78 @@ def _near_groups(v: np.ndarray, fp: np.ndarray, fq: np.ndarray, radius: int) ->
         label = new
 
 
-def near_buckets(vertices: DataFrame, radius: int = NEAR, block: int = BLOCK) -> DataFrame:
-    """Rows (v, key, least) like those of ``band_buckets`` for ``vertices`` (v, fp, fq, keys), each bucket parted into the texts that near fingerprints connect.
+def near_parts(packed: DataFrame, radius: int) -> DataFrame:
+    """Rows (key, v, least): the buckets ``packed`` (key, m: structs of v and words of bits) parted into the texts that bits within the radius connect; least is a part's smallest.
 
-    Texts without a near one leave it, so those that meet by chance send no
-    sets. A bucket above ``block`` is cut into blocks whose pairs go to
-    different tasks, as in ``links``; every two of its texts meet.
+    Texts without a near one leave their bucket.
     """
-    spread = vertices.select("v", "fp", "fq", F.explode("keys").alias("key"))
-    crowded = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    dealt = (
-        spread.join(crowded, "key", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "fp", "fq")
-    )
-    packed = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("v", "fp", "fq")).alias("m"))  # two blocks at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("m")
-            size, members = lists.value_lengths().to_numpy(), lists.flatten()
-            v, fp, fq = members.field("v").to_numpy(), members.field("fp").to_numpy().view(np.uint64), members.field("fq").to_numpy().view(np.uint64)
+            size, (members, *words) = lists.value_lengths().to_numpy(), lists.flatten().flatten()
+            v, bits = members.to_numpy(), np.stack([w.to_numpy().view(np.uint64) for w in words], axis=-1)
             key, begin = batch.column("key").to_numpy(), np.cumsum(size) - size
             for n in np.unique(size[size > 1]).tolist():
                 of = np.flatnonzero(size == n)
                 for at in range(0, len(of), step := max(1, (1 << 20) // (n * n))):
                     some = of[at : at + step]
                     rows = begin[some][:, None] + np.arange(n)
-                    label = _near_groups(v[rows], fp[rows], fq[rows], radius)
+                    label = _near_groups(v[rows], bits[rows], radius)
                     kept = (label[:, :, None] == label[:, None, :]).sum(axis=2) > 1
                     yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(key[some][:, None], rows.shape)[kept]), pa.array(v[rows][kept]), pa.array(label[kept])], ["key", "v", "least"])
 
-    parted = materialize(packed.select(F.xxhash64("key", "i", "j").alias("key"), "m").mapInArrow(run, "key long, v long, least long"))
-    keyed = parted.select("v", F.array(F.xxhash64("key", "least")).alias("keys")).distinct()
-    return band_buckets(keyed)
+    return packed.select("key", "m").mapInArrow(run, "key long, v long, least long")
+
+
+def near_buckets(vertices: DataFrame, radius: int = NEAR, block: int = BLOCK, wide: DataFrame | None = None, close: int = CLOSE) -> DataFrame:
+    """Rows (v, key, least) like those of ``band_buckets`` for ``vertices`` (v, fp, fq, keys), each bucket parted into the texts that near fingerprints connect.
+
+    Texts without a near one leave it, so those that meet by chance send no
+    sets. With ``wide`` (v, wide: words of more bits) the parts are parted once
+    more, by those bits and ``close``: many texts that have a passage in common
+    are near, and each would stay in most of its bands. A bucket above ``block``
+    is cut into blocks whose pairs go to different tasks, as in ``links``; every
+    two of its texts meet.
+    """
+    spread = vertices.select("v", "fp", "fq", F.explode("keys").alias("key"))
+    crowded = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = (
+        spread.join(crowded, "key", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "fp", "fq")
+    )
+    packed = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("v", "fp", "fq")).alias("m"))  # two blocks at most
+    parted = materialize(near_parts(packed.select(F.xxhash64("key", "i", "j").alias("key"), "m"), radius))
+    if wide is not None:
+        words = [F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE // 64)]
+        met = parted.join(wide, "v").groupBy("key", "least").agg(F.collect_list(F.struct("v", *words)).alias("m"))
+        parted = materialize(near_parts(met.select(F.xxhash64("key", "least").alias("key"), "m"), close))
+    return band_buckets(gathered(parted))
+
+
+def gathered(parted: DataFrame, block: int = PARTY) -> DataFrame:
+    """Rows (v, keys) for ``band_buckets``: the parts (key, v, least), those of a crowd replaced by the crowd itself.
+
+    A crowd is what hangs together by each text's smallest neighbour. Near
+    copies meet in most of their bands, each time in other parts; a crowd of n
+    texts whose parts hold more rows than the n * n / ``block`` that it sends
+    when all its texts are compared becomes one bucket. So a crowd of n sends the
+    lesser of the two, and every two texts that met in a part still meet.
+    """
+    hooks = parted.groupBy("v").agg(F.min("least").alias("b"))
+    crowds = materialize(components(hooks.select(F.col("v").alias("a"), "b")))
+    placed = parted.select(F.xxhash64("key", "least").alias("key"), "v").join(crowds, "v", "left").select("key", "v", F.coalesce("root", "v").alias("crowd"))
+    inner = materialize(placed.groupBy("key").agg(F.min("crowd").alias("crowd"), F.max("crowd").alias("high"), F.count("*").alias("n")).where("crowd = high"))
+    size = crowds.groupBy(F.col("root").alias("crowd")).agg(F.count("*").alias("size"))
+    dense = inner.groupBy("crowd").agg(F.sum("n").alias("n")).join(size, "crowd").where(F.col("n") > F.col("size") * F.ceil(F.col("size") / block)).select("crowd")
+    dense = materialize(dense)
+    gone = inner.join(dense, "crowd").select("key")
+    rest = parted.select(F.xxhash64("key", "least").alias("key"), "v").join(gone, "key", "left_anti")
+    whole = crowds.join(dense, F.col("root") == F.col("crowd")).select(F.xxhash64("crowd", F.lit(1)).alias("key"), "v")
+    return rest.union(whole).select("v", F.array("key").alias("keys")).distinct()
 
 
 def band_buckets(vertices: DataFrame) -> DataFrame:
@@ -364,8 +409,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     marks = materialize(_marks(plain, width, *bands_of(docs.count())))
-    vertices = materialize(marks.groupBy("v").agg(F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("fq").alias("fq"), F.first("keys").alias("keys")))  # texts of the same shingles have the same bits
-    buckets = materialize(near_buckets(vertices.select("v", "fp", "fq", "keys")))
+    vertices = materialize(marks.groupBy("v").agg(F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("fq").alias("fq"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))  # texts of the same shingles have the same bits
+    buckets = materialize(near_buckets(vertices.select("v", "fp", "fq", "keys"), wide=vertices.select("v", "wide")))
     chosen = vertices.select("v", "text_hash").join(buckets.select("v").distinct(), "v")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
