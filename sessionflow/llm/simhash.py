@@ -47,6 +47,8 @@ NEAR, BESIDE = 40, 128
 CLOSE, WIDE = 138, 512
 #: Columns in which a text's shingles are summed, each with a sign, before they are projected on the fingerprint's bits.
 FOLD = 1024
+#: Crowds are found by one in so many of the bands, before the texts meet in all.
+FEW = 8
 #: Texts of a band's bucket, or of a first text's followers, that are compared in one block.
 PARTY = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -279,8 +281,8 @@ def _sets(table_: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in table_.column("set").to_pylist()]
 
 
-def _near_groups(v: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
-    """For each text of the buckets (v: one bucket a row, bits: 64 to a word) the smallest text of those that fingerprints within the radius connect it with."""
+def _near_groups(v: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the buckets (v: one bucket a row, bits: 64 to a word) which two texts are within the radius, and for each text the smallest of those that this connects it with."""
     far = np.zeros((*v.shape, v.shape[1]), np.uint16)
     for word in np.moveaxis(bits, 2, 0):
         far += np.bitwise_count(word[:, :, None] ^ word[:, None, :])
@@ -288,82 +290,106 @@ def _near_groups(v: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
     while True:
         new = np.where(near, label[:, None, :], np.iinfo(np.int64).max).min(axis=2)
         if (new == label).all():
-            return label
+            return near, label
         label = new
 
 
 def near_parts(packed: DataFrame, radius: int) -> DataFrame:
-    """Rows (key, v, least): the buckets ``packed`` (key, m: structs of v and words of bits) parted into the texts that bits within the radius connect; least is a part's smallest.
+    """Rows (key, v, least, n): the buckets ``packed`` (key, m: structs of v, crowd and words of bits) parted into the texts that bits within the radius connect; least is a part's smallest, n the number of its rows.
 
-    Texts without a near one leave their bucket.
+    Texts without a near one of another crowd leave their bucket; a text without a crowd (null) is one of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("m")
-            size, (members, *words) = lists.value_lengths().to_numpy(), lists.flatten().flatten()
-            v, bits = members.to_numpy(), np.stack([w.to_numpy().view(np.uint64) for w in words], axis=-1)
+            size, (members, crowds, *words) = lists.value_lengths().to_numpy(), lists.flatten().flatten()
+            v, crowd, bits = members.to_numpy(), pc.coalesce(crowds, members).to_numpy(), np.stack([w.to_numpy().view(np.uint64) for w in words], axis=-1)
             key, begin = batch.column("key").to_numpy(), np.cumsum(size) - size
             for n in np.unique(size[size > 1]).tolist():
                 of = np.flatnonzero(size == n)
                 for at in range(0, len(of), step := max(1, (1 << 20) // (n * n))):
                     some = of[at : at + step]
                     rows = begin[some][:, None] + np.arange(n)
-                    label = _near_groups(v[rows], bits[rows], radius)
-                    kept = (label[:, :, None] == label[:, None, :]).sum(axis=2) > 1
-                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(key[some][:, None], rows.shape)[kept]), pa.array(v[rows][kept]), pa.array(label[kept])], ["key", "v", "least"])
+                    near, label = _near_groups(v[rows], bits[rows], radius)
+                    kept = (near & (crowd[rows][:, :, None] != crowd[rows][:, None, :])).any(axis=2)
+                    many = ((label[:, :, None] == label[:, None, :]) & kept[:, None, :]).sum(axis=2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(key[some][:, None], rows.shape)[kept]), pa.array(v[rows][kept]), pa.array(label[kept]), pa.array(many[kept])], ["key", "v", "least", "n"])
 
-    return packed.select("key", "m").mapInArrow(run, "key long, v long, least long")
+    return packed.select("key", "m").mapInArrow(run, "key long, v long, least long, n long")
+
+
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (key, v, ...) with i and j: a bucket above ``block`` is cut into blocks, of which each pair (i, j) holds two at most."""
+    crowded = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    return (
+        members.join(crowded, "key", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *members.columns)
+    )
 
 
 def near_buckets(vertices: DataFrame, radius: int = NEAR, block: int = BLOCK, wide: DataFrame | None = None, close: int = CLOSE) -> DataFrame:
     """Rows (v, key, least) like those of ``band_buckets`` for ``vertices`` (v, fp, fq, keys), each bucket parted into the texts that near fingerprints connect.
 
     Texts without a near one leave it, so those that meet by chance send no
-    sets. With ``wide`` (v, wide: words of more bits) the parts are parted once
-    more, by those bits and ``close``: many texts that have a passage in common
-    are near, and each would stay in most of its bands. A bucket above ``block``
-    is cut into blocks whose pairs go to different tasks, as in ``links``; every
-    two of its texts meet.
+    sets. Near copies meet in most of their bands: crowds that a few bands show
+    become one bucket each, and in a band's bucket a text then stays only beside
+    a near one that is not of its crowd. With ``wide`` (v, wide: words of more
+    bits) all are parted once more, by those bits and ``close``, as many texts that
+    have a passage in common are near. A bucket above ``block`` is cut into blocks
+    whose pairs go to different tasks, as in ``links``; every two of its texts meet.
     """
-    spread = vertices.select("v", "fp", "fq", F.explode("keys").alias("key"))
-    crowded = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    dealt = (
-        spread.join(crowded, "key", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "fp", "fq")
-    )
-    packed = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("v", "fp", "fq")).alias("m"))  # two blocks at most
-    parted = materialize(near_parts(packed.select(F.xxhash64("key", "i", "j").alias("key"), "m"), radius))
+
+    def parts(members: DataFrame, radius: int, *words: str) -> DataFrame:
+        packed = in_blocks(members, block).groupBy("key", "i", "j").agg(F.collect_list(F.struct("v", "crowd", *words)).alias("m"))
+        return materialize(near_parts(packed.select(F.xxhash64("key", "i", "j").alias("key"), "m"), radius))
+
+    alone, some = F.lit(None).cast("long").alias("crowd"), F.slice("keys", F.lit(1), F.ceil(F.size("keys") / FEW).cast("int"))
+    crowds = crowds_of(parts(vertices.select("v", "fp", "fq", alone, F.explode(some).alias("key")), radius, "fp", "fq"), block)
+    spread = vertices.join(crowds, "v", "left").select("v", "crowd", "fp", "fq", F.explode("keys").alias("key"))
+    parted = parts(spread, radius, "fp", "fq").select(F.xxhash64("key", "least").alias("key"), "v").union(crowds.select(F.xxhash64("crowd").alias("key"), "v"))
     if wide is not None:
-        words = [F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE // 64)]
-        met = parted.join(wide, "v").groupBy("key", "least").agg(F.collect_list(F.struct("v", *words)).alias("m"))
-        parted = materialize(near_parts(met.select(F.xxhash64("key", "least").alias("key"), "m"), close))
-    return band_buckets(gathered(parted))
+        words = {f"w{i}": F.get("wide", F.lit(i)) for i in range(WIDE // 64)}
+        met = parted.join(wide, "v").select("key", "v", alone, *(c.alias(k) for k, c in words.items()))
+        parted = gathered(parts(met, close, *words))
+    return band_buckets(parted.select("v", F.array("key").alias("keys")))
+
+
+def crowds_of(seen: DataFrame, block: int) -> DataFrame:
+    """Rows (v, crowd): the texts of the parts ``seen`` (key, v, least, n) of one band in FEW that are better compared all at once.
+
+    A crowd is what hangs together by these parts. One of n texts is kept if it
+    sends fewer rows as a bucket, n * n / ``block``, than the parts of all bands would.
+    """
+    roots = materialize(components(seen.select(F.col("v").alias("a"), F.col("least").alias("b"))))
+    sent = seen.groupBy("v").agg(F.sum(F.ceil(F.col("n") / block) * FEW).alias("sent"))
+    named = materialize(sent.join(roots, "v").select("v", F.xxhash64("root", F.lit(1)).alias("crowd"), "sent"))
+    size = named.groupBy("crowd").agg(F.count("*").alias("size"), F.sum("sent").alias("sent"))
+    dense = materialize(size.where(F.col("sent") > F.col("size") * F.ceil(F.col("size") / block)).select("crowd"))
+    return materialize(named.join(dense, "crowd").select("v", "crowd"))
 
 
 def gathered(parted: DataFrame, block: int = PARTY) -> DataFrame:
-    """Rows (v, keys) for ``band_buckets``: the parts (key, v, least), those of a crowd replaced by the crowd itself.
+    """Rows (key, v): the buckets of the parts (key, v, least, n), those of a crowd replaced by the crowd itself.
 
-    A crowd is what hangs together by each text's smallest neighbour. Near
-    copies meet in most of their bands, each time in other parts; a crowd of n
-    texts whose parts hold more rows than the n * n / ``block`` that it sends
-    when all its texts are compared becomes one bucket. So a crowd of n sends the
-    lesser of the two, and every two texts that met in a part still meet.
+    The blocks of a large bucket have their parts in common. A part's crowd is
+    named by its smallest text, which takes its own smallest neighbour's smallest
+    neighbour, and holds all texts of its parts; where these send more rows than
+    the n * n / ``block`` of its n texts, it becomes one bucket. So a crowd sends
+    the lesser of the two, and every two texts that met in a part still meet.
     """
-    hooks = parted.groupBy("v").agg(F.min("least").alias("b"))
-    crowds = materialize(components(hooks.select(F.col("v").alias("a"), "b")))
-    placed = parted.select(F.xxhash64("key", "least").alias("key"), "v").join(crowds, "v", "left").select("key", "v", F.coalesce("root", "v").alias("crowd"))
-    inner = materialize(placed.groupBy("key").agg(F.min("crowd").alias("crowd"), F.max("crowd").alias("high"), F.count("*").alias("n")).where("crowd = high"))
-    size = crowds.groupBy(F.col("root").alias("crowd")).agg(F.count("*").alias("size"))
-    dense = inner.groupBy("crowd").agg(F.sum("n").alias("n")).join(size, "crowd").where(F.col("n") > F.col("size") * F.ceil(F.col("size") / block)).select("crowd")
-    dense = materialize(dense)
-    gone = inner.join(dense, "crowd").select("key")
-    rest = parted.select(F.xxhash64("key", "least").alias("key"), "v").join(gone, "key", "left_anti")
-    whole = crowds.join(dense, F.col("root") == F.col("crowd")).select(F.xxhash64("crowd", F.lit(1)).alias("key"), "v")
-    return rest.union(whole).select("v", F.array("key").alias("keys")).distinct()
+    met = materialize(parted.groupBy("least", "v").agg(F.sum(F.ceil(F.col("n") / block)).alias("sent")))
+    hooks = met.groupBy("v").agg(F.min("least").alias("b"))
+    leads = materialize(met.where("least = v").select("v").join(hooks, "v"))  # a part's smallest text is one of its own
+    crowds = materialize(leads.select(F.col("v").alias("least"), "b").join(leads.select(F.col("v").alias("b"), F.col("b").alias("crowd")), "b").select("least", "crowd"))
+    members = materialize(met.join(crowds, "least").groupBy("crowd", "v").agg(F.sum("sent").alias("sent")))
+    size = members.groupBy("crowd").agg(F.count("*").alias("size"), F.sum("sent").alias("sent"))
+    dense = materialize(size.where(F.col("sent") > F.col("size") * F.ceil(F.col("size") / block)).select("crowd"))
+    rest = parted.join(crowds.join(dense, "crowd").select("least"), "least", "left_anti").select(F.xxhash64("key", "least").alias("key"), "v")
+    return rest.union(members.join(dense, "crowd").select(F.xxhash64("crowd", F.lit(1)).alias("key"), "v"))
 
 
 def band_buckets(vertices: DataFrame) -> DataFrame:
